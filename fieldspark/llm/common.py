@@ -94,3 +94,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every machine that has its package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import mixing, sharding
-from fieldspark.llm.common import table
+from fieldspark.llm import gif, mixing, packing, quality, sharding, warc, wavelet
+from fieldspark.llm.common import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,32 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.gif_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op9_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hash_tree_sharding, op2_source_mixing)}
+    every = (
+        op1_hash_tree_sharding, op2_source_mixing, op3_wavelet_tokens, op4_gif_media, op8_warc_archives,
+        op9_quality_discriminant, op10_sum_of_squares_packing,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
