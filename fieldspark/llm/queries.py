@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import gif, mixing, packing, quality, sharding, warc, wavelet
+from fieldspark.llm import gif, mixing, ngram_join, packing, pii, quality, sharding, warc, wavelet
 from fieldspark.llm.common import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.gif_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.document_components(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -42,7 +50,8 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     every = (
-        op1_hash_tree_sharding, op2_source_mixing, op3_wavelet_tokens, op4_gif_media, op8_warc_archives,
+        op1_hash_tree_sharding, op2_source_mixing, op3_wavelet_tokens, op4_gif_media, op5_boosted_pii,
+        op6_ngram_jaccard_join, op8_warc_archives,
         op9_quality_discriminant, op10_sum_of_squares_packing,
     )
     return {f.__name__: f for f in every}
