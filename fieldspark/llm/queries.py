@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import gif, mixing, ngram_join, packing, pii, quality, sharding, warc, wavelet
+from fieldspark.llm import cover_tree, gif, mixing, ngram_join, packing, pii, quality, sharding, warc, wavelet
 from fieldspark.llm.common import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.document_components(table(spark, sf_dir, "documents"))
 
 
+def op7_cover_tree_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     every = (
         op1_hash_tree_sharding, op2_source_mixing, op3_wavelet_tokens, op4_gif_media, op5_boosted_pii,
-        op6_ngram_jaccard_join, op8_warc_archives,
+        op6_ngram_jaccard_join, op7_cover_tree_duplicates, op8_warc_archives,
         op9_quality_discriminant, op10_sum_of_squares_packing,
     )
     return {f.__name__: f for f in every}
