@@ -1,28 +1,50 @@
-"""Corpus pipeline: each stage takes (spark, docs, sf_dir) and works on all that the stage before kept."""
+"""Corpus pipeline: five stages, each over all rows that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+``run`` writes each stage's rows to the shared folder and reads them again for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import mixing
-from fieldspark.llm.common import table, written
+from fieldspark.llm import mixing, ngram_join, packing, pii, quality
+from fieldspark.llm.common import table, vocabulary, written
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from ``labels`` outside the held-out fold."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group that links of the n-gram join connect."""
+    return ngram_join.one_of_each_group(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.redact_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the amounts that the source targets ask for."""
+    """Documents in the amounts that the source targets ask for: some again, some cut or left out."""
     return mixing.mixed_corpus(docs)
 
 
-STAGES = [("mix_sources", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids, each with its sequence and place."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", keep_good), ("near_copies", drop_near_copies), ("personal_data", redact), ("mix", mix), ("pack", pack)]
 
-#: Trained models and tokenizers are no SQL.
+#: Trained models, tokenizers and hash orders are no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
