@@ -1,0 +1,496 @@
+"""Operators against brute force, exact round trips and the edge cases that their docstrings name."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from fieldspark.llm import cover_tree, gif, mixing, ngram_join, packing, pii, quality, sharding, tokens, warc, wavelet
+from fieldspark.llm.common import components, vocabulary
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, _bucket int"
+HARD = ["", None, " ", "a", "x " * 30_000, "Ünïcödé ßtraße 🙂 é 日本語 x", "a  b\t\tc\n\n d ", "tab\x0bsep", "it's 12,000. e.g., \x01 end", "same text here now ok", "same text here now ok"]
+
+
+def docs_of(spark, texts, source=lambda i: f"s{i % 3}"):
+    """Texts as documents, with null ids, repeated rows and columns whose names operators use themselves."""
+    rows = [(i, t, "en", source(i), len(t or ""), 7, 9) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    extra = spark.createDataFrame([(None, "no id", None, None, None, None, None), (3, "a", "en", "s0", 1, 7, 9)], DOCS)
+    return docs_of(spark, HARD).unionByName(extra).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def prose(seed, n, words=60):
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("aeioutnrsl") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    return [" ".join(r.choice(vocab) for _ in range(r.randint(3, words))) for _ in range(n)]
+
+
+# --- 1 sharding
+
+
+def test_shards_are_gapless_and_grow_into_the_new_one(spark, hard, empty):
+    rows = sharding.shard_documents(hard).collect()
+    assert len(rows) == hard.count() and sharding.shard_documents(empty).count() == 0
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+        assert r.grown_shard in (r.shard, 8) and r.law == "key"
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    got = {(r.doc_id, r.text_crc32): r["size"] for r in rows}
+    assert got[(5, zlib.crc32(HARD[5].encode()))] == len(HARD[5].encode()) + 1 and got[(1, 0)] == 1
+
+
+def test_changed_weight_moves_rows_only_within_or_into_its_subtree(spark):
+    old = sharding.tree(8)
+    ids = spark.range(4000)
+    for new, inward in ((sharding.reweighted(old, 5, 2.0), True), (sharding.reweighted(old, 5, 0.25), False)):
+        got = ids.select(sharding.place(F.col("id"), old).alias("a"), sharding.place(F.col("id"), new).alias("b")).where("a <> b").collect()
+        region = {s.shard: s.region for s in old}
+        assert got and all(region[r["b" if inward else "a"]] == region[5] for r in got)
+    share = ids.groupBy(sharding.place(F.col("id"), sharding.reweighted(old, 0, 9.0)).alias("s")).count().where("s = 0").first()["count"]
+    assert abs(share / 4000 - 9 / 16) < 0.04
+
+
+def test_slots_over_many_buckets(spark):
+    rows = spark.range(500).select(F.lit(1).alias("k"), F.col("id").alias("o"))
+    got = sharding.shard_rows(rows, "k", ["o"], sharding.tree(8), None, 16).collect()
+    assert sorted(r.slot for r in got) == list(range(500)) and len({r.shard for r in got}) == 1
+
+
+# --- 2 mixing
+
+
+def targets(sizes):
+    """Shares by weight, the excess of those above twice their size reshared until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    total, capped = 1.5 * sum(sizes.values()), set()
+    while True:
+        free = [s for s in names if s not in capped]
+        rest = total - sum(2 * sizes[s] for s in capped)
+        t = {s: 2 * sizes[s] if s in capped else rest * weight[s] / sum(weight[x] for x in free) for s in names}
+        more = {s for s in free if t[s] > 2 * sizes[s]}
+        if not more:
+            return t
+        capped |= more
+
+
+def test_mix_meets_targets(spark, hard, empty):
+    texts = prose(1, 300)
+    docs = docs_of(spark, texts, lambda i: [None, "", "é", "z", "a"][0 if i < 100 else i % 5]).unionByName(hard.limit(5))
+    rows = mixing.mix_documents(docs).collect()
+    assert len(rows) == docs.count() and mixing.mix_documents(empty).count() == 0
+    sizes = {}
+    for r in docs.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len((r.text or "").split())
+    want = targets(sizes)
+    assert sorted({round(r.target, 6) for r in rows}) == sorted({round(v, 6) for v in want.values()})
+    for s, size in sizes.items():
+        own = [r for r in rows if r.source_size == size]
+        assert abs(sum(r.taken for r in own) - want[s]) <= 2 * sum(r.taken < 0 for r in own) + 2
+    assert all(0 <= r.taken <= 2 * r["size"] for r in rows)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix_documents(docs.repartition(7)).collect()))
+
+
+def test_schedule_fills_every_rank_once(spark):
+    goals = spark.createDataFrame([("a", 9, 0, 5000.0), ("b", 9, 1, 10.0), ("c", 9, 2, 990.0)], "source string, source_size long, src int, target double")
+    got = mixing.schedule(goals, 6000.0, 64).collect()
+    for src, target in ((0, 5000), (1, 10), (2, 990)):
+        assert sorted(r.rank for r in got if r.src == src) == list(range(-(-target // 64)))
+    early = [r.src for r in sorted(got, key=lambda r: r.slot)[:24]]
+    assert abs(early.count(0) - 20) <= 2  # low discrepancy: shares hold in short prefixes
+
+
+def test_mixed_corpus_keeps_columns_and_words(spark):
+    docs = docs_of(spark, prose(2, 200))
+    taken = mixing.mix_documents(docs).agg(F.sum("taken")).first()[0]
+    out = mixing.mixed_corpus(docs)
+    rows = out.collect()
+    assert out.columns == docs.columns and sum(len(r.text.split()) for r in rows) == taken
+    assert all(r.n_chars == len(r.text) for r in rows)
+    whole = dict(enumerate(prose(2, 200)))
+    assert all(whole[r.doc_id].startswith(r.text) for r in rows)
+
+
+# --- 3, 10 tokens
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_units_give_the_ids_of_whole_texts(name):
+    coder = tokens.UnitEncoder(vocabulary(name))
+    texts = [t or "" for t in HARD] + prose(3, 50) + ["ends. Here,\nnext 1.5 'tis we'll", "<|endoftext|> a", " lead", "trail ", "Σας ΣΑΣ. ok", "a b c\x1cd\u0085e"]
+    ids, at = coder.encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids + [2]
+    assert coder.encode(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_unit_memory_starts_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 10)
+    coder = tokens.UnitEncoder(vocabulary("byte_bpe_50k.json"))
+    for t in prose(4, 20):
+        assert coder.encode(pa.array([t]), None)[0].tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_wavelet_matrix_answers_from_the_file():
+    r = np.random.default_rng(0)
+    ids = np.where(r.random(3000) < 0.3, 7, r.integers(0, 49_408, 3000)).astype(np.uint32)
+    m = wavelet.WaveletMatrix(wavelet.pack(ids, np.array([0, 5, 5, 3000]), [3, None, -9]))
+    assert m.decode().tolist() == ids.tolist() and m.doc_ids == [3, None, -9] and m.offsets.tolist() == [0, 5, 5, 3000]
+    assert [m.access(i) for i in range(0, 3000, 37)] == ids[::37].tolist()
+    places = np.flatnonzero(ids == 7)
+    assert m.count(7) == len(places) and [m.select(7, k) for k in range(0, len(places), 50)] == places[::50].tolist()
+    assert m.rank(7, 1000) == (places < 1000).sum() and m.count(65_000) == m.count(1 << 20) == 0
+    with pytest.raises(IndexError):
+        m.select(7, len(places))
+    none = wavelet.WaveletMatrix(wavelet.pack(ids[:0], np.zeros(1), []))
+    assert none.decode().tolist() == [] and none.count(0) == 0
+
+
+def test_token_documents(spark, hard, empty):
+    name = vocabulary("word_bpe_49k.json")
+    rows = wavelet.token_documents(hard, name).collect()
+    coder = tokens.UnitEncoder(name).tokenizer
+    at = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    want = sorted((-1 if d is None else d, zlib.crc32(np.array(coder.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes())) for d, t in hard.select("doc_id", "text").collect())
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids_crc32) for r in rows) == want
+    ids = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
+    assert ids == sorted(ids, key=lambda d: -1 if d is None else d) and wavelet.token_documents(empty, name).count() == 0
+
+
+def test_cut():
+    assert packing.cut(5, 10) == [(0, 5)] and packing.cut(10, 10) == [(0, 10)]
+    assert packing.cut(25, 10) == [(0, 5), (5, 10), (15, 10)] and packing.cut(20, 10) == [(0, 10), (10, 10)]
+
+
+def test_sum_of_squares_takes_the_least_sum():
+    r, lengths = random.Random(5), []
+    lengths = [r.randint(1, 20) for _ in range(200)]
+    got = packing.sum_of_squares(lengths, 20)
+    gaps, where = [], {i: b for b, m in enumerate(got) for i in m}
+    for i, s in enumerate(lengths):  # each step against every choice
+        def total(change):
+            counts = {}
+            for g in change:
+                if 0 < g < 20:
+                    counts[g] = counts.get(g, 0) + 1
+            return sum(c * c for c in counts.values())
+
+        options = [total([*gaps[:b], g - s, *gaps[b + 1 :]]) for b, g in enumerate(gaps) if g >= s] + [total([*gaps, 20 - s])]
+        b = where[i]
+        if b == len(gaps):
+            gaps.append(20)
+        gaps[b] -= s
+        assert gaps[b] >= 0 and total(gaps) == min(options)
+
+
+def test_packed_sequences_are_whole(spark, hard, empty):
+    name = vocabulary("byte_bpe_50k.json")
+    docs = hard.unionByName(docs_of(spark, prose(6, 300, 400)).withColumn("doc_id", F.col("doc_id") + 100))
+    rows = packing.pack_documents(docs, name).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append(r)
+    for members in by.values():
+        at = 0
+        for r in sorted(members, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    assert len(by) <= 1.05 * sum(r.length for r in rows) / 1024
+    coder = tokens.UnitEncoder(name).tokenizer
+    want = []
+    for d, t in docs.select("doc_id", "text").collect():
+        ids = np.array(coder.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        want += [(-1 if d is None else d, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids)))]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
+    assert packing.pack_documents(empty, name).count() == 0
+
+
+# --- 4 media
+
+
+def test_gif_round_trip():
+    r = np.random.default_rng(1)
+    for body in (b"\0" * 64, b"a" * 6400, b"ab" * 40_000, r.bytes(64 * 2500), bytes(range(256)) * 300):
+        data = gif.encode(body)
+        assert gif.samples(gif.frames(data)) == body
+        screens = list(gif.shown(data))
+        assert len(screens) == -(-len(body) // (64 * 1024)) and screens[0][0, 0, 0] == body[0]
+
+
+def test_gif_disposal_transparency_palette_and_interlace():
+    def frame(left, top, w, h, pixels, flags=0, clear=None, disposal=0, delay=3):
+        codes = gif._codes(bytes(pixels))
+        return bytes([0x21, 0xF9, 4, disposal << 2 | (clear is not None), delay, 0, clear or 0, 0, 0x2C, left, 0, top, 0, w, 0, h, 0, flags]) + b"\x08" + gif._blocks(gif._pack(codes, gif._widths(codes)))
+
+    head = b"GIF89a\x02\0\x02\0\xf7\0\0" + bytes(v for c in range(256) for v in (c, 0, 255 - c))
+    data = head + frame(0, 0, 2, 2, [1, 2, 3, 4], disposal=1) + frame(0, 0, 2, 1, [9, 8], clear=9, disposal=3) + frame(1, 1, 1, 1, [7], disposal=2) + frame(0, 0, 1, 1, [5]) + b";"
+    a, b, c, d = list(gif.shown(data))
+    assert a[:, :, 0].tolist() == [[1, 2], [3, 4]] and b[:, :, 0].tolist() == [[1, 8], [3, 4]]
+    assert c[:, :, 0].tolist() == [[1, 2], [3, 7]] and d[:, :, 0].tolist() == [[5, 2], [3, 0]] and d[1, 1, 3] == 0
+    assert [f.delay_cs for f in gif.frames(data)] == [3] * 4 and gif.histogram(gif.frames(data), 2) == [7, 0]
+    rows = head[:6] + b"\x01\0\x05\0" + head[10:] + frame(0, 0, 1, 5, [0, 4, 2, 1, 3], flags=0x40) + b";"
+    assert gif.frames(rows)[0].indices.ravel().tolist() == [0, 1, 2, 3, 4]
+    assert gif.frames(data[:-30])[0].indices.ravel().tolist() == [1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        gif.frames(b"no image")
+
+
+def test_gif_small_palette_stream():
+    # 2-bit samples: clear 4, then 1, 6 (not yet made: 1 1), 6, 2, end 5, with widths 3 3 3 3 4 4 by the growing table.
+    bits = "".join(f"{c:0{w}b}"[::-1] for c, w in ((4, 3), (1, 3), (6, 3), (6, 3), (2, 4), (5, 4)))
+    raw = int(bits[::-1], 2).to_bytes(-(-len(bits) // 8), "little")
+    assert gif.lzw_decode(raw, 2, 99).tolist() == [1, 1, 1, 1, 1, 2]
+
+
+def test_gif_documents(spark, hard, empty):
+    rows = gif.gif_documents(hard).collect()
+    want = sorted(hashlib.sha256((b := (t or "").encode()) + b"\0" * (-len(b) % 64 or 64 * (not b))).hexdigest() for (t,) in hard.select("text").collect())
+    assert sorted(r.payload_sha256 for r in rows) == want and gif.gif_documents(empty).count() == 0
+    same = [r for r in rows if r.doc_id in (9, 10)]
+    assert same[0][1:] == same[1][1:]
+
+
+# --- 5 personal data
+
+
+def plain_spans(text):
+    import re
+
+    out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for k, rx, lo, hi in ((2, r"[0-9]([\x20-]?[0-9])+", 12, 19), (3, r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(rx, text):
+            d = [int(c) for c in m.group() if c.isdigit()]
+            ok = sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(d))) % 10 == 0
+            if lo <= len(d) <= hi and (k == 3 or ok):
+                out.append((m.start(), m.end(), k))
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def test_base_spans_equal_plain_patterns():
+    r = random.Random(7)
+    texts = ["a@b.c@d.e x@y x@y.z. a.b@c..d @x.y", "999.1.1.1 1.2.3.4.5 0000255.1.1.1", "é 4111 1111-1111 1111 x", "+1 (499) 555-6503", "a" * 500 + "@b.cd", ""]
+    texts += ["".join(r.choice("ab1234@..- +()5") for _ in range(80)) for _ in range(2000)]
+    for t in texts:
+        assert pii.base_spans(t) == plain_spans(t), t
+
+
+def test_boosted_trees_learn_and_thresholds_hold():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(3000, 4))
+    x[:, 0] = r.integers(0, 2, 3000)
+    y = ((x[:, 1] > 0) & (x[:, 2] < 0.5)).astype(float)
+    model = pii.boost(x[:2000], y[:2000])
+    pii.calibrate(model, x[2000:], y[2000:])
+    p = model.probability(x[2000:])
+    assert ((p > 0.5) == y[2000:]).mean() > 0.97
+    for k in (0, 1):
+        own = x[2000:, 0] == k
+        assert y[2000:][own & (p >= model.thresholds[k])].mean() >= 0.99
+    assert pii.boost(x[:5], np.ones(5)).trees == []
+
+
+def test_personal_data_of_documents(spark, hard, empty):
+    texts = [f"{w} call +1 (499) 555-{i:04d} now or mail u{i}@ex{i}.org at 10.0.{i % 200}.7 ok" for i, w in enumerate(prose(8, 200, 12))]
+    texts += ["write to jane.doe [at] example.com today", "version 1.2.3 of 2024-01-02", "+1 499"]
+    docs = docs_of(spark, texts)
+    rows = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    for i, t in enumerate(texts):
+        base = plain_spans(t)
+        text = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, e, k in base)
+        assert rows[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(filter(None, text.split(","))) <= set(rows[i].spans.split(","))
+    assert rows[201].spans == rows[202].spans == ""
+    assert rows[200].spans == "email:9:34"
+    out = {r.doc_id: r for r in pii.redact_documents(docs).collect()}
+    assert "@" not in out[5].text and "[PHONE]" in out[5].text and out[5].n_chars == len(out[5].text) and out[201].text == texts[201]
+    assert pii.find_personal_data(hard).count() == hard.count() and pii.find_personal_data(empty).count() == 0
+    assert pii.redact_documents(hard).where("text is null").count() == 1
+
+
+# --- 6 n-gram join
+
+
+def plain_components(rows):
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = []
+    for _, t in rows:
+        w = (t or "").translate(low).encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+    up = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                a, b = sets[i], sets[j]
+                if rows[i][0] is not None and rows[j][0] is not None and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    up[i] = up[j] = min(up[i], up[j])
+        if up == (new := [up[u] for u in up]):
+            break
+        up = new
+    least = {}
+    for (d, _), u in zip(rows, up):
+        if d is not None:
+            least[u] = min(least.get(u, d), d)
+    return sorted(((-1 if d is None else d), len(s), -1 if d is None else least[u]) for (d, _), s, u in zip(rows, sets, up))
+
+
+def near_copies(seed):
+    r, out = random.Random(seed), []
+    for base in prose(seed, 12, 90):
+        out.append(base)
+        now = base.split()
+        for _ in range(r.randint(0, 8)):  # a chain: each copy changes the one before
+            now = now.copy()
+            for _ in range(r.randint(0, 2)):
+                now[r.randrange(len(now))] = r.choice(["Xx", "yy", "zz"])
+            out.append(" ".join(now).upper() if r.random() < 0.2 else " ".join(now))
+    passage = prose(99, 1, 60)[0]
+    return out + [f"{passage} {t}" for t in prose(seed + 1, 20, 20)] + ["a b c", "A b  c", "a b c d"]
+
+
+@pytest.mark.parametrize(("seed", "stars", "common"), [(1, 2, 64), (2, 0, 2), (3, 1, 1)])
+def test_components_equal_brute_force(spark, hard, monkeypatch, seed, stars, common):
+    monkeypatch.setattr(ngram_join, "COMMON", common)
+    monkeypatch.setattr(ngram_join, "FRAGMENT_BYTES", 500)
+    docs = docs_of(spark, near_copies(seed))
+    if seed == 1:
+        docs = docs.withColumn("doc_id", F.col("doc_id") + 50).unionByName(hard)
+    real = ngram_join.node_components
+    monkeypatch.setattr(ngram_join, "node_components", lambda n, p: real(n, p, stars))
+    got = [((-1 if d is None else d), n, -1 if c is None else c) for d, n, c in ngram_join.document_components(docs).collect()]
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    if seed != 1:
+        assert sorted(got) == plain_components(rows)
+    else:  # rows that repeat an id
+        assert sorted(set(got)) == sorted(set(plain_components(rows)))
+
+
+def test_join_of_nothing(spark, empty):
+    assert ngram_join.document_components(empty).count() == 0
+    kept = ngram_join.one_of_each_group(docs_of(spark, ["a b c d e f", "a b c d e f", None, "q"]))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
+def test_connected_components(spark):
+    r = random.Random(9)
+    pairs = [(i, i + 1) for i in range(60)] + [(100 + r.randrange(60), 100 + r.randrange(60)) for _ in range(40)] + [(200, 200), (None, 5)]
+    got = {x.node: x.component for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    up = {n: n for p in pairs if None not in p for n in p}
+    for _ in range(200):
+        for a, b in pairs:
+            if a is not None:
+                up[a] = up[b] = min(up[a], up[b])
+    assert got == {n: c for n, c in up.items() if n != 200}
+
+
+# --- 7 embeddings
+
+
+def plain_links(rows, cosine=0.95):
+    ok = [i for i, (d, v) in enumerate(rows) if d is not None and v and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)]
+    x = np.array([np.float32(rows[i][1]) for i in ok], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= cosine
+    np.fill_diagonal(near, False)
+    label = np.array([rows[i][0] for i in ok])
+    while True:
+        new = np.array([min([label[k], *label[near[k]]]) for k in range(len(ok))])
+        if (new == label).all():
+            break
+        label = new
+    out = {i: (rows[i][0], 0, rows[i][0], rows[i][0] is not None) for i in range(len(rows))}
+    for k, i in enumerate(ok):
+        out[i] = (rows[i][0], int(near[k].sum()), int(label[k]), rows[i][0] == label[k])
+    return sorted(out.values(), key=str)
+
+
+@pytest.mark.parametrize(("chunk", "leaf"), [(4096, 256), (40, 8)])
+def test_vector_links_equal_brute_force(spark, monkeypatch, chunk, leaf):
+    monkeypatch.setattr(cover_tree, "CHUNK", chunk)
+    monkeypatch.setattr(cover_tree, "LEAF", leaf)
+    r = np.random.default_rng(3)
+    base = r.normal(size=(40, 8))
+    rows = [(i, (base[r.integers(40)] + r.normal(size=8) * r.choice([0, 0.1, 0.3])).tolist()) for i in range(300)]
+    rows += [(500, None), (501, [0.0] * 8), (502, [1.0, None] + [0.0] * 6), (503, [float("nan")] * 8), (504, [1.0, 2.0]), (505, []), (None, base[0].tolist()), (506, [float("inf")] + [0.0] * 7)]
+    df = spark.createDataFrame([(d, v, 1, 2, b"x") for d, v in rows], "vec_id long, embedding array<float>, label int, n int, sig binary")
+    got = [tuple(x) for x in cover_tree.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect()]
+    assert sorted(got, key=str) == plain_links(rows)
+
+
+def test_vectors_of_nothing(spark):
+    assert cover_tree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    only = cover_tree.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()
+    assert [tuple(r) for r in only] == [(1, 0, 1, True)]
+
+
+# --- 8 archives
+
+
+def test_archive_frames():
+    records = [warc.record(i, f"http://x/{i}\r\n", (f"<p>page {i} " + "body text " * 30).encode(), "d", None, "2020-01-01T00:00:00Z") for i in range(400)]
+    data = warc.archive(records)
+    assert data[:4] == (0x184D2A5D).to_bytes(4, "little") and list(warc.records(data)) == records
+    assert list(warc.records(warc.archive(records[:1]))) == records[:1] and list(warc.records(warc.archive([]))) == []
+
+
+def test_pages_come_back(spark):
+    html = "<html>" + "long page " * 50
+    pages = [(3, "u", html), (2, "u\nv", html), (9, None, html), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (None, "u", html), (2, "u\nv", html), (11, "ü", "é" * 50), (12, "u", "é" * 50)]
+    df = spark.createDataFrame([(*p, 1, "x") for p in pages], "page_id long, url string, html string, first int, digest string")
+    got = sorted(((-1 if r.page_id is None else r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or -1) for r in warc.archive_pages(df).collect())
+    want = []
+    for page, _, text in pages:
+        b = (text or "").encode()
+        least = min((p for p, _, t in pages if t == text and p is not None), default=page) if len(b) >= 100 else page
+        want.append((-1 if page is None else page, len(b), hashlib.sha256(b).hexdigest(), "response" if least == page else "revisit", -1 if least == page else least))
+    assert got == sorted(want) and warc.archive_pages(df.limit(0)).count() == 0
+
+
+def test_damaged_record_is_refused():
+    good = warc.record(1, "u", b"body", hashlib.sha256(b"body").hexdigest(), None, "d")
+    assert warc.parsed(good)[:2] == (1, 4)
+    with pytest.raises(ValueError):
+        warc.parsed(good.replace(b"body", b"bodz"))
+
+
+# --- 9 quality
+
+
+def test_quality_on_held_out_rows(spark, hard, empty):
+    good = prose(10, 300)
+    bad = [" ".join(f"{w}***" for w in t.split()) for t in prose(11, 60)] + ["Nd, " * 80] * 20
+    docs = docs_of(spark, good + bad)
+    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(380)] + [(5, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.score_documents(docs, labels).collect()
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert sum(r.predicted == (r.doc_id < 300) for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in quality.score_documents(hard, labels).collect())
+    assert quality.score_documents(empty, labels).count() == 0
+    assert {r.score for r in quality.score_documents(docs, labels.limit(0)).collect()} == {0.5}
+    kept = quality.accepted(docs, labels)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in rows if r.predicted)
+
+
+def test_statistics_take_no_crash():
+    for t in (b"", b" \n", b"a", "é".encode() * 9, b"\xff\xfe x", b"A" * 100_000):
+        assert np.isfinite(quality.statistics(t)).all()
