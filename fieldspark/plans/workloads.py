@@ -1,0 +1,45 @@
+"""Whole workloads from landed tables to products, each a composition of operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldspark.operators import crops, imagery, integrate, report, soil, spatial, weather, zonal
+
+
+def pixels_to_history(tiles: DataFrame, polygons: DataFrame, grids: DataFrame, labels: DataFrame, least_coverage: float = 0.70) -> DataFrame:
+    """Crop history from class tiles and field polygons: per-tile counts, then majority classes by field and year."""
+    measured = polygons if "xmin" in polygons.columns else spatial.with_measures(polygons)
+    return zonal.crop_history(zonal.zonal_counts(tiles, measured, grids), labels, least_coverage)
+
+
+def soil_health(components: DataFrame, horizons: DataFrame, fields: DataFrame, soils: DataFrame, mapunits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The overlap table and soil metrics by field, from soil tables and polygons in the equal-area projection."""
+    overlaps = spatial.field_soil_overlap(fields, soils)
+    areas = spatial.with_measures(fields).select("field_id", F.col("area").alias("field_area_m2"))
+    table = spatial.overlap_table(areas, overlaps, mapunits)
+    return table, soil.aggregate_soil(components, horizons, table.select("field_id", "mukey", "field_fraction"))
+
+
+def weather_anomalies(daily: DataFrame, first_year: int = 1991, last_year: int = 2020, year: int = 2023) -> tuple[DataFrame, DataFrame]:
+    """The analysed series and its summary by site, after the gap gate."""
+    rows = weather.analyse(weather.require_continuous(daily), first_year, last_year, year)
+    return rows, weather.year_summary(rows, year)
+
+
+def scene_index(scenes: DataFrame, fractions: DataFrame, pixels: DataFrame, bands: DataFrame, least: float = 0.70) -> DataFrame:
+    """Index by field from the scene that is chosen."""
+    chosen = imagery.require_scene(imagery.choose_scenes(scenes, fractions, least), least).where("status = 'chosen'").select("scene_id")
+    return imagery.require_valid_pixels(imagery.field_ndvi(pixels.join(chosen, "scene_id", "left_semi"), bands))
+
+
+def dashboard(fields: DataFrame, history: DataFrame, overlaps: DataFrame, index: DataFrame, soil_rows: DataFrame, year: int = 2023) -> tuple[DataFrame, DataFrame]:
+    """Field records and key figures of all their selections."""
+    integrated = integrate.integrated_dataset(fields.select("field_id"), history, overlaps, index, year)
+    records = report.field_records(fields, history, integrated, index, soil_rows, year)
+    return records, report.key_figures(records)
+
+
+def rotations(history: DataFrame, years: list[int], letters: dict[str, str], main: list[str]) -> DataFrame:
+    return crops.rotations(crops.wide_history(history, years), years, letters, main)
