@@ -45,6 +45,25 @@ def require_same_keys(left: DataFrame, right: DataFrame, key: str, label: str) -
     return right
 
 
+def require_one_to_one(sides: Mapping[str, DataFrame], key: str) -> None:
+    """All sides have the same keys, each once and none null; one job for all of them. The first side sets the keys."""
+    names = list(sides)
+    rows = None
+    for k, n in enumerate(names):
+        one = sides[n].select(F.col(key).alias("k"), F.lit(k).alias("side"))
+        rows = one if rows is None else rows.unionByName(one)
+    counts = rows.groupBy("k").agg(*[F.count_if(F.col("side") == k).alias(f"n{k}") for k in range(len(names))])
+    rules = [F.count_if(F.col("k").isNull()).alias("null")]
+    for k in range(len(names)):
+        rules += [F.count_if(F.col(f"n{k}") > 1).alias(f"dup{k}"), F.count_if((F.col(f"n{k}") == 0) & (F.col("n0") > 0)).alias(f"less{k}"), F.count_if((F.col(f"n{k}") > 0) & (F.col("n0") == 0)).alias(f"more{k}")]
+    got = counts.agg(*rules).first()
+    broken = [f"null {key}"] if got["null"] else []
+    for k, n in enumerate(names):
+        broken += [f"{n}: {what} {key}" for what, c in (("duplicate", f"dup{k}"), ("missing", f"less{k}"), ("unknown", f"more{k}")) if got[c]]
+    if broken:
+        raise CheckError("; ".join(broken))
+
+
 def require_reference(child: DataFrame, parent: DataFrame, key: str, label: str) -> DataFrame:
     """Every non-null key of ``child`` is in ``parent``."""
     if lost := _some(child.where(F.col(key).isNotNull()).join(parent, key, "left_anti"), key):
@@ -54,6 +73,8 @@ def require_reference(child: DataFrame, parent: DataFrame, key: str, label: str)
 
 def require_rules(df: DataFrame, rules: Mapping[str, Column], label: str) -> DataFrame:
     """Every rule holds wherever it is not null; all rules in one pass."""
+    if not rules:
+        return df
     names = list(rules)
     counts = df.agg(*[F.count_if(~rules[n]).alias(f"r{k}") for k, n in enumerate(names)]).first()
     broken = [n for k, n in enumerate(names) if counts[k]]

@@ -75,7 +75,7 @@ def product_counts(products: Mapping[str, tuple[DataFrame, Sequence[str], Sequen
     out = None
     for name, (df, keys, columns) in products.items():
         missing = sum((F.count_if(F.col(c).isNull()) for c in columns), F.lit(0))
-        one = df.agg(F.lit(name).alias("product"), F.count(F.lit(1)).alias("rows"), F.count_distinct(F.struct(*keys)).alias("distinct_keys"), missing.cast("long").alias("missing"))
+        one = df.agg(F.lit(name).alias("product"), F.count(F.lit(1)).alias("rows"), F.count_distinct(*keys).alias("distinct_keys"), missing.cast("long").alias("missing"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -34,11 +34,9 @@ def integrate_fields(fields: DataFrame, crops: DataFrame, soils: DataFrame, inde
     """
     if "coverage_fraction" in index.columns:
         index = index.withColumnRenamed("coverage_fraction", "ndvi_coverage_fraction")
-    checks.require_unique(fields, ["field_id"], "fields")
+    checks.require_one_to_one({"fields": fields, "crops": crops, "soils": soils, "ndvi": index}, "field_id")
     out = fields
-    for df, name in ((crops, "crops"), (soils, "soils"), (index, "ndvi")):
-        checks.require_unique(df, ["field_id"], name)
-        checks.require_same_keys(fields, df, "field_id", name)
+    for df in (crops, soils, index):
         out = out.join(df.select("field_id", *[c for c in df.columns if c in INTEGRATED and c not in out.columns]), "field_id", "left")
     have = set(out.columns)
     main = [F.col(c).cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in INTEGRATED.items()]

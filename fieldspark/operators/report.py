@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.functions.expressions import band_text, number_text, soil_label
+from fieldspark.functions.expressions import band_text, finite, number_text, soil_label
 from fieldspark.operators import checks
 
 #: Columns of a field record.
@@ -23,16 +23,14 @@ def field_records(fields: DataFrame, crops: DataFrame, integrated: DataFrame, in
     integrated = integrated.select("field_id", F.col("dominant_soil").alias("soil_type"), F.col("dominant_soil_name").alias("soil_name"))
     index = index.select("field_id", "mean_ndvi", F.col("coverage_fraction").alias("ndvi_coverage_fraction"))
     soil = soil.select("field_id", "organic_matter_pct", "ph_h2o", "cec_cmol_kg", "carbon_storage_mg_c_ha")
-    checks.require_unique(fields, ["field_id"], "fields")
+    checks.require_one_to_one({"fields": fields, "crops": crops, "integrated fields": integrated, "field index": index, "soil health": soil}, "field_id")
     out = fields.select("field_id", "area_ha")
-    for df, name in ((crops, "crops"), (integrated, "integrated fields"), (index, "field index"), (soil, "soil health")):
-        checks.require_unique(df, ["field_id"], name)
-        checks.require_same_keys(fields, df, "field_id", name)
+    for df in (crops, integrated, index, soil):
         out = out.join(df, "field_id")
     out = out.select(*RECORD)
-    checks.require_finite(out, ["crop_2023_pixels"], "records", integral=True)
-    checks.require_finite(out, ["area_ha", *RECORD[6:]], "records")
-    return checks.require_text(out, ["crop_2023", "soil_type", "soil_name"], "records")
+    rules = {f"non-finite {c}": finite(F.col(c).cast("double")) for c in ("area_ha", "crop_2023_pixels", *RECORD[6:])}
+    rules |= {f"empty {c}": ~F.coalesce(F.col(c), F.lit("")).isin("", "nan") for c in ("crop_2023", "soil_type", "soil_name")}
+    return checks.require_rules(out, rules | {"non-integral crop_2023_pixels": F.col("crop_2023_pixels") == F.floor("crop_2023_pixels")}, "records")
 
 
 def dominant_crop(crops: DataFrame, keys: list[str], name: str = "cdl_name", pixels: str = "valid_pixels") -> DataFrame:

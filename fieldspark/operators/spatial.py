@@ -11,12 +11,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspark.functions import geometry
 from fieldspark.operators import checks
 from fieldspark.operators.crops import rank_first
 
 RINGS = "array<struct<sign:int,xs:array<double>,ys:array<double>>>"
+_RINGS = T.ArrayType(T.StructType([T.StructField("sign", T.IntegerType()), T.StructField("xs", T.ArrayType(T.DoubleType())), T.StructField("ys", T.ArrayType(T.DoubleType()))]))
+_MEASURES = T.StructType([*[T.StructField(n, T.DoubleType()) for n in ("area", "cx", "cy", "xmin", "ymin", "xmax", "ymax")], T.StructField("simple", T.BooleanType())])
 LONLAT, EQUAL_AREA = 4326, 5070
 #: Most cells that one polygon may fill on average over its table before the cell size is raised.
 CELLS_PER_POLYGON = 16
@@ -27,12 +30,12 @@ def require_srid(df: DataFrame, srid: int, label: str) -> DataFrame:
     return checks.require_rules(df, {f"srid must be {srid}": F.coalesce(F.col("srid") == srid, F.lit(False))}, label)
 
 
-@F.pandas_udf(RINGS)
+@F.pandas_udf(_RINGS)
 def _to_equal_area(rings: pd.Series) -> pd.Series:
     return rings.map(lambda r: r if r is None else [{"sign": x["sign"], "xs": a, "ys": b} for x in r for a, b in [geometry.albers_forward(np.asarray(x["xs"]), np.asarray(x["ys"]))]])
 
 
-@F.pandas_udf(RINGS)
+@F.pandas_udf(_RINGS)
 def _to_lonlat(rings: pd.Series) -> pd.Series:
     return rings.map(lambda r: r if r is None else [{"sign": x["sign"], "xs": a, "ys": b} for x in r for a, b in [geometry.albers_inverse(np.asarray(x["xs"]), np.asarray(x["ys"]))]])
 
@@ -46,7 +49,7 @@ def reproject(df: DataFrame, srid: int) -> DataFrame:
     return df.withColumn("rings", F.when(F.col("srid") == srid, F.col("rings")).otherwise(moved)).withColumn("srid", F.lit(srid))
 
 
-@F.pandas_udf("area double, cx double, cy double, xmin double, ymin double, xmax double, ymax double, simple boolean")
+@F.pandas_udf(_MEASURES)
 def _measured(rings: pd.Series) -> pd.DataFrame:
     out = []
     for r in rings:
@@ -167,7 +170,7 @@ def clipped_soils(fields: DataFrame, soils: DataFrame, size: float | None = None
     def clip(group: pd.DataFrame) -> pd.DataFrame:
         first = group.iloc[0]
         if geometry.covered_area(first.rings, list(group.soil)) <= 0:
-            return pd.DataFrame({"mukey": [], "field_id": [], "rings": []})
+            return pd.DataFrame({"mukey": [], "field_id": [], "rings": []}, dtype=object)
         return pd.DataFrame({"mukey": [first.mukey], "field_id": [first.field_id], "rings": [geometry.covered_pieces(first.rings, list(group.soil))]})
 
     return pairs.groupBy("field_id", "mukey").applyInPandas(clip, f"mukey string, field_id string, rings {RINGS}")

@@ -45,9 +45,6 @@ def text(c: str) -> Column:
 
 # --- zones
 
-LINES = F.col("l_linenumber")
-
-
 @query("""
 WITH c AS (SELECT l_suppkey, l_linenumber AS code, count(*) AS n FROM lineitem GROUP BY ALL),
 z AS (SELECT l_suppkey, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (code <> 7), 0)::BIGINT AS valid FROM c GROUP BY 1),
@@ -56,7 +53,7 @@ SELECT z.l_suppkey, total AS total_pixels, valid AS valid_pixels, round(valid /
  CASE WHEN valid / total >= 0.857 THEN code END AS majority_code, CASE WHEN valid / total >= 0.857 THEN round(n / valid, 6) END AS majority_fraction
 FROM z LEFT JOIN t USING (l_suppkey)""")
 def zon1_majority_class(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(zonal.categorical_summary(table(spark, d, "lineitem"), ["l_suppkey"], "l_linenumber", LINES != 7, 0.857))
+    return rounded(zonal.categorical_summary(table(spark, d, "lineitem"), ["l_suppkey"], "l_linenumber", F.col("l_linenumber") != 7, 0.857))
 
 
 @query("""
@@ -70,9 +67,9 @@ def zon2_continuous_summary(spark: SparkSession, d: str) -> DataFrame:
 def class_history(spark: SparkSession, d: str, least: float = 0.6) -> DataFrame:
     """Majority line number of each supplier and year; 7 is background, 6 of returned lines has no data."""
     lines = table(spark, d, "lineitem")
-    code = F.when((LINES == 6) & (F.col("l_returnflag") == "R"), None).when(LINES == 7, 0).otherwise(LINES)
+    code = F.when((F.col("l_linenumber") == 6) & (F.col("l_returnflag") == "R"), None).when(F.col("l_linenumber") == 7, 0).otherwise(F.col("l_linenumber"))
     counts = lines.groupBy(text("l_suppkey").alias("field_id"), F.year("l_shipdate").alias("year"), code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    labels = lines.select(LINES.alias("code"), F.concat(F.lit("class "), text("l_linenumber")).alias("name")).distinct()
+    labels = lines.select(F.col("l_linenumber").alias("code"), F.concat(F.lit("class "), text("l_linenumber")).alias("name")).distinct()
     return zonal.crop_history(counts, labels, least)
 
 
@@ -159,7 +156,7 @@ def snk3_product_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def scene_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Lines as pixels: price and quantity as bands, 1 in 50 quantities as no data, parts as fields."""
-    return table(spark, d, "lineitem").select(text("l_suppkey").alias("scene_id"), F.concat(F.lit("F"), F.col("l_partkey") % 200).alias("field_id"), F.col("l_extendedprice").alias("red"), F.col("l_quantity").alias("nir"), LINES.alias("scl"))
+    return table(spark, d, "lineitem").select(text("l_suppkey").alias("scene_id"), F.concat(F.lit("F"), F.col("l_partkey") % 200).alias("field_id"), F.col("l_extendedprice").alias("red"), F.col("l_quantity").alias("nir"), F.col("l_linenumber").alias("scl"))
 
 
 def scene_bands(spark: SparkSession, d: str) -> DataFrame:
@@ -226,7 +223,7 @@ health AS (SELECT field_id, """ + ", ".join(
 
 def soil_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     lines, part = table(spark, d, "lineitem"), table(spark, d, "part")
-    top = 5.0 * (LINES - 1)
+    top = 5.0 * (F.col("l_linenumber") - 1)
     horizons = lines.select(text("l_partkey").alias("cokey"), top.alias("hzdept_r"), (top + F.col("l_quantity")).alias("hzdepb_r"), F.when(F.col("l_discount") > 0, F.col("l_discount") * 50).alias("om_r"), (4 + F.col("l_tax") * 50).alias("ph1to1h2o_r"), F.col("l_quantity").alias("cec7_r"), (1 + F.col("l_discount")).alias("dbthirdbar_r"), F.col("l_tax").alias("kwfact")).distinct()
     components = part.select(F.col("p_brand").alias("mukey"), text("p_partkey").alias("cokey"), F.col("p_size").cast("double").alias("comppct_r"), F.col("p_name").alias("compname"))
     return components, horizons, brand_shares(spark, d, 0.9)
@@ -481,7 +478,7 @@ def zon10_pixel_window(spark: SparkSession, d: str) -> DataFrame:
  round((1 + l_discount) * l_quantity * (l_tax * 50) / 1.724, 6) AS carbon, CASE WHEN l_tax * 12 < 0.3 THEN 'alert' WHEN l_tax * 12 <= 0.6 THEN 'watch' ELSE 'developed' END AS band, round(l_extendedprice / 10000, 8) AS ha, l_shipmode_date AS date, l_returnflag || ' — ' || l_linestatus AS label
 FROM (SELECT *, split_part(strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S'), 'T', 1) AS l_shipmode_date FROM lineitem)""")
 def exp2_exp8_scalars(spark: SparkSession, d: str) -> DataFrame:
-    top = 5.0 * LINES
+    top = 5.0 * F.col("l_linenumber")
     return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", E.leap_day_of_year(F.col("l_shipdate")).alias("day_of_year"), E.overlap_length(top, top + F.col("l_quantity")).alias("thickness"),
         F.round(E.carbon_stock(F.col("l_tax") * 50, 1 + F.col("l_discount"), F.col("l_quantity")), 6).alias("carbon"), E.ndvi_band(F.col("l_tax") * 12).alias("band"), F.round(E.hectares(F.col("l_extendedprice")), 8).alias("ha"),
@@ -491,7 +488,7 @@ def exp2_exp8_scalars(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) FILTER (l_quantity IS NOT NULL AND l_quantity <> 50) AS with_data, count(*) FILTER (l_linenumber BETWEEN 4 AND 7) AS clear FROM lineitem")
 def flt3_flt4_masks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").agg(F.count_if(E.has_data(F.col("l_quantity"), F.lit(50.0))).alias("with_data"), F.count_if(E.clear_class(LINES)).alias("clear"))
+    return table(spark, d, "lineitem").agg(F.count_if(E.has_data(F.col("l_quantity"), F.lit(50.0))).alias("with_data"), F.count_if(E.clear_class(F.col("l_linenumber"))).alias("clear"))
 
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY regexp_extract(p_brand, '^\\D*(\\d+)', 1)::BIGINT, p_brand, p_partkey)::INT AS place FROM part")

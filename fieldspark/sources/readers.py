@@ -98,7 +98,7 @@ def read_dictionary_table(spark: SparkSession, path: str, dictionary: DataFrame,
     spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     try:
         rows = _delimited(spark, path, schema)
-        got = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_bad").isNotNull()).alias("bad")).first()
+        got = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_bad").isNotNull()).alias("bad"), *[F.max(n).alias(f"_{n}") for n in names]).first()  # all columns: else none is parsed
         if not got.n:
             raise checks.CheckError(f"{table}: no rows")
         if got.bad:
