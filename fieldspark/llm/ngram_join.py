@@ -27,13 +27,14 @@ from fieldspark.llm.tokens import slices
 
 #: Words in an n-gram, and the least Jaccard similarity in hundredths.
 WORDS, PERCENT = 5, 80
-#: Bytes of text behind one fragment, about; documents in a block of them; from how many nodes of a block an n-gram is common.
-FRAGMENT_BYTES, BLOCK_DOCS, COMMON = 16_000_000, 60_000, 64
+#: Bytes of text behind one fragment, and of a block of texts, about; most documents in a block; from how many nodes of a block an n-gram is common.
+FRAGMENT_BYTES, BLOCK_BYTES, BLOCK_DOCS, COMMON = 16_000_000, 10_000_000, 60_000, 64
 #: Fragments by which overlaps are counted, and rounds with one partner for each node.
 PARTS, STAR_ROUNDS = 4, 2
-_HEAD = struct.Struct("<III")
+_HEAD = struct.Struct("<IIII")
+_NONE = np.zeros(0, np.uint64)
 BLOBS = "kind int, id int, blob binary"
-NODES = "sig binary, n int, part int, first array<long>, keys array<long>"
+NODES = "sig binary, n int, shared int, first array<long>, keys array<array<long>>"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -95,60 +96,67 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary")
 
 
-def _blob(keys: np.ndarray, refs: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, marked: np.ndarray) -> bytes:
-    """Sorted keys by byte planes, their nodes' places, the nodes' digests and set sizes, and marked keys."""
+def _blob(keys: np.ndarray, refs: np.ndarray, ids: np.ndarray, marked: np.ndarray = _NONE, table: bytes = b"") -> bytes:
+    """Sorted keys by byte planes, the places of their nodes' ids, these ids, marked keys, and records of nodes."""
     used, places = np.unique(refs, return_inverse=True)
     planes = keys.view(np.uint8).reshape(-1, 8).T
-    return b"".join([_HEAD.pack(len(keys), len(used), len(marked)), np.ascontiguousarray(planes).tobytes(), places.astype("<u4" if len(used) > 65536 else "<u2").tobytes(), sigs[used].tobytes(), sizes[used].astype("<u4").tobytes(), marked.tobytes()])
+    return b"".join([_HEAD.pack(len(keys), len(used), len(marked), len(table) // 20), np.ascontiguousarray(planes).tobytes(), places.astype("<u4" if len(used) > 65536 else "<u2").tobytes(), ids[used].tobytes(), marked.tobytes(), table])
 
 
-def _opened(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """keys, nodes' places, digests, sizes and marked keys of blobs together; nodes of several blobs are one."""
-    keys, refs, sigs, sizes, marked, base = [], [], [], [], [], 0
+def _opened(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Keys in order, each once for a node, the places of their nodes' ids, the ids in order, marked keys, and records."""
+    keys, nodes, marked, table = [], [], [], []
     for blob in blobs:
-        n, m, k = _HEAD.unpack_from(blob)
+        n, m, k, t = _HEAD.unpack_from(blob)
         at = _HEAD.size
         keys.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel())
         at += 8 * n
-        wide = "<u4" if m > 65536 else "<u2"
-        refs.append(np.frombuffer(blob, wide, n, at).astype(np.int64) + base)
-        at += n * np.dtype(wide).itemsize
-        sigs.append(np.frombuffer(blob, "V16", m, at))
-        sizes.append(np.frombuffer(blob, "<u4", m, at + 16 * m))
-        marked.append(np.frombuffer(blob, np.uint64, k, at + 20 * m))
-        base += m
-    digests = np.concatenate(sigs)
-    pairs = digests.view(np.uint64).reshape(-1, 2)
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (pairs[order[1:]] != pairs[order[:-1]]).any(1)
-    node = np.empty(len(order), np.int64)
-    node[order] = np.cumsum(fresh) - 1
-    return np.concatenate(keys), node[np.concatenate(refs)], digests[order[fresh]], np.concatenate(sizes)[order[fresh]], np.concatenate(marked)
-
-
-def _by_bucket(keys: np.ndarray, refs: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    bucket = (sigs.view(np.uint64).reshape(-1, 2)[:, 0] % np.uint64(buckets)).astype(np.int64)[refs]
+        wide = np.dtype("<u4" if m > 65536 else "<u2")
+        refs = np.frombuffer(blob, wide, n, at)
+        at += n * wide.itemsize
+        nodes.append(np.frombuffer(blob, np.uint64, m, at)[refs])
+        marked.append(np.frombuffer(blob, np.uint64, k, at + 8 * m))
+        at += 8 * (m + k)
+        table += [blob[i : i + 20] for i in range(at, at + 20 * t, 20)]
+    ids, refs = np.unique(np.concatenate(nodes), return_inverse=True)
+    key = np.concatenate(keys)
+    order = np.lexsort((refs, key))
+    key, refs = key[order], refs[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (refs[1:] != refs[:-1])
+    return key[fresh], refs[fresh], ids, np.concatenate(marked), table
+
+
+def _by_bucket(keys: np.ndarray, refs: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    bucket = (ids % np.uint64(buckets)).astype(np.int64)[refs]
     order = np.lexsort((keys, bucket))
     keys, refs, bucket = keys[order], refs[order], bucket[order]
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
-        lo, hi = edges[b], edges[b + 1]
-        if hi > lo:
-            yield b, _blob(keys[lo:hi], refs[lo:hi], sigs, sizes, np.zeros(0, np.uint64))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        yield b, _blob(keys[edges[b] : edges[b + 1]], refs[edges[b] : edges[b + 1]], ids)
+
+
+def _records(sigs: np.ndarray, sizes: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    rows = np.concatenate([sigs.view(np.uint8).reshape(-1, 16), sizes.astype("<u4").view(np.uint8).reshape(-1, 4)], 1)
+    bucket = (ids % np.uint64(buckets)).astype(np.int64)
+    for b in np.unique(bucket).tolist():
+        yield b, _blob(_NONE, np.zeros(0, np.int64), ids, table=rows[bucket == b].tobytes())
 
 
 _TOP = np.uint64(0xFF) << np.uint64(56)
 
 
 def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Nodes that may have links, by fragment of their n-grams: sig, n, part, first (places to meet in), keys."""
+    """Nodes that may have links: sig, n, shared n-grams, first (places to meet in), keys (shared ones by fragment).
+
+    Within blobs a node goes by the first 8 bytes of its digest; should two digests begin alike, the job stops.
+    """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_BYTES))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for whole, size in slices(batch.column("text"), 24_000_000):
+            for whole, size in slices(batch.column("text"), BLOCK_BYTES):
                 for at in range(whole, whole + size, BLOCK_DOCS):
                     texts = batch.column("text").slice(at, min(BLOCK_DOCS, whole + size - at))
                     sets = {signature(s): s for s in shingle_sets(texts, words) if len(s)}
@@ -156,59 +164,56 @@ def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                         continue
                     sigs, sizes = np.frombuffer(b"".join(sets), "V16"), np.array(list(map(len, sets.values())))
                     keys = np.concatenate(list(sets.values())) >> np.uint64(8)
-                    refs = np.repeat(np.arange(len(sizes)), sizes)
+                    refs, ids = np.repeat(np.arange(len(sizes)), sizes), np.ascontiguousarray(sigs.view(np.uint64)[::2])
                     order = np.argsort(keys)
                     keys, refs = keys[order], refs[order]
                     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                     counts = np.diff(np.append(first, len(keys)))
                     common = np.repeat(counts > COMMON, counts)
                     marked = keys[first[counts > COMMON]]
-                    rows = [(1, b, blob) for b, blob in _by_bucket(keys[common] | _TOP, refs[common], sigs, sizes, fragments)] if len(marked) else []
+                    rows = [(1, b, blob) for b, blob in _records(sigs, sizes, ids, fragments)]
+                    rows += [(1, b, blob) for b, blob in _by_bucket(keys[common] | _TOP, refs[common], ids, fragments)]
                     keys, refs = keys[~common], refs[~common]
                     borders = np.array([(f << 56) // fragments for f in range(1, fragments)], np.uint64)
                     ends = [np.concatenate([[0], np.searchsorted(x, borders), [len(x)]]) for x in (keys, marked)]
                     for f in range(fragments):
                         (a, b), (c, d) = ((e[f], e[f + 1]) for e in ends)
                         if b > a or d > c:
-                            rows.append((0, f, _blob(keys[a:b], refs[a:b], sigs, sizes, marked[c:d])))
+                            rows.append((0, f, _blob(keys[a:b], refs[a:b], ids, marked[c:d])))
                     kinds, ids, blobs = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "id", "blob"])
 
     def order_fragment(group: pa.Table) -> pa.Table:
         if group.column("kind")[0].as_py():
             return group
-        keys, refs, sigs, sizes, marked = _opened(group.column("blob").to_pylist())
-        order = np.lexsort((refs, keys))
-        keys, refs = keys[order], refs[order]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (refs[1:] != refs[:-1])
-        keys, refs = keys[fresh], refs[fresh]
+        keys, refs, ids, marked, _ = _opened(group.column("blob").to_pylist())
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         counts = np.diff(np.append(first, len(keys)))
         kind = np.minimum(254, np.log2(np.maximum(counts, 1)) * 8).astype(np.uint64)
         kind[np.isin(keys[first], marked)] = 255
         keep, kind = np.repeat((counts > 1) | (kind == 255), counts), np.repeat(kind, counts)
-        rows = list(_by_bucket(keys[keep] | kind[keep] << np.uint64(56), refs[keep], sigs, sizes, fragments))
+        rows = list(_by_bucket(keys[keep] | kind[keep] << np.uint64(56), refs[keep], ids, fragments))
         return pa.table({"kind": pa.array([1] * len(rows), pa.int32()), "id": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     def gather(group: pa.Table) -> pa.Table:
-        keys, refs, sigs, sizes, _ = _opened(group.column("blob").to_pylist())
-        order = np.lexsort((keys, refs))
-        keys, refs = keys[order], refs[order]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (refs[1:] != refs[:-1])
-        keys, refs = keys[fresh].view(np.int64), refs[fresh]
-        ends = np.searchsorted(refs, np.arange(len(sigs) + 1))
-        least = (percent * sizes.astype(np.int64) + 99) // 100
+        keys, refs, ids, _, table = _opened(group.column("blob").to_pylist())
+        found = {int.from_bytes(t[:8], "little"): t for t in table}
+        if len(found) < len(set(table)):
+            raise ValueError("two sets' digests begin alike")
+        order = np.argsort(refs, kind="stable")
+        keys, refs = keys[order].view(np.int64), refs[order]
+        keys = keys[np.lexsort((keys.view(np.uint64), refs))]
+        ends = np.searchsorted(refs, np.arange(len(ids) + 1))
         rows = []
-        for i in np.flatnonzero(np.diff(ends) >= least).tolist():
-            own = keys[ends[i] : ends[i + 1]]
-            part = (own >> 48) & (PARTS - 1)
-            for p in range(PARTS):
-                rows.append((sigs[i].tobytes(), int(sizes[i]), p, own[: len(own) - least[i] + 1] if p == 0 else own[:0], own[part == p]))
+        for i, node in enumerate(ids.tolist()):
+            own, n = keys[ends[i] : ends[i + 1]], int.from_bytes(found[node][16:], "little")
+            least = (percent * n + 99) // 100
+            if len(own) >= least:
+                part = (own >> 48) & (PARTS - 1)
+                rows.append((found[node][:16], n, len(own), own[: len(own) - least + 1], [own[part == p] for p in range(PARTS)]))
         cols = list(zip(*rows)) or [()] * 5
-        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["sig", "n", "part", "first", "keys"])
+        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["sig", "n", "shared", "first", "keys"])
 
     blobs = docs.select("text").mapInArrow(cut, BLOBS)
     return blobs.groupBy("kind", "id").applyInArrow(order_fragment, BLOBS).groupBy("id").applyInArrow(gather, NODES)
@@ -216,33 +221,41 @@ def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 def linked(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of digests whose sets reach the threshold; overlaps by fragment, then summed."""
-    a = nodes.select(F.col("sig").alias("a"), "part", F.col("n").alias("na"), F.col("keys").alias("ka"))
-    b = nodes.select(F.col("sig").alias("b"), "part", F.col("n").alias("nb"), F.col("keys").alias("kb"))
-    each = pairs.join(a, "a").join(b, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ka", "kb")).alias("o"))
-    return each.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o")).where(F.expr(f"100 * o >= {percent} * (na + nb - o)")).select("a", "b")
+    a = nodes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
+    b = nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+    parts = F.zip_with("ka", "kb", lambda x, y: F.size(F.array_intersect(x, y)))
+    each = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.aggregate(parts, F.lit(0), lambda total, n: total + n).alias("o"))
+    return each.where(F.expr(f"100 * o >= {percent} * (na + nb - o)")).select("a", "b")
 
 
 def node_components(nodes: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """node, component (digests) of all nodes of ``nodes`` that have links."""
-    near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    entries = written(nodes.where("size(first) > 0").select("sig", "n", F.explode("first").alias("k")), "entries")
+    """node, component (digests) of all nodes of ``nodes`` that have links.
+
+    In a round, the nodes that meet in a place and are not connected to one of them, its partner in turn, are compared
+    with a partner: first the node with the fewest n-grams of its own, which is closest to the others, then others by
+    hash. Each node takes the partner that it meets most often. The last round compares what is left, all pairs.
+    """
+    # From their first common place on, both nodes must have as many shared n-grams left as the pair's least overlap:
+    # o >= percent / 100 * (n + m - o). ``left`` counts them, the place itself included.
+    least = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
+    near = (F.col("left") >= least) & (F.col("left_m") >= least)
+    entries = nodes.select("sig", "n", "shared", ((F.col("n") - F.col("shared")) / F.col("n")).alias("own"), F.posexplode("first").alias("i", "k"))
+    entries = written(entries.withColumn("left", F.col("shared") - F.col("i")).drop("i", "shared"), "entries")
     links = found = None
     for k in range(star_rounds + 1):
-        own = entries
-        if found is not None:
-            own = entries.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
-        else:
+        if found is None:
             own = entries.withColumn("c", F.col("sig"))
-        # Meeting places where not all are connected yet; the partner in turn is the first and the last of them.
-        pick = F.max if k % 2 else F.min
-        places = own.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pick(F.struct("sig", "n", "c")).alias("p")).where("lo < hi")
+        else:
+            own = entries.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
+        order = F.col("own") if k == 0 else F.xxhash64(F.lit(k), "c")
+        places = own.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(order.alias("o"), "own", "sig", "n", "c", "left")).alias("p")).where("lo < hi")
         if k < star_rounds:
-            met = own.join(places.select("k", F.col("p.sig").alias("b"), F.col("p.n").alias("m"), F.col("p.c").alias("d")), "k").where((F.col("c") != F.col("d")) & near)
+            met = own.join(places.select("k", F.col("p.sig").alias("b"), F.col("p.n").alias("m"), F.col("p.c").alias("d"), F.col("p.left").alias("left_m")), "k").where((F.col("c") != F.col("d")) & near)
             tally = met.groupBy(F.col("sig").alias("a"), "b").agg(F.count(F.lit(1)).alias("t"))
             pairs = tally.groupBy("a").agg(F.max(F.struct("t", "b"))["b"].alias("b"))
         else:
             open_ = own.join(places.select("k"), "k")
-            other = open_.select("k", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+            other = open_.select("k", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("left").alias("left_m"))
             pairs = open_.join(other, "k").where((F.col("sig") < F.col("b")) & (F.col("c") != F.col("d")) & near).select(F.col("sig").alias("a"), "b").distinct()
         new = linked(written(pairs, "pairs"), nodes, percent)
         links = written(new if links is None else links.unionByName(new), "similar")
