@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import expressions as E
 from fieldspark.operators import checks, crops, imagery, integrate, report, scan, soil, spatial, weather, zonal
-from fieldspark.sources import readers
+from fieldspark.sources import readers, writers
+from fieldspark.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -560,3 +561,122 @@ def scn5_digest_audit(spark: SparkSession, d: str) -> DataFrame:
 def src5_parse_labels(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "part").select(F.concat(F.lit('<p>x</p><pre>\n &quot;'), text("p_partkey"), F.lit('&quot;   '), "p_name", F.lit(" &amp; co \n</pre>")).alias("html"))
     return readers.parse_labels(pages, "html")
+
+
+# --- more space: projection, eligibility, clipping, tiles
+
+
+_LONLAT = "g AS (SELECT vec_id, -96 + 20 * embedding[1]::DOUBLE AS lon, 38 + 10 * embedding[2]::DOUBLE AS lat FROM embeddings)"
+_E2 = "0.0066943800229034"
+_SINES = f"s AS (SELECT vec_id, lon, sin(radians(lat)) AS s, sqrt({_E2}) AS e FROM g), q AS (SELECT vec_id, lon, (1 - e * e) * (s / (1 - e * e * s * s) + atanh(e * s) / e) AS q FROM s)"
+_CONSTANTS = """k0 AS (SELECT sqrt(0.0066943800229034) AS e, sin(radians(29.5)) AS s1, sin(radians(45.5)) AS s2, sin(radians(23)) AS s0),
+k1 AS (SELECT e, pow(cos(asin(s1)), 2) / (1 - e * e * s1 * s1) AS m1, pow(cos(asin(s2)), 2) / (1 - e * e * s2 * s2) AS m2, (1 - e * e) * (s1 / (1 - e * e * s1 * s1) + atanh(e * s1) / e) AS q1,
+ (1 - e * e) * (s2 / (1 - e * e * s2 * s2) + atanh(e * s2) / e) AS q2, (1 - e * e) * (s0 / (1 - e * e * s0 * s0) + atanh(e * s0) / e) AS q0 FROM k0),
+k AS (SELECT (m1 - m2) / (q2 - q1) AS n, m1 + (m1 - m2) / (q2 - q1) * q1 AS c, q0 FROM k1)"""
+
+
+@query(f"""WITH {_LONLAT}, {_SINES}, {_CONSTANTS} SELECT vec_id, round(6378137 * sqrt(c - n * q) / n * sin(n * radians(lon + 96)), 3) AS x, round(6378137 / n * (sqrt(c - n * q0) - sqrt(c - n * q) * cos(n * radians(lon + 96))), 3) AS y FROM q, k""")
+def geo1_reproject(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("embedding")
+    x, y = -96 + 20 * e[0].cast("double"), 38 + 10 * e[1].cast("double")
+    point = F.array(F.struct(F.lit(1).alias("sign"), F.array(x).alias("xs"), F.array(y).alias("ys"))).cast(spatial.RINGS)
+    df = table(spark, d, "embeddings").select("vec_id", F.lit(spatial.LONLAT).alias("srid"), point.alias("rings"))
+    moved = spatial.reproject(df, spatial.EQUAL_AREA)
+    return rounded(moved.select("vec_id", F.col("rings")[0]["xs"][0].alias("x"), F.col("rings")[0]["ys"][0].alias("y")), 3)
+
+
+@query(f"""WITH {_RECTS}, f AS (SELECT vec_id, x, y, greatest(0, least(x + 0.05, 0.1) - greatest(x, -0.2)) * greatest(0, least(y + 0.04, 0.2) - greatest(y, -0.2)) / (0.05 * 0.04) AS f FROM r WHERE vec_id % 2 = 0 AND vec_id % 3 <> 0)
+SELECT vec_id::VARCHAR AS field_id, round(f, 6) AS inside_fraction FROM f WHERE x + 0.025 > -0.2 AND x + 0.025 < 0.1 AND y + 0.02 > -0.2 AND y + 0.02 < 0.2 AND f >= 0.95 + 1e-7""")
+def flt1_flt2_eligible(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged rectangles, the first row of each id, within a region."""
+    rects = rectangles(spark, d, "field_id", 0).withColumn("isAG", F.when(F.col("field_id").cast("long") % 3 == 0, 0).otherwise(1))
+    twice = rects.withColumn("src", F.lit(0)).unionByName(rects.withColumn("src", F.lit(1)))
+    ring = F.array(F.struct(F.lit(1).alias("sign"), F.array(*map(F.lit, (-0.2, 0.1, 0.1, -0.2))).alias("xs"), F.array(*map(F.lit, (-0.2, -0.2, 0.2, 0.2))).alias("ys"))).cast(spatial.RINGS)
+    region = spark.range(1).select(ring.alias("rings"))
+    return rounded(spatial.within_region(spatial.eligible(twice, "isAG", "field_id", "src"), region, 0.95 + 1e-7).select("field_id", "inside_fraction"))
+
+
+@query(f"""WITH {_RECTS}, p AS (SELECT a.vec_id AS i, b.vec_id % 7 AS m, b.vec_id AS j, greatest(0, least(a.x, b.x) + 0.05 - greatest(a.x, b.x)) * greatest(0, least(a.y, b.y) + 0.04 - greatest(a.y, b.y)) AS o FROM r a JOIN r b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)
+SELECT i::VARCHAR AS field_id, j::VARCHAR AS mukey, round(o, 9) AS area FROM p WHERE o > 1e-11""")
+def geo8_clipped_soils(spark: SparkSession, d: str) -> DataFrame:
+    pieces = spatial.clipped_soils(rectangles(spark, d, "field_id", 0), rectangles(spark, d, "mukey", 1))
+    return spatial.with_measures(pieces).select("field_id", "mukey", F.round("area", 9).alias("area"))
+
+
+@query("""WITH h AS (SELECT (10 * ceil((max((p_partkey - 1) // 50) + 1) / 10))::BIGINT AS h FROM part), g AS (SELECT r.r, c.c, h FROM h, range((SELECT h FROM h)) r(r), range(50) c(c)),
+px AS (SELECT g.*, CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_size % 10 END AS code FROM g LEFT JOIN part ON p_partkey = r * 50 + c + 1),
+b AS (SELECT s_suppkey::VARCHAR AS field_id, s_suppkey % 40 + 0.2 AS x, s_suppkey % 30 + 0.3 AS y FROM supplier)
+SELECT 'r' AS raster_id, 2023::INT AS year, field_id, code::INT AS code, count(*) AS n FROM px JOIN b ON c + 0.5 >= x AND c + 0.5 < x + 5 AND h - r - 0.5 >= y AND h - r - 0.5 < y + 4 GROUP BY ALL""")
+def zon3_zonal_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as a raster of 50 columns in tiles of 10 by 10, suppliers as boxes of 5 by 4; sizes by tens have no data."""
+    part, k = table(spark, d, "part"), F.col("p_partkey") - 1
+    height = F.floor((part.agg(F.max("p_partkey")).first()[0] - 1) / F.lit(50)) + 1
+    top = F.ceil(height / 10) * 10
+    px = part.select((k % 50).cast("int").alias("c"), F.floor(k / 50).cast("int").alias("r"), F.when(F.col("p_size") % 10 != 0, F.col("p_size") % 10).alias("code")).withColumn("tile_x", F.floor(F.col("c") / 10).cast("int")).withColumn("tile_y", F.floor(F.col("r") / 10).cast("int"))
+    place = (F.col("r") % 10) * 10 + F.col("c") % 10
+    cell = F.map_from_entries(F.collect_list(F.struct(place, F.struct("code"))))
+    values = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.col("m")[i]["code"])
+    tiles = px.groupBy("tile_x", "tile_y").agg(cell.alias("m")).select(F.lit("r").alias("raster_id"), F.lit(2023).alias("year"), "tile_x", "tile_y", (F.col("tile_x") * 10.0).alias("origin_x"), (top - F.col("tile_y") * 10).cast("double").alias("origin_y"), F.lit(1.0).alias("pixel_size"), F.lit(10).alias("width"), F.lit(10).alias("height"), values.alias("values"))
+    grids = spark.range(1).select(F.lit("r").alias("raster_id"), F.lit(spatial.EQUAL_AREA).alias("srid"), F.lit(0.0).alias("x0"), top.cast("double").alias("y0"), F.lit(1.0).alias("pixel_size"), F.lit(10).alias("tile_size"), F.lit(5).alias("tiles_x"), (top / 10).cast("int").alias("tiles_y"))
+    x, y = F.col("s_suppkey") % 40 + 0.2, F.col("s_suppkey") % 30 + 0.3
+    ring = F.array(F.struct(F.lit(1).alias("sign"), F.array(x, x + 5, x + 5, x).alias("xs"), F.array(y, y, y + 4, y + 4).alias("ys"))).cast(spatial.RINGS)
+    fields = table(spark, d, "supplier").select(text("s_suppkey").alias("field_id"), F.lit(spatial.EQUAL_AREA).alias("srid"), ring.alias("rings"))
+    counts = zonal.zonal_counts(tiles, spatial.with_measures(fields), grids)
+    return counts.groupBy("raster_id", "year", "field_id", "code").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS scene_id, 2::BIGINT AS bands FROM supplier")
+def zon7_same_grids(spark: SparkSession, d: str) -> DataFrame:
+    bands = scene_bands(spark, d).withColumns({c: F.lit(v) for c, v in (("width", 10), ("height", 10), ("srid", 32615), ("x0", 0.0), ("y0", 0.0), ("pixel_size", 10.0))})
+    return imagery.require_same_grids(bands).groupBy("scene_id").agg(F.count(F.lit(1)).alias("bands"))
+
+
+# --- files: written from the tables to the shared folder and read back
+
+
+@query(f"WITH {_RECTS} SELECT vec_id::VARCHAR AS field_id, round(x, 4) AS area_ha, round(0.05 * 0.04, 6) AS area FROM r WHERE vec_id % 2 = 0")
+def src1_snk1_geojson(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "geojson")
+    rects = rectangles(spark, d, "field_id", 0)
+    writers.write_geojson(rects.withColumn("area_ha", F.col("rings")[0]["xs"][0]), path, ["field_id"], whole=True)
+    back = readers.read_geojson(spark, path, "field_id string, area_ha double", "field_id", "area_ha")
+    return spatial.with_measures(back).select("field_id", F.round("area_ha", 4).alias("area_ha"), F.round("area", 6).alias("area"))
+
+
+@query("SELECT p_partkey::VARCHAR AS mukey, 'a \"b\" | ' || p_name AS muname, nullif(p_size % 3, 0)::VARCHAR AS musym FROM part")
+def src2_dictionary_table(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as a pipe-delimited table whose columns a dictionary places, with quotes, bars and blanks in the text."""
+    path, part = scratch_path(spark, "delimited"), table(spark, d, "part")
+    quoted = F.concat(F.lit('"a ""b"" | '), "p_name", F.lit('"'))
+    lines = part.select(F.concat_ws("|", F.concat(F.lit(" "), text("p_partkey"), F.lit(" ")), F.lit("x"), quoted, F.when(F.col("p_size") % 3 == 0, "").otherwise(text_of(F.col("p_size") % 3))).alias("value"))
+    lines.write.text(path)
+    names = ("mukey", "other", "muname", "musym")
+    dictionary = spark.range(4).select(F.lit("mapunit").alias("table"), text_of(F.col("id") + 1).alias("ordinal"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") + 1).cast("int")).alias("column"))
+    return readers.read_dictionary_table(spark, path, dictionary, "mapunit", ["mukey", "muname", "musym"])
+
+
+def text_of(c: Column) -> Column:
+    return c.cast("string")
+
+
+@query("SELECT s_suppkey::VARCHAR AS scene_id, s_name AS datetime, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS cloud_cover, 6.0::DOUBLE AS scales, -0.1::DOUBLE AS offsets FROM supplier")
+def src4_scene_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as a catalogue; the red band has scale 4 and an offset, the others have the defaults."""
+    path, s = scratch_path(spark, "catalogue"), table(spark, d, "supplier")
+    first = F.array(F.struct(F.lit(4.0).alias("scale"), F.lit(-0.1).alias("offset")))
+    bare = F.array(F.struct(F.lit(None).cast("double").alias("scale"), F.lit(None).cast("double").alias("offset")))
+    assets = F.create_map(*[x for b, v in (("red", first), ("nir", bare), ("scl", bare)) for x in (F.lit(b), F.struct(F.lit("h").alias("href"), v.alias("raster:bands")))])
+    one = F.struct(text("s_suppkey").alias("id"), F.struct(F.col("s_name").alias("datetime"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("eo:cloud_cover")).alias("properties"), assets.alias("assets"))
+    s.agg(F.to_json(F.struct(F.struct(F.count(F.lit(1)).alias("matched")).alias("context"), F.collect_list(one).alias("features"))).alias("value")).write.text(path)
+    scenes, bands = readers.read_scene_catalogue(spark, path)
+    sums = bands.groupBy("scene_id").agg(F.sum("scale").alias("scales"), F.sum("offset").alias("offsets"))
+    return scenes.join(sums, "scene_id")
+
+
+@query(f"WITH {HISTORY} SELECT * FROM history")
+def src6_snk2_products(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "product")
+    rows = class_history(spark, d)
+    writers.write_product(rows, path, ["field_id", "year"])
+    writers.write_summary(crops.product_counts({"crop_history": (rows, ["field_id", "year"], ["cdl_code"])}), f"{path}-summary")
+    return rounded(readers.read_product(spark, path, "crop_history"))
