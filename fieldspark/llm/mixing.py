@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import WORD, word_count
+from fieldspark.llm.common import WORD, word_count, written
 
 #: Words in a block: what one slot of the schedule takes.
 BLOCK = 256
@@ -133,7 +133,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """Digest of ``documents``: doc_id, size, source_size, target, taken, one row for each row of the table."""
-    out = mix_units(_sized(docs))
+    out = mix_units(written(_sized(docs), "sized"))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -141,7 +141,7 @@ def mixed_corpus(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document once for every full reading, and once more cut to its
     first ``taken mod size`` words (single spaces between) where a block boundary cuts it. Documents that the mix
     doesn't take go; n_chars follows the text."""
-    units = mix_units(_sized(docs)).where("taken > 0").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "digest", "size", "taken")])
+    units = mix_units(written(_sized(docs), "sized")).where("taken > 0").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "digest", "size", "taken")])
     keyed = docs.withColumn("_d", F.xxhash64("text"))
     on = keyed["doc_id"].eqNullSafe(units["_doc_id"]) & keyed["source"].eqNullSafe(units["_source"]) & (keyed["_d"] == units["_digest"])
     each = keyed.join(units, on).withColumn("_read", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_size")))))
