@@ -18,7 +18,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from fieldspark.llm.common import components, written
+from fieldspark.llm.common import components, lean_worker, written
 
 #: Least cosine of a link.
 COSINE = 0.95
@@ -207,6 +207,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine, to), pa.int32()), pa.array(np.maximum(mine, to), pa.int32()), pa.array(mine > to), *part.columns], names=["a", "b", "second", "sig", "raw", "m"])
 
     def compare(group: pa.Table) -> pa.Table:
+        lean_worker()
         group = group.sort_by([("second", "ascending"), ("sig", "ascending")])
         sigs, z = group.column("sig").to_pylist(), opened(group.column("raw").combine_chunks())
         weights = np.asarray(group.column("m")).astype(np.int64)
@@ -229,6 +230,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     joined = components(found.where("other is not null").select(F.col("sig").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "sig")
     counts = nodes.select("sig", "m").join(found.where("n > 0").groupBy("sig").agg(F.sum("n").alias("n")), "sig", "left")
     named = rows.drop("raw").join(counts, "sig", "left").join(joined, "sig", "left").withColumn("c", F.coalesce("component", "sig"))
-    least = named.where("c is not null").groupBy("c").agg(F.min("vec_id").alias("least"))
+    least = written(named.where("c is not null").groupBy("c").agg(F.min("vec_id").alias("least")), "least")  # so that the join can split large components
     out = named.join(least, "c", "left").select("vec_id", F.coalesce(F.coalesce("n", F.lit(0)) + F.col("m") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -22,13 +22,13 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
-from fieldspark.llm.common import components, written
+from fieldspark.llm.common import components, lean_worker, written
 from fieldspark.llm.tokens import slices
 
 #: Words in an n-gram, and the least Jaccard similarity in hundredths.
 WORDS, PERCENT = 5, 80
 #: Bytes of text behind one fragment, and of a block of texts, about; most documents in a block; from how many nodes of a block an n-gram is common.
-FRAGMENT_BYTES, BLOCK_BYTES, BLOCK_DOCS, COMMON = 16_000_000, 10_000_000, 60_000, 64
+FRAGMENT_BYTES, BLOCK_BYTES, BLOCK_DOCS, COMMON = 10_000_000, 5_000_000, 60_000, 64
 #: Fragments by which overlaps are counted, and rounds with one partner for each node.
 PARTS, STAR_ROUNDS = 4, 2
 _HEAD = struct.Struct("<IIII")
@@ -89,9 +89,12 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, size in slices(batch.column("text")):
+            for at, size in slices(batch.column("text"), BLOCK_BYTES):
                 sets = shingle_sets(batch.column("text").slice(at, size), words)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, size), "n_shingles": pa.array(map(len, sets), pa.int64()), "sig": pa.array(map(signature, sets), pa.binary())})
+                out = pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, size), "n_shingles": pa.array(map(len, sets), pa.int64()), "sig": pa.array(map(signature, sets), pa.binary())})
+                del sets
+                lean_worker()
+                yield out
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary")
 
@@ -181,11 +184,15 @@ def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                         if b > a or d > c:
                             rows.append((0, f, _blob(keys[a:b], refs[a:b], ids, marked[c:d])))
                     kinds, ids, blobs = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "id", "blob"])
+                    out = pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "id", "blob"])
+                    del texts, sets, sigs, sizes, keys, refs, order, first, counts, common, rows, blobs
+                    lean_worker()
+                    yield out
 
     def order_fragment(group: pa.Table) -> pa.Table:
         if group.column("kind")[0].as_py():
             return group
+        lean_worker()
         keys, refs, ids, marked, _ = _opened(group.column("blob").to_pylist())
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         counts = np.diff(np.append(first, len(keys)))
@@ -196,6 +203,7 @@ def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         return pa.table({"kind": pa.array([1] * len(rows), pa.int32()), "id": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     def gather(group: pa.Table) -> pa.Table:
+        lean_worker()
         keys, refs, ids, _, table = _opened(group.column("blob").to_pylist())
         found = {int.from_bytes(t[:8], "little"): t for t in table}
         if len(found) < len(set(table)):
@@ -272,8 +280,9 @@ def document_components(docs: DataFrame, words: int = WORDS, percent: int = PERC
     rows = written(document_sets(docs, words), "sets")
     found = node_components(written(shared_grams(docs.where("doc_id is not null"), words, percent), "shared"), percent)
     named = rows.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "sig")))
-    least = named.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return named.join(least.drop("size"), "c", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    # Written, so that the join deals its own sides, and can split a component that holds many rows.
+    least = written(named.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "least")
+    return named.join(least, "c", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -18,6 +18,8 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from fieldspark.llm.common import lean_worker
+
 #: Labelled rows that the model is fitted on at most, shrinkage, and the score from which a document is predicted 1.
 SAMPLE, SHRINKAGE, THRESHOLD = 20_000, 0.1, 0.3
 #: Labels are learned only from rows whose crc32(doc_id) mod 5 is not 0.
@@ -129,8 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Discrimin
         for f in frames:
             yield pd.DataFrame({"doc_id": f.doc_id, "quality": f.quality, "x": [statistics(t or b"") for t in f.body]})
 
-    got = rows.mapInPandas(run, "doc_id long, quality int, x array<double>").toPandas()
-    got = got.assign(k=[hash((d * 2654435761) % 4294967291) for d in got.doc_id]).sort_values(["k", "doc_id", "quality"], kind="stable")[:sample]
+    # again the first by hash: a document with several rows counts as often, but the driver gets no more than ``sample``
+    made = rows.mapInPandas(run, "doc_id long, quality int, x array<double>")
+    got = made.orderBy(F.xxhash64("doc_id", "quality"), "doc_id", "quality", "x").limit(sample).toPandas()
     return fit(np.array(got.x.tolist(), float).reshape(-1, len(FEATURES)), got.quality.to_numpy(float))
 
 
@@ -139,6 +142,7 @@ def scores(text: Column, model: Discriminant) -> Column:
 
     @F.pandas_udf("double")
     def run(bodies: pd.Series) -> pd.Series:
+        lean_worker()
         return pd.Series(model.score(np.array([statistics(t or b"") for t in bodies], float).reshape(-1, len(FEATURES))))
 
     return run(text.cast("binary"))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct units that a worker remembers; beyond it starts anew.
+#: Distinct units that a worker remembers unless told otherwise; beyond it starts anew. About 200 bytes each.
 MEMORY = 1_200_000
 #: End of a document.
 END = 2
@@ -22,13 +22,20 @@ END = 2
 _open: dict[str, UnitEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
-    """The worker's encoder for a vocabulary file; kept from task to task."""
+def encoder(path: str, memory: int | None = None) -> UnitEncoder:
+    """The worker's encoder for a vocabulary file, the only one it keeps, from task to task."""
     if path not in _open:
+        _open.clear()
         _open[path] = UnitEncoder(path)
+    _open[path].memory = memory
     return _open[path]
 
 
+def forget() -> None:
+    """Drops the worker's encoders."""
+    _open.clear()
+
+
 class UnitEncoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,6 +45,7 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True
         #: Lower case and dropped white space: units are words. Else each takes the space before it.
         self.drops_space = self.tokenizer.normalizer is not None
+        self.memory: int | None = None
         self._forget()
 
     def _forget(self) -> None:
@@ -88,7 +96,7 @@ class UnitEncoder:
         values, units = self._units(texts)
         found = values.dictionary_encode()
         words = found.dictionary.to_pylist()
-        if len(self.codes) + len(words) > MEMORY:
+        if len(self.codes) + len(words) > (self.memory or MEMORY):
             self._forget()
         self._learn([w for w in words if w not in self.codes])
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))[np.asarray(found.indices)]
@@ -107,7 +115,7 @@ class UnitEncoder:
         return out, np.concatenate([[0], ends + 1])
 
 
-def slices(texts: pa.Array, most_bytes: int = 8_000_000):
+def slices(texts: pa.Array, most_bytes: int = 3_000_000):
     """(start, length) of runs of texts with about ``most_bytes`` of text, a longer text by itself."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
     at, total = 0, 0

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window
 from fieldspark.llm import tokens
 from fieldspark.llm.common import shared_dir
 
+#: Bytes of text in a file, about.
+FILE_BYTES = 8_000_000
 #: Fixed values of the file format.
 MAGIC, HEAD, BLOCK = b"WVMX", struct.Struct("<4sHHQQ"), 512
 FILES = "part int, file int, n_docs long, n_tokens long, payload binary"
@@ -151,7 +153,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
         coder, part, k = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at, size in tokens.slices(texts):
+            for at, size in tokens.slices(texts, FILE_BYTES):
                 flat, offsets = coder.encode(texts.slice(at, size))
                 payload = pack(flat, offsets, ids[at : at + size])
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([k], pa.int32()), "n_docs": [size], "n_tokens": [len(flat)], "payload": pa.array([payload], pa.binary())})
