@@ -40,8 +40,12 @@ _GENERATORS = (
 _CUES = re.compile(r"(?:e-?mail|mail|contact|address|ip|host|server|card|visa|credit|payment|tel|phone|call|mobile|fax)\W*$", re.I)
 #: Characters of context on either side that a candidate keeps.
 CONTEXT = 24
-#: Most candidates and documents with base spans that the trees are fitted on, and the precision that thresholds are set for.
+#: Most candidates that the trees are fitted on, shared equally by each kind and label, and the precision that thresholds
+#: are set for.
 SAMPLE, PRECISION = 20_000, 0.99
+#: Lower edges of the score bins that thresholds are read from, equally far apart in log odds; places of the sample.
+BINS = np.r_[0.0, 1 / (1 + np.exp(-np.linspace(-16, 16, 2047)))]
+PLACES = 1 << 30
 FOUND = "doc_id long, base array<struct<s:int,e:int,kind:int>>, more array<struct<s:int,e:int,kind:int,before:string,text:string,after:string>>"
 DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
@@ -192,16 +196,28 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.2, dep
     return model
 
 
-def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> None:
+def histogram(model: Boosted, x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """By kind and score bin: candidates and positives among them, then the same with each counted ``rows`` times."""
+    out = np.zeros((len(KINDS), len(BINS), 4), np.int64)
+    at = (x[:, 0].astype(int), np.searchsorted(BINS, model.probability(x), "right") - 1)
+    for k, n in enumerate((np.ones_like(rows), y, rows, y * rows)):
+        np.add.at(out[..., k], at, n.astype(np.int64))
+    return out
+
+
+def settle(model: Boosted, counts: np.ndarray, precision: float = PRECISION) -> None:
     """For each kind the least score above which at least ``precision`` of the held-out candidates (with one negative
-    added, against luck) are positive; a kind without such a score gets no added spans."""
-    score = model.probability(x)
+    added, against luck) are positive, counted once each and also by rows, so that copies can't make up for errors
+    nor hide theirs; a kind without such a score gets no added spans."""
     for kind in range(len(KINDS)):
-        own = x[:, 0] == kind
-        order = np.argsort(-score[own], kind="stable")
-        s, hit = score[own][order], np.cumsum(y[own][order])
-        good = np.flatnonzero(hit / (np.arange(len(s)) + 2) >= precision)
-        model.thresholds[kind] = float(s[good[-1]]) if len(good) else 2.0
+        n, hit, rows, row_hit = np.cumsum(counts[kind, ::-1], 0)[::-1].T
+        good = np.flatnonzero((hit >= precision * (n + 1)) & (row_hit >= precision * rows))
+        model.thresholds[kind] = float(BINS[good[0]]) if len(good) else 2.0
+
+
+def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> None:
+    """Sets the thresholds from held-out candidates at hand, each of one row."""
+    settle(model, histogram(model, x, y, np.ones(len(x))), precision)
 
 
 def propose(docs: DataFrame) -> DataFrame:
@@ -222,25 +238,74 @@ def propose(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND)
 
 
+def _examples(rows: list[tuple[int, str, str, str, bool, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and row counts of (kind, before, text, after, hit, n), base spans also in other spellings."""
+    x, y, n = [], [], []
+    for kind, before, text, after, hit, count in rows:
+        texts = [text, *variants(kind, text)] if hit else [text]
+        x += [features(kind, before, t, after) for t in texts]
+        y += [float(hit)] * len(texts)
+        n += [count] * len(texts)
+    return np.array(x, float), np.array(y), np.array(n, np.int64)
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """Distinct kind, before, text, after, hit of the candidates with their number n, fold (0: held out, by the hash of
+    the text) and place in the sample. Candidates that meet only base spans of other kinds are left out."""
+    each = found.select("base", F.explode("more").alias("m")).select("m.*", F.exists("base", lambda b: (b["s"] < F.col("m.e")) & (b["e"] > F.col("m.s")) & (b["kind"] == F.col("m.kind"))).alias("hit"), F.exists("base", lambda b: (b["s"] < F.col("m.e")) & (b["e"] > F.col("m.s"))).alias("met"))
+    keys = ("kind", "before", "text", "after", "hit")
+    return (
+        each.where("hit or not met").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(3))).withColumn("place", F.pmod(F.xxhash64(*keys[:4]), F.lit(PLACES)))
+    )
+
+
+def _drawn(each: DataFrame, bound: int) -> list[tuple[int, str, str, str, bool, int]]:
+    """Of each kind and label outside the held-out fold the first ``bound`` by place, or all of fewer.
+
+    Only places below a limit, which about 1.5 times the bound are, come to the driver; with fewer of them than the
+    bound by chance, these are taken.
+    """
+    sizes = each.where("fold > 0").groupBy("kind", "hit").count().collect()
+    below = F.lit(False)
+    for r in sizes:
+        below |= (F.col("kind") == r["kind"]) & (F.col("hit") == r["hit"]) & (F.col("place") < int(min(1.0, (1.5 * bound + 32) / r["count"]) * PLACES))
+    out: dict[tuple[int, bool], list] = {}
+    for r in sorted(each.where("fold > 0").where(below).collect(), key=lambda r: (r.place, r.kind, r.before, r.text, r.after)):
+        out.setdefault((r.kind, r.hit), []).append((r.kind, r.before, r.text, r.after, r.hit, r.n))
+    return [c for key in sorted(out) for c in out[key][:bound]]
+
+
+def _scored(each: DataFrame, model: Boosted) -> np.ndarray:
+    """Histogram of all held-out candidates."""
+    cols, names = ("kind", "before", "text", "after", "hit", "n"), ("c", "t", "r", "u")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = histogram(model, *_examples(list(zip(*(batch.column(c).to_pylist() for c in cols))))) if batch.num_rows else np.zeros((0, 0, 4), int)
+            kind, at = np.nonzero(counts[..., 0])
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(at, pa.int32()), *(pa.array(counts[kind, at, k]) for k in range(4))], names=["kind", "at", *names])
+
+    out = np.zeros((len(KINDS), len(BINS), 4), np.int64)
+    every = each.where("fold = 0").select(*cols).mapInArrow(run, "kind int, at int, c long, t long, r long, u long")
+    for r in every.groupBy("kind", "at").agg(*[F.sum(c).alias(c) for c in names]).collect():
+        out[r["kind"], r["at"]] = [r[c] for c in names]
+    return out
+
+
 def train(found: DataFrame, sample: int = SAMPLE) -> Boosted:
-    """Fits and calibrates on at most ``sample`` candidates, the first by a hash of candidate and context.
+    """Fits on distinct candidates and contexts, of each kind and label an equal part of ``sample`` at most, the first by
+    a hash; calibrates on all that are held out.
 
     Positive: candidates that are base spans, and these in other spellings; negative: the others. Two of three go to
     the trees, by the hash of their text, the rest to the thresholds. No candidates: nothing is added later.
     """
-    each = found.select("base", F.explode("more").alias("m")).select("m.*", F.exists("base", lambda b: (b["s"] < F.col("m.e")) & (b["e"] > F.col("m.s")) & (b["kind"] == F.col("m.kind"))).alias("hit"), F.exists("base", lambda b: (b["s"] < F.col("m.e")) & (b["e"] > F.col("m.s"))).alias("met"))
-    rows = each.select("kind", "before", "text", "after", "hit", "met").where("hit or not met").orderBy(F.xxhash64("kind", "before", "text", "after"), "before", "text", "after").limit(sample).collect()
-    x, y, fold = [], [], []
-    for r in rows:
-        texts = [r.text, *variants(r.kind, r.text)] if r.hit else [r.text]
-        x += [features(r.kind, r.before, t, r.after) for t in texts]
-        y += [float(r.hit)] * len(texts)
-        fold += [hashlib.md5(r.text.encode()).digest()[0] % 3] * len(texts)
-    if not y:
+    each = written(labelled(found), "candidates")
+    x, y, _ = _examples(_drawn(each, max(1, sample // (2 * len(KINDS)))))
+    if not len(y):
         return Boosted()
-    a, b, f = np.array(x, float), np.array(y), np.array(fold)
-    model = boost(a[f > 0], b[f > 0])
-    calibrate(model, a[f == 0], b[f == 0])
+    model = boost(x, y)
+    settle(model, _scored(each, model))
     return model
 
 

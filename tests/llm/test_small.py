@@ -327,6 +327,22 @@ def test_personal_data_of_documents(spark, hard, empty):
     assert pii.redact_documents(hard).where("text is null").count() == 1
 
 
+def test_copies_and_rare_kinds_leave_training_whole(spark):
+    mails = [f"mail u{i}@ex{i}.org now" for i in range(450)]
+    numbers = [f"item 4{i:015d} in stock" for i in range(4000)]
+    docs = docs_of(spark, mails + numbers)
+    copies = docs_of(spark, [f"footer 90000000000000{i:02d} of all pages" for i in range(20)] * 100)
+    found = pii.propose(docs.unionByName(copies)).cache()
+    model = pii.train(found, 320)
+    assert model.thresholds[0] < 1 and model.trees
+    x = np.array([pii.features(0, "mail ", "jane [at] example.com", " now"), pii.features(2, "item ", "4000000000000001", " in stock")])
+    assert model.probability(x)[0] > 0.9 > 0.5 > model.probability(x)[1]
+    again = pii.train(found.unionByName(found), 320)
+    assert again.trees == model.trees and again.thresholds == model.thresholds
+    rows = pii.labelled(found).where("text like '90000000000000%'").collect()
+    assert len(rows) <= 20 and all(r.n == 100 for r in rows)
+
+
 # --- 6 n-gram join
 
 
