@@ -34,10 +34,17 @@ _GENERATORS = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]+)+", re.I)),
     ("ip", re.compile(r"[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}){3}")),
     ("card", re.compile(r"[0-9]{4}([ ./_-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ ./_-])[0-9]{6}\2[0-9]{5}|[0-9]{12,19}")),
-    ("phone", re.compile(r"(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}")),
+    ("phone", re.compile(r"(?:(?:\+|00)[0-9]{0,3}[ .-]?|[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}")),
 )
 #: Words before a span that speak for it.
 _CUES = re.compile(r"(?:e-?mail|mail|contact|address|ip|host|server|card|visa|credit|payment|tel|phone|call|mobile|fax)\W*$", re.I)
+#: What shows that a candidate is no personal data: words before a number, digits that it is only a part of, amounts,
+#: dates, years, numbers in thousands; separators within mail addresses.
+_OTHER = re.compile(r"\b(?:version|release|build|revision|order|item|invoice|article|part|sku|isbn|issn|section|chapter|page|figure|table|price|total)\W*$", re.I)
+_TAIL, _HEAD = re.compile(r"[0-9](?:[._-]|\[\.\])$"), re.compile(r"(?:[._-]|\[\.\])[0-9]")
+_DATE = re.compile(r"(?<![0-9])(?:[0-3]?[0-9][.-][01]?[0-9]|[01]?[0-9][.-][0-3]?[0-9])[.-](?:19|20)[0-9]{2}(?![0-9])|^(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])")
+_YEARS, _THOUSANDS = re.compile(r"(?:(?:19|20)[0-9]{2}[ .-]?)+"), re.compile(r"[1-9][0-9]?(?:\.[0-9]{3})+")
+_AT, _DOT = re.compile(r" ?(?:@|\(at\)|\[at\]|\{at\}) ?", re.I), re.compile(r" ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?", re.I)
 #: Characters of context on either side that a candidate keeps.
 CONTEXT = 24
 #: Most candidates that the trees are fitted on, shared equally by each kind and label, and the precision that thresholds
@@ -114,7 +121,7 @@ def features(kind: int, before: str, text: str, after: str) -> list[float]:
     return [
         kind, len(text), len(digits), len(groups), max(groups), min(groups), max(values), len(set(groups)), luhn(digits) if len(digits) >= 12 else -1, text.count("."), text.count("-"), text.count(" "),
         text.count("(") + text.count("["), text[:1] == "+", "@" in text, len(text.rsplit(".", 1)[-1]), sum(c.isalpha() for c in text), len(set(digits)),
-        bool(_CUES.search(before)), before[-1:].isspace() or not before, before.rstrip()[-1:].isdigit(), after.lstrip()[:1].isdigit(), before[-1:] in "./-_=#:", after[:1] in "./-_=:%",
+        bool(_CUES.search(before)), before[-1:].isspace() or not before, before.rstrip()[-1:].isdigit(), after.lstrip()[:1].isdigit(), before[-1:] in "./-_=#:", after[:1] in "./-_=:%", max(values) > 255,
     ]
 
 
@@ -131,6 +138,42 @@ def variants(kind: int, text: str) -> list[str]:
     return [f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}", f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}", f"00{digits[:-9]} {digits[-9:-7]} {digits[-7:-4]} {digits[-4:]}"]
 
 
+def refuted(kind: int, before: str, text: str, after: str) -> bool:
+    """Whether format or context shows that a candidate is no personal data of its kind. False says nothing: the
+    candidate may be personal data in a spelling that the base patterns miss."""
+    if kind == 0:
+        user, host = _AT.split(text, maxsplit=1)
+        head, _, rest = host.partition(". ")  # a sentence may end within the candidate
+        labels = _DOT.split(head)
+        if len(labels) < 2:
+            return rest[:1].isupper() or rest[:1].isdigit()
+        return not ((labels[-1].isalpha() and len(labels[-1]) > 1) or labels[-1].lower().startswith("xn--")) or not any(c.isalnum() for c in user)
+    if _OTHER.search(before) or before.rstrip()[-1:] in tuple("$€£¥") or after.lstrip()[:1] in tuple("%$€£¥"):
+        return True
+    if kind == 1:
+        return any(int(p) > 255 for p in re.findall("[0-9]+", text))
+    digits = _digits(text)
+    if _TAIL.search(before) or _HEAD.match(after):
+        return True
+    if kind == 2:
+        return not luhn(digits) or len(set(digits)) == 1 or _DATE.match(digits) is not None
+    return len(digits) > 15 or any(r.fullmatch(text) for r in (_YEARS, _THOUSANDS)) or _DATE.search(text) is not None
+
+
+def counterexamples(kind: int, text: str) -> list[str]:
+    """What is no personal data but looks like a base span and its variants: an amount for a mail address, a part above
+    255, a failed check digit, a number in thousands. In the place of the span, so that context alone decides nothing."""
+    digits = _digits(text)
+    if kind == 0:
+        return [f"{len(text)} @ {len(text.partition('@')[2])}.50"]
+    if kind == 1:
+        parts = text.split(".")
+        return [c.join([str(int(parts[0]) % 256 + 256), *parts[1:]]) for c in ("[.]", "(.)")]
+    if kind == 2:
+        return [v[:-1] + str((int(v[-1]) + 1) % 10) for v in variants(2, text)]
+    return [f"{1 + int(digits[-8]) % 9}{digits[-7]}.{digits[-6:-3]}.{digits[-3:]}"]
+
+
 @dataclass
 class Boosted:
     """Gradient-boosted trees of depth 3 on binned features, logistic loss; thresholds by kind."""
@@ -239,23 +282,37 @@ def propose(docs: DataFrame) -> DataFrame:
 
 
 def _examples(rows: list[tuple[int, str, str, str, bool, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and row counts of (kind, before, text, after, hit, n), base spans also in other spellings."""
+    """Features, labels and row counts of (kind, before, text, after, hit, n), base spans also in other spellings and
+    with their counterexamples."""
     x, y, n = [], [], []
     for kind, before, text, after, hit, count in rows:
         texts = [text, *variants(kind, text)] if hit else [text]
         x += [features(kind, before, t, after) for t in texts]
         y += [float(hit)] * len(texts)
-        n += [count] * len(texts)
+        wrong = [t for t in counterexamples(kind, text) if refuted(kind, before, t, after)] if hit else []
+        x += [features(kind, before, t, after) for t in wrong]
+        y += [0.0] * len(wrong)
+        n += [count] * (len(texts) + len(wrong))
     return np.array(x, float), np.array(y), np.array(n, np.int64)
 
 
 def labelled(found: DataFrame) -> DataFrame:
     """Distinct kind, before, text, after, hit of the candidates with their number n, fold (0: held out, by the hash of
-    the text) and place in the sample. Candidates that meet only base spans of other kinds are left out."""
+    the text) and place in the sample.
+
+    Left out are candidates that meet only base spans of other kinds, and those that meet none and aren't refuted: these
+    may be what the base patterns miss, so they are neither positive nor negative."""
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in keys))
+            yield batch.filter(pa.array([hit or refuted(*c) for *c, hit in rows], pa.bool_()))
+
     each = found.select("base", F.explode("more").alias("m")).select("m.*", F.exists("base", lambda b: (b["s"] < F.col("m.e")) & (b["e"] > F.col("m.s")) & (b["kind"] == F.col("m.kind"))).alias("hit"), F.exists("base", lambda b: (b["s"] < F.col("m.e")) & (b["e"] > F.col("m.s"))).alias("met"))
     keys = ("kind", "before", "text", "after", "hit")
+    counted = each.where("hit or not met").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return (
-        each.where("hit or not met").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        counted.mapInArrow(known, counted.schema)
         .withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(3))).withColumn("place", F.pmod(F.xxhash64(*keys[:4]), F.lit(PLACES)))
     )
 
@@ -297,8 +354,9 @@ def train(found: DataFrame, sample: int = SAMPLE) -> Boosted:
     """Fits on distinct candidates and contexts, of each kind and label an equal part of ``sample`` at most, the first by
     a hash; calibrates on all that are held out.
 
-    Positive: candidates that are base spans, and these in other spellings; negative: the others. Two of three go to
-    the trees, by the hash of their text, the rest to the thresholds. No candidates: nothing is added later.
+    Positive: candidates that are base spans, and these in other spellings; negative: those that ``refuted`` names, and
+    counterexamples. The precision that thresholds hold is against these. Two of three go to the trees, by the hash of their text, the rest
+    to the thresholds. No candidates: nothing is added later.
     """
     each = written(labelled(found), "candidates")
     x, y, _ = _examples(_drawn(each, max(1, sample // (2 * len(KINDS)))))

@@ -343,6 +343,38 @@ def test_copies_and_rare_kinds_leave_training_whole(spark):
     assert len(rows) <= 20 and all(r.n == 100 for r in rows)
 
 
+def carded(i):
+    body = f"4{i * 7919:014d}"
+    return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+
+def test_real_spellings_are_no_errors(spark):
+    base = [f"{w} call +1 (499) 555-{i:04d} now or mail u{i}@ex{i}.org at 10.0.{i % 200}.7 card {carded(i)} ok" for i, w in enumerate(prose(8, 200, 12))]
+    cards = [".".join(c[k : k + 4] for k in (0, 4, 8, 12)) for c in map(carded, range(500, 700))]
+    wrong = [c[:-1] + str((int(c[-1]) + 1) % 10) for c in cards]
+    real = [[f"jane{i} [at] example{i}.com" for i in range(200)], [f"10[.]{i}[.]0[.]1" for i in range(200)], cards, [f"({415 + i}) 555-1{i:03d}" for i in range(200)]]
+    other = [[f"{i} @ 4.{i % 90 + 10}" for i in range(200)], [f"{300 + i}[.]{i}[.]0[.]1" for i in range(200)], wrong, [f"{i % 90 + 10}.345.{i:03d}" for i in range(200)]]
+    texts = base + [f"so we had {t} there" for group in real + other for t in group]
+    rows = {r.doc_id: r.spans for r in pii.find_personal_data(docs_of(spark, texts)).collect()}
+    for kind in range(4):
+        for groups, first, low, high in ((real, 200, 190, 200), (other, 1000, 0, 4)):
+            got = sum(rows[first + 200 * kind + i] == f"{pii.KINDS[kind]}:10:{10 + len(t)}" for i, t in enumerate(groups[kind]))
+            assert low <= got <= high, (pii.KINDS[kind], first, got)
+
+
+def test_refuted():
+    for kind, before, text, after in (
+        (0, "", "3 @ 4.50", " each"), (0, "", "lunch @ noon. Bring", " it"), (1, "", "10[.]0[.]0[.]256", ""), (1, "version ", "1[.]2[.]3[.]4", ""),
+        (2, "", "4111.1111.1111.1112", ""), (2, "", "0000.0000.0000.0000", ""), (3, "$", "123 456 789", ""), (3, "", "12.345.678", ""), (3, "", "2019 2020 2021", ""), (3, "31.", "123 456 7890", ""),
+    ):
+        assert pii.refuted(kind, before, text, after), text
+    for kind, before, text, after in (
+        (0, "", "jane [at] example.com", ""), (0, "", "jane [at] example.com. Then", ""), (0, "", "jane @ example. com", ""), (0, "", "a(at)b(dot)org", ""),
+        (1, "", "10[.]0[.]0[.]1", ":8080"), (2, "", "4111.1111.1111.1111", ""), (3, "", "(415) 555-1234", ""), (3, "", "415-555-1234", "."), (3, "", "0044 20 7946 0958", ""),
+    ):
+        assert not pii.refuted(kind, before, text, after), text
+
+
 # --- 6 n-gram join
 
 
