@@ -338,8 +338,12 @@ def _scored(each: DataFrame, model: Boosted) -> np.ndarray:
     cols, names = ("kind", "before", "text", "after", "hit", "n"), ("c", "t", "r", "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = histogram(model, *_examples(list(zip(*(batch.column(c).to_pylist() for c in cols))))) if batch.num_rows else np.zeros((0, 0, 4), int)
+        for whole in batches:
+            counts = np.zeros((len(KINDS), len(BINS), 4), np.int64)
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                counts += histogram(model, *_examples(list(zip(*(batch.column(c).to_pylist() for c in cols)))))
+            lean_worker()
             kind, at = np.nonzero(counts[..., 0])
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(at, pa.int32()), *(pa.array(counts[kind, at, k]) for k in range(4))], names=["kind", "at", *names])
 
