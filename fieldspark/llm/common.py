@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,22 +17,37 @@ GAP = "[\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path below the folder that all executors share.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where neither it nor a checkpoint folder is set, as in
-    tests, a temporary folder of this machine is taken and also set as the checkpoint folder.
+    ``spark.checkpoint.dir`` is read from the session. Only where neither it nor a checkpoint folder is set and all of
+    Spark runs in this process, as in tests, a temporary folder of this machine is taken, and set as the checkpoint
+    folder. Elsewhere a missing setting is an error, as executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives a lost executor."""
+def put(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared folder and read again, and its path."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives a lost executor."""
+    return put(df, label)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of ``put`` that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,38 +78,38 @@ def gapless_rank(df: DataFrame, group: list[str], bucket: str, order: list[Colum
     )
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether (a, b), with a > b, are stars: each a has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("top")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("top")))
+    seen = ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("top").alias("top"))
+    return not seen.where("low > 1 or (low > 0 and top > 0)").limit(1).count()
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Smallest node reachable from each node of ``edges`` (a, b): columns node, component.
 
-    Alternating large-star and small-star rounds; only (node, neighbour) rows move, minima are combined before the
-    shuffle, each round is written to the shared folder. Nulls and loops are ignored; an empty input has no rows.
+    Alternating large-star and small-star rounds until all is stars, which edges may be from the start; only (node,
+    neighbour) rows move and minima are combined before the shuffle. Minima are written before they are joined, so that
+    a join has its own shuffle and Spark can split a node with very many neighbours. Tables of rounds before are
+    deleted. Nulls and loops are ignored; an empty input has no rows.
     """
     spark = edges.sparkSession
-    now = written(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links"
-    )
-    stamp = None
+    now, path = put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links")
     for _ in range(rounds):
+        if _stars(now):
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        least, p = put(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large, q = put(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct(), "large")
         # small star: to the smallest neighbour among the smaller ones, and to the node itself
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(low.select("a", F.col("m").alias("b"))).where("a > b").distinct()
-        )
-        now = written(small, "links")
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == stamp:
-            break
-        stamp = new
+        low, r = put(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        before = path
+        now, path = put(small.where("a > b").distinct(), "links")
+        discard(spark, before, p, q, r)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    stars = now.groupBy("a").agg(F.min("b").alias("b"))
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def vocabulary(name: str) -> str:

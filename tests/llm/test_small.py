@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldspark.llm import cover_tree, gif, mixing, ngram_join, packing, pii, quality, sharding, tokens, warc, wavelet
+from fieldspark.llm import gif, mixing, ngram_join, packing, pii, quality, sharding, tokens, warc, wavelet
 from fieldspark.llm.common import components, vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, _bucket int"
@@ -450,46 +450,6 @@ def test_connected_components(spark):
     assert got == {n: c for n, c in up.items() if n != 200}
 
 
-# --- 7 embeddings
-
-
-def plain_links(rows, cosine=0.95):
-    ok = [i for i, (d, v) in enumerate(rows) if d is not None and v and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)]
-    x = np.array([np.float32(rows[i][1]) for i in ok], float)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    near = x @ x.T >= cosine
-    np.fill_diagonal(near, False)
-    label = np.array([rows[i][0] for i in ok])
-    while True:
-        new = np.array([min([label[k], *label[near[k]]]) for k in range(len(ok))])
-        if (new == label).all():
-            break
-        label = new
-    out = {i: (rows[i][0], 0, rows[i][0], rows[i][0] is not None) for i in range(len(rows))}
-    for k, i in enumerate(ok):
-        out[i] = (rows[i][0], int(near[k].sum()), int(label[k]), rows[i][0] == label[k])
-    return sorted(out.values(), key=str)
-
-
-@pytest.mark.parametrize(("chunk", "leaf"), [(4096, 256), (40, 8)])
-def test_vector_links_equal_brute_force(spark, monkeypatch, chunk, leaf):
-    monkeypatch.setattr(cover_tree, "CHUNK", chunk)
-    monkeypatch.setattr(cover_tree, "LEAF", leaf)
-    r = np.random.default_rng(3)
-    base = r.normal(size=(40, 8))
-    rows = [(i, (base[r.integers(40)] + r.normal(size=8) * r.choice([0, 0.1, 0.3])).tolist()) for i in range(300)]
-    rows += [(500, None), (501, [0.0] * 8), (502, [1.0, None] + [0.0] * 6), (503, [float("nan")] * 8), (504, [1.0, 2.0]), (505, []), (None, base[0].tolist()), (506, [float("inf")] + [0.0] * 7)]
-    df = spark.createDataFrame([(d, v, 1, 2, b"x") for d, v in rows], "vec_id long, embedding array<float>, label int, n int, sig binary")
-    got = [tuple(x) for x in cover_tree.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect()]
-    assert sorted(got, key=str) == plain_links(rows)
-
-
-def test_vectors_of_nothing(spark):
-    assert cover_tree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    only = cover_tree.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()
-    assert [tuple(r) for r in only] == [(1, 0, 1, True)]
-
-
 # --- 8 archives
 
 
