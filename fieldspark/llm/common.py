@@ -59,18 +59,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def offsets(counts: DataFrame, group: list[str], bucket: str, value: str, name: str, wide: int = 1024) -> DataFrame:
+    """``group``, ``bucket`` and ``name``: the sum of ``value`` over the group's buckets before, 0 for the first.
+
+    ``counts`` has one row for each bucket. Sums run within runs of ``wide`` buckets, and over these runs' totals, so
+    that a task gets a ``wide``-th of a group's buckets.
+    """
+    def before(by: list[str], order: str, v: str):
+        return F.coalesce(F.sum(v).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    rows = counts.select(*group, bucket, value).withColumn("_run", F.floor(F.col(bucket) / wide))
+    runs = rows.groupBy(*group, "_run").agg(F.sum(value).alias("_sum")).withColumn("_base", before(group, "_run", "_sum")).drop("_sum")
+    inner = rows.withColumn("_inner", before([*group, "_run"], bucket, value))
+    return inner.join(runs, [*group, "_run"]).select(*group, bucket, (F.col("_base") + F.col("_inner")).alias(name))
+
+
 def gapless_rank(df: DataFrame, group: list[str], bucket: str, order: list[Column], name: str) -> DataFrame:
     """Adds ``name``: 0-based gapless rank within ``group``, buckets in order of ``bucket``, rows in ``order``.
 
     A group may hold any share of the rows: rows are ranked within (group, bucket) and shifted by the counts of the
-    buckets before it, so that no task ever holds a whole group, only one row for each of its buckets.
+    buckets before it, so that no task ever holds a whole group.
     """
     keys = [*group, bucket]
-    before = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)))
-        .select(*keys, F.coalesce("_before", F.lit(0)).alias("_before"))
-    )
+    before = offsets(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), group, bucket, "_n", "_before")
     inner = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
         df.withColumn("_rn", inner).join(before, keys)

@@ -3,7 +3,8 @@
 Points of the golden-ratio sequence are mapped through the cumulative target weights of the sources; each slot gets
 the rank of its source, and slot ``r`` of a source takes words ``[r * block, (r + 1) * block)`` of that source's
 documents in a shuffled order, read again from the start when it is exhausted. A slot of a source that already has
-its target is passed over; what the sequence leaves short (a few slots a source) follows at the end.
+its target is passed over; what the sequence leaves short (a few slots a source) follows at the end. The slots are the
+order of the mix: every prefix of them holds each source's share but for a few blocks.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import WORD, word_count, written
+from fieldspark.llm.common import WORD, offsets, put, word_count, written
 
 #: Words in a block: what one slot of the schedule takes.
 BLOCK = 256
@@ -24,7 +25,9 @@ GOLDEN = 0.6180339887498949
 #: Cells of the unit interval by which points meet their source, and slots in a chunk that is ranked by itself.
 CELLS, CHUNK = 1024, 16_384
 #: Documents in one bucket of a source's shuffled order, on average.
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 200
+#: Slots whose documents are written together, in order.
+RUN_SLOTS = 16_384
 
 
 def source_targets(sizes: DataFrame, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -66,7 +69,7 @@ def schedule(targets: DataFrame, total: float, block: int = BLOCK) -> DataFrame:
         .select("src", "need", F.col("id").alias("slot"), F.floor(F.col("id") / CHUNK).alias("chunk"))
     )
     counts = drawn.groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("src", "chunk", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = offsets(counts, ["src"], "chunk", "n", "before")
     ranked = (
         drawn.withColumn("rn", F.row_number().over(Window.partitionBy("src", "chunk").orderBy("slot")) - 1)
         .join(before, ["src", "chunk"]).withColumn("rank", F.col("before") + F.col("rn")).where("rank < need").select("src", "rank", "slot")
@@ -80,12 +83,14 @@ def schedule(targets: DataFrame, total: float, block: int = BLOCK) -> DataFrame:
     return ranked.unionByName(tail)
 
 
-def mix_units(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """From (doc_id, source, digest, size): what the mix takes, one row for each distinct row of these.
+def mix_pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """From (doc_id, source, digest, size): what the mix takes, a row for each slot that a unit is read in.
 
-    Returns doc_id, source, digest, size, copies, source_size, target, taken (by each copy). ``copies`` rows that are
-    equal in all four columns are laid out together and take equal whole shares. Null ids and sources are values like
-    others; documents without words take nothing; an empty input has no rows.
+    A unit is one distinct row of these, with ``copies``, the number of rows that are equal in all four columns; they
+    are laid out together. Returns doc_id, source, digest, size, copies, source_size, target, unit and bucket (its
+    name), read (0, or 1 for the second reading), slot, part (words of the unit in that slot, of all copies). A unit
+    that the mix doesn't take, as it has no words or comes after the target, has one row with a null slot and part 0.
+    Null ids and sources are values like others; an empty input has no rows.
     """
     units = rows.groupBy("doc_id", "source", "digest", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("words", F.col("size") * F.col("copies"))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -98,7 +103,7 @@ def mix_units(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         .withColumn("bucket", F.pmod("h", F.lit(buckets)))
     )
     sums = laid.groupBy("src", "bucket").agg(F.sum("words").alias("n"))
-    before = sums.select("src", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = offsets(sums, ["src"], "bucket", "n", "before")
     inside = Window.partitionBy("src", "bucket").orderBy("h", F.asc_nulls_first("doc_id"), "digest", "size")
     laid = (
         laid.withColumn("inner", F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
@@ -120,11 +125,18 @@ def mix_units(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     slots = schedule(targets, total, block)
     joined = pieces.join(slots, ["src", "rank"], "left").withColumn("part", F.when(F.col("slot").isNotNull(), F.col("part")).otherwise(F.lit(0)))
-    keys = ["src", "bucket", "unit", "doc_id", "source", "digest", "size", "copies", "source_size", "target"]
-    return (
-        joined.groupBy(*keys).agg(F.sum("part").alias("words_taken"))
-        .select("doc_id", "source", "digest", "size", "copies", "source_size", "target", F.floor(F.col("words_taken") / F.col("copies")).cast("long").alias("taken"))
-    )
+    return joined.select("doc_id", "source", "digest", "size", "copies", "source_size", "target", "src", "bucket", "unit", "read", "slot", "part")
+
+
+_UNIT = ("src", "bucket", "unit", "doc_id", "source", "digest", "size", "copies", "source_size", "target")
+
+
+def mix_units(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``mix_pieces`` by unit: its columns, taken (words that each copy gives), first_slot (null where it gives none) and
+    slots (the first slot of each of its readings, in order)."""
+    reads = mix_pieces(rows, block).groupBy(*_UNIT, "read").agg(F.sum("part").alias("words"), F.min("slot").alias("slot"))
+    units = reads.groupBy(*_UNIT).agg(F.sum("words").alias("words"), F.min("slot").alias("first_slot"), F.sort_array(F.collect_list(F.when(F.col("words") > 0, F.struct("read", "slot"))))["slot"].alias("slots"))
+    return units.select(*_UNIT[3:], F.floor(F.col("words") / F.col("copies")).cast("long").alias("taken"), "first_slot", "slots")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -132,22 +144,33 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """Digest of ``documents``: doc_id, size, source_size, target, taken, one row for each row of the table."""
+    """Digest of ``documents``: doc_id, size, source_size, target, taken, first_slot (where the mix first takes words of
+    it, null if nowhere), one row for each row of the table."""
     out = mix_units(written(_sized(docs), "sized"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "size", "source_size", "target", "taken")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def mixed_corpus(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each document once for every full reading, and once more cut to its
-    first ``taken mod size`` words (single spaces between) where a block boundary cuts it. Documents that the mix
-    doesn't take go; n_chars follows the text."""
-    units = mix_units(written(_sized(docs), "sized")).where("taken > 0").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "digest", "size", "taken")])
+    """The mix itself, with the columns of ``docs``, in the order of the schedule: each document stands where the slot
+    of its first word does, once for every full reading, and once more cut to its first ``taken mod size`` words (single
+    spaces between) where the target cuts it. Documents that the mix doesn't take go; n_chars follows the text. Partitions
+    are runs of slots in order, and so are the files that they are written to. An empty table has no rows."""
+    units = mix_units(written(_sized(docs), "sized")).where("taken > 0")
+    units, _ = put(units.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "digest", "size", "taken", "slots")]), "units")
+    last = units.agg(F.max(F.array_max("_slots"))).first()[0] or 0
     keyed = docs.withColumn("_d", F.xxhash64("text"))
     on = keyed["doc_id"].eqNullSafe(units["_doc_id"]) & keyed["source"].eqNullSafe(units["_source"]) & (keyed["_d"] == units["_digest"])
     each = keyed.join(units, on).withColumn("_read", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_size")))))
     words = F.least(F.col("_size"), F.col("_taken") - F.col("_read") * F.col("_size"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
-    out = each.withColumn("text", F.when(words < F.col("_size"), cut).otherwise(F.col("text")))
+    out = each.withColumn("_slot", F.element_at("_slots", F.least(F.col("_read") + 1, F.size("_slots")).cast("int")))
+    out = out.withColumn("text", F.when(words < F.col("_size"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return in_slot_order(out, last).select(*docs.columns)
+
+
+def in_slot_order(df: DataFrame, last: int) -> DataFrame:
+    """Rows sorted by ``_slot``, 0 to ``last``: partition k holds the k-th run of slots."""
+    runs = max(1, min(last + 1, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-last // RUN_SLOTS))))
+    return df.repartitionById(runs, F.floor(F.col("_slot") * F.lit(runs) / F.lit(last + 1)).cast("int")).sortWithinPartitions("_slot", F.asc_nulls_first("doc_id"), "_read")

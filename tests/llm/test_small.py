@@ -9,35 +9,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldspark.llm import gif, mixing, ngram_join, packing, pii, quality, sharding, tokens, warc, wavelet
-from fieldspark.llm.common import components, vocabulary
-
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, _bucket int"
-HARD = ["", None, " ", "a", "x " * 30_000, "Ünïcödé ßtraße 🙂 é 日本語 x", "a  b\t\tc\n\n d ", "tab\x0bsep", "it's 12,000. e.g., \x01 end", "same text here now ok", "same text here now ok"]
-
-
-def docs_of(spark, texts, source=lambda i: f"s{i % 3}"):
-    """Texts as documents, with null ids, repeated rows and columns whose names operators use themselves."""
-    rows = [(i, t, "en", source(i), len(t or ""), 7, 9) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, DOCS)
-
-
-@pytest.fixture(scope="module")
-def hard(spark):
-    extra = spark.createDataFrame([(None, "no id", None, None, None, None, None), (3, "a", "en", "s0", 1, 7, 9)], DOCS)
-    return docs_of(spark, HARD).unionByName(extra).cache()
-
-
-@pytest.fixture(scope="module")
-def empty(spark):
-    return spark.createDataFrame([], DOCS)
-
-
-def prose(seed, n, words=60):
-    r = random.Random(seed)
-    vocab = ["".join(r.choice("aeioutnrsl") for _ in range(r.randint(2, 7))) for _ in range(400)]
-    return [" ".join(r.choice(vocab) for _ in range(r.randint(3, words))) for _ in range(n)]
+from cases import DOCS, HARD, docs_of, prose
 
+from fieldspark.llm import packing, quality, sharding, tokens, warc, wavelet
+from fieldspark.llm.common import vocabulary
 
 # --- 1 sharding
 
@@ -71,61 +46,6 @@ def test_slots_over_many_buckets(spark):
     assert sorted(r.slot for r in got) == list(range(500)) and len({r.shard for r in got}) == 1
 
 
-# --- 2 mixing
-
-
-def targets(sizes):
-    """Shares by weight, the excess of those above twice their size reshared until none is above."""
-    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
-    total, capped = 1.5 * sum(sizes.values()), set()
-    while True:
-        free = [s for s in names if s not in capped]
-        rest = total - sum(2 * sizes[s] for s in capped)
-        t = {s: 2 * sizes[s] if s in capped else rest * weight[s] / sum(weight[x] for x in free) for s in names}
-        more = {s for s in free if t[s] > 2 * sizes[s]}
-        if not more:
-            return t
-        capped |= more
-
-
-def test_mix_meets_targets(spark, hard, empty):
-    texts = prose(1, 300)
-    docs = docs_of(spark, texts, lambda i: [None, "", "é", "z", "a"][0 if i < 100 else i % 5]).unionByName(hard.limit(5))
-    rows = mixing.mix_documents(docs).collect()
-    assert len(rows) == docs.count() and mixing.mix_documents(empty).count() == 0
-    sizes = {}
-    for r in docs.collect():
-        sizes[r.source] = sizes.get(r.source, 0) + len((r.text or "").split())
-    want = targets(sizes)
-    assert sorted({round(r.target, 6) for r in rows}) == sorted({round(v, 6) for v in want.values()})
-    for s, size in sizes.items():
-        own = [r for r in rows if r.source_size == size]
-        assert abs(sum(r.taken for r in own) - want[s]) <= 2 * sum(r.taken < 0 for r in own) + 2
-    assert all(0 <= r.taken <= 2 * r["size"] for r in rows)
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix_documents(docs.repartition(7)).collect()))
-
-
-def test_schedule_fills_every_rank_once(spark):
-    goals = spark.createDataFrame([("a", 9, 0, 5000.0), ("b", 9, 1, 10.0), ("c", 9, 2, 990.0)], "source string, source_size long, src int, target double")
-    got = mixing.schedule(goals, 6000.0, 64).collect()
-    for src, target in ((0, 5000), (1, 10), (2, 990)):
-        assert sorted(r.rank for r in got if r.src == src) == list(range(-(-target // 64)))
-    early = [r.src for r in sorted(got, key=lambda r: r.slot)[:24]]
-    assert abs(early.count(0) - 20) <= 2  # low discrepancy: shares hold in short prefixes
-
-
-def test_mixed_corpus_keeps_columns_and_words(spark):
-    docs = docs_of(spark, prose(2, 200))
-    taken = mixing.mix_documents(docs).agg(F.sum("taken")).first()[0]
-    out = mixing.mixed_corpus(docs)
-    rows = out.collect()
-    assert out.columns == docs.columns and sum(len(r.text.split()) for r in rows) == taken
-    assert all(r.n_chars == len(r.text) for r in rows)
-    whole = dict(enumerate(prose(2, 200)))
-    assert all(whole[r.doc_id].startswith(r.text) for r in rows)
-
-
 # --- 3, 10 tokens
 
 
@@ -224,232 +144,6 @@ def test_packed_sequences_are_whole(spark, hard, empty):
     assert packing.pack_documents(empty, name).count() == 0
 
 
-# --- 4 media
-
-
-def test_gif_round_trip():
-    r = np.random.default_rng(1)
-    for body in (b"\0" * 64, b"a" * 6400, b"ab" * 40_000, r.bytes(64 * 2500), bytes(range(256)) * 300):
-        data = gif.encode(body)
-        assert gif.samples(gif.frames(data)) == body
-        screens = list(gif.shown(data))
-        assert len(screens) == -(-len(body) // (64 * 1024)) and screens[0][0, 0, 0] == body[0]
-
-
-def test_gif_disposal_transparency_palette_and_interlace():
-    def frame(left, top, w, h, pixels, flags=0, clear=None, disposal=0, delay=3):
-        codes = gif._codes(bytes(pixels))
-        return bytes([0x21, 0xF9, 4, disposal << 2 | (clear is not None), delay, 0, clear or 0, 0, 0x2C, left, 0, top, 0, w, 0, h, 0, flags]) + b"\x08" + gif._blocks(gif._pack(codes, gif._widths(codes)))
-
-    head = b"GIF89a\x02\0\x02\0\xf7\0\0" + bytes(v for c in range(256) for v in (c, 0, 255 - c))
-    data = head + frame(0, 0, 2, 2, [1, 2, 3, 4], disposal=1) + frame(0, 0, 2, 1, [9, 8], clear=9, disposal=3) + frame(1, 1, 1, 1, [7], disposal=2) + frame(0, 0, 1, 1, [5]) + b";"
-    a, b, c, d = list(gif.shown(data))
-    assert a[:, :, 0].tolist() == [[1, 2], [3, 4]] and b[:, :, 0].tolist() == [[1, 8], [3, 4]]
-    assert c[:, :, 0].tolist() == [[1, 2], [3, 7]] and d[:, :, 0].tolist() == [[5, 2], [3, 0]] and d[1, 1, 3] == 0
-    assert [f.delay_cs for f in gif.frames(data)] == [3] * 4 and gif.histogram(gif.frames(data), 2) == [7, 0]
-    rows = head[:6] + b"\x01\0\x05\0" + head[10:] + frame(0, 0, 1, 5, [0, 4, 2, 1, 3], flags=0x40) + b";"
-    assert gif.frames(rows)[0].indices.ravel().tolist() == [0, 1, 2, 3, 4]
-    assert gif.frames(data[:-30])[0].indices.ravel().tolist() == [1, 2, 3, 4]
-    with pytest.raises(ValueError):
-        gif.frames(b"no image")
-
-
-def test_gif_small_palette_stream():
-    # 2-bit samples: clear 4, then 1, 6 (not yet made: 1 1), 6, 2, end 5, with widths 3 3 3 3 4 4 by the growing table.
-    bits = "".join(f"{c:0{w}b}"[::-1] for c, w in ((4, 3), (1, 3), (6, 3), (6, 3), (2, 4), (5, 4)))
-    raw = int(bits[::-1], 2).to_bytes(-(-len(bits) // 8), "little")
-    assert gif.lzw_decode(raw, 2, 99).tolist() == [1, 1, 1, 1, 1, 2]
-
-
-def test_gif_documents(spark, hard, empty):
-    rows = gif.gif_documents(hard).collect()
-    want = sorted(hashlib.sha256((b := (t or "").encode()) + b"\0" * (-len(b) % 64 or 64 * (not b))).hexdigest() for (t,) in hard.select("text").collect())
-    assert sorted(r.payload_sha256 for r in rows) == want and gif.gif_documents(empty).count() == 0
-    same = [r for r in rows if r.doc_id in (9, 10)]
-    assert same[0][1:] == same[1][1:]
-
-
-# --- 5 personal data
-
-
-def plain_spans(text):
-    import re
-
-    out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
-    for k, rx, lo, hi in ((2, r"[0-9]([\x20-]?[0-9])+", 12, 19), (3, r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
-        for m in re.finditer(rx, text):
-            d = [int(c) for c in m.group() if c.isdigit()]
-            ok = sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(d))) % 10 == 0
-            if lo <= len(d) <= hi and (k == 3 or ok):
-                out.append((m.start(), m.end(), k))
-    return sorted(out, key=lambda s: (s[0], s[2]))
-
-
-def test_base_spans_equal_plain_patterns():
-    r = random.Random(7)
-    texts = ["a@b.c@d.e x@y x@y.z. a.b@c..d @x.y", "999.1.1.1 1.2.3.4.5 0000255.1.1.1", "é 4111 1111-1111 1111 x", "+1 (499) 555-6503", "a" * 500 + "@b.cd", ""]
-    texts += ["".join(r.choice("ab1234@..- +()5") for _ in range(80)) for _ in range(2000)]
-    for t in texts:
-        assert pii.base_spans(t) == plain_spans(t), t
-
-
-def test_boosted_trees_learn_and_thresholds_hold():
-    r = np.random.default_rng(2)
-    x = r.normal(size=(3000, 4))
-    x[:, 0] = r.integers(0, 2, 3000)
-    y = ((x[:, 1] > 0) & (x[:, 2] < 0.5)).astype(float)
-    model = pii.boost(x[:2000], y[:2000])
-    pii.calibrate(model, x[2000:], y[2000:])
-    p = model.probability(x[2000:])
-    assert ((p > 0.5) == y[2000:]).mean() > 0.97
-    for k in (0, 1):
-        own = x[2000:, 0] == k
-        assert y[2000:][own & (p >= model.thresholds[k])].mean() >= 0.99
-    assert pii.boost(x[:5], np.ones(5)).trees == []
-
-
-def test_personal_data_of_documents(spark, hard, empty):
-    texts = [f"{w} call +1 (499) 555-{i:04d} now or mail u{i}@ex{i}.org at 10.0.{i % 200}.7 ok" for i, w in enumerate(prose(8, 200, 12))]
-    texts += ["write to jane.doe [at] example.com today", "version 1.2.3 of 2024-01-02", "+1 499"]
-    docs = docs_of(spark, texts)
-    rows = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
-    for i, t in enumerate(texts):
-        base = plain_spans(t)
-        text = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, e, k in base)
-        assert rows[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
-        assert set(filter(None, text.split(","))) <= set(rows[i].spans.split(","))
-    assert rows[201].spans == rows[202].spans == ""
-    assert rows[200].spans == "email:9:34"
-    out = {r.doc_id: r for r in pii.redact_documents(docs).collect()}
-    assert "@" not in out[5].text and "[PHONE]" in out[5].text and out[5].n_chars == len(out[5].text) and out[201].text == texts[201]
-    assert pii.find_personal_data(hard).count() == hard.count() and pii.find_personal_data(empty).count() == 0
-    assert pii.redact_documents(hard).where("text is null").count() == 1
-
-
-def test_copies_and_rare_kinds_leave_training_whole(spark):
-    mails = [f"mail u{i}@ex{i}.org now" for i in range(450)]
-    numbers = [f"item 4{i:015d} in stock" for i in range(4000)]
-    docs = docs_of(spark, mails + numbers)
-    copies = docs_of(spark, [f"footer 90000000000000{i:02d} of all pages" for i in range(20)] * 100)
-    found = pii.propose(docs.unionByName(copies)).cache()
-    model = pii.train(found, 320)
-    assert model.thresholds[0] < 1 and model.trees
-    x = np.array([pii.features(0, "mail ", "jane [at] example.com", " now"), pii.features(2, "item ", "4000000000000001", " in stock")])
-    assert model.probability(x)[0] > 0.9 > 0.5 > model.probability(x)[1]
-    again = pii.train(found.unionByName(found), 320)
-    assert again.trees == model.trees and again.thresholds == model.thresholds
-    rows = pii.labelled(found).where("text like '90000000000000%'").collect()
-    assert len(rows) <= 20 and all(r.n == 100 for r in rows)
-
-
-def carded(i):
-    body = f"4{i * 7919:014d}"
-    return next(body + c for c in "0123456789" if pii.luhn(body + c))
-
-
-def test_real_spellings_are_no_errors(spark):
-    base = [f"{w} call +1 (499) 555-{i:04d} now or mail u{i}@ex{i}.org at 10.0.{i % 200}.7 card {carded(i)} ok" for i, w in enumerate(prose(8, 200, 12))]
-    cards = [".".join(c[k : k + 4] for k in (0, 4, 8, 12)) for c in map(carded, range(500, 700))]
-    wrong = [c[:-1] + str((int(c[-1]) + 1) % 10) for c in cards]
-    real = [[f"jane{i} [at] example{i}.com" for i in range(200)], [f"10[.]{i}[.]0[.]1" for i in range(200)], cards, [f"({415 + i}) 555-1{i:03d}" for i in range(200)]]
-    other = [[f"{i} @ 4.{i % 90 + 10}" for i in range(200)], [f"{300 + i}[.]{i}[.]0[.]1" for i in range(200)], wrong, [f"{i % 90 + 10}.345.{i:03d}" for i in range(200)]]
-    texts = base + [f"so we had {t} there" for group in real + other for t in group]
-    rows = {r.doc_id: r.spans for r in pii.find_personal_data(docs_of(spark, texts)).collect()}
-    for kind in range(4):
-        for groups, first, low, high in ((real, 200, 190, 200), (other, 1000, 0, 4)):
-            got = sum(rows[first + 200 * kind + i] == f"{pii.KINDS[kind]}:10:{10 + len(t)}" for i, t in enumerate(groups[kind]))
-            assert low <= got <= high, (pii.KINDS[kind], first, got)
-
-
-def test_refuted():
-    for kind, before, text, after in (
-        (0, "", "3 @ 4.50", " each"), (0, "", "lunch @ noon. Bring", " it"), (1, "", "10[.]0[.]0[.]256", ""), (1, "version ", "1[.]2[.]3[.]4", ""),
-        (2, "", "4111.1111.1111.1112", ""), (2, "", "0000.0000.0000.0000", ""), (3, "$", "123 456 789", ""), (3, "", "12.345.678", ""), (3, "", "2019 2020 2021", ""), (3, "31.", "123 456 7890", ""),
-    ):
-        assert pii.refuted(kind, before, text, after), text
-    for kind, before, text, after in (
-        (0, "", "jane [at] example.com", ""), (0, "", "jane [at] example.com. Then", ""), (0, "", "jane @ example. com", ""), (0, "", "a(at)b(dot)org", ""),
-        (1, "", "10[.]0[.]0[.]1", ":8080"), (2, "", "4111.1111.1111.1111", ""), (3, "", "(415) 555-1234", ""), (3, "", "415-555-1234", "."), (3, "", "0044 20 7946 0958", ""),
-    ):
-        assert not pii.refuted(kind, before, text, after), text
-
-
-# --- 6 n-gram join
-
-
-def plain_components(rows):
-    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    sets = []
-    for _, t in rows:
-        w = (t or "").translate(low).encode().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
-    up = list(range(len(rows)))
-    for _ in rows:
-        for i in range(len(rows)):
-            for j in range(i):
-                a, b = sets[i], sets[j]
-                if rows[i][0] is not None and rows[j][0] is not None and a and b and 100 * len(a & b) >= 80 * len(a | b):
-                    up[i] = up[j] = min(up[i], up[j])
-        if up == (new := [up[u] for u in up]):
-            break
-        up = new
-    least = {}
-    for (d, _), u in zip(rows, up):
-        if d is not None:
-            least[u] = min(least.get(u, d), d)
-    return sorted(((-1 if d is None else d), len(s), -1 if d is None else least[u]) for (d, _), s, u in zip(rows, sets, up))
-
-
-def near_copies(seed):
-    r, out = random.Random(seed), []
-    for base in prose(seed, 12, 90):
-        out.append(base)
-        now = base.split()
-        for _ in range(r.randint(0, 8)):  # a chain: each copy changes the one before
-            now = now.copy()
-            for _ in range(r.randint(0, 2)):
-                now[r.randrange(len(now))] = r.choice(["Xx", "yy", "zz"])
-            out.append(" ".join(now).upper() if r.random() < 0.2 else " ".join(now))
-    passage = prose(99, 1, 60)[0]
-    return out + [f"{passage} {t}" for t in prose(seed + 1, 20, 20)] + ["a b c", "A b  c", "a b c d"]
-
-
-@pytest.mark.parametrize(("seed", "stars", "common"), [(1, 2, 64), (2, 0, 2), (3, 1, 1)])
-def test_components_equal_brute_force(spark, hard, monkeypatch, seed, stars, common):
-    monkeypatch.setattr(ngram_join, "COMMON", common)
-    monkeypatch.setattr(ngram_join, "FRAGMENT_BYTES", 500)
-    docs = docs_of(spark, near_copies(seed))
-    if seed == 1:
-        docs = docs.withColumn("doc_id", F.col("doc_id") + 50).unionByName(hard)
-    real = ngram_join.node_components
-    monkeypatch.setattr(ngram_join, "node_components", lambda n, p: real(n, p, stars))
-    got = [((-1 if d is None else d), n, -1 if c is None else c) for d, n, c in ngram_join.document_components(docs).collect()]
-    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    if seed != 1:
-        assert sorted(got) == plain_components(rows)
-    else:  # rows that repeat an id
-        assert sorted(set(got)) == sorted(set(plain_components(rows)))
-
-
-def test_join_of_nothing(spark, empty):
-    assert ngram_join.document_components(empty).count() == 0
-    kept = ngram_join.one_of_each_group(docs_of(spark, ["a b c d e f", "a b c d e f", None, "q"]))
-    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
-
-
-def test_connected_components(spark):
-    r = random.Random(9)
-    pairs = [(i, i + 1) for i in range(60)] + [(100 + r.randrange(60), 100 + r.randrange(60)) for _ in range(40)] + [(200, 200), (None, 5)]
-    got = {x.node: x.component for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    up = {n: n for p in pairs if None not in p for n in p}
-    for _ in range(200):
-        for a, b in pairs:
-            if a is not None:
-                up[a] = up[b] = min(up[a], up[b])
-    assert got == {n: c for n, c in up.items() if n != 200}
-
-
 # --- 8 archives
 
 
