@@ -25,17 +25,20 @@ KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base spans.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Generators: (kind, pattern), kinds in order.
+#: Generators: what parts a mail address and what follows, then (kind, pattern) of the other kinds in order.
+_PARTED = re.compile(r"@|\(at\)|\[at\]|\{at\}", re.I)
+_HOST = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]+)+", re.I)
 _GENERATORS = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]+)+", re.I)),
     ("ip", re.compile(r"[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}){3}")),
     ("card", re.compile(r"[0-9]{4}([ ./_-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ ./_-])[0-9]{6}\2[0-9]{5}|[0-9]{12,19}")),
     ("phone", re.compile(r"(?:(?:\+|00)[0-9]{0,3}[ .-]?|[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}")),
 )
+#: More digits in a row than any number that is sought has.
+_ENDLESS = re.compile(r"[0-9]{20,}")
 #: Words before a span that speak for it.
 _CUES = re.compile(r"(?:e-?mail|mail|contact|address|ip|host|server|card|visa|credit|payment|tel|phone|call|mobile|fax)\W*$", re.I)
 #: What shows that a candidate is no personal data: words before a number, digits that it is only a part of, amounts,
@@ -54,7 +57,7 @@ SAMPLE, PRECISION = 20_000, 0.99
 BINS = np.r_[0.0, 1 / (1 + np.exp(-np.linspace(-16, 16, 2047)))]
 PLACES = 1 << 30
 FOUND = "doc_id long, base array<struct<s:int,e:int,kind:int>>, more array<struct<s:int,e:int,kind:int,before:string,text:string,after:string>>"
-DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 Span = tuple[int, int, int]
 
@@ -71,27 +74,42 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _local_start(text: str, end: int, done: int) -> int:
+    """Where the run of a mail address's local characters before ``end`` starts, not before ``done``."""
+    lo, step = end, 64
+    while lo > done:
+        part = text[max(done, lo - step) : lo]
+        left = len(part.rstrip(_LOCAL))
+        lo -= len(part) - left
+        if left:
+            break
+        step *= 2
+    return lo
+
+
 def base_spans(text: str) -> list[Span]:
-    """(start, end, kind) in order of start, then kind; leftmost and not overlapping within a kind."""
+    """(start, end, kind) in order of start, then kind; leftmost and not overlapping within a kind. Time grows with the
+    text's length alone: addresses are sought from their @, and numbers in runs that are cut once."""
     out: list[Span] = []
     done, at = 0, text.find("@")
     while at >= 0:
         # The match starts where the run of local characters before the @ does, but not before the match before ended.
-        lo, step = at, 64
-        while lo > done:
-            part = text[max(done, lo - step) : lo]
-            left = len(part.rstrip(_LOCAL))
-            lo -= len(part) - left
-            if left:
-                break
-            step *= 2
+        lo = _local_start(text, at, done)
         m = _DOMAIN.match(text, at) if lo < at else None
         if m:
             out.append((lo, m.end(), 0))
             done = m.end()
         at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
-        out += [(m.start(), m.end(), 1) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        for m in _DOTTED.finditer(text):  # a run of dotted numbers matches four by four
+            if m.group().count(".") >= 3:
+                parts, start = m.group().split("."), m.start()
+                for k in range(0, len(parts) - 3, 4):
+                    four = parts[k : k + 4]
+                    end = start + sum(map(len, four)) + 3
+                    if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in four):
+                        out.append((start, end, 1))
+                    start = end + 1
         out += [(m.start(), m.end(), 2) for m in _CARD.finditer(text) if 12 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
         out += [(m.start(), m.end(), 3) for m in _PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
     return sorted(out, key=lambda s: (s[0], s[2]))
@@ -99,17 +117,24 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str) -> list[tuple[int, int, int, str, str, str]]:
     """Spans of the generators with context; those of different generators overlap. A span within a longer run of
-    letters or digits is none."""
+    letters or digits is none. Runs of 20 digits or more are no part of any, and aren't looked into."""
+    spans: list[Span] = []
+    done = 0
+    for m in _PARTED.finditer(text):
+        end = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        lo = _local_start(text, end, done)
+        host = _HOST.match(text, m.end()) if lo < end else None
+        if host:
+            spans.append((lo, host.end(), 0))
+            done = host.end()
+    if _DIGIT.search(text):
+        short = _ENDLESS.sub(lambda m: "x" * len(m.group()), text)
+        spans += [(*m.span(), kind) for kind, (_, pattern) in enumerate(_GENERATORS, 1) for m in pattern.finditer(short)]
     out = []
-    digits = _DIGIT.search(text) is not None
-    for kind, (_, pattern) in enumerate(_GENERATORS):
-        if not digits if kind else not ("@" in text or "(at)" in (low := text.lower()) or "[at]" in low or "{at}" in low):
-            continue
-        for m in pattern.finditer(text):
-            s, e = m.span()
-            before, after = text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT]
-            if not (before[-1:].isalnum() or after[:1].isalnum()):
-                out.append((s, e, kind, before, m.group(), after))
+    for s, e, kind in spans:
+        before, after = text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT]
+        if not (before[-1:].isalnum() or after[:1].isalnum()):
+            out.append((s, e, kind, before, text[s:e], after))
     return out
 
 
@@ -372,8 +397,9 @@ def train(found: DataFrame, sample: int = SAMPLE) -> Boosted:
 
 
 def added(model: Boosted, base: list[Span], more: list[tuple[int, int, int, str, str, str]]) -> list[Span]:
-    """Candidates above their kind's threshold that meet no base span, best first and not meeting each other."""
-    more = [c for c in more if not any(s < c[1] and e > c[0] for s, e, _ in base)]
+    """Candidates above their kind's threshold that meet no base span and aren't refuted (a number that fails its check
+    digit is never a card, say), best first and not meeting each other."""
+    more = [c for c in more if not any(s < c[1] and e > c[0] for s, e, _ in base) and not refuted(*c[2:])]
     if not more or not model.thresholds:
         return []
     score = model.probability(np.array([features(*c[2:]) for c in more], float))
@@ -390,24 +416,25 @@ def _joined(spans: list[Span]) -> str:
 
 
 def select(found: DataFrame, model: Boosted) -> DataFrame:
-    """Digest of ``propose``'s rows: counts of base spans by kind, their sha256, and all spans."""
+    """Digest of ``propose``'s rows: counts of base spans by kind, their sha256, all spans and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 5 + [pa.string()] * 2
+        kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
         for batch in batches:
             rows = []
             for doc, base, more in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "base", "more"))):
                 own = [tuple(b.values()) for b in base]
                 counts = [sum(k == kind for _, _, k in own) for kind in range(len(KINDS))]
-                rows.append((doc, *counts, hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(own + added(model, own, [tuple(m.values()) for m in more]))))
-            cols = list(zip(*rows)) or [()] * 7
+                spans = own + added(model, own, [tuple(m.values()) for m in more])
+                rows.append((doc, *counts, hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(spans), len(spans)))
+            cols = list(zip(*rows)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in DIGEST.split(", ")])
 
     return found.mapInArrow(run, DIGEST)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """Digest of ``documents``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; one row a row."""
+    """Digest of ``documents``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans; one row a row."""
     found = written(propose(docs), "personal")
     return select(found, train(found))
 
