@@ -1,13 +1,18 @@
 """Jaccard self-join on word n-grams by vertical partitioning.
 
-1. Every text becomes its set of hashed n-grams; texts with equal sets are one node, named by a digest of the set.
-2. The n-gram universe is cut into fragments by hash. A fragment sees which of its n-grams occur in two nodes or more
-   and gives each a place in the global order: rare ones first, by class of frequency, then by hash. n-grams of a
-   single node come before all others and need no place, as they match nothing.
-3. Each node gathers its shared n-grams. Two nodes can only reach the threshold if they share one of the first
-   ``shared - least overlap + 1`` of them; nodes with fewer shared n-grams than the least overlap have no links.
-4. Candidates are tried first with one partner for each node, then all pairs that meet in the order's first places and
-   are not connected yet. Overlaps are counted for each fragment by itself and summed for each pair.
+1. Every text becomes its set of hashed n-grams; texts with equal sets are one node, named by a 16-byte digest.
+2. By hash of the n-gram, frequencies are counted, and those that occur in two nodes or more get their place in the
+   global order: rare ones first, by class of frequency, then by hash. n-grams of a single node come before all others
+   and need no place, as they match nothing.
+3. The order is cut into fragments, ranges with about equal numbers of entries, and every node's n-grams with it: one
+   row for each node and fragment.
+4. Two nodes can only reach the threshold if they share one of the first ``shared - least overlap + 1`` of their shared
+   n-grams. Nodes that meet there are tried first with one partner each, then all pairs that can still reach the
+   threshold and are not connected yet. A pair's overlap is counted in each fragment by itself, from that fragment's
+   rows, and these partial counts are summed for each pair.
+
+n-grams are compared by 56 bits of a hash. That two different n-grams of a pair of documents with 1000 each agree has a
+chance below 1e-10, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -22,19 +27,22 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
-from fieldspark.llm.common import components, lean_worker, written
+from fieldspark.llm.common import components, discard, lean_worker, put, written
 from fieldspark.llm.tokens import slices
 
 #: Words in an n-gram, and the least Jaccard similarity in hundredths.
 WORDS, PERCENT = 5, 80
 #: Bytes of text behind one fragment, and of a block of texts, about; most documents in a block; from how many nodes of a block an n-gram is common.
 FRAGMENT_BYTES, BLOCK_BYTES, BLOCK_DOCS, COMMON = 10_000_000, 5_000_000, 60_000, 64
-#: Fragments by which overlaps are counted, and rounds with one partner for each node.
+#: Fragments of the global order by which overlaps are counted, and rounds with one partner for each node.
 PARTS, STAR_ROUNDS = 4, 2
+#: Logarithmic width of the classes of size in which all pairs of a place are sought.
+BAND = 0.05
 _HEAD = struct.Struct("<IIII")
-_NONE = np.zeros(0, np.uint64)
+_NONE, _NOBODY = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
 BLOBS = "kind int, id int, blob binary"
-NODES = "sig binary, n int, shared int, first array<long>, keys array<array<long>>"
+NODES = "sig binary, n int, shared int, first array<long>, keys array<long>"
+SEGMENTS = "part int, sig binary, n int, keys array<long>"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -106,32 +114,50 @@ def _blob(keys: np.ndarray, refs: np.ndarray, ids: np.ndarray, marked: np.ndarra
     return b"".join([_HEAD.pack(len(keys), len(used), len(marked), len(table) // 20), np.ascontiguousarray(planes).tobytes(), places.astype("<u4" if len(used) > 65536 else "<u2").tobytes(), ids[used].tobytes(), marked.tobytes(), table])
 
 
+def _once(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 16-byte ids, in order, and the place of each among them."""
+    order = np.argsort(ids[:, 0], kind="stable")
+    fresh = np.ones(len(ids), bool)
+    for _ in range(2):
+        own = ids[order]
+        same = own[1:, 0] == own[:-1, 0]
+        odd = same & (own[1:, 1] != own[:-1, 1])
+        fresh[1:] = ~same | odd
+        if not odd.any():
+            break
+        order = np.lexsort((ids[:, 1], ids[:, 0]))  # two ids begin alike
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return ids[order[fresh]], place
+
+
 def _opened(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Keys in order, each once for a node, the places of their nodes' ids, the ids in order, marked keys, and records."""
-    keys, nodes, marked, table = [], [], [], []
+    keys, refs, nodes, marked, table, had = [], [], [], [], [], 0
     for blob in blobs:
         n, m, k, t = _HEAD.unpack_from(blob)
         at = _HEAD.size
         keys.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel())
         at += 8 * n
         wide = np.dtype("<u4" if m > 65536 else "<u2")
-        refs = np.frombuffer(blob, wide, n, at)
+        refs.append(np.frombuffer(blob, wide, n, at).astype(np.int64) + had)
+        had += m
         at += n * wide.itemsize
-        nodes.append(np.frombuffer(blob, np.uint64, m, at)[refs])
-        marked.append(np.frombuffer(blob, np.uint64, k, at + 8 * m))
-        at += 8 * (m + k)
+        nodes.append(np.frombuffer(blob, np.uint64, 2 * m, at).reshape(m, 2))
+        marked.append(np.frombuffer(blob, np.uint64, k, at + 16 * m))
+        at += 16 * m + 8 * k
         table += [blob[i : i + 20] for i in range(at, at + 20 * t, 20)]
-    ids, refs = np.unique(np.concatenate(nodes), return_inverse=True)
-    key = np.concatenate(keys)
-    order = np.lexsort((refs, key))
-    key, refs = key[order], refs[order]
+    ids, place = _once(np.concatenate(nodes))
+    key, ref = np.concatenate(keys), place[np.concatenate(refs)]
+    order = np.lexsort((ref, key))
+    key, ref = key[order], ref[order]
     fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (refs[1:] != refs[:-1])
-    return key[fresh], refs[fresh], ids, np.concatenate(marked), table
+    fresh[1:] = (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])
+    return key[fresh], ref[fresh], ids, np.concatenate(marked), table
 
 
 def _by_bucket(keys: np.ndarray, refs: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    bucket = (ids % np.uint64(buckets)).astype(np.int64)[refs]
+    bucket = (ids[:, 0] % np.uint64(buckets)).astype(np.int64)[refs]
     order = np.lexsort((keys, bucket))
     keys, refs, bucket = keys[order], refs[order], bucket[order]
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -141,19 +167,16 @@ def _by_bucket(keys: np.ndarray, refs: np.ndarray, ids: np.ndarray, buckets: int
 
 def _records(sigs: np.ndarray, sizes: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     rows = np.concatenate([sigs.view(np.uint8).reshape(-1, 16), sizes.astype("<u4").view(np.uint8).reshape(-1, 4)], 1)
-    bucket = (ids % np.uint64(buckets)).astype(np.int64)
+    bucket = (ids[:, 0] % np.uint64(buckets)).astype(np.int64)
     for b in np.unique(bucket).tolist():
-        yield b, _blob(_NONE, np.zeros(0, np.int64), ids, table=rows[bucket == b].tobytes())
+        yield b, _blob(_NONE, np.zeros(0, np.int64), _NOBODY, table=rows[bucket == b].tobytes())
 
 
 _TOP = np.uint64(0xFF) << np.uint64(56)
 
 
 def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Nodes that may have links: sig, n, shared n-grams, first (places to meet in), keys (shared ones by fragment).
-
-    Within blobs a node goes by the first 8 bytes of its digest; should two digests begin alike, the job stops.
-    """
+    """Nodes that may have links: sig, n, shared n-grams, first (places to meet in), keys (shared ones in order)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_BYTES))
 
@@ -167,7 +190,7 @@ def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                         continue
                     sigs, sizes = np.frombuffer(b"".join(sets), "V16"), np.array(list(map(len, sets.values())))
                     keys = np.concatenate(list(sets.values())) >> np.uint64(8)
-                    refs, ids = np.repeat(np.arange(len(sizes)), sizes), np.ascontiguousarray(sigs.view(np.uint64)[::2])
+                    refs, ids = np.repeat(np.arange(len(sizes)), sizes), sigs.view(np.uint64).reshape(-1, 2)
                     order = np.argsort(keys)
                     keys, refs = keys[order], refs[order]
                     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -205,51 +228,125 @@ def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     def gather(group: pa.Table) -> pa.Table:
         lean_worker()
         keys, refs, ids, _, table = _opened(group.column("blob").to_pylist())
-        found = {int.from_bytes(t[:8], "little"): t for t in table}
-        if len(found) < len(set(table)):
-            raise ValueError("two sets' digests begin alike")
-        order = np.argsort(refs, kind="stable")
+        found = {t[:16]: t[16:] for t in table}
+        order = np.lexsort((keys, refs))
         keys, refs = keys[order].view(np.int64), refs[order]
-        keys = keys[np.lexsort((keys.view(np.uint64), refs))]
         ends = np.searchsorted(refs, np.arange(len(ids) + 1))
         rows = []
-        for i, node in enumerate(ids.tolist()):
-            own, n = keys[ends[i] : ends[i + 1]], int.from_bytes(found[node][16:], "little")
+        for i in range(len(ids)):
+            own, node = keys[ends[i] : ends[i + 1]], ids[i].tobytes()
+            n = int.from_bytes(found[node], "little")
             least = (percent * n + 99) // 100
             if len(own) >= least:
-                part = (own >> 48) & (PARTS - 1)
-                rows.append((found[node][:16], n, len(own), own[: len(own) - least + 1], [own[part == p] for p in range(PARTS)]))
+                rows.append((node, n, len(own), own[: len(own) - least + 1], own))
         cols = list(zip(*rows)) or [()] * 5
-        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
+        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["sig", "n", "shared", "first", "keys"])
 
     blobs = docs.select("text").mapInArrow(cut, BLOBS)
     return blobs.groupBy("kind", "id").applyInArrow(order_fragment, BLOBS).groupBy("id").applyInArrow(gather, NODES)
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of digests whose sets reach the threshold; overlaps by fragment, then summed."""
-    a = nodes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
-    b = nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
-    parts = F.zip_with("ka", "kb", lambda x, y: F.size(F.array_intersect(x, y)))
-    each = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.aggregate(parts, F.lit(0), lambda total, n: total + n).alias("o"))
-    return each.where(F.expr(f"100 * o >= {percent} * (na + nb - o)")).select("a", "b")
+def borders(nodes: DataFrame, parts: int = PARTS) -> list[int]:
+    """Where the global order is cut: the first keys of all fragments but the first, so that about equally many entries
+    lie in each. Counted over all entries by the highest 12 bits of their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4096, np.int64)
+        for batch in batches:
+            keys = np.asarray(batch.column("keys").flatten()).view(np.uint64)
+            total += np.bincount((keys >> np.uint64(52)).astype(np.int64), minlength=4096)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    total = np.zeros(4096, np.int64)
+    for r in nodes.select("keys").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # 4096 rows at most
+        total[r["at"]] = r["n"]
+    ends = np.cumsum(total)
+    cuts = np.searchsorted(ends, [ends[-1] * k / parts for k in range(1, parts)]) + 1
+    return [int(c) << 52 for c in cuts.tolist() if c < 4096]
+
+
+def segments(nodes: DataFrame, cuts: list[int]) -> DataFrame:
+    """part, sig, n, keys: each node's part of each fragment of the order that it has n-grams in."""
+    edges = np.array(cuts, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            flat = lists.flatten()
+            owner = np.repeat(np.arange(len(batch)), np.asarray(pc.list_value_length(lists)))
+            part = np.searchsorted(edges, np.asarray(flat).view(np.uint64), "right")
+            first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])])) if len(flat) else np.zeros(0, np.int64)
+            own = pa.array(owner[first])
+            keys = pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), batch.column("sig").take(own), batch.column("n").take(own), keys], names=["part", "sig", "n", "keys"])
+
+    return nodes.select("sig", "n", "keys").mapInArrow(run, SEGMENTS)
+
+
+def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The columns of ``pairs`` (a, b, ...; each pair once) with their sets' sizes na, nb and overlap o; pairs without a
+    common n-gram are left out. Each fragment counts its part of the overlap, and the parts are summed for each pair."""
+    more = [c for c in pairs.columns if c not in ("a", "b")]
+    right = parts.select("part", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+    left = parts.select("part", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
+    partial = pairs.join(right, "b").join(left, ["a", "part"]).select("a", "b", *more, "na", "nb", F.size(F.array_intersect("ka", "kb")).alias("o"))
+    return partial.where("o > 0").groupBy("a", "b", "na", "nb", *more).agg(F.sum("o").alias("o"))
+
+
+def linked(pairs: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose sets reach the threshold."""
+    return overlaps(pairs, parts).where(F.expr(f"100 * o >= {percent} * (na + nb - o)"))
+
+
+def _wider(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, component after ``links`` (c, d) between the components of ``found``, or nodes that have none yet."""
+    new = components(links.select(F.col("c").alias("a"), F.col("d").alias("b")))
+    if found is None:
+        return written(new, "components")
+    new = written(new, "joined")
+    moved = found.join(new.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return written(moved.unionByName(new.join(found, "node", "left_anti")), "components")
+
+
+def _meetings(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b (c, d: their components), each once, of nodes that meet in a place and may reach the threshold.
+
+    With ``left`` shared n-grams from the place on, a partner of size m needs ``left >= percent / (100 + percent) *
+    (n + m)``, so m is at most ``cap``; and the smaller set has ``percent`` / 100 of the larger one's size at least. The
+    larger node looks for the smaller one in the classes of size between these bounds, so that nodes whose bounds don't
+    meet are never paired, however many meet in the place.
+    """
+    band = lambda size: F.floor(F.ln(size.cast("double")) / BAND).cast("int")
+    cap = F.floor(F.col("left") * F.lit((100 + percent) / percent) + 1e-6) - F.col("n")
+    rows = open_.withColumn("cap", cap).withColumn("low", F.ceil(F.col("n") * percent / 100 - 1e-6)).where("cap >= low")
+    small = rows.where("cap >= n").select("k", band(F.col("n")).alias("band"), F.col("sig").alias("s"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("cap").alias("cap_s"))
+    large = rows.select("k", "sig", "n", "c", "cap", "low", F.explode(F.sequence(band(F.col("low")), band(F.least("cap", "n")))).alias("band"))
+    met = large.join(small, ["k", "band"]).where((F.col("c") != F.col("d")) & (F.col("m") >= F.col("low")) & (F.col("m") <= F.col("cap")) & (F.col("n") <= F.col("cap_s")))
+    met = met.where((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("s") < F.col("sig"))))
+    return met.select(F.col("sig").alias("a"), F.col("s").alias("b"), "c", "d").distinct()
 
 
 def node_components(nodes: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """node, component (digests) of all nodes of ``nodes`` that have links.
+    """node, component (digests) of all nodes of ``shared_grams`` that have links.
 
     In a round, the nodes that meet in a place and are not connected to one of them, its partner in turn, are compared
     with a partner: first the node with the fewest n-grams of its own, which is closest to the others, then others by
-    hash. Each node takes the partner that it meets most often. The last round compares what is left, all pairs.
+    hash. Each node takes the partner that it meets most often. The last round compares what is left, all pairs. Each
+    round's links go between the components found before, so components are never sought anew.
     """
     # From their first common place on, both nodes must have as many shared n-grams left as the pair's least overlap:
     # o >= percent / 100 * (n + m - o). ``left`` counts them, the place itself included.
     least = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
     near = (F.col("left") >= least) & (F.col("left_m") >= least)
+    spark = nodes.sparkSession
+    nodes, spent = put(nodes, "shared")
+    parts, parts_at = put(segments(nodes, borders(nodes)), "segments")
     entries = nodes.select("sig", "n", "shared", ((F.col("n") - F.col("shared")) / F.col("n")).alias("own"), F.posexplode("first").alias("i", "k"))
-    entries = written(entries.withColumn("left", F.col("shared") - F.col("i")).drop("i", "shared"), "entries")
-    links = found = None
+    entries, entries_at = put(entries.withColumn("left", F.col("shared") - F.col("i")).drop("i", "shared"), "entries")
+    discard(spark, spent)
+    found = None
     for k in range(star_rounds + 1):
         if found is None:
             own = entries.withColumn("c", F.col("sig"))
@@ -259,15 +356,14 @@ def node_components(nodes: DataFrame, percent: int = PERCENT, star_rounds: int =
         places = own.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(order.alias("o"), "own", "sig", "n", "c", "left")).alias("p")).where("lo < hi")
         if k < star_rounds:
             met = own.join(places.select("k", F.col("p.sig").alias("b"), F.col("p.n").alias("m"), F.col("p.c").alias("d"), F.col("p.left").alias("left_m")), "k").where((F.col("c") != F.col("d")) & near)
-            tally = met.groupBy(F.col("sig").alias("a"), "b").agg(F.count(F.lit(1)).alias("t"))
-            pairs = tally.groupBy("a").agg(F.max(F.struct("t", "b"))["b"].alias("b"))
+            tally = met.groupBy(F.col("sig").alias("a"), "b", "c", "d").agg(F.count(F.lit(1)).alias("t"))
+            pairs = tally.groupBy("a").agg(F.max(F.struct("t", "b", "c", "d")).alias("x")).select("a", "x.b", "x.c", "x.d")
         else:
-            open_ = own.join(places.select("k"), "k")
-            other = open_.select("k", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("left").alias("left_m"))
-            pairs = open_.join(other, "k").where((F.col("sig") < F.col("b")) & (F.col("c") != F.col("d")) & near).select(F.col("sig").alias("a"), "b").distinct()
-        new = linked(written(pairs, "pairs"), nodes, percent)
-        links = written(new if links is None else links.unionByName(new), "similar")
-        found = components(links)
+            pairs = _meetings(own.join(places.select("k"), "k", "left_semi"), percent)
+        pairs, pairs_at = put(pairs, "pairs")
+        found = _wider(found, linked(pairs, parts, percent).select("c", "d"))
+        discard(spark, pairs_at)
+    discard(spark, parts_at, entries_at)
     return found
 
 
@@ -278,7 +374,7 @@ def document_components(docs: DataFrame, words: int = WORDS, percent: int = PERC
     Repeated rows are equal sets like other copies. An empty table has no rows.
     """
     rows = written(document_sets(docs, words), "sets")
-    found = node_components(written(shared_grams(docs.where("doc_id is not null"), words, percent), "shared"), percent)
+    found = node_components(shared_grams(docs.where("doc_id is not null"), words, percent), percent)
     named = rows.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "sig")))
     # Written, so that the join deals its own sides, and can split a component that holds many rows.
     least = written(named.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "least")
