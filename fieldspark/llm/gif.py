@@ -1,6 +1,8 @@
 """GIF media column: LZW code streams, palettes, disposal and transparency, timed frames, colour histograms.
 
-``encode`` stores rows of 64 grey samples as frames of at most 1024 rows; ``frames`` reads any GIF 87a or 89a.
+``encode`` stores rows of 64 grey samples as frames of at most 1024 rows; ``frames`` reads any GIF 87a or 89a, and
+``shown`` composes what each frame shows. Stored media have their timing and the colour histograms of all that they show
+as columns; ``timed_frames`` gives both for every frame.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ RUN = 3838
 #: Width of the j-th code after a clear code, for 8-bit samples: entry 257 + j is made when it is read.
 _WIDTHS = np.minimum(12, np.concatenate([[9], np.array([(257 + j).bit_length() for j in range(1, 8192)])]))
 _GREY = bytes(v for c in range(256) for v in (c, c, c))
-MEDIA = "doc_id long, n_bytes long, payload_bytes long, media binary"
+BINS = 16
+MEDIA = "doc_id long, n_bytes long, payload_bytes long, media binary, n_frames long, duration_cs long, red array<long>, green array<long>, blue array<long>"
+FRAMES = "doc_id long, frame long, start_cs long, delay_cs long, shown_pixels long, red array<long>, green array<long>, blue array<long>"
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -35,20 +39,18 @@ def _codes(samples: bytes) -> np.ndarray:
     add, table, free, stop = out.append, {}, 258, 258 + RUN - 1
     get, cur = table.get, samples[0]
     for b in samples[1:]:
-        key = cur << 8 | b
-        code = get(key)
-        if code is not None:
-            cur = code
-            continue
-        add(cur)
-        if free == stop:
-            add(256)
-            table.clear()
-            free = 258
+        if (code := get(key := cur << 8 | b)) is None:
+            add(cur)
+            if free == stop:
+                add(256)
+                table.clear()
+                free = 258
+            else:
+                table[key] = free
+                free += 1
+            cur = b
         else:
-            table[key] = free
-            free += 1
-        cur = b
+            cur = code
     add(cur)
     add(257)
     return np.array(out, np.int64)
@@ -86,19 +88,54 @@ def encode(payload: bytes) -> bytes:
     return b"".join([*out, b";"])
 
 
+def _chased(up: np.ndarray) -> np.ndarray:
+    """Where each place ends by following ``up``, in which ends point to themselves; doubles the stride each time."""
+    while True:
+        on = up[up]
+        if (on == up).all():
+            return up
+        up = on
+
+
+def _expanded(codes: np.ndarray, clear: int) -> np.ndarray:
+    """Samples of the codes between two clear codes, which must start with a sample.
+
+    Entry ``clear + 2 + k`` of the table is phrase k and the first sample of the next one: the output from phrase k's
+    start on, one sample more than the phrase has. So every phrase is a copy of earlier output, its length one more
+    than that of the phrase it continues, and all lengths, then all samples, follow by chasing those references. A code
+    whose entry isn't made yet stands for the phrase before and its first sample.
+    """
+    n = len(codes)
+    place = np.arange(n)
+    literal = codes < clear
+    back = np.where(literal, place, np.minimum(codes - clear - 2, place - 1))
+    up, steps = back, (~literal).astype(np.int64)  # to the literal that a phrase goes back to
+    while steps[up].any():
+        steps, up = steps + steps[up], up[up]
+    size = steps + 1
+    start = np.concatenate([[0], np.cumsum(size)])
+    source = np.arange(start[-1]) + np.repeat(start[back] - start[:-1], size)
+    values = np.zeros(start[-1], np.uint8)
+    values[start[:-1][literal]] = codes[literal]
+    return values[_chased(source)]
+
+
 def lzw_decode(data: bytes, least: int, most: int) -> np.ndarray:
-    """Up to ``most`` samples of a GIF code stream with ``least``-bit samples; stops at the end code or the data's end.
+    """Up to ``most`` samples of a GIF code stream with ``least``-bit samples; stops at the end code or the data's end,
+    and at a code that can't be: the first after a clear code when it is no sample. Sample sizes other than 1 to 8 bits
+    give none.
 
     Between two clear codes the width of each code follows from its place alone, so a run's codes are cut out at once.
     """
+    if not 1 <= least <= 8:
+        return np.zeros(0, np.uint8)
     clear, end = 1 << least, (1 << least) + 1
     widths = _WIDTHS if least == 8 else np.minimum(12, np.concatenate([[least + 1], np.array([(clear + 1 + j).bit_length() for j in range(1, 8192)])]))
     buf = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
-    roots = [bytes([i]) for i in range(clear)] + [b"", b""]
-    out: list[bytes] = []
+    out: list[np.ndarray] = []
     at, total, got = 0, 8 * len(data), 0
     while got < most and at + least + 1 <= total:
-        ends = at + np.cumsum(widths)
+        ends = at + np.cumsum(widths[: min(len(widths), (total - at) // (least + 1) + 1)])
         while ends[-1] < total and len(ends) < total:  # no clear code for long: 12 bits each from here on
             ends = np.concatenate([ends, ends[-1] + 12 * np.arange(1, len(ends) + 1)])
         n = int(np.searchsorted(ends, total, "right"))
@@ -108,27 +145,15 @@ def lzw_decode(data: bytes, least: int, most: int) -> np.ndarray:
         codes = (buf[i] | buf[i + 1] << 8 | buf[i + 2] << 16) >> (starts & 7) & ((1 << size) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == end))
         k = int(stops[0]) if len(stops) else n
-        run = codes[:k].tolist()
-        if run:
-            table = roots.copy()
-            add, put = table.append, out.append
-            prev = table[run[0]]
-            put(prev)
-            for c in run[1:]:
-                if c < len(table):
-                    text = table[c]
-                    entry = prev + text[:1]
-                else:
-                    text = entry = prev + prev[:1]
-                if len(table) < 4096:
-                    add(entry)
-                put(text)
-                prev = text
-            got = sum(map(len, out))
+        if k:
+            if codes[0] > end:
+                break
+            out.append(_expanded(codes[:k], clear))
+            got += len(out[-1])
         if k == n or codes[k] == end:
             break
         at = int(ends[k])
-    return np.frombuffer(b"".join(out)[:most], np.uint8)
+    return np.concatenate(out)[:most] if out else np.zeros(0, np.uint8)
 
 
 @dataclass
@@ -145,18 +170,22 @@ class Frame:
 def frames(data: bytes) -> list[Frame]:
     """The frames of a GIF in order.
 
-    Interlaced rows are put in order, missing samples are 0, a sample beyond the palette is black, and a file cut
-    short gives the frames that it holds.
+    Interlaced rows are put in order, missing samples are 0, a sample beyond the palette is black. A file cut short
+    gives the frames whose image data has begun, the last one with what there is of it; nothing but another signature
+    is refused.
     """
-    if data[:3] != b"GIF" or len(data) < 13:
+    if data[:3] != b"GIF":
         raise ValueError("not a GIF")
+    if len(data) < 13:
+        return []
     flags, at = data[10], 13
 
     def palette(flags: int, at: int) -> tuple[np.ndarray | None, int]:
         if not flags & 0x80:
             return None, at
-        n = 2 << (flags & 7)
-        return np.frombuffer(data, np.uint8, 3 * n, at).reshape(-1, 3), at + 3 * n
+        n = 3 * (2 << (flags & 7))
+        raw = data[at : at + n]
+        return np.frombuffer(raw[: len(raw) // 3 * 3], np.uint8).reshape(-1, 3), at + n
 
     def body(at: int) -> tuple[bytes, int]:
         parts = []
@@ -168,7 +197,7 @@ def frames(data: bytes) -> list[Frame]:
     common, at = palette(flags, at)
     out: list[Frame] = []
     disposal, delay, clear = 0, 0, -1
-    while at < len(data) and data[at] != 0x3B:
+    while at + 1 < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
             label, (block, at) = data[at + 1], body(at + 2)
             if label == 0xF9 and len(block) >= 4:
@@ -178,6 +207,8 @@ def frames(data: bytes) -> list[Frame]:
             break
         left, top, w, h, local = struct.unpack_from("<HHHHB", data, at + 1)
         own, at = palette(local, at + 10)
+        if at >= len(data):
+            break
         least = data[at]
         stream, at = body(at + 1)
         flat = np.zeros(w * h, np.uint8)
@@ -198,34 +229,50 @@ def frames(data: bytes) -> list[Frame]:
     return out
 
 
-def shown(data: bytes) -> Iterator[np.ndarray]:
+def shown(data: bytes, read: list[Frame] | None = None) -> Iterator[np.ndarray]:
     """The screen (rows by columns by RGBA) as each frame shows it: transparent samples keep what is there, and the
-    frame before is disposed of first. Parts of a frame beyond the screen are cut off."""
+    frame before is disposed of first. Parts of a frame beyond the screen are cut off. ``read``: the frames, if at hand.
+    A screen is only valid until the next one is asked for."""
+    if len(data) < 13:
+        return
     width, height = struct.unpack_from("<HH", data, 6)
     canvas = np.zeros((height, width, 4), np.uint8)
-    for f in frames(data):
-        part = canvas[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1]]
+    for f in frames(data) if read is None else read:
+        place = np.s_[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1]]
+        part = canvas[place]
+        before = part.copy() if f.disposal == 3 else None
         indices = f.indices[: part.shape[0], : part.shape[1]]
-        before, drawn = canvas.copy(), indices != f.clear
-        part[drawn, :3] = f.colours[indices[drawn]]
-        part[drawn, 3] = 255
-        yield canvas.copy()
+        drawn = np.concatenate([f.colours, np.full((256, 1), 255, np.uint8)], 1)[indices]
+        if f.clear >= 0:
+            drawn = np.where((indices != f.clear)[..., None], drawn, part)
+        part[...] = drawn
+        yield canvas
         if f.disposal == 2:
             part[...] = 0
         elif f.disposal == 3:
-            canvas = before
+            part[...] = before
+
+
+def histograms(screen: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Pixels of a screen that anything was drawn on, by red, green and blue in equal bins: a row each."""
+    flat = screen.reshape(-1, 4)
+    if not flat[:, 3].all():
+        flat = flat[flat[:, 3] > 0]
+    channels = [np.ascontiguousarray(flat[:, c]) for c in range(3)]
+    out: list[np.ndarray] = []
+    for c, values in enumerate(channels):
+        same = next((k for k in range(c) if np.array_equal(channels[k], values)), None)  # grey
+        out.append(np.bincount(values, minlength=256).reshape(bins, -1).sum(1) if same is None else out[same])
+    return np.array(out, np.int64)
 
 
-def histogram(of: list[Frame], bins: int = 16) -> list[int]:
-    """Drawn pixels of all frames by brightness, the mean of red, green and blue, in equal bins of the palette."""
-    total = np.zeros(bins, np.int64)
-    for f in of:
-        counts = np.bincount(f.indices.ravel(), minlength=256)
-        if f.clear >= 0:
-            counts[f.clear] = 0
-        grey = f.colours.astype(np.int64).sum(1) // 3
-        total += np.bincount(grey * bins // 256, weights=counts, minlength=bins).astype(np.int64)
-    return total.tolist()
+def described(data: bytes, read: list[Frame] | None = None) -> tuple[int, int, np.ndarray]:
+    """Frames, hundredths of a second that they take, and the histograms of all that they show, summed."""
+    read = frames(data) if read is None else read
+    total = np.zeros((3, BINS), np.int64)
+    for screen in shown(data, read):
+        total += histograms(screen)
+    return len(read), sum(f.delay_cs for f in read), total
 
 
 def samples(of: list[Frame]) -> bytes:
@@ -234,7 +281,8 @@ def samples(of: list[Frame]) -> bytes:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with their texts' bytes as GIF: doc_id, n_bytes, payload_bytes, media. Null is empty."""
+    """``docs`` (doc_id, text) with their texts' bytes as GIF and what these show: doc_id, n_bytes, payload_bytes, media,
+    n_frames, duration_cs, and red, green and blue, the colour histograms over all frames. Null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,21 +290,63 @@ def store(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 raw = [t or b"" for t in part.column("body").to_pylist()]
                 padded = [t + b"\0" * (-len(t) % WIDTH or WIDTH * (not t)) for t in raw]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pa.array(map(len, raw), pa.int64()), "payload_bytes": pa.array(map(len, padded), pa.int64()), "media": pa.array(map(encode, padded), pa.binary())})
+                n = [-(-len(t) // (WIDTH * ROWS)) for t in padded]
+                # A frame after the first may be lower than the screen: the screen keeps the rows below it.
+                grey = pa.array([_grey_histogram(t).tolist() for t in padded], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part.column("doc_id"), "n_bytes": pa.array(map(len, raw), pa.int64()), "payload_bytes": pa.array(map(len, padded), pa.int64()), "media": pa.array(map(encode, padded), pa.binary()),
+                    "n_frames": pa.array(n, pa.int64()), "duration_cs": pa.array([DELAY * k for k in n], pa.int64()), "red": grey, "green": grey, "blue": grey,
+                })
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("body")).mapInArrow(run, MEDIA)
 
 
+def _grey_histogram(payload: bytes) -> np.ndarray:
+    """What ``described`` finds in ``encode(payload)``, from the payload."""
+    size = WIDTH * ROWS
+    full = np.frombuffer(payload, np.uint8)
+    cut = len(full) // size * size
+    out = np.bincount(full, minlength=256)
+    if cut and len(full) > cut:  # below a lower last frame the frame before it stays
+        out = out + np.bincount(full[cut - size + len(full) - cut : cut], minlength=256)
+    return out.reshape(BINS, -1).sum(1)
+
+
+def timed_frames(media: DataFrame) -> DataFrame:
+    """A row for each frame of the GIFs in ``media`` (doc_id, media): frame (from 0), start_cs, delay_cs, shown_pixels and
+    the colour histograms of the screen that it shows. Null media have no frames; other files than GIFs are refused."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 3
+        names = [c.split()[0] for c in FRAMES.split(", ")]
+        for batch in batches:
+            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("media")):
+                data = data.as_py() or b""
+                read, start, rows = frames(data) if data else [], 0, []
+                for k, (f, screen) in enumerate(zip(read, shown(data, read))):
+                    h = histograms(screen)
+                    rows.append((doc, k, start, f.delay_cs, int(h[0].sum()), *h.tolist()))
+                    start += f.delay_cs
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, FRAMES)
+
+
 def digest(media: DataFrame) -> DataFrame:
-    """What the stored bytes hold, read back: payload and media digests and a feature of frames, time and histogram."""
+    """What the stored bytes hold, read back: payload and media digests and a feature of frames, time and the histograms
+    of what they show. Media that don't show what their columns say are refused as damaged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, n, size, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "payload_bytes", "media"))):
+            for doc, n, size, data, *said in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "payload_bytes", "media", "n_frames", "duration_cs", "red", "green", "blue"))):
                 read = frames(data)
                 body = samples(read)
-                feature = f"frames={len(read)};centiseconds={sum(f.delay_cs for f in read)};histogram={','.join(map(str, histogram(read)))}"
+                count, time, shows = described(data, read)
+                if [count, time, *shows.tolist()] != said or len(body) != size:
+                    raise ValueError(f"damaged media of doc_id {doc}")
+                feature = f"frames={count};centiseconds={time};" + ";".join(f"{c}={','.join(map(str, h))}" for c, h in zip(("red", "green", "blue"), shows.tolist()))
                 rows.append((doc, n, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             cols = list(zip(*rows)) or [()] * 8
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
