@@ -9,6 +9,7 @@ encoded whole. Special tokens' strings in a text are ordinary text.
 from __future__ import annotations
 
 import os
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,18 +59,18 @@ class UnitEncoder:
     def _learn(self, units: list[str]) -> None:
         first = len(self.codes)
         for at in range(0, len(units), 4096):
-            for e in self.tokenizer.encode_batch_fast(units[at : at + 4096], add_special_tokens=False):
-                ids = e.ids
-                n, k = len(ids), first
-                if k >= len(self.lengths):
-                    self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts))
-                while self.used + n > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : self.used + n] = ids
-                self.lengths[k], self.starts[k] = n, self.used
-                self.used += n
-                first += 1
-        self.codes.update(zip(units, range(len(self.codes), first)))
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(units[at : at + 4096], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            ends = self.used + np.cumsum(lengths)
+            k = first + at
+            while k + len(ids) > len(self.lengths):
+                self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts))
+            while ends[-1] > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used : ends[-1]] = np.fromiter(chain.from_iterable(ids), self.flat.dtype, int(lengths.sum()))
+            self.lengths[k : k + len(ids)], self.starts[k : k + len(ids)] = lengths, ends - lengths
+            self.used = int(ends[-1])
+        self.codes.update(zip(units, range(first, first + len(units))))
 
     def _units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The units of all texts, and how many each text has."""
@@ -98,8 +99,11 @@ class UnitEncoder:
         words = found.dictionary.to_pylist()
         if len(self.codes) + len(words) > (self.memory or MEMORY):
             self._forget()
-        self._learn([w for w in words if w not in self.codes])
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))[np.asarray(found.indices)]
+        known = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(known < 0)
+        known[new] = np.arange(len(self.codes), len(self.codes) + len(new))
+        self._learn([words[k] for k in new.tolist()])
+        codes = known[np.asarray(found.indices)]
         lengths = self.lengths[codes]
         # ids of unit i go to [at[i], at[i] + lengths[i])
         upto = np.concatenate([[0], np.cumsum(lengths)])

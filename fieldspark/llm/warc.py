@@ -23,8 +23,8 @@ from fieldspark.llm.common import shared_dir
 DICTIONARY_FRAME = 0x184D2A5D
 #: Payloads below this many bytes are never revisits.
 LEAST = 100
-#: Bytes of records in an archive, about; most records and bytes of each that a dictionary is trained on; its size.
-ARCHIVE_BYTES, SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 16_000_000, 256, 16_384, 65_536
+#: Bytes of records in an archive, about; most pieces that a dictionary is trained on, bytes of a piece; its size.
+ARCHIVE_BYTES, SAMPLE_PIECES, PIECE_BYTES, DICTIONARY_BYTES = 16_000_000, 256, 16_384, 65_536
 ARCHIVES = "archive string, n_records long, payload binary"
 ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -63,10 +63,15 @@ def record(page_id: int | None, url: str | None, html: bytes, digest: str, refer
 
 
 def archive(records: list[bytes]) -> bytes:
-    """Dictionary frame and record frames. Too few or too short records for a dictionary: no dictionary frame."""
-    step = max(1, len(records) // SAMPLE_RECORDS)
+    """Dictionary frame and record frames. Too few or too short records for a dictionary: no dictionary frame.
+
+    The dictionary is trained on a bounded sample of the archive: its records are cut into pieces, and pieces at equal
+    distances from the first to the last are taken, so that no part of a long record is passed over.
+    """
+    where = [(k, at) for k, r in enumerate(records) for at in range(0, len(r), PIECE_BYTES)]
+    step = max(1, -(-len(where) // SAMPLE_PIECES))
     try:
-        trained = zstandard.train_dictionary(DICTIONARY_BYTES, [r[:SAMPLE_BYTES] for r in records[::step]][:SAMPLE_RECORDS])
+        trained = zstandard.train_dictionary(DICTIONARY_BYTES, [records[k][at : at + PIECE_BYTES] for k, at in where[::step]])
         raw = trained.as_bytes()
     except zstandard.ZstdError:
         trained, raw = None, b""

@@ -26,7 +26,7 @@ FILE_BYTES = 8_000_000
 #: Fixed values of the file format.
 MAGIC, HEAD, BLOCK = b"WVMX", struct.Struct("<4sHHQQ"), 512
 FILES = "part int, file int, n_docs long, n_tokens long, payload binary"
-ROWS = "part int, file int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+ROWS = "part int, file int, doc_id long, local_start long, n_tokens long, ids_crc32 long, local_end long, ends_before long"
 
 
 def pack(ids: np.ndarray, offsets: np.ndarray, doc_ids: list[int | None]) -> bytes:
@@ -130,6 +130,32 @@ class WaveletMatrix:
             i = self._nth(level, bit, i - self.zeros[level] if bit else i)
         return i
 
+    def rank_many(self, token: int, places: np.ndarray) -> np.ndarray:
+        """``rank`` of many places at once."""
+        lo, hi = 0, places.astype(np.int64)
+        if token >> self.bits:
+            return np.zeros(len(hi), np.int64)
+        for level in range(self.bits):
+            words = np.append(self.planes[level].view("<u8"), np.uint64(0))
+            word, rest = hi >> 6, (hi & 63).astype(np.uint64)
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+            ones = before[word] + np.bitwise_count(words[word] & ((np.uint64(1) << rest) - np.uint64(1)))
+            a = self._ones(level, lo)
+            lo, hi = (self.zeros[level] + a, self.zeros[level] + ones) if token >> (self.bits - 1 - level) & 1 else (lo - a, hi - ones)
+        return hi - lo
+
+    def select_many(self, token: int, ks: np.ndarray) -> np.ndarray:
+        """``select`` of many occurrences at once, all of which must be there."""
+        lo, hi = self._range(token, self.n)
+        if len(ks) and not (0 <= ks.min() and ks.max() < hi - lo):
+            raise IndexError(int(ks.max()))
+        i = lo + ks.astype(np.int64)
+        for level in range(self.bits - 1, -1, -1):
+            bit = token >> (self.bits - 1 - level) & 1
+            cells = np.unpackbits(self.planes[level], count=self.n, bitorder="little")
+            i = np.flatnonzero(cells == bit)[i - self.zeros[level] if bit else i]
+        return i
+
     def decode(self) -> np.ndarray:
         """All ids, from the last plane up."""
         now = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
@@ -165,7 +191,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
-    """One row for each document in the files, decoded: part, file, doc_id, local_start, n_tokens, ids_crc32."""
+    """One row for each document in the files: part, file, doc_id, local_start, n_tokens and, decoded, ids_crc32; by select,
+    local_end, the place of its end id in the file, and by rank, ends_before, how many end ids come before it."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,9 +200,11 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 matrix = WaveletMatrix(payload)
                 raw, ends = memoryview(matrix.decode().astype("<u4")).cast("B"), (matrix.offsets * 4).tolist()
                 n = len(matrix.doc_ids)
+                last = matrix.select_many(tokens.END, np.arange(n))
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([part] * n, pa.int32()), "file": pa.array([file] * n, pa.int32()), "doc_id": pa.array(matrix.doc_ids, pa.int64()),
                     "local_start": matrix.offsets[:-1], "n_tokens": np.diff(matrix.offsets), "ids_crc32": pa.array([zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:])], pa.int64()),
+                    "local_end": last, "ends_before": matrix.rank_many(tokens.END, matrix.offsets[:-1]),
                 })
 
     return files.select("part", "file", "payload").mapInArrow(decode, ROWS)
@@ -190,11 +219,13 @@ def file_starts(files: DataFrame) -> DataFrame:
 
 
 def token_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Digest of ``documents`` from their files: doc_id, start, n_tokens, ids_crc32. An empty table gives no rows."""
+    """Digest of ``documents`` from their files: doc_id, start, n_tokens, ids_crc32, end (the place of its end id among all
+    ids, by select) and file_rank (the document's place in its file, by rank). An empty table gives no rows."""
     spark = docs.sparkSession
     path = shared_dir(spark, "wavelet")
     write_tokens(docs, tokenizer, path)
     files = spark.read.schema(FILES).parquet(path)
     return read_tokens(files).join(file_starts(files.drop("payload")), ["part", "file"]).select(
-        "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"
-    )
+        "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32",
+        (F.col("base") + F.col("local_end")).alias("end"), F.col("ends_before").alias("file_rank"),
+    )

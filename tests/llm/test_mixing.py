@@ -97,3 +97,20 @@ def test_mixed_corpus_stands_in_slot_order(spark):
     copies = docs_of(spark, ["a b c"] * 3000 + ["d e f g"], lambda i: "a").withColumn("doc_id", F.lit(7).cast("long"))
     out = mixing.mixed_corpus(copies)
     assert out.agg(F.sum(F.size(F.split("text", " ")))).first()[0] == mixing.mix_documents(copies).agg(F.sum("taken")).first()[0]
+
+
+def test_taken_words_follow_the_shuffled_stream(spark):
+    """Every document's words, from the streams read plainly: sources' documents in the order of their hashes, again from
+    the start, until the target is reached."""
+    docs = docs_of(spark, prose(9, 500), lambda i: "abc"[i % 7 % 3])
+    rows = mixing.mix_documents(docs).collect()
+    order = {r.doc_id: (r.bucket, r.h) for r in mixing._sized(docs).withColumn("h", F.xxhash64(F.lit("order"), "doc_id", "digest", "size")).withColumn("bucket", F.pmod("h", F.lit(max(1, len(rows) // mixing.BUCKET_ROWS)))).collect()}
+    for size in {r.source_size for r in rows}:
+        own = sorted((r for r in rows if r.source_size == size), key=lambda r: order[r.doc_id])
+        left, want = int(own[0].target), dict.fromkeys((r.doc_id for r in own), 0)
+        for _ in range(2):
+            for r in own:
+                n = min(left, r["size"])
+                want[r.doc_id] += n
+                left -= n
+        assert {r.doc_id: r.taken for r in own} == want and left == 0

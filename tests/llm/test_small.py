@@ -1,18 +1,20 @@
 """Operators against brute force, exact round trips and the edge cases that their docstrings name."""
 
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cases import DOCS, HARD, docs_of, prose
 
 from fieldspark.llm import packing, quality, sharding, tokens, warc, wavelet
-from fieldspark.llm.common import vocabulary
+from fieldspark.llm.common import shared_dir, vocabulary
 
 # --- 1 sharding
 
@@ -29,6 +31,34 @@ def test_shards_are_gapless_and_grow_into_the_new_one(spark, hard, empty):
     assert got[(5, zlib.crc32(HARD[5].encode()))] == len(HARD[5].encode()) + 1 and got[(1, 0)] == 1
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of longs, ints and strings: each value's hash seeds the next."""
+    h = 42
+    for kind, v in values:
+        raw = v.encode() if kind == "s" else v.to_bytes(8 if kind == "l" else 4, "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, seed=h & (2**64 - 1))
+    return h - 2**64 if h >= 2**63 else h
+
+
+def plain_place(key, topology):
+    """Draws written out: -ln(u) / weight for each child of a level, the smallest wins."""
+    rows = topology
+    for level in ("region", "rack", "shard"):
+        weights = {}
+        for s in rows:
+            weights[getattr(s, level)] = weights.get(getattr(s, level), 0.0) + s.weight
+        draw = {c: -math.log((((spark_hash(("l", key), ("s", level), ("i", c)) & (2**64 - 1)) >> 11) + 0.5) / 2**53) / w for c, w in weights.items()}
+        best = min(draw, key=lambda c: (draw[c], c))
+        rows = [s for s in rows if getattr(s, level) == best]
+    return rows[0].shard
+
+
+def test_draws_equal_plain_ones(spark):
+    for topology in (sharding.tree(8), sharding.grown(sharding.reweighted(sharding.tree(7, 3, 2), 2, 3.5))):
+        got = spark.range(500).select("id", sharding.place(F.col("id"), topology).alias("s")).collect()
+        assert all(r.s == plain_place(r.id, topology) for r in got)
+
+
 def test_changed_weight_moves_rows_only_within_or_into_its_subtree(spark):
     old = sharding.tree(8)
     ids = spark.range(4000)
@@ -81,6 +111,19 @@ def test_wavelet_matrix_answers_from_the_file():
     assert none.decode().tolist() == [] and none.count(0) == 0
 
 
+def test_many_ranks_and_selects_at_once():
+    r = np.random.default_rng(11)
+    ids = r.integers(0, 70, 3000).astype(np.uint32)
+    m = wavelet.WaveletMatrix(wavelet.pack(ids, np.array([0, 3000]), [1]))
+    for token in (0, 2, 63, 69, 500):
+        at = np.flatnonzero(ids == token)
+        assert m.select_many(token, np.arange(len(at))).tolist() == at.tolist()
+        places = r.integers(0, 3001, 50)
+        assert m.rank_many(token, places).tolist() == [int((ids[:p] == token).sum()) for p in places]
+    with pytest.raises(IndexError):
+        m.select_many(2, np.array([10_000]))
+
+
 def test_token_documents(spark, hard, empty):
     name = vocabulary("word_bpe_49k.json")
     rows = wavelet.token_documents(hard, name).collect()
@@ -196,3 +239,47 @@ def test_quality_on_held_out_rows(spark, hard, empty):
 def test_statistics_take_no_crash():
     for t in (b"", b" \n", b"a", "é".encode() * 9, b"\xff\xfe x", b"A" * 100_000):
         assert np.isfinite(quality.statistics(t)).all()
+
+
+def test_scores_are_log_density_differences():
+    r = np.random.default_rng(8)
+    x = r.normal(size=(400, 5)) @ r.normal(size=(5, 5)) + np.arange(5)
+    y = (r.random(400) < 0.4).astype(float)
+    x[y == 1] *= 1.5
+    model = quality.fit(x, y)
+    z = (x - model.centre) / model.scale
+    fitted = np.arange(400) % 4 != 3
+    pooled = np.mean([z[fitted & (y == c)].var(0) for c in (0, 1)], axis=0) + 1e-3
+    density = []
+    for c in (0, 1):
+        own = z[fitted & (y == c)]
+        cov = (1 - quality.SHRINKAGE) * np.cov(own.T, bias=True) + quality.SHRINKAGE * np.diag(pooled)
+        d = z - own.mean(0)
+        density.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1])
+    assert np.allclose(model.difference(x), density[1] - density[0])
+
+
+def test_shared_folder_is_asked_for_on_clusters():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session(), "x")
+
+
+def test_dictionary_sees_whole_records(monkeypatch):
+    seen = []
+    monkeypatch.setattr(warc.zstandard, "train_dictionary", lambda size, pieces: seen.extend(pieces) or (_ for _ in ()).throw(warc.zstandard.ZstdError("few")))
+    body = bytes(range(256)) * 40_000
+    assert list(warc.records(warc.archive([body, b"x" * 200]))) == [body, b"x" * 200]
+    assert len(seen) <= warc.SAMPLE_PIECES and seen[0] == body[: warc.PIECE_BYTES] and sum(map(len, seen)) > 2_000_000
