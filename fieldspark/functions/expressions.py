@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,14 +67,13 @@ def number_text(value: Column) -> Column:
     return F.regexp_replace(F.format_number(value.cast("double"), 3), r"\.?0+$", "")
 
 
-def band_text(value: Column) -> Column:
-    """What a mean index says about canopy, by band."""
-    shown = number_text(value)
-    return (
-        F.when(value < 0.3, F.concat(F.lit("Mean NDVI "), shown, F.lit(" is below 0.3. Recommend immediate scouting for possible nutrient, pest, disease, water, or establishment pressure, and comparison with growth stage and field observations. One satellite scene cannot confirm which cause is present; this is not a claim of measured stress or yield loss.")))
-        .when(value <= 0.6, F.concat(F.lit("Mean NDVI "), shown, F.lit(" is in the 0.3 to 0.6 watch band: canopy development is worth monitoring against growth stage and field observations. One satellite scene cannot confirm a cause.")))
-        .when(value.isNotNull(), F.concat(F.lit("Mean NDVI "), shown, F.lit(" is above 0.6: consistent with a developed canopy for this scene date. NDVI is a single-scene canopy signal, so continue routine monitoring.")))
-    )
+def filled(template: str, values: Mapping[str, Column]) -> Column:
+    """A template with ``{name}`` for each of ``values``, which are text or numbers, as a column."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        parts += [F.lit(text)] if text else []
+        parts += [values[name].cast("string")] if name else []
+    return F.concat(*parts) if parts else F.lit("")
 
 
 def date_of_stamp(stamp: Column) -> Column:

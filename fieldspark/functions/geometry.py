@@ -64,19 +64,49 @@ def contains(edge: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return odd
 
 
-def _crossing_heights(edge: np.ndarray) -> np.ndarray:
-    """Heights at which two edges cross."""
+def inside_grid(edge: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """``contains`` for a grid of rising ``xs`` by any ``ys``: rows by columns. Each edge crosses a row once; a point is
+    inside when an odd number of crossings lie to its right."""
+    crossed = np.zeros((len(ys), len(xs) + 1), np.int32)
+    rows = np.argsort(ys, kind="stable")
+    low, high = np.minimum(edge[:, 1], edge[:, 3]), np.maximum(edge[:, 1], edge[:, 3])
+    a, b = np.searchsorted(ys[rows], low, "left"), np.searchsorted(ys[rows], high, "left")
+    which = np.repeat(np.arange(len(edge)), b - a)
+    row = rows[np.arange(len(which)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[which]]
+    x1, y1, x2, y2 = edge[which].T
+    at = x1 + (ys[row] - y1) * ((x2 - x1) / (y2 - y1))
+    np.add.at(crossed, (row, np.searchsorted(xs, at, "left")), 1)
+    return (crossed[:, ::-1].cumsum(1)[:, ::-1][:, 1:] % 2).astype(bool)
+
+
+def _crossing_heights(edge: np.ndarray, once: bool = False) -> np.ndarray:
+    """Heights at which two edges cross; ``once``: the first ones found will do.
+
+    Edges are sorted by their lower end, and each meets only those that begin below its upper end, in blocks.
+    """
+    low, high = np.minimum(edge[:, 1], edge[:, 3]), np.maximum(edge[:, 1], edge[:, 3])
+    order = np.argsort(low, kind="stable")
+    edge, low, high = edge[order], low[order], high[order]
     x1, y1, x2, y2 = edge.T
     dx, dy = x2 - x1, y2 - y1
+    end = np.searchsorted(low, high, "right")
     out = []
-    for i in range(len(edge) - 1):
-        a, b = slice(i + 1, None), i
+    step = max(1, 65_536 // max(1, len(edge)))
+    for at in range(0, len(edge), step):
+        rows = np.arange(at, min(len(edge), at + step))
+        n = np.maximum(end[rows] - rows - 1, 0)
+        b = np.repeat(rows, n)
+        a = np.arange(len(b)) - np.repeat(np.cumsum(n) - n, n) + b + 1
+        near = (np.minimum(x1[a], x2[a]) <= np.maximum(x1[b], x2[b])) & (np.maximum(x1[a], x2[a]) >= np.minimum(x1[b], x2[b]))
+        a, b = a[near], b[near]
         den = dx[b] * dy[a] - dy[b] * dx[a]
         with np.errstate(divide="ignore", invalid="ignore"):
             t = ((x1[a] - x1[b]) * dy[a] - (y1[a] - y1[b]) * dx[a]) / den
             u = ((x1[a] - x1[b]) * dy[b] - (y1[a] - y1[b]) * dx[b]) / den
         ok = (den != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        out.append(y1[b] + t[ok] * dy[b])
+        out.append(y1[b][ok] + t[ok] * dy[b][ok])
+        if once and ok.any():
+            break
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -95,7 +125,11 @@ def _spans(edge: np.ndarray, low: float, high: float) -> list[tuple[float, float
 
 def _covered(field_edges: np.ndarray, pieces: Sequence[np.ndarray], whole: np.ndarray):
     """Slabs (low, high) and the stretches of the field that any piece covers in each."""
+    low = max(field_edges[:, [1, 3]].min(), min(p[:, [1, 3]].min() for p in pieces))
+    high = min(field_edges[:, [1, 3]].max(), max(p[:, [1, 3]].max() for p in pieces))
+    whole = whole[(np.minimum(whole[:, 1], whole[:, 3]) < high) & (np.maximum(whole[:, 1], whole[:, 3]) > low)]
     heights = np.unique(np.concatenate([whole[:, 1], whole[:, 3], _crossing_heights(whole)]))
+    heights = heights[(heights >= low) & (heights <= high)]
     for low, high in zip(heights[:-1], heights[1:]):
         own = _spans(field_edges, low, high)
         if not own or high - low <= 0:
@@ -114,16 +148,81 @@ def _covered(field_edges: np.ndarray, pieces: Sequence[np.ndarray], whole: np.nd
                     yield low, high, lo, hi, left if a >= c else l2, right if b <= d else r2
 
 
+def _convex(rings: Sequence) -> tuple[list[float], list[float]] | None:
+    """Corners, counter-clockwise, of a polygon of one convex ring; None for others."""
+    if len(rings) != 1:
+        return None
+    x, y = _ring(rings[0])
+    if len(x) < 4:
+        return None
+    dx, dy = np.diff(x), np.diff(y)
+    turn = dx * np.roll(dy, -1) - dy * np.roll(dx, -1)
+    around = np.abs(np.arctan2(turn, dx * np.roll(dx, -1) + dy * np.roll(dy, -1)).sum())
+    if not (abs(around - 2 * np.pi) < 1e-6 and ((turn >= 0).all() or (turn <= 0).all())):
+        return None
+    step = 1 if turn.sum() > 0 else -1
+    return x[:-1][::step].tolist(), y[:-1][::step].tolist()
+
+
+def _clipped_area(field: Sequence, corners: tuple[list[float], list[float]]) -> float:
+    """Area of a polygon within a convex one: each ring is cut along every side, holes are taken off."""
+    total = 0.0
+    cx, cy = corners
+    for ring in field:
+        x, y = _ring(ring)
+        points = list(zip(x[:-1].tolist(), y[:-1].tolist()))
+        for k in range(len(cx)):
+            ax, ay = cx[k - 1], cy[k - 1]
+            ux, uy = cx[k] - ax, cy[k] - ay
+            if not points:
+                break
+            out = []
+            px, py = points[-1]
+            before = ux * (py - ay) - uy * (px - ax)
+            for qx, qy in points:
+                side = ux * (qy - ay) - uy * (qx - ax)
+                if (side >= 0) != (before >= 0):
+                    t = before / (before - side)
+                    out.append((px + t * (qx - px), py + t * (qy - py)))
+                if side >= 0:
+                    out.append((qx, qy))
+                px, py, before = qx, qy, side
+            points = out
+        area = 0.0
+        if points:
+            ox, oy = points[0]
+            for (px, py), (qx, qy) in zip(points, points[1:]):
+                area += (px - ox) * (qy - oy) - (qx - ox) * (py - oy)
+        total += ring["sign"] * abs(area) / 2
+    return total
+
+
+def _apart(boxes: list[tuple[float, float, float, float]]) -> bool:
+    """Whether no two boxes share an area; for few of them."""
+    return len(boxes) <= 64 and not any(a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3] for k, a in enumerate(boxes) for b in boxes[:k])
+
+
 def covered_area(field: Sequence, pieces: Sequence[Sequence]) -> float:
     """Area of ``field`` that the union of ``pieces`` covers; less than a billionth of the field counts as touching.
 
-    The plane is cut at the heights of all corners and crossings, so that within a slab no edges cross and the
-    covered width at mid height times the slab's height is exact.
+    Convex pieces that don't overlap cut the field side by side. Otherwise the plane is cut at the heights of all
+    corners and crossings, so that within a slab no edges cross and the covered width at mid height times the slab's
+    height is exact.
     """
-    f, p = edges(field), [e for e in map(edges, pieces) if len(e)]
-    if not len(f) or not p:
+    box = bounds(field) if len(field) else (0.0, 0.0, 0.0, 0.0)
+    boxes = [bounds(p) for p in pieces if len(p)]
+    near = [k for k, b in enumerate(boxes) if b[0] < box[2] and box[0] < b[2] and b[1] < box[3] and box[1] < b[3]]
+    pieces = [p for p in pieces if len(p)]
+    pieces, boxes = [pieces[k] for k in near], [boxes[k] for k in near]
+    if not pieces:
         return 0.0
-    area = sum((high - low) * (hi - lo) for low, high, lo, hi, _, _ in _covered(f, p, np.concatenate([f, *p])))
+    if _apart(boxes) and all(corners := [_convex(p) for p in pieces]):
+        area = sum(_clipped_area(field, c) for c in corners)
+    else:
+        f, p = edges(field), [e for e in map(edges, pieces) if len(e)]
+        if not len(f) or not p:
+            return 0.0
+        area = sum((high - low) * (hi - lo) for low, high, lo, hi, _, _ in _covered(f, p, np.concatenate([f, *p])))
     return float(area) if area > 1e-9 * measures(field)[0] else 0.0
 
 
@@ -150,7 +249,7 @@ def is_simple(rings: Sequence) -> bool:
         if len(x) < 4 or not (np.isfinite(x).all() and np.isfinite(y).all()):
             return False
     every = [np.stack([x[:-1], y[:-1], x[1:], y[1:]], 1) for x, y in map(_ring, rings)]
-    return bool(every) and len(_crossing_heights(np.concatenate(every))) == 0 and measures(rings)[0] > 0
+    return bool(every) and len(_crossing_heights(np.concatenate(every), once=True)) == 0 and measures(rings)[0] > 0
 
 
 def _q(sin: np.ndarray) -> np.ndarray:

@@ -1,6 +1,8 @@
 """Gates: each returns its input, or raises ``CheckError`` that names the rule.
 
-A gate is one job over its input that stops at the first offender or reduces to one row.
+A gate is one job over its input that stops at the first offender or reduces to one row. Several rules of one table go
+through ``require_all`` in one job. Gates read their input by themselves, so derived tables are best written before.
+``*_findings`` give what gates would refuse as rows, for reports over many tables or large inputs.
 """
 
 from __future__ import annotations
@@ -83,33 +85,136 @@ def require_rules(df: DataFrame, rules: Mapping[str, Column], label: str) -> Dat
     return df
 
 
-def require_finite(df: DataFrame, columns: Sequence[str], label: str, integral: bool = False) -> DataFrame:
-    """Columns hold finite numbers, whole ones if ``integral``; nulls are refused."""
+def require_all(df: DataFrame, label: str, rules: Mapping[str, Column] | None = None, unique: Sequence[str] = (), sums: tuple[str, str, float] | None = None, parent: DataFrame | None = None, key: str = "") -> DataFrame:
+    """All of a table's gates in one job: ``rules`` as in ``require_rules``, ``unique`` keys, ``sums`` (key, value, most) as
+    in ``require_sums``, and every non-null ``key`` among those of ``parent``.
+
+    Rows are reduced to their unique keys first, broken rules summed on the way, then to the keys of sums or reference;
+    the parent's keys join that aggregation as rows of their own.
+    """
+    rules = dict(rules or {})
+    names = list(rules)
+    broken = [f"_r{k}" for k in range(len(names))]
+    group = [sums[0]] if sums else [key] if parent is not None else []
+    rows = df.select(*{*unique, *group}, *([F.col(sums[1]).alias("_v")] if sums else []), *[(~rules[n]).cast("int").alias(b) for n, b in zip(names, broken)])
+    aggs = [F.coalesce(F.sum(b), F.lit(0)).alias(b) for b in broken]
+    held = [F.sum("_v").alias("_v")] if sums else []
+    if unique:
+        rows = rows.groupBy(*unique).agg(F.count(F.lit(1)).alias("_n"), *aggs, *held)
+    else:
+        rows = rows.withColumn("_n", F.lit(1).cast("long"))
+    most = [F.max("_n").alias("_n"), *aggs]
+    if parent is not None and not sums:
+        rows = rows.select(F.col(key).alias("_k"), "_n", *broken, F.lit(False).alias("_p"))
+        known = parent.select(F.col(key).alias("_k"), F.lit(0).cast("long").alias("_n"), *[F.lit(0).cast("long").alias(b) for b in broken], F.lit(True).alias("_p"))
+        rows = rows.unionByName(known).groupBy("_k").agg(*most, F.bool_or("_p").alias("_p"))
+        extra = [F.count_if(F.col("_k").isNotNull() & ~F.col("_p")).alias("_lost"), F.min(F.when(~F.col("_p"), F.col("_k").cast("string"))).alias("_some")]
+    elif sums:
+        rows = rows.groupBy(sums[0]).agg(*most, *held)
+        extra = [F.count_if(F.col("_v") > sums[2]).alias("_over"), F.min(F.when(F.col("_v") > sums[2], F.col(sums[0]).cast("string"))).alias("_some")]
+    else:
+        extra = []
+    got = rows.agg(*most, *extra).first()
+    wrong = [f"duplicate {'/'.join(unique)}"] if unique and (got["_n"] or 0) > 1 else []
+    wrong += [n for n, b in zip(names, broken) if got[b]]
+    if sums and got["_over"]:
+        wrong.append(f"{sums[1]} of {got['_some']} exceed {sums[2]:g}")
+    if parent is not None and not sums and got["_lost"]:
+        wrong.append(f"unknown {key} {got['_some']}")
+    if wrong:
+        raise CheckError(f"{label}: {'; '.join(wrong)}")
+    return df
+
+
+def rule_findings(df: DataFrame, key: str, rules: Mapping[str, Column]) -> DataFrame:
+    """rule, key (as text) of each row and rule that ``require_rules`` would refuse; one pass."""
+    hits = F.array_compact(F.array(*[F.when(~c, F.lit(n)) for n, c in rules.items()]))
+    return df.select(F.explode(hits).alias("rule"), F.col(key).cast("string").alias("key"))
+
+
+def finite_rules(columns: Sequence[str], integral: bool = False) -> dict[str, Column]:
+    """The rules of ``require_finite``."""
     rules = {}
     for c in columns:
         v = F.col(c).cast("double")
         rules[f"non-finite {c}"] = finite(v)
         if integral:
             rules[f"non-integral {c}"] = ~finite(v) | (v == F.floor(v))
-    return require_rules(df, rules, label)
+    return rules
+
+
+def number_rules(columns: Sequence[str]) -> dict[str, Column]:
+    """The rules of ``to_numbers``."""
+    return {f"invalid numeric {c}": F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).isin("", "NaN", "nan") | F.expr(f"try_cast(trim(cast(`{c}` as string)) as double)").isNotNull() for c in columns}
+
+
+def text_rules(columns: Sequence[str]) -> dict[str, Column]:
+    """The rules of ``require_text``."""
+    return {f"empty {c}": ~F.coalesce(F.col(c), F.lit("")).isin("", "nan") for c in columns}
+
+
+def key_rules(columns: Sequence[str]) -> dict[str, Column]:
+    """The rules of ``to_keys``."""
+    return {f"empty {c}": F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "" for c in columns}
+
+
+def duplicate_findings(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rule, key of each key that ``require_unique`` would refuse; several columns' texts are joined by a slash."""
+    key = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    return df.groupBy(*keys).count().where("count > 1").select(F.lit(f"duplicate {'/'.join(keys)}").alias("rule"), key.alias("key"))
+
+
+def key_findings(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """rule, key of each key by which two sides differ: missing on the right, or unknown on the left. One aggregation
+    over the keys of both."""
+    sides = left.select(F.col(key).cast("string").alias("key"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(F.col(key).cast("string").alias("key"), F.lit(0).alias("l"), F.lit(1).alias("r")))
+    seen = sides.where("key is not null").groupBy("key").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    return seen.where("l <> r").select(F.when(F.col("l") == 1, f"missing {key}").otherwise(f"unknown {key}").alias("rule"), "key")
+
+
+def sum_findings(df: DataFrame, key: str, value: str, most: float) -> DataFrame:
+    """rule, key of each key that ``require_sums`` would refuse."""
+    over = df.groupBy(key).agg(F.sum(value).alias("s")).where(F.col("s") > most)
+    return over.select(F.lit(f"sum of {value} exceeds {most:g}").alias("rule"), F.col(key).cast("string").alias("key"))
+
+
+def period_findings(df: DataFrame, column: str, group: Sequence[str], first: str, last: str, rows: int) -> DataFrame:
+    """rule, key of each group whose row count, least or greatest value ``require_period`` would refuse; a rule each."""
+    got = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(column).cast("string").alias("lo"), F.max(column).cast("string").alias("hi"))
+    rules = {"row count": F.col("n") == rows, "first day": F.coalesce(F.col("lo") == first, F.lit(False)), "last day": F.coalesce(F.col("hi") == last, F.lit(False))}
+    return rule_findings(got.withColumn("_key", F.concat_ws("/", *[F.col(g).cast("string") for g in group])), "_key", rules)
+
+
+def require_finite(df: DataFrame, columns: Sequence[str], label: str, integral: bool = False) -> DataFrame:
+    """Columns hold finite numbers, whole ones if ``integral``; nulls are refused."""
+    return require_rules(df, finite_rules(columns, integral), label)
 
 
 def to_numbers(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Text columns as double: blank is null, other text that is no number is refused, NaN is null."""
+    require_rules(df, number_rules(columns), label)
+    return as_numbers(df, columns)
+
+
+def as_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Text columns as double, without the gate: blank, NaN and what is no number are null."""
+
     def parsed(c: str) -> Column:
         v = F.expr(f"try_cast(trim(cast(`{c}` as string)) as double)")
         return F.when(~F.isnan(v), v)
 
-    rules = {f"invalid numeric {c}": F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).isin("", "NaN", "nan") | F.expr(f"try_cast(trim(cast(`{c}` as string)) as double)").isNotNull() for c in columns}
-    require_rules(df, rules, label)
     return df.withColumns({c: parsed(c) for c in columns})
 
 
+def as_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Key columns as trimmed strings, without the gate: null is empty."""
+    return df.withColumns({c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns})
+
+
 def to_keys(df: DataFrame, columns: Sequence[str], label: str, may_be_empty: Sequence[str] = ()) -> DataFrame:
     """Key columns as trimmed strings; null or empty ones are refused, but for those of ``may_be_empty``, made empty."""
-    keys = {c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns}
-    require_rules(df, {f"empty {c}": v != "" for c, v in keys.items() if c not in may_be_empty}, label)
-    return df.withColumns(keys)
+    require_rules(df, key_rules([c for c in columns if c not in may_be_empty]), label)
+    return as_keys(df, columns)
 
 
 def require_period(df: DataFrame, column: str, first: str, last: str, rows: int, label: str) -> DataFrame:
@@ -136,4 +241,4 @@ def require_sums(df: DataFrame, key: str, value: str, most: float, label: str) -
 
 def require_text(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Columns hold text that is neither empty nor ``nan``."""
-    return require_rules(df, {f"empty {c}": ~F.coalesce(F.col(c), F.lit("")).isin("", "nan") for c in columns}, label)
+    return require_rules(df, text_rules(columns), label)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.expressions import alternating, letter_sequence, only_classes
 from fieldspark.operators import checks
+from fieldspark.operators.places import exact_quantiles
 
 
 def wide_history(history: DataFrame, years: Sequence[int]) -> DataFrame:
@@ -37,10 +38,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def field_summary(fields: DataFrame, history: DataFrame) -> DataFrame:
     """One row: counts and areas of fields, and records, missing classes and repeated keys of their history."""
-    f = fields.agg(F.count(F.lit(1)).alias("field_count"), F.sum("area_ha").alias("total_area_ha"), F.avg("area_ha").alias("mean_area_ha"), F.median("area_ha").alias("median_area_ha"))
+    f = fields.agg(F.count(F.lit(1)).alias("field_count"), F.sum("area_ha").alias("total_area_ha"), F.avg("area_ha").alias("mean_area_ha"))
+    middle = exact_quantiles(fields.select(F.lit(1).alias("g"), "area_ha"), "g", "area_ha", [0.5]).agg(F.max(F.col("q")[0]).alias("median_area_ha"))
     keys = history.groupBy("field_id", "year").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cdl_code").isNull()).alias("m"))
     h = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("crop_record_count"), F.coalesce(F.sum("m"), F.lit(0)).alias("missing_crop_record_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_field_id_count"))
-    return f.crossJoin(h)  # one row each
+    return f.crossJoin(middle).crossJoin(h)  # one row each
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
@@ -52,7 +54,8 @@ def missing_counts(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, n, mean, std, min, q25, q50, q75, max with exact interpolated quartiles."""
     rows = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])))
-    z = rows.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("v").alias("max"))
+    z = rows.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    z = z.join(exact_quantiles(rows, "column", "v", [0.25, 0.5, 0.75]), "column", "left")
     return z.select("column", "n", "mean", "std", "min", *[F.col("q")[k].alias(f"q{q}") for k, q in enumerate((25, 50, 75))], "max")
 
 

@@ -9,12 +9,16 @@ from fieldspark.functions.expressions import clear_class, has_data, ndvi
 from fieldspark.operators import checks, zonal
 
 
-def require_same_grids(bands: DataFrame) -> DataFrame:
-    """The red and nir rows of each scene in ``bands`` (scene_id, band, width, height, srid, x0, y0, pixel_size) have
-    one grid, and the scene has both."""
+def grid_findings(bands: DataFrame) -> DataFrame:
+    """scene_id, bands, grids of the scenes in ``bands`` (scene_id, band, width, height, srid, x0, y0, pixel_size) whose red
+    and nir rows don't have one grid, or that lack one of the two."""
     grid = F.struct("width", "height", "srid", "x0", "y0", "pixel_size")
-    odd = bands.where(F.col("band").isin("red", "nir")).groupBy("scene_id").agg(F.count_distinct("band").alias("bands"), F.count_distinct(grid).alias("grids")).where("bands < 2 or grids > 1")
-    if bad := sorted(r.scene_id for r in odd.limit(5).collect()):
+    return bands.where(F.col("band").isin("red", "nir")).groupBy("scene_id").agg(F.count_distinct("band").alias("bands"), F.count_distinct(grid).alias("grids")).where("bands < 2 or grids > 1")
+
+
+def require_same_grids(bands: DataFrame) -> DataFrame:
+    """``bands``, in which ``grid_findings`` finds nothing."""
+    if bad := sorted(r.scene_id for r in grid_findings(bands).limit(5).collect()):
         raise checks.CheckError(f"bands: red and nir grids differ in {', '.join(bad)}")
     return bands
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions.expressions import hectares
 from fieldspark.operators import checks
 
-#: Columns of the integrated table, in order, with their types.
+#: Columns of the integrated table, in order, with their types.
 INTEGRATED = {
     "field_id": "string", "crop_2023_name": "string", "dominant_soil": "string", "dominant_soil_name": "string", "dominant_soil_mukey": "string", "dominant_soil_overlap_area_ha": "double",
     "mean_ndvi": "double", "ndvi_coverage_fraction": "double", "valid_pixel_count": "long", "total_pixel_count": "long",

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.functions.expressions import band_text, finite, number_text, soil_label
+from fieldspark.functions.expressions import filled, finite, ndvi_band, number_text, soil_label
 from fieldspark.operators import checks
 
 #: Columns of a field record.
 RECORD = ("field_id", "area_ha", "crop_2023", "crop_2023_pixels", "soil_type", "soil_name", "mean_ndvi", "ndvi_coverage_fraction", "organic_matter_pct", "ph_h2o", "cec_cmol_kg", "carbon_storage_mg_c_ha")
 #: Key figures that are means over the fields of a selection, by record column.
 MEANS = {"mean_ndvi": "mean_ndvi", "mean_organic_matter_pct": "organic_matter_pct", "mean_ph": "ph_h2o", "mean_cec_cmol_kg": "cec_cmol_kg", "mean_carbon_storage_mg_c_ha": "carbon_storage_mg_c_ha"}
-NOTE = "NDVI is a single-scene canopy signal. Crop classes come from CDL satellite classification. SSURGO soil values are generalized screening estimates, not measured samples or management prescriptions."
-NO_MATCH = "No fields match the selected Field ID and Soil Type combination. Adjust or reset the filters to see data again."
+#: Words of a caption; a template may use n, all, field, area, crop, soil, index, organic_matter and ph, numbers with three
+#: decimals at most. ``low``, ``middle`` and ``high`` follow the band of the mean index.
+WORDS = {
+    "none": "Nothing selected.", "one": "{field}: {area} ha of {crop} on {soil}.", "some": "{n} of {all} fields, {area} ha, mostly {crop}.", "every": "All {n} fields, mostly {crop}.",
+    "low": "Index {index}: low.", "middle": "Index {index}: medium.", "high": "Index {index}: high.", "soil": "Organic matter {organic_matter} %, pH {ph}.",
+}
 
 
 def field_records(fields: DataFrame, crops: DataFrame, integrated: DataFrame, index: DataFrame, soil: DataFrame, year: int = 2023) -> DataFrame:
@@ -65,46 +71,47 @@ def select_fields(records: DataFrame, field_id: str | None = None, soil_type: st
     return out
 
 
-def selection_figures(records: DataFrame, field_id: str | None = None, soil_type: str | None = None) -> DataFrame:
-    """One row of key figures with a status and a caption; figures are null and the count 0 where nothing matches."""
+def selection_figures(records: DataFrame, field_id: str | None = None, soil_type: str | None = None, words: Mapping[str, str] = WORDS) -> DataFrame:
+    """One row of key figures with all_fields and a caption; figures are null and the count 0 where nothing matches."""
     own = select_fields(records, field_id, soil_type)
-    active = bool(field_id or soil_type)
     top = dominant_crop(own, [], "crop_2023", "crop_2023_pixels")
-    one = F.any_value(F.struct("field_id", "area_ha", "crop_2023", "soil_type", "soil_name"))
+    one = F.max_by(F.struct("field_id", "area_ha", "crop_2023", "soil_type", "soil_name"), "field_id")
     z = own.agg(F.count(F.lit(1)).alias("field_count"), F.sum("area_ha").alias("total_area_ha"), (F.avg("ndvi_coverage_fraction") * 100).alias("ndvi_coverage_pct"), *[F.avg(c).alias(k) for k, c in MEANS.items()], one.alias("_one"))
-    whole = records.agg(F.count(F.lit(1)).alias("_all"))
-    z = z.crossJoin(top).crossJoin(whole)  # one row each
-    n = F.col("field_count")
-    status = F.when(n == 0, "No fields match the selected filters.").otherwise(F.concat(F.lit("Showing "), n.cast("string"), F.lit(" of "), F.col("_all").cast("string"), F.lit(" fields.")))
-    return z.withColumnRenamed("dominant_crop", "dominant_crop_2023").withColumn("status", status).withColumn("caption", caption(active)).select("field_count", "total_area_ha", "dominant_crop_2023", "ndvi_coverage_pct", *MEANS, "status", "caption")
-
-
-def caption(active: bool) -> Column:
-    """Text on a row of figures with ``_one``, the struct of one of its fields."""
-    n, crop = F.col("field_count"), F.col("dominant_crop_2023")
-    single = F.concat(F.col("_one.field_id"), F.lit(": "), number_text(F.col("_one.area_ha")), F.lit(" ha, "), F.col("_one.crop_2023"), F.lit(" in 2023, dominant soil "), soil_label(F.col("_one.soil_type"), F.col("_one.soil_name")), F.lit("."))
-    several = F.concat(n.cast("string"), F.lit(" fields, "), number_text(F.col("total_area_ha")), F.lit(" ha total, dominant crop "), crop, F.lit("."))
-    every = F.concat(F.lit("Package overview: "), n.cast("string"), F.lit(" fields, dominant crop "), crop, F.lit("."))
-    first = F.when(n == 1, single).otherwise(several) if active else every
-    context = F.concat(F.lit("Screening context: mean organic matter "), number_text(F.col("mean_organic_matter_pct")), F.lit("%, mean pH "), number_text(F.col("mean_ph")), F.lit("."))
-    return F.when(n == 0, F.lit(NO_MATCH)).otherwise(F.concat_ws(" ", first, band_text(F.col("mean_ndvi")), context, F.lit(NOTE)))
+    whole = records.agg(F.count(F.lit(1)).alias("all_fields"))
+    z = z.crossJoin(top).crossJoin(whole).withColumnRenamed("dominant_crop", "dominant_crop_2023")  # one row each
+    return z.withColumn("caption", caption(bool(field_id or soil_type), words)).select("field_count", "all_fields", "total_area_ha", "dominant_crop_2023", "ndvi_coverage_pct", *MEANS, "caption")
+
+
+def caption(active: bool, words: Mapping[str, str] = WORDS) -> Column:
+    """Text on a row of figures with ``_one``, the struct of one of its fields: what is selected, the mean index in its
+    band, and the soil. ``active``: whether anything but all fields may be selected."""
+    n, mean = F.col("field_count"), F.col("mean_ndvi")
+    numbers = {"index": mean, "organic_matter": F.col("mean_organic_matter_pct"), "ph": F.col("mean_ph"), "area": F.when((n == 1) & F.lit(active), F.col("_one.area_ha")).otherwise(F.col("total_area_ha"))}
+    values = {k: number_text(v) for k, v in numbers.items()} | {
+        "n": n, "all": F.col("all_fields"), "field": F.col("_one.field_id"), "soil": soil_label(F.col("_one.soil_type"), F.col("_one.soil_name")),
+        "crop": F.when((n == 1) & F.lit(active), F.col("_one.crop_2023")).otherwise(F.col("dominant_crop_2023")),
+    }
+    text = {k: filled(t, values) for k, t in words.items()}
+    first = F.when(n == 1, text["one"]).otherwise(text["some"]) if active else text["every"]
+    band = ndvi_band(mean)
+    said = F.when(band == "alert", text["low"]).when(band == "watch", text["middle"]).when(band == "developed", text["high"])
+    return F.when(n == 0, text["none"]).otherwise(F.concat_ws(" ", first, said, text["soil"]))
 
 
 def package_figures(records: DataFrame, weather: DataFrame, scene: DataFrame) -> DataFrame:
     """Key figures over all fields with the one-row weather (mean_anomaly_c, precip_mm) and scene (scene_date)."""
-    one = selection_figures(records).drop("status", "caption")
+    one = selection_figures(records).drop("all_fields", "caption")
     w = weather.select(F.col("mean_anomaly_c").alias("t2m_anomaly_c"), "precip_mm")
     return checks.require_finite(one.crossJoin(w).crossJoin(scene.select("scene_date")), [*MEANS, "total_area_ha", "ndvi_coverage_pct", "t2m_anomaly_c", "precip_mm"], "key figures")
 
 
 def index_by(records: DataFrame, key: str, value: str = "mean_ndvi") -> DataFrame:
-    """Fields and mean of ``value`` by ``key``, in order of count, most first, then key."""
-    return records.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("fields"), F.avg(value).alias("mean")).orderBy(F.desc("fields"), key)
+    """Fields and mean of ``value`` by ``key``."""
+    return records.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("fields"), F.avg(value).alias("mean"))
 
 
 def largest_mapunits(overlaps: DataFrame, k: int | None = None) -> DataFrame:
-    """Map units by overlap area with their share of all, the largest first; blank keys don't count."""
+    """Map units by overlap area with their share of all, blank keys left out; with ``k`` the largest ones, ties by key."""
     z = overlaps.where(F.coalesce("mukey", F.lit("")) != "").groupBy("mukey", "musym", "muname").agg(F.sum("overlap_area_m2").alias("area_m2"))
-    z = z.withColumn("share", F.col("area_m2") / F.sum("area_m2").over(Window.partitionBy(F.lit(0))))  # a row for each map unit
-    z = z.orderBy(F.desc("area_m2"), "mukey")
-    return z if k is None else z.limit(k)
+    z = z.crossJoin(F.broadcast(z.agg(F.sum("area_m2").alias("_all")))).withColumn("share", F.col("area_m2") / F.col("_all")).drop("_all")  # one row
+    return z if k is None else z.orderBy(F.desc("area_m2"), "mukey").limit(k)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.expressions import carbon_stock, overlap_length
 from fieldspark.operators import checks
+from fieldspark.operators.places import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -20,7 +21,7 @@ class Metric:
     acidity: bool = False
 
 
-#: Metrics, the horizon columns that they come from, and their coverage columns.
+#: The metrics' names, the horizon columns that they come from, their coverage columns and units.
 METRICS = (
     Metric("organic_matter_pct", "om_r", "om_coverage_fraction", "%"),
     Metric("ph_h2o", "ph1to1h2o_r", "ph_coverage_fraction", "pH units", acidity=True),
@@ -89,28 +90,30 @@ def field_metrics(overlaps: DataFrame, mapunits: DataFrame) -> DataFrame:
 
 
 def checked_tables(components: DataFrame, horizons: DataFrame, overlaps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three tables with trimmed keys and numbers, after all their gates.
+    """The three tables with trimmed keys and numbers, after all their gates: a job for each table.
 
     pH may be 0 to 14, but one that has weight must be above 0. Depths must be in order where both are known.
     """
     hz = ["hzdept_r", "hzdepb_r", "om_r", "ph1to1h2o_r", "cec7_r", "dbthirdbar_r", "kwfact"]
     for df, name, columns in ((components, "components", ["mukey", "cokey", "comppct_r", "compname"]), (horizons, "horizons", ["cokey", *hz]), (overlaps, "overlaps", ["field_id", "mukey", "field_fraction"])):
         checks.require_columns(df, columns, name)
-    components = checks.to_numbers(checks.to_keys(components, ["mukey", "cokey", "compname"], "components"), ["comppct_r"], "components")
-    horizons = checks.to_numbers(checks.to_keys(horizons, ["cokey"], "horizons"), hz, "horizons")
-    overlaps = checks.to_numbers(checks.to_keys(overlaps, ["field_id", "mukey"], "overlaps", ["mukey"]), ["field_fraction"], "overlaps")
-    checks.require_unique(components, ["cokey"], "components")
-    checks.require_unique(horizons, horizons.columns, "horizons")
-    checks.require_unique(overlaps, ["field_id", "mukey"], "overlaps")
-    checks.require_rules(components, {"percentages must be non-negative": F.col("comppct_r") >= 0}, "components")
-    checks.require_rules(overlaps, {"field fractions must be between 0 and 1": F.coalesce(F.col("field_fraction").between(0, 1), F.lit(False))}, "overlaps")
+    def typed(df: DataFrame, keys: list[str], numbers: list[str], may_be_empty: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, Column]]:
+        raw = checks.key_rules([k for k in keys if k not in may_be_empty]) | checks.number_rules(numbers)
+        named = {n: f"_raw{k}" for k, n in enumerate(raw)}
+        out = checks.as_numbers(checks.as_keys(df.withColumns({c: raw[n] for n, c in named.items()}), keys), numbers)
+        return out, {n: F.col(c) for n, c in named.items()}
+
+    components, c_rules = typed(components, ["mukey", "cokey", "compname"], ["comppct_r"])
+    horizons, h_rules = typed(horizons, ["cokey"], hz)
+    overlaps, o_rules = typed(overlaps, ["field_id", "mukey"], ["field_fraction"], ("mukey",))
     weighted = overlap_length(F.col("hzdept_r"), F.col("hzdepb_r")) > 0
-    checks.require_rules(horizons, {
+    checks.require_all(components, "components", c_rules | {"percentages must be non-negative": F.col("comppct_r") >= 0}, ["cokey"])
+    checks.require_all(horizons, "horizons", h_rules | {
         "organic matter must be non-negative": F.col("om_r") >= 0, "pH must be between 0 and 14": F.col("ph1to1h2o_r").between(0, 14), "weighted pH must be above 0": ~weighted | (F.col("ph1to1h2o_r") > 0),
         "CEC must be non-negative": F.col("cec7_r") >= 0, "bulk density must be positive": F.col("dbthirdbar_r") > 0, "K factor must be non-negative": F.col("kwfact") >= 0, "bottom depth is above top depth": F.col("hzdepb_r") >= F.col("hzdept_r"),
-    }, "horizons")
-    checks.require_reference(horizons, components, "cokey", "horizons")
-    checks.require_sums(overlaps, "field_id", "field_fraction", 1.000001, "overlaps")
+    }, [c for c in horizons.columns if not c.startswith("_raw")], parent=components, key="cokey")
+    checks.require_all(overlaps, "overlaps", o_rules | {"field fractions must be between 0 and 1": F.coalesce(F.col("field_fraction").between(0, 1), F.lit(False))}, ["field_id", "mukey"], ("field_id", "field_fraction", 1.000001))
+    components, horizons, overlaps = (df.drop(*[c for c in df.columns if c.startswith("_raw")]) for df in (components, horizons, overlaps))
     return components, horizons, overlaps
 
 
@@ -123,4 +126,7 @@ def aggregate_soil(components: DataFrame, horizons: DataFrame, overlaps: DataFra
 def soil_summary(rows: DataFrame) -> DataFrame:
     """One row for each metric: unit, mean, median, non_null_fields, mean_coverage_fraction; nulls where no values."""
     entries = [F.struct(F.lit(m.name).alias("metric"), F.lit(m.unit).alias("unit"), F.col(m.name).alias("value"), F.col(m.coverage).alias("coverage")) for m in METRICS]
-    return rows.select(F.inline(F.array(*entries))).groupBy("metric", "unit").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.count("value").alias("non_null_fields"), F.avg("coverage").alias("mean_coverage_fraction"))
+    each = rows.select(F.inline(F.array(*entries)))
+    z = each.groupBy("metric", "unit").agg(F.avg("value").alias("mean"), F.count("value").alias("non_null_fields"), F.avg("coverage").alias("mean_coverage_fraction"))
+    middle = exact_quantiles(each, "metric", "value", [0.5]).select("metric", F.col("q")[0].alias("median"))
+    return z.join(middle, "metric", "left").select("metric", "unit", "mean", "median", "non_null_fields", "mean_coverage_fraction")

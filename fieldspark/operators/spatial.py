@@ -19,10 +19,11 @@ from fieldspark.operators.crops import rank_first
 
 RINGS = "array<struct<sign:int,xs:array<double>,ys:array<double>>>"
 _RINGS = T.ArrayType(T.StructType([T.StructField("sign", T.IntegerType()), T.StructField("xs", T.ArrayType(T.DoubleType())), T.StructField("ys", T.ArrayType(T.DoubleType()))]))
-_MEASURES = T.StructType([*[T.StructField(n, T.DoubleType()) for n in ("area", "cx", "cy", "xmin", "ymin", "xmax", "ymax")], T.StructField("simple", T.BooleanType())])
+_NUMBERS = ("area", "cx", "cy", "xmin", "ymin", "xmax", "ymax")
+_MEASURES = T.StructType([*[T.StructField(n, T.DoubleType()) for n in _NUMBERS], T.StructField("simple", T.BooleanType())])
 LONLAT, EQUAL_AREA = 4326, 5070
-#: Most cells that one polygon may fill on average over its table before the cell size is raised.
-CELLS_PER_POLYGON = 16
+#: Most corners of a region that tests of single polygons take with them.
+REGION_CORNERS = 1_000_000
 
 
 def require_srid(df: DataFrame, srid: int, label: str) -> DataFrame:
@@ -30,65 +31,97 @@ def require_srid(df: DataFrame, srid: int, label: str) -> DataFrame:
     return checks.require_rules(df, {f"srid must be {srid}": F.coalesce(F.col("srid") == srid, F.lit(False))}, label)
 
 
-@F.pandas_udf(_RINGS)
-def _to_equal_area(rings: pd.Series) -> pd.Series:
-    return rings.map(lambda r: r if r is None else [{"sign": x["sign"], "xs": a, "ys": b} for x in r for a, b in [geometry.albers_forward(np.asarray(x["xs"]), np.asarray(x["ys"]))]])
+def _mover(move):
+    """Column function that moves all coordinates of a batch's rings at once."""
 
+    @F.pandas_udf(_RINGS)
+    def run(rings: pd.Series) -> pd.Series:
+        flat = [x for r in rings if r is not None for x in r]
+        if not flat:
+            return rings
+        ends = np.cumsum([len(x["xs"]) for x in flat])[:-1]
+        xs, ys = move(np.concatenate([np.asarray(x["xs"], float) for x in flat]), np.concatenate([np.asarray(x["ys"], float) for x in flat]))
+        moved = ({"sign": x["sign"], "xs": a, "ys": b} for x, a, b in zip(flat, np.split(xs, ends), np.split(ys, ends)))
+        return rings.map(lambda r: r if r is None else [next(moved) for _ in r])
 
-@F.pandas_udf(_RINGS)
-def _to_lonlat(rings: pd.Series) -> pd.Series:
-    return rings.map(lambda r: r if r is None else [{"sign": x["sign"], "xs": a, "ys": b} for x in r for a, b in [geometry.albers_inverse(np.asarray(x["xs"]), np.asarray(x["ys"]))]])
+    return run
+
+
+def _moved(rings: str, srid: int, to: int) -> Column:
+    """Rings from one reference system to another by way of longitude and latitude."""
+    out = F.col(rings)
+    if srid == EQUAL_AREA:
+        out = _mover(geometry.albers_inverse)(out)
+    if to == EQUAL_AREA:
+        out = _mover(geometry.albers_forward)(out)
+    elif to != LONLAT:
+        out = _mover(lambda lon, lat: geometry.utm_forward(lon, lat, to - UTM_NORTH))(out)
+    return out
+
+
+#: Northern zones of the transverse Mercator grid are this plus the zone's number, 1 to 60.
+UTM_NORTH = 32_600
 
 
 def reproject(df: DataFrame, srid: int) -> DataFrame:
-    """Polygons in ``srid``; between longitude/latitude and the equal-area conic, rows already there stay."""
-    checks.require_rules(df, {"unknown srid": F.coalesce(F.col("srid").isin(LONLAT, EQUAL_AREA), F.lit(False))}, "polygons")
-    if srid not in (LONLAT, EQUAL_AREA):
+    """Polygons in ``srid``: longitude/latitude, the equal-area conic or, as a target only, a northern zone of the
+    transverse Mercator grid (32601 to 32660). Rows already there stay."""
+    checks.require_rules(df, {"unknown srid": F.coalesce(F.col("srid").isin(LONLAT, EQUAL_AREA, srid), F.lit(False))}, "polygons")
+    if srid not in (LONLAT, EQUAL_AREA) and not UTM_NORTH < srid <= UTM_NORTH + 60:
         raise checks.CheckError(f"unknown srid {srid}")
-    moved = _to_equal_area("rings") if srid == EQUAL_AREA else _to_lonlat("rings")
-    return df.withColumn("rings", F.when(F.col("srid") == srid, F.col("rings")).otherwise(moved)).withColumn("srid", F.lit(srid))
+    moved = F.col("rings")
+    for known in (LONLAT, EQUAL_AREA):
+        if known != srid:
+            moved = F.when(F.col("srid") == known, _moved("rings", known, srid)).otherwise(moved)
+    return df.withColumn("rings", moved).withColumn("srid", F.lit(srid))
+
 
+def _measured(simple: bool):
+    @F.pandas_udf(_MEASURES)
+    def run(rings: pd.Series) -> pd.DataFrame:
+        out = []
+        for r in rings:
+            if r is None or not len(r) or not all(len(x["xs"]) for x in r):
+                out.append((None,) * 7 + (False,))
+            else:
+                area, cx, cy = geometry.measures(r)
+                out.append((area, *(None if np.isnan(c) else c for c in (cx, cy)), *geometry.bounds(r), simple and geometry.is_simple(r)))
+        return pd.DataFrame(out, columns=[*_NUMBERS, "simple"])
 
-@F.pandas_udf(_MEASURES)
-def _measured(rings: pd.Series) -> pd.DataFrame:
-    out = []
-    for r in rings:
-        if r is None or not len(r) or not all(len(x["xs"]) for x in r):
-            out.append((None,) * 7 + (False,))
-        else:
-            area, cx, cy = geometry.measures(r)
-            out.append((area, *(None if np.isnan(c) else c for c in (cx, cy)), *geometry.bounds(r), geometry.is_simple(r)))
-    return pd.DataFrame(out, columns=["area", "cx", "cy", "xmin", "ymin", "xmax", "ymax", "simple"])
+    return run
 
 
-def with_measures(df: DataFrame) -> DataFrame:
-    """Adds area, centroid (cx, cy), bounds and ``simple``; null measures and false for missing or empty polygons."""
-    return df.withColumn("_m", _measured("rings")).select("*", "_m.*").drop("_m")
+def with_measures(df: DataFrame, simple: bool = False) -> DataFrame:
+    """Adds area, centroid (cx, cy), bounds and, if asked for, ``simple``: whether no edges cross; null measures and
+    false for missing or empty polygons."""
+    out = df.withColumn("_m", _measured(simple)("rings")).select("*", "_m.*").drop("_m")
+    return out if simple else out.drop("simple")
 
 
 def eligible(df: DataFrame, flag: str, key: str, ordinal: str) -> DataFrame:
     """Flagged valid polygons with an area, then the first row of each key by ``ordinal``, the order in the source."""
-    good = with_measures(df.where((F.col(flag) == 1) & F.col("rings").isNotNull())).where("simple and area > 0")
+    good = with_measures(df.where((F.col(flag) == 1) & F.col("rings").isNotNull()), simple=True).where("simple and area > 0")
     return rank_first(good, [key], [F.col(ordinal)])
 
 
 def within_region(df: DataFrame, region: DataFrame, least: float = 0.95) -> DataFrame:
     """Measured polygons whose centroid lies in the one-row ``region`` and whose area does to ``least``; adds
-    inside_fraction. The region is one polygon and travels with every row's batch."""
-    one = region.select(F.col("rings").alias("_region"))
-    if one.limit(2).count() != 1:
+    inside_fraction. The region is one polygon of at most ``REGION_CORNERS`` corners, which the tests carry with them."""
+    found = region.select("rings", F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r["xs"])).alias("corners"))
+    corners = [r["corners"] for r in found.select("corners").limit(2).collect()]
+    if len(corners) != 1:
         raise checks.CheckError("region: expected one polygon")
+    if (corners[0] or 0) > REGION_CORNERS:
+        raise checks.CheckError(f"region: more than {REGION_CORNERS} corners")
+    whole = [r.asDict() for r in found.first()["rings"]]
+    sides = geometry.edges(whole)
 
     @F.pandas_udf("double")
-    def inside(rings: pd.Series, cx: pd.Series, cy: pd.Series, whole: pd.Series) -> pd.Series:
-        out = []
-        for r, x, y, w in zip(rings, cx, cy, whole):
-            ok = bool(geometry.contains(geometry.edges(w), np.array([x]), np.array([y]))[0])
-            out.append(geometry.covered_area(r, [w]) / geometry.measures(r)[0] if ok else -1.0)
-        return pd.Series(out)
+    def inside(rings: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
+        ok = geometry.contains(sides, cx.to_numpy(float), cy.to_numpy(float))
+        return pd.Series([geometry.covered_area(r, [whole]) / geometry.measures(r)[0] if k else -1.0 for r, k in zip(rings, ok)], dtype=float)
 
-    near = df.crossJoin(F.broadcast(one))  # one row
-    return near.withColumn("inside_fraction", inside("rings", "cx", "cy", "_region")).drop("_region").where(F.col("inside_fraction") >= least)
+    return df.where("area > 0").withColumn("inside_fraction", inside("rings", "cx", "cy")).where(F.col("inside_fraction") >= least)
 
 
 def grid_cell(x: Column, lo: Column, hi: Column, n: int, from_top: bool = False) -> Column:
@@ -113,32 +146,51 @@ def select_on_grid(points: DataFrame, bounds: tuple[float, float, float, float],
     return best.withColumn("field_id", F.concat(F.lit(prefix), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)))
 
 
-def cells(df: DataFrame, size: float) -> DataFrame:
-    """Rows with bounds, once for each square cell (cell_x, cell_y) of ``size`` that they touch."""
-    spans = {c: F.sequence(F.floor(F.col(f"{c}min") / size), F.floor(F.col(f"{c}max") / size)) for c in "xy"}
-    return df.withColumn("cell_x", F.explode(spans["x"])).withColumn("cell_y", F.explode(spans["y"]))
+def cell_size(df: DataFrame) -> float:
+    """The smallest size of cells: the lower quartile of the bounds' longer sides, 1 where that is 0 or nothing."""
+    size = df.agg(F.percentile_approx(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")), 0.25)).first()[0]
+    return float(size) if size else 1.0
+
 
+def with_level(df: DataFrame, size: float) -> DataFrame:
+    """Adds ``level``: the least k from 0 such that bounds are at most ``size`` times 2 to the k wide and high."""
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    return df.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(size)) / size))).cast("int"))
 
-def cell_size(df: DataFrame) -> float:
-    """Median width or height of bounds, raised until polygons fill few cells on average."""
-    w, h = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
-    size = df.agg(F.percentile_approx(F.greatest(w, h), 0.5)).first()[0] or 1.0
-    for _ in range(64):
-        mean = df.agg(F.avg((w / size + 1) * (h / size + 1))).first()[0] or 1.0
-        if mean <= CELLS_PER_POLYGON:
-            break
-        size *= 2
-    return float(size)
+
+def cells(df: DataFrame, size: float, levels: list[int]) -> DataFrame:
+    """Rows with bounds and ``level``, once for each cell (cell_level, cell_x, cell_y) that they touch at each of
+    ``levels`` from their own on: four cells a level at most, however large the bounds are."""
+    at = df.withColumn("cell_level", F.explode(F.array(*map(F.lit, levels)))).where("cell_level >= level")
+    side = F.lit(size) * F.pow(F.lit(2.0), F.col("cell_level"))
+    for c in "xy":
+        at = at.withColumn(f"cell_{c}", F.explode(F.sequence(F.floor(F.col(f"{c}min") / side), F.floor(F.col(f"{c}max") / side))))
+    return at
 
 
 def bounds_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """Pairs of rows whose bounds meet, each once: an equi-join by cell, kept in the cell of the lower left corner of
-    both bounds' intersection. Columns of the right side but bounds must differ from those of the left."""
+    """Pairs of rows whose bounds meet, each once: an equi-join by cell at the level of the larger one, kept in the cell
+    of the lower left corner of both bounds' intersection. Columns of the right side but bounds must differ from those
+    of the left."""
     names = ["xmin", "ymin", "xmax", "ymax"]
-    other = cells(right, size).withColumnsRenamed({n: f"_{n}" for n in names})
+    left, right = (with_level(df.dropna(subset=names), size) for df in (left, right))
+    levels = sorted(r[0] for r in left.select("level").distinct().unionByName(right.select("level").distinct()).distinct().collect())  # few: they double
+    if not levels:
+        levels = [0]
+    other = cells(right, size, levels).withColumnsRenamed({n: f"_{n}" for n in [*names, "level"]})
     meet = (F.col("xmin") <= F.col("_xmax")) & (F.col("_xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("_ymax")) & (F.col("_ymin") <= F.col("ymax"))
-    corner = (F.floor(F.greatest("xmin", "_xmin") / size) == F.col("cell_x")) & (F.floor(F.greatest("ymin", "_ymin") / size) == F.col("cell_y"))
-    return cells(left, size).join(other, ["cell_x", "cell_y"]).where(meet & corner).drop("cell_x", "cell_y", *[f"_{n}" for n in names])
+    side = F.lit(size) * F.pow(F.lit(2.0), F.col("cell_level"))
+    corner = (F.floor(F.greatest("xmin", "_xmin") / side) == F.col("cell_x")) & (F.floor(F.greatest("ymin", "_ymin") / side) == F.col("cell_y"))
+    met = cells(left, size, levels).join(other, ["cell_level", "cell_x", "cell_y"]).where(meet & corner & (F.col("cell_level") == F.greatest("level", "_level")))
+    return met.drop("cell_level", "cell_x", "cell_y", "level", *[f"_{n}" for n in [*names, "level"]])
+
+
+def _field_pieces(fields: DataFrame, soils: DataFrame, size: float | None) -> DataFrame:
+    """field_id, mukey, rings and area of the field, soils: all polygons of the map unit whose bounds meet the field's."""
+    left = with_measures(fields.select("field_id", "rings")).select("field_id", "rings", "area", "xmin", "ymin", "xmax", "ymax")
+    right = with_measures(soils.select(F.trim(F.col("mukey").cast("string")).alias("mukey"), "rings")).where("area > 0").select("mukey", F.col("rings").alias("soil"), "xmin", "ymin", "xmax", "ymax")
+    pairs = bounds_join(left, right, size or cell_size(right))
+    return pairs.groupBy("field_id", "mukey").agg(F.first("rings").alias("rings"), F.first("area").alias("area"), F.collect_list("soil").alias("soils"))
 
 
 def field_soil_overlap(fields: DataFrame, soils: DataFrame, size: float | None = None) -> DataFrame:
@@ -149,31 +201,34 @@ def field_soil_overlap(fields: DataFrame, soils: DataFrame, size: float | None =
     for df, name, key in ((fields, "fields", "field_id"), (soils, "soils", "mukey")):
         checks.require_columns(df, [key], name)
         require_srid(df, EQUAL_AREA, name)
-    left = with_measures(fields.select("field_id", "rings"))
-    right = with_measures(soils.select(F.trim(F.col("mukey").cast("string")).alias("mukey"), "rings")).where("area > 0").select("mukey", F.col("rings").alias("soil"), "xmin", "ymin", "xmax", "ymax")
-    pairs = bounds_join(left.select("field_id", "rings", "area", "xmin", "ymin", "xmax", "ymax"), right, size or cell_size(right)).select("field_id", "mukey", "rings", "area", "soil")
 
-    def area(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        return pd.DataFrame([(first.field_id, first.mukey, geometry.covered_area(first.rings, list(group.soil)), first.area)], columns=["field_id", "mukey", "overlap_area_m2", "field_area_m2"])
+    @F.pandas_udf("double")
+    def area(rings: pd.Series, pieces: pd.Series) -> pd.Series:
+        return pd.Series([geometry.covered_area(r, list(p)) for r, p in zip(rings, pieces)], dtype=float)
 
-    out = pairs.groupBy("field_id", "mukey").applyInPandas(area, "field_id string, mukey string, overlap_area_m2 double, field_area_m2 double")
-    return out.where("overlap_area_m2 > 0").withColumn("field_fraction", F.col("overlap_area_m2") / F.col("field_area_m2"))
+    met = _field_pieces(fields, soils, size).select("field_id", "mukey", area("rings", "soils").alias("overlap_area_m2"), F.col("area").alias("field_area_m2"))
+    return met.where("overlap_area_m2 > 0").withColumn("field_fraction", F.col("overlap_area_m2") / F.col("field_area_m2"))
 
 
 def clipped_soils(fields: DataFrame, soils: DataFrame, size: float | None = None) -> DataFrame:
-    """mukey, field_id, rings: each map unit within each field as disjoint pieces."""
-    left = with_measures(fields.select("field_id", "rings")).select("field_id", "rings", "xmin", "ymin", "xmax", "ymax")
-    right = with_measures(soils.select("mukey", "rings")).where("area > 0").select("mukey", F.col("rings").alias("soil"), "xmin", "ymin", "xmax", "ymax")
-    pairs = bounds_join(left, right, size or cell_size(right))
+    """mukey, field_id, rings: each map unit within each field as disjoint pieces; its polygons are dissolved, so that
+    what several of them cover is there once."""
+
+    @F.pandas_udf(_RINGS)
+    def clip(rings: pd.Series, pieces: pd.Series, areas: pd.Series) -> pd.Series:
+        out = []
+        for r, p, a in zip(rings, pieces, areas):
+            got = geometry.covered_pieces(r, list(p))
+            out.append(got if sum(geometry.measures([g])[0] for g in got) > 1e-9 * a else None)
+        return pd.Series(out)
+
+    return _field_pieces(fields, soils, size).select("mukey", "field_id", clip("rings", "soils", "area").alias("rings")).where("rings is not null")
 
-    def clip(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        if geometry.covered_area(first.rings, list(group.soil)) <= 0:
-            return pd.DataFrame({"mukey": [], "field_id": [], "rings": []}, dtype=object)
-        return pd.DataFrame({"mukey": [first.mukey], "field_id": [first.field_id], "rings": [geometry.covered_pieces(first.rings, list(group.soil))]})
 
-    return pairs.groupBy("field_id", "mukey").applyInPandas(clip, f"mukey string, field_id string, rings {RINGS}")
+def require_survivors(overlaps: DataFrame, clipped: DataFrame) -> DataFrame:
+    """``clipped``, in which every map unit of ``overlaps`` must be left."""
+    checks.require_reference(overlaps.where("mukey <> ''"), clipped, "mukey", "clipped soils")
+    return clipped
 
 
 def overlap_table(fields: DataFrame, overlaps: DataFrame, mapunits: DataFrame) -> DataFrame:

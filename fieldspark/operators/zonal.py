@@ -89,12 +89,22 @@ def zonal_counts(tiles: DataFrame, polygons: DataFrame, grids: DataFrame) -> Dat
         for f in frames:
             out = []
             for r in f.itertuples(index=False):
+                side = geometry.edges(r.rings)
                 xs = r.origin_x + (np.arange(r.width) + 0.5) * r.pixel_size
                 ys = r.origin_y - (np.arange(r.height) + 0.5) * r.pixel_size
-                inside = geometry.contains(geometry.edges(r.rings), *np.meshgrid(xs, ys)).ravel()
-                codes = pd.Series(list(r.values_), dtype="Int32")[inside]
-                for code, n in codes.value_counts(dropna=False).items():
-                    out.append((r.raster_id, r.year, r.field_id, None if pd.isna(code) else int(code), int(n)))
+                if not len(side):
+                    continue
+                cols = np.flatnonzero((xs >= side[:, [0, 2]].min()) & (xs <= side[:, [0, 2]].max()))
+                rows = np.flatnonzero((ys >= side[:, [1, 3]].min()) & (ys <= side[:, [1, 3]].max()))
+                if not len(cols) or not len(rows):
+                    continue
+                inside = geometry.inside_grid(side, xs[cols], ys[rows])
+                values = np.asarray(r.values_, float).reshape(r.height, r.width)[rows[0] : rows[-1] + 1, cols[0] : cols[-1] + 1][inside]
+                none = np.isnan(values)
+                for code, n in zip(*np.unique(values[~none].astype(np.int64), return_counts=True)):
+                    out.append((r.raster_id, r.year, r.field_id, int(code), int(n)))
+                if none.any():
+                    out.append((r.raster_id, r.year, r.field_id, None, int(none.sum())))
             yield pd.DataFrame(out, columns=["raster_id", "year", "field_id", "code", "n"]).astype({"code": "Int32"})
 
     pairs = tiles.withColumnRenamed("values", "values_").join(tile_cells(polygons, grids), ["raster_id", "tile_x", "tile_y"])
@@ -104,9 +114,13 @@ def zonal_counts(tiles: DataFrame, polygons: DataFrame, grids: DataFrame) -> Dat
 def nearest_resample(fine: DataFrame, coarse: DataFrame, keys: Sequence[str], value: str, outside: int = 0) -> DataFrame:
     """Adds ``value`` of the coarse cell under each fine pixel's centre (x, y); ``outside`` where there is none.
 
-    ``coarse``: keys, row, col, x0, y0, pixel_size (of its grid, the same on each row of ``keys``) and ``value``.
+    ``coarse``: keys, row, col, x0, y0, pixel_size (of its grid) and ``value``. Rows of ``keys`` that name different grids
+    are refused.
     """
-    grid = coarse.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("x0", "y0", "pixel_size")])
+    where = ("x0", "y0", "pixel_size")
+    grid = coarse.groupBy(*keys).agg(*[F.min(c).alias(c) for c in where], *[F.max(c).alias(f"_{c}") for c in where])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in where]
+    grid = grid.select(*keys, *[F.when(F.assert_true(same[0] & same[1] & same[2], F.lit("a grid has rows that differ in origin or pixel size")).isNull(), F.col(c)).alias(c) for c in where])
     at = fine.join(grid, list(keys), "left").withColumn("_col", F.floor((F.col("x") - F.col("x0")) / F.col("pixel_size"))).withColumn("_row", F.floor((F.col("y0") - F.col("y")) / F.col("pixel_size"))).drop("x0", "y0", "pixel_size")
     cells = coarse.select(*keys, F.col("row").alias("_row"), F.col("col").alias("_col"), F.col(value).alias(value))
     return at.join(cells, [*keys, "_row", "_col"], "left").drop("_row", "_col").withColumn(value, F.coalesce(value, F.lit(outside)))

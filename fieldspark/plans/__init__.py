@@ -1 +1 @@
-"""Registered queries and whole workloads."""
+"""Registered queries."""

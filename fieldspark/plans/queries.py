@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.functions import expressions as E
-from fieldspark.operators import checks, crops, imagery, integrate, report, scan, soil, spatial, weather, zonal
+from fieldspark.operators import checks, crops, imagery, integrate, places, report, scan, soil, spatial, weather, zonal
 from fieldspark.sources import readers, writers
-from fieldspark.sources.scratch import scratch_path
+from fieldspark.sources.scratch import landed, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,7 +238,9 @@ def brand_shares(spark: SparkSession, d: str, whole: float = 1.0) -> DataFrame:
 
 
 def soil_health(spark: SparkSession, d: str) -> DataFrame:
-    return soil.aggregate_soil(*soil_tables(spark, d))
+    """Derived tables are written once, as their gates and the metrics both read them."""
+    components, horizons, overlaps = soil_tables(spark, d)
+    return soil.aggregate_soil(components, landed(horizons, "horizons"), landed(overlaps, "overlaps"))
 
 
 _SOIL_OUT = ", ".join(f"round({c}, 5) AS {c}" for c in [m.name for m in soil.METRICS] + ["soil_coverage_fraction"] + [m.coverage for m in soil.METRICS])
@@ -249,9 +251,11 @@ def agg7_agg10_soil_health(spark: SparkSession, d: str) -> DataFrame:
     return rounded(soil_health(spark, d), 5)
 
 
-@query(f"WITH {_SOIL_SQL} SELECT cokey, round(m1, 10) AS organic_matter_pct, round(m2, 10) AS ph_h2o, round(m3, 10) AS cec_cmol_kg, round(m4, 10) AS erosion_k_factor, round(m5, 10) AS carbon_storage_mg_c_ha FROM comp")
+@query(f"WITH {_SOIL_SQL} SELECT cokey, round(m1 + 3e-11, 8) AS organic_matter_pct, round(m2 + 3e-11, 8) AS ph_h2o, round(m3 + 3e-11, 8) AS cec_cmol_kg, round(m4 + 3e-11, 8) AS erosion_k_factor, round(m5 + 3e-9, 6) AS carbon_storage_mg_c_ha FROM comp")
 def agg7_agg8_component_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(soil.component_metrics(soil_tables(spark, d)[1]).where("has_profile").drop("has_profile"), 10)
+    out = soil.component_metrics(soil_tables(spark, d)[1]).where("has_profile").drop("has_profile")
+    places = {m.name: 6 if m.source is None else 8 for m in soil.METRICS}  # a little is added, as many values end in a tie
+    return out.withColumns({c: F.round(F.col(c) + 3.0 * 10.0 ** (-n - 3), n) for c, n in places.items()})
 
 
 @query(f"WITH {_SOIL_SQL} SELECT mukey, soil AS has_soil, {', '.join(f'round(m{k}, 5) AS {m.name}, round(c{k}, 5) AS {m.name}_coverage' for k, m in enumerate(soil.METRICS, 1))} FROM mu")
@@ -282,9 +286,9 @@ def analysed(spark: SparkSession, d: str) -> DataFrame:
     return weather.analyse(daily(spark, d), 1995, 1999, 2000)
 
 
-@query(f"WITH {_ANALYSED} SELECT site_id, date, t2m_c, precip_mm, round(t2m_7d_c, 7) AS t2m_7d_c, day_of_year, round(baseline_t2m_c, 7) AS baseline_t2m_c, round(t2m_anomaly_c, 7) AS t2m_anomaly_c FROM a")
+@query(f"WITH {_ANALYSED} SELECT site_id, date, t2m_c, precip_mm, round(t2m_7d_c + 3e-7, 4) AS t2m_7d_c, day_of_year, round(baseline_t2m_c + 3e-7, 4) AS baseline_t2m_c, round(t2m_anomaly_c + 3e-7, 4) AS t2m_anomaly_c FROM a")
 def win1_win3_exp5_weather(spark: SparkSession, d: str) -> DataFrame:
-    return analysed(spark, d).withColumns({c: F.round(c, 7) for c in ("t2m_7d_c", "baseline_t2m_c", "t2m_anomaly_c")})
+    return analysed(spark, d).withColumns({c: F.round(F.col(c) + 3e-7, 4) for c in ("t2m_7d_c", "baseline_t2m_c", "t2m_anomaly_c")})
 
 
 @query(f"WITH {_DAILY} SELECT site_id, count(*) AS gaps FROM (SELECT site_id, date - lag(date) OVER (PARTITION BY site_id ORDER BY date) AS days FROM d) WHERE days <> 1 GROUP BY 1")
@@ -303,14 +307,19 @@ def top4_anomaly_extremes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(weather.anomaly_extremes(analysed(spark, d)), 2)
 
 
-@query("""SELECT o_orderstatus AS site_id, o_orderdate::DATE AS date, count(*)::DOUBLE AS t2m_c, NULLIF(count(*) % 5, 0)::DOUBLE AS precip_mm FROM orders
-WHERE o_orderdate::DATE BETWEEN DATE '1996-03-01' AND DATE '1996-03-02' GROUP BY ALL""")
+@query("""WITH n AS (SELECT o_orderstatus AS site_id, o_orderdate::DATE AS date, count(*) AS n FROM orders GROUP BY ALL), e AS (SELECT site_id, min(date) AS a, max(date) AS b FROM n GROUP BY 1),
+g AS (SELECT site_id, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS date FROM e)
+SELECT site_id, date, n::DOUBLE AS t2m_c, NULLIF(n % 5, 0)::DOUBLE AS precip_mm FROM g LEFT JOIN n USING (site_id, date)""")
 def src3_parse_daily(spark: SparkSession, d: str) -> DataFrame:
-    days = table(spark, d, "orders").withColumn("k", F.date_format("o_orderdate", "yyyyMMdd")).where("k between '19960301' and '19960302'").groupBy("o_orderstatus", "k").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    rain = F.when(F.col("n") % 5 == 0, -999.0).otherwise(F.col("n") % 5)
-    maps = days.groupBy(F.col("o_orderstatus").alias("site_id")).agg(*[F.map_from_entries(F.collect_list(F.struct("k", v.alias("v")))).alias(n) for n, v in (("T2M", F.col("n")), ("PRECTOTCORR", rain))])
+    """Orders by status and day as one JSON body a status, from its first day to its last; days without orders have the
+    fill value, as does every fifth count as rain."""
+    days = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("site_id"), F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    every = days.groupBy("site_id").agg(F.explode(F.sequence(F.min("date"), F.max("date"))).alias("date"))
+    rows = every.join(days, ["site_id", "date"], "left").withColumn("k", F.date_format("date", "yyyyMMdd"))
+    values = {"T2M": F.coalesce(F.col("n").cast("double"), F.lit(readers.FILL)), "PRECTOTCORR": F.when(F.col("n") % 5 != 0, (F.col("n") % 5).cast("double")).otherwise(F.lit(readers.FILL))}
+    maps = rows.groupBy("site_id").agg(*[F.map_from_entries(F.collect_list(F.struct("k", v.alias("v")))).alias(n) for n, v in values.items()])
     body = F.to_json(F.struct(F.struct(F.struct("T2M", "PRECTOTCORR").alias("parameter")).alias("properties")))
-    return readers.parse_daily(maps.select("site_id", body.alias("payload")))
+    return readers.parse_daily(landed(maps.select("site_id", body.alias("payload")), "payloads"))
 
 
 # --- integration and report
@@ -346,18 +355,25 @@ _INDEX = f"{_PIXELS}, ix AS (SELECT l_suppkey::VARCHAR AS field_id, avg(ndvi) AS
 @query(f"""WITH {_DOMINANT}, {_CROPS}, {_INDEX} SELECT field_id, name AS crop_2023_name, 's-' || mukey AS dominant_soil, 'soil ' || mukey AS dominant_soil_name, mukey AS dominant_soil_mukey, dom.n::DOUBLE AS dominant_soil_overlap_area_ha,
  round(mean_ndvi, 6) AS mean_ndvi, round(coverage, 6) AS ndvi_coverage_fraction, valid_pixel_count, total_pixel_count FROM dom JOIN crop USING (field_id) JOIN ix USING (field_id)""")
 def join1_join2_integrated(spark: SparkSession, d: str) -> DataFrame:
-    fields = table(spark, d, "lineitem").where(F.year("l_shipdate") == 1997).select(text("l_suppkey").alias("field_id")).distinct()
-    only = lambda df: df.join(fields, "field_id", "left_semi")
-    return rounded(integrate.integrated_dataset(fields, order_history(spark, d), only(brand_overlaps(spark, d)), only(supplier_index(spark, d)), 1997))
+    history, overlaps, index, fields = farm(spark, d)
+    return rounded(integrate.integrated_dataset(fields.select("field_id"), history, overlaps, index, 1997))
+
+
+def farm(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Crops, soil overlaps and index of all suppliers with lines in the year, and these suppliers, areas from account
+    balances. Each is written once, as gates and joins both read it."""
+    history = landed(order_history(spark, d), "history")
+    fields = table(spark, d, "supplier").join(history.select("field_id"), F.col("field_id") == text("s_suppkey"), "left_semi").select(text("s_suppkey").alias("field_id"), F.abs("s_acctbal").alias("area_ha"))
+    only = lambda df, label: landed(df.join(fields, "field_id", "left_semi"), label)
+    return history, only(brand_overlaps(spark, d), "overlaps"), only(supplier_index(spark, d), "index"), landed(fields, "fields")
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """Field records of all suppliers with lines; areas from account balances."""
-    fields = table(spark, d, "supplier").join(order_history(spark, d).select(F.col("field_id")), F.col("field_id") == text("s_suppkey"), "left_semi").select(text("s_suppkey").alias("field_id"), F.abs("s_acctbal").alias("area_ha"))
-    only = lambda df: df.join(fields, "field_id", "left_semi")
-    index = only(supplier_index(spark, d))
-    integrated = integrate.integrated_dataset(fields.select("field_id"), order_history(spark, d), only(brand_overlaps(spark, d)), index, 1997)
-    return report.field_records(fields, order_history(spark, d), integrated, index, only(soil_health(spark, d)), 1997)
+    """Field records of all suppliers with lines."""
+    history, overlaps, index, fields = farm(spark, d)
+    integrated = integrate.integrated_dataset(fields.select("field_id"), history, overlaps, index, 1997)
+    health = landed(soil_health(spark, d).join(fields, "field_id", "left_semi"), "health")
+    return landed(report.field_records(fields, history, integrated, index, health, 1997), "records")
 
 
 _RECORDS = f"""{_DOMINANT.replace("o AS", "oo AS").replace("FROM o ", "FROM oo ")}, {_CROPS}, {_INDEX}, {_SOIL_SQL.replace("c AS (SELECT p_brand", "cc AS (SELECT p_brand").replace("FROM c GROUP", "FROM cc GROUP")},
@@ -400,21 +416,57 @@ def agg13_join3_dominant_crop(spark: SparkSession, d: str) -> DataFrame:
     return report.dominant_crop(rows, ["n_regionkey"], "l_returnflag", "l_quantity")
 
 
-@query(f"WITH {_RECORDS} SELECT count(*) AS field_count, round(sum(area_ha), 3) AS total_area_ha, round(avg(mean_ndvi), 4) AS mean_ndvi, 'Showing ' || count(*) || ' of ' || (SELECT count(*) FROM rec) || ' fields.' AS status FROM rec WHERE soil_type = (SELECT min(soil_type) FROM rec)")
-def flt6_exp7_selection(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d)
-    out = report.selection_figures(rows, soil_type=rows.agg(F.min("soil_type")).first()[0])
-    return out.select("field_count", F.round("total_area_ha", 3).alias("total_area_ha"), F.round("mean_ndvi", 4).alias("mean_ndvi"), "status")
+def _number(x: str) -> str:
+    """SQL of a number with commas and three decimals at most."""
+    return f"CASE WHEN round({x}, 3) < 0 THEN '-' ELSE '' END || regexp_replace(format('{{:,}}', trunc(abs(round({x}, 3)))::BIGINT) || '.' || lpad((round(abs({x}) * 1000)::BIGINT % 1000)::VARCHAR, 3, '0'), '\\.?0+$', '')"
+
+
+_CAPTION = f"""CASE WHEN c = 0 THEN 'Nothing selected.' ELSE CASE WHEN c = 1 THEN f || ': ' || {_number("a")} || ' ha of ' || crop1 || ' on ' || soil1 || '.' ELSE c || ' of ' || every || ' fields, ' || {_number("area")} || ' ha, mostly ' || crop || '.' END
+ || ' Index ' || {_number("ndvi")} || CASE WHEN ndvi < 0.3 THEN ': low.' WHEN ndvi <= 0.6 THEN ': medium.' ELSE ': high.' END || ' Organic matter ' || {_number("om")} || ' %, pH ' || {_number("ph")} || '.' END"""
 
 
-@query("""WITH o AS (SELECT l_suppkey, p_brand AS mukey, count(*)::DOUBLE AS a FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 3 <> 0 GROUP BY ALL)
-SELECT s_suppkey::VARCHAR AS field_id, coalesce(mukey, '') AS mukey, coalesce('s-' || mukey, '') AS musym, coalesce('soil ' || mukey, '') AS muname, coalesce(a, 0) AS overlap_area_m2, 1000.0::DOUBLE AS field_area_m2, round(coalesce(a / 1000, 0), 6) AS field_fraction
-FROM supplier LEFT JOIN o ON s_suppkey = l_suppkey""")
+@query(f"""WITH {_RECORDS}, picks AS (SELECT min(soil_type) AS soil, min(field_id) AS field FROM rec),
+sel AS (SELECT 'soil' AS pick, rec.* FROM rec, picks WHERE soil_type = soil UNION ALL SELECT 'field', rec.* FROM rec, picks WHERE field_id = field UNION ALL SELECT 'neither', rec.* FROM rec, picks WHERE field_id = field AND soil_type = 'none such'),
+t AS (SELECT pick, crop_2023 AS crop FROM sel GROUP BY pick, crop_2023 QUALIFY row_number() OVER (PARTITION BY pick ORDER BY sum(crop_2023_pixels) DESC, crop_2023) = 1),
+z AS (SELECT p.pick, count(field_id) AS c, sum(area_ha) AS area, avg(mean_ndvi) AS ndvi, avg(organic_matter_pct) AS om, avg(ph_h2o) AS ph, max(field_id) AS f, max(area_ha) AS a, max(crop_2023) AS crop1, max(soil_type || ' — ' || soil_name) AS soil1, (SELECT count(*) FROM rec) AS every
+ FROM (VALUES ('soil'), ('field'), ('neither')) p(pick) LEFT JOIN sel USING (pick) GROUP BY 1)
+SELECT pick, c AS field_count, every AS all_fields, round(area, 3) AS total_area_ha, round(ndvi, 4) AS mean_ndvi, {_CAPTION} AS caption FROM z LEFT JOIN t USING (pick)""")
+def flt6_exp7_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Figures and captions of three selections: by soil, by field, and one that nothing meets."""
+    rows = records(spark, d)
+    least = rows.agg(F.min("soil_type").alias("soil"), F.min("field_id").alias("field")).first()
+    picks = {"soil": (None, least["soil"]), "field": (least["field"], None), "neither": (least["field"], "none such")}
+    out = None
+    for name, (field, soil_type) in picks.items():
+        one = report.selection_figures(rows, field, soil_type).select(F.lit(name).alias("pick"), "field_count", "all_fields", F.round("total_area_ha", 3).alias("total_area_ha"), F.round("mean_ndvi", 4).alias("mean_ndvi"), "caption")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {_RECORDS}, {_ANALYSED.replace("y AS (", "yy AS (").replace("FROM y", "FROM yy").replace("y.*", "yy.*").replace("yy.*", "yy.*").replace("b AS (SELECT site_id", "bb AS (SELECT site_id").replace("JOIN b USING", "JOIN bb USING").replace("a AS (SELECT yy", "aa AS (SELECT yy")},
+wx AS (SELECT avg(t2m_anomaly_c) AS t2m_anomaly_c, coalesce(sum(precip_mm) FILTER (year(date) = 2000), 0) AS precip_mm FROM aa WHERE site_id = (SELECT min(site_id) FROM aa)),
+k AS (SELECT crop_2023 FROM rec GROUP BY 1 ORDER BY sum(crop_2023_pixels) DESC, crop_2023 LIMIT 1)
+SELECT count(*) AS field_count, round(sum(area_ha), 3) AS total_area_ha, (SELECT crop_2023 FROM k) AS dominant_crop_2023, round(avg(ndvi_coverage_fraction) * 100, 4) AS ndvi_coverage_pct, {_FIGURES}, (SELECT round(t2m_anomaly_c, 2) FROM wx) AS t2m_anomaly_c, (SELECT round(precip_mm, 2) FROM wx) AS precip_mm,
+ (SELECT strftime(max(l_shipdate), '%Y-%m-%d') FROM lineitem) AS scene_date FROM rec""")
+def agg14_package_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Figures over all fields with the year's weather of the first site and the date of the last line as the scene's."""
+    series = weather.year_summary(analysed(spark, d), 2000)
+    first = series.join(series.agg(F.min("site_id").alias("site_id")), "site_id")
+    scene = table(spark, d, "lineitem").agg(E.date_of_stamp(F.date_format(F.max("l_shipdate"), "yyyy-MM-dd'T'HH:mm:ss")).alias("scene_date"))
+    out = report.package_figures(records(spark, d), first.select("mean_anomaly_c", "precip_mm"), scene)
+    return rounded(out.withColumn("total_area_ha", F.round("total_area_ha", 3)).withColumns({c: F.round(c, 2) for c in ("t2m_anomaly_c", "precip_mm")}), 4)
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderpriority AS mukey, count(*)::DOUBLE AS a FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL)
+SELECT c_custkey::VARCHAR AS field_id, coalesce(mukey, '') AS mukey, coalesce('s-' || mukey, '') AS musym, coalesce('soil ' || mukey, '') AS muname, coalesce(a, 0) AS overlap_area_m2, 1000.0::DOUBLE AS field_area_m2, round(coalesce(a / 1000, 0), 6) AS field_fraction
+FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
 def geo7_set1_join7_overlap_table(spark: SparkSession, d: str) -> DataFrame:
-    shares = brand_overlaps(spark, d).where(F.col("field_id").cast("long") % 3 != 0).withColumn("overlap_area_m2", F.col("overlap_area_m2") / 10_000).withColumn("field_area_m2", F.lit(1000.0)).withColumn("field_fraction", F.col("overlap_area_m2") / 1000)
-    units = shares.select("mukey", "musym", "muname").distinct()
-    fields = table(spark, d, "supplier").select(text("s_suppkey").alias("field_id"), F.lit(1000.0).alias("field_area_m2"))
-    return rounded(spatial.overlap_table(fields, shares.drop("musym", "muname"), units))
+    """Customers as fields, priorities of their pending orders as map units; customers without any are uncovered."""
+    n = table(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(text("o_custkey").alias("field_id"), F.col("o_orderpriority").alias("mukey")).agg(F.count(F.lit(1)).cast("double").alias("overlap_area_m2"))
+    shares = landed(n.withColumn("field_area_m2", F.lit(1000.0)).withColumn("field_fraction", F.col("overlap_area_m2") / 1000), "shares")
+    units = shares.select("mukey").distinct().select("mukey", F.concat(F.lit("s-"), "mukey").alias("musym"), F.concat(F.lit("soil "), "mukey").alias("muname"))
+    fields = table(spark, d, "customer").select(text("c_custkey").alias("field_id"), F.lit(1000.0).alias("field_area_m2"))
+    return rounded(spatial.overlap_table(fields, shares, units))
 
 
 @query("""WITH n AS (SELECT l_suppkey, p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), f AS (SELECT l_suppkey::VARCHAR AS field_id, p_brand, n / sum(n) OVER (PARTITION BY l_suppkey) * 0.9 AS f FROM n)
@@ -426,27 +478,37 @@ def flt7_agg16_uncovered(spark: SparkSession, d: str) -> DataFrame:
 # --- space
 
 
-def rectangles(spark: SparkSession, d: str, key: str, parity: int) -> DataFrame:
-    """Rectangles of 0.05 by 0.04 from the first two components of vectors with an even or odd id."""
-    e = table(spark, d, "embeddings").where(F.col("vec_id") % 2 == parity)
+def rectangles(spark: SparkSession, d: str, key: str, parity: int | None = None) -> DataFrame:
+    """Rectangles of 0.05 by 0.04 from the first two components of vectors; ``parity`` tells two sides of a join apart.
+    As map units, 25 share a key, so that several polygons of one overlap."""
+    e = table(spark, d, "embeddings")
+    if parity is not None:
+        e = e.where(F.col("vec_id") % 2 == parity)
     x, y = F.round(F.col("embedding")[0].cast("double"), 4), F.round(F.col("embedding")[1].cast("double"), 4)
     ring = F.struct(F.lit(1).alias("sign"), F.array(x, x + 0.05, x + 0.05, x).alias("xs"), F.array(y, y, y + 0.04, y + 0.04).alias("ys"))
-    return e.select(text("vec_id").alias(key), F.lit(spatial.EQUAL_AREA).alias("srid"), F.array(ring).cast(spatial.RINGS).alias("rings"))
+    name = F.floor(F.col("vec_id") / 50) if key == "mukey" else F.col("vec_id")
+    return e.select(name.cast("string").alias(key), F.lit(spatial.EQUAL_AREA).alias("srid"), F.array(ring).cast(spatial.RINGS).alias("rings"))
 
 
 _RECTS = "r AS (SELECT vec_id, round(embedding[1]::DOUBLE, 4) AS x, round(embedding[2]::DOUBLE, 4) AS y FROM embeddings)"
 
 
-@query(f"WITH {_RECTS} SELECT vec_id::VARCHAR AS field_id, round(0.05 * 0.04, 6) AS area, round(x + 0.025, 5) AS cx, round(y + 0.02, 5) AS cy, round(x, 5) AS xmin, round(y, 5) AS ymin, round(x + 0.05, 5) AS xmax, round(y + 0.04, 5) AS ymax, true AS simple FROM r WHERE vec_id % 2 = 0")
+@query(f"WITH {_RECTS} SELECT vec_id::VARCHAR AS field_id, round(0.05 * 0.04, 6) AS area, round(x + 0.025, 5) AS cx, round(y + 0.02, 5) AS cy, round(x, 5) AS xmin, round(y, 5) AS ymin, round(x + 0.05, 5) AS xmax, round(y + 0.04, 5) AS ymax, true AS simple FROM r")
 def geo2_geo3_measures(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(spatial.with_measures(rectangles(spark, d, "field_id", 0)).drop("srid", "rings"), 5).withColumn("area", F.round("area", 6))
+    return rounded(spatial.with_measures(rectangles(spark, d, "field_id"), simple=True).drop("srid", "rings"), 5).withColumn("area", F.round("area", 6))
+
 
+#: Union of each map unit's rectangles within each field: between neighbouring x, how much of y any of them covers.
+_UNIONS = f"""{_RECTS}, q AS (SELECT a.vec_id AS i, b.vec_id // 50 AS m, greatest(a.x, b.x) AS x0, least(a.x, b.x) + 0.05 AS x1, greatest(a.y, b.y) AS y0, least(a.y, b.y) + 0.04 AS y1 FROM r a JOIN r b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND abs(a.x - b.x) < 0.05 AND abs(a.y - b.y) < 0.04),
+cuts AS (SELECT i, m, x, lead(x) OVER (PARTITION BY i, m ORDER BY x) AS nx FROM (SELECT DISTINCT i, m, unnest([x0, x1]) AS x FROM q)),
+spans AS (SELECT q.i, q.m, c.x, c.nx, y0, y1, max(y1) OVER (PARTITION BY q.i, q.m, c.x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM cuts c JOIN q ON q.i = c.i AND q.m = c.m AND q.x0 <= c.x AND q.x1 >= c.nx WHERE c.nx IS NOT NULL),
+u AS (SELECT i, m, sum((nx - x) * greatest(0, y1 - greatest(y0, coalesce(seen, y0)))) AS o FROM spans GROUP BY 1, 2)"""
 
-@query(f"""WITH {_RECTS}, p AS (SELECT a.vec_id AS i, b.vec_id AS j, greatest(0, least(a.x, b.x) + 0.05 - greatest(a.x, b.x)) * greatest(0, least(a.y, b.y) + 0.04 - greatest(a.y, b.y)) AS o FROM r a JOIN r b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)
-SELECT i::VARCHAR AS field_id, j::VARCHAR AS mukey, round(o, 9) AS overlap_area_m2, round(0.05 * 0.04, 9) AS field_area_m2, round(o / (0.05 * 0.04), 7) AS field_fraction FROM p WHERE o > 1e-11""")
+
+@query(f"WITH {_UNIONS} SELECT i::VARCHAR AS field_id, m::VARCHAR AS mukey, round(o, 8) AS overlap_area_m2, round(0.05 * 0.04, 8) AS field_area_m2, round(o / (0.05 * 0.04), 6) AS field_fraction FROM u WHERE o > 1e-10")
 def geo6_join8_overlap(spark: SparkSession, d: str) -> DataFrame:
-    out = spatial.field_soil_overlap(rectangles(spark, d, "field_id", 0), rectangles(spark, d, "mukey", 1))
-    return out.withColumns({c: F.round(c, 9) for c in ("overlap_area_m2", "field_area_m2")}).withColumn("field_fraction", F.round("field_fraction", 7))
+    out = spatial.field_soil_overlap(rectangles(spark, d, "field_id", 0), rectangles(spark, d, "mukey", 1)).where("overlap_area_m2 > 1e-10")
+    return out.withColumns({c: F.round(c, 8) for c in ("overlap_area_m2", "field_area_m2")}).withColumn("field_fraction", F.round("field_fraction", 6))
 
 
 @query(f"""WITH {_RECTS}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM r),
@@ -459,9 +521,9 @@ def geo9_top2_grid_selection(spark: SparkSession, d: str) -> DataFrame:
     return spatial.select_on_grid(points, tuple(box), 2, "vec_id", "F-").select("vec_id", "grid_row", "grid_col", "field_id")
 
 
-@query(f"WITH {_RECTS} SELECT round(min(x), 5) AS xmin, round(min(y), 5) AS ymin, round(max(x) + 0.05, 5) AS xmax, round(max(y) + 0.04, 5) AS ymax FROM r WHERE vec_id % 2 = 1")
+@query(f"WITH {_RECTS} SELECT round(min(x), 5) AS xmin, round(min(y), 5) AS ymin, round(max(x) + 0.05, 5) AS xmax, round(max(y) + 0.04, 5) AS ymax FROM r")
 def set3_total_bounds(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(spatial.total_bounds(spatial.with_measures(rectangles(spark, d, "mukey", 1))), 5)
+    return rounded(spatial.total_bounds(spatial.with_measures(rectangles(spark, d, "mukey"))), 5)
 
 
 @query(f"""WITH {_RECTS} SELECT vec_id, greatest(0, floor((0.5 - (y + 0.04)) / 0.1))::BIGINT AS row_from, least(8, ceil((0.5 - y) / 0.1))::BIGINT AS row_to, greatest(0, floor((x + 0.5) / 0.1))::BIGINT AS col_from, least(8, ceil((x + 0.05 + 0.5) / 0.1))::BIGINT AS col_to,
@@ -494,36 +556,98 @@ def flt3_flt4_masks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY regexp_extract(p_brand, '^\\D*(\\d+)', 1)::BIGINT, p_brand, p_partkey)::INT AS place FROM part")
 def srt2_numeric_order(spark: SparkSession, d: str) -> DataFrame:
-    from fieldspark.plans.places import global_places
-
-    return global_places(table(spark, d, "part"), [*E.numeric_order(F.col("p_brand")), F.col("p_partkey").asc()]).select("p_partkey", "place")
+    return places.global_places(table(spark, d, "part"), [*E.numeric_order(F.col("p_brand")), F.col("p_partkey").asc()]).select("p_partkey", "place")
 
 
 @query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def chk1_chk10_gated_orders(spark: SparkSession, d: str) -> DataFrame:
-    """Orders behind every gate: columns, unique keys, references, ranges, finite and numeric text, periods, sums."""
-    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
+    """Orders behind every gate: columns, unique and equal keys, references, ranges, finite numbers and numeric text,
+    periods, sums. ``chk2_chk10_findings`` has what they refuse."""
+    orders, customers, nations, regions = (table(spark, d, n) for n in ("orders", "customer", "nation", "region"))
     checks.require_columns(orders, ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"], "orders")
-    checks.require_unique(orders, ["o_orderkey"], "orders")
-    checks.require_reference(orders.withColumnRenamed("o_custkey", "c_custkey"), customers, "c_custkey", "orders")
-    checks.require_rules(orders, {"prices must be non-negative": F.col("o_totalprice") >= 0}, "orders")
-    checks.require_finite(orders, ["o_totalprice"], "orders")
-    checks.require_finite(orders, ["o_orderkey"], "orders", integral=True)
-    checks.require_same_keys(orders, orders, "o_orderkey", "orders")
+    rules = {"prices must be non-negative": F.col("o_totalprice") >= 0} | checks.finite_rules(["o_totalprice"]) | checks.finite_rules(["o_orderkey"], integral=True)
+    checks.require_all(orders.withColumnRenamed("o_custkey", "c_custkey"), "orders", rules, ["o_orderkey", "c_custkey"], parent=customers, key="c_custkey")
+    checks.require_same_keys(regions.select(F.col("r_regionkey").alias("k")), nations.select(F.col("n_regionkey").alias("k")), "k", "regions")
+    checks.require_period(regions, "r_regionkey", "0", "4", 5, "regions")
+    checks.require_sums(nations.withColumn("share", F.lit(1 / 25)), "n_regionkey", "share", 1.0, "nations")
     named = checks.to_keys(checks.to_numbers(orders.withColumn("o_totalprice", text("o_totalprice")), ["o_totalprice"], "orders"), ["o_orderstatus"], "orders")
     checks.require_text(named, ["o_orderstatus"], "orders")
     rows = named.join(customers.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("""WITH o AS (SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN 'n/a' ELSE o_totalprice::VARCHAR END AS price, CASE WHEN o_orderpriority = '5-LOW' THEN ' ' ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus = 'P' THEN 'nan' ELSE o_orderstatus END AS word,
+ CASE WHEN o_orderstatus = 'F' THEN 'inf'::DOUBLE ELSE o_totalprice END AS amount FROM orders),
+days AS (SELECT o_orderstatus, count(*) AS n, min(o_orderdate::DATE)::VARCHAR AS lo, max(o_orderdate::DATE)::VARCHAR AS hi FROM orders GROUP BY 1)
+SELECT 'price above 300000' AS rule, o_orderkey::VARCHAR AS key FROM o WHERE o_totalprice > 300000
+UNION ALL SELECT 'non-finite amount', o_orderkey::VARCHAR FROM o WHERE isinf(amount)
+UNION ALL SELECT 'non-integral o_totalprice', o_orderkey::VARCHAR FROM o WHERE o_totalprice <> floor(o_totalprice)
+UNION ALL SELECT 'invalid numeric price', o_orderkey::VARCHAR FROM o WHERE price = 'n/a'
+UNION ALL SELECT 'empty status', o_orderkey::VARCHAR FROM o WHERE trim(status) = ''
+UNION ALL SELECT 'empty word', o_orderkey::VARCHAR FROM o WHERE word = 'nan'
+UNION ALL SELECT 'duplicate o_custkey/o_orderpriority', o_custkey || '/' || o_orderpriority FROM orders GROUP BY o_custkey, o_orderpriority HAVING count(*) > 1
+UNION ALL SELECT 'missing k', o_orderkey::VARCHAR FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT DISTINCT 'unknown k', l_orderkey::VARCHAR FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'sum of l_quantity exceeds 150', l_orderkey::VARCHAR FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 150
+UNION ALL SELECT 'row count', o_orderstatus FROM days WHERE n <> 1
+UNION ALL SELECT 'first day', o_orderstatus FROM days WHERE lo <> (SELECT min(o_orderdate::DATE)::VARCHAR FROM orders)
+UNION ALL SELECT 'last day', o_orderstatus FROM days WHERE hi <> '2001-01-01'""")
+def chk2_chk10_findings(spark: SparkSession, d: str) -> DataFrame:
+    """What each gate refuses, over orders and lines with odd values put in by status and priority."""
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    o = orders.select(
+        "*", F.when(F.col("o_orderpriority") == "1-URGENT", "n/a").otherwise(text("o_totalprice")).alias("price"), F.when(F.col("o_orderpriority") == "5-LOW", " ").otherwise(F.col("o_orderstatus")).alias("status"),
+        F.when(F.col("o_orderstatus") == "P", "nan").otherwise(F.col("o_orderstatus")).alias("word"), F.when(F.col("o_orderstatus") == "F", float("inf")).otherwise(F.col("o_totalprice")).alias("amount"),
+    )
+    whole = {"non-integral o_totalprice": checks.finite_rules(["o_totalprice"], integral=True)["non-integral o_totalprice"]}
+    rules = {"price above 300000": F.col("o_totalprice") <= 300000} | checks.finite_rules(["amount"]) | whole | checks.number_rules(["price"]) | checks.key_rules(["status"]) | checks.text_rules(["word"])
+    return (
+        checks.rule_findings(o, "o_orderkey", rules)
+        .unionByName(checks.duplicate_findings(orders, ["o_custkey", "o_orderpriority"]))
+        .unionByName(checks.key_findings(orders.select(F.col("o_orderkey").alias("k")), lines.select(F.col("l_orderkey").alias("k")), "k"))
+        .unionByName(checks.sum_findings(lines, "l_orderkey", "l_quantity", 150))
+        .unionByName(checks.period_findings(orders.withColumn("day", F.to_date("o_orderdate")), "day", ["o_orderstatus"], str(orders.agg(F.to_date(F.min("o_orderdate"))).first()[0]), "2001-01-01", 1))
+    )
+
+
 # --- scans
 
 TOKEN_RULE = {"assigned token": r'token = "[0-9a-f]{40}"', "assigned password": r"password=[0-9a-f]{8,}", "key id": r"AKIA[0-9A-Z]{16}"}
+_SECRETS = "CASE lang WHEN 'de' THEN ' ghp_' || md5(text) WHEN 'fr' THEN ' github_pat_' || md5(text) WHEN 'es' THEN ' GOCSPX-' || md5(text) || ' refresh_token: ' || md5(text) ELSE CASE WHEN n_chars > 2000 THEN ' \"client_secret\": \"' || md5(text) || '\"' ELSE ' client_secret = short' END END"
+_RULES = scan.CREDENTIALS | TOKEN_RULE
+
+
+def secrets(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with made-up secrets of a shape by language behind the text."""
+    digest, said = F.md5("text"), F.col("lang")
+    tail = F.when(said == "de", F.concat(F.lit(" ghp_"), digest)).when(said == "fr", F.concat(F.lit(" github_pat_"), digest)).when(said == "es", F.concat(F.lit(" GOCSPX-"), digest, F.lit(" refresh_token: "), digest))
+    tail = tail.otherwise(F.when(F.col("n_chars") > 2000, F.concat(F.lit(' "client_secret": "'), digest, F.lit('"'))).otherwise(F.lit(" client_secret = short")))
+    return table(spark, d, "documents").withColumn("body", F.concat("text", tail))
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule FROM documents WHERE regexp_matches(text, '{p}')" for n, p in TOKEN_RULE.items()))
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+@query(f"WITH s AS (SELECT doc_id, text || {_SECRETS} AS body FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule FROM s WHERE regexp_matches(body, '{_quoted(p)}')" for n, p in _RULES.items()))
 def scn1_credentials(spark: SparkSession, d: str) -> DataFrame:
-    return scan.credential_findings(table(spark, d, "documents"), "doc_id", "text", scan.CREDENTIALS | TOKEN_RULE)
+    return scan.credential_findings(secrets(spark, d), "doc_id", "body", _RULES)
+
+
+_LISTING = "l AS (SELECT source || '/' || CASE WHEN n_chars < 300 THEN '.ENV' WHEN n_chars < 600 THEN 'my-Classroom-' || doc_id WHEN n_chars < 1200 THEN 'oauth/token_' || doc_id ELSE 'd' || doc_id || CASE WHEN lang = 'en' THEN '.Zip' ELSE '.zip.txt' END END AS path, octet_length(encode(text)) AS length, text || " + _SECRETS + " AS body FROM documents)"
+
+
+@query(f"WITH {_LISTING}, p AS (SELECT path, unnest(string_split(lower(path), '/')) AS c FROM l) SELECT path, rule, count(*) AS n FROM (" + " UNION ALL ".join(
+    [f"SELECT path, '{n}' AS rule FROM p WHERE contains(c, '{m}')" for m, n in scan.NAME_RULES.items()] + ["SELECT path, 'source ZIP' FROM p WHERE ends_with(c, '.zip')", "SELECT path, 'size' FROM l WHERE length > 4000"]
+    + [f"SELECT path, '{n}' FROM l WHERE length <= 4000 AND regexp_matches(body, '{_quoted(p)}')" for n, p in scan.CREDENTIALS.items()]
+) + ") GROUP BY ALL")
+def scn1_scn3_file_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files with odd names: name rules, sizes, and the content rules of files that are not too large."""
+    n, key = F.col("n_chars"), text("doc_id")
+    name = F.when(n < 300, ".ENV").when(n < 600, F.concat(F.lit("my-Classroom-"), key)).when(n < 1200, F.concat(F.lit("oauth/token_"), key)).otherwise(F.concat(F.lit("d"), key, F.when(F.col("lang") == "en", ".Zip").otherwise(".zip.txt")))
+    files = secrets(spark, d).select(F.concat("source", F.lit("/"), name).alias("path"), F.octet_length("text").cast("long").alias("length"), "body")
+    found = scan.name_findings(files).unionByName(scan.size_findings(files, 4000).select("path", F.lit("size").alias("rule"))).unionByName(scan.content_findings(files, "body", 4000))
+    return found.groupBy("path", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT page_id, 'machine-local absolute path' AS rule FROM pages WHERE regexp_matches('see ' || replace(url, '://', ':/home/'), '/(?:home|Users)/[^\\s]+') AND NOT starts_with(url, 'https://m.')")
@@ -548,6 +672,21 @@ def scn4_unresolved_references(spark: SparkSession, d: str) -> DataFrame:
     return scan.unresolved(anchors, known).groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS v FROM pages WHERE starts_with(html, '<!DOCTYPE')),
+k AS (SELECT page_id, 'image' AS kind, v AS value FROM a UNION ALL SELECT page_id, 'stylesheet', v || '.css?v=1' FROM a UNION ALL SELECT page_id, 'script', v || '.js#x' FROM a UNION ALL SELECT page_id, 'json', v || '.json' FROM a
+ UNION ALL SELECT page_id, 'dashboard', 'dash.json' FROM pages WHERE starts_with(html, '<!DOCTYPE')),
+l AS (SELECT page_id, kind, split_part(split_part(value, '?', 1), '#', 1) AS target FROM k WHERE trim(value) <> '' AND NOT starts_with(trim(value), '#') AND NOT regexp_matches(trim(value), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//)'))
+SELECT page_id, kind, target, count(*) AS n FROM l WHERE target NOT IN (SELECT DISTINCT '/' || split_part(text, ' ', 1) FROM documents WHERE text IS NOT NULL) GROUP BY ALL""")
+def scn4_html_references(spark: SparkSession, d: str) -> DataFrame:
+    """Each list link of a page made an image, a style sheet, a script and a JSON link, and a data attribute put in; the
+    references of these tags that no document's first word names."""
+    tags = '<li><img alt="x > y" SRC="$1"/><link rel="preload Stylesheet" href=\'$1.css?v=1\'><script async src=$1.js#x></script><a class="c" href="$1.json">'
+    html = F.regexp_replace(F.regexp_replace("html", '<li><a href="([^"]*)">', tags), "^<!DOCTYPE html><html ", '<!DOCTYPE html><html data-dashboard="dash.json" ')
+    pages = table(spark, d, "pages").where(F.col("html").startswith("<!DOCTYPE")).select("page_id", html.alias("html"))
+    known = table(spark, d, "documents").where("text is not null").select(F.concat(F.lit("/"), F.split_part("text", F.lit(" "), F.lit(1))).alias("path"))
+    return scan.unresolved(scan.html_references(pages, "page_id", "html"), known).groupBy("page_id", "kind", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 7 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS expected, CASE WHEN doc_id % 7 = 0 THEN sha256(text) END AS sha256, CASE WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'missing' END AS status FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0""")
 def scn5_digest_audit(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
@@ -577,30 +716,60 @@ k AS (SELECT (m1 - m2) / (q2 - q1) AS n, m1 + (m1 - m2) / (q2 - q1) * q1 AS c, q
 
 @query(f"""WITH {_LONLAT}, {_SINES}, {_CONSTANTS} SELECT vec_id, round(6378137 * sqrt(c - n * q) / n * sin(n * radians(lon + 96)), 3) AS x, round(6378137 / n * (sqrt(c - n * q0) - sqrt(c - n * q) * cos(n * radians(lon + 96))), 3) AS y FROM q, k""")
 def geo1_reproject(spark: SparkSession, d: str) -> DataFrame:
+    return first_corner(spatial.reproject(lonlat_points(spark, d), spatial.EQUAL_AREA), 3)
+
+
+def _utm_sql() -> str:
+    """Kruger's series of zone 15, terms to the fourth order."""
+    n = spatial.geometry.FLATTENING / (2 - spatial.geometry.FLATTENING)
+    radius = spatial.geometry.SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+    east = " + ".join(["eta", *(f"{a!r}::DOUBLE * cos({2 * j} * xi) * (exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2" for j, a in enumerate(alpha, 1))])
+    north = " + ".join(["xi", *(f"{a!r}::DOUBLE * sin({2 * j} * xi) * (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2" for j, a in enumerate(alpha, 1))])
+    return f"""t AS (SELECT vec_id, radians(lon + 93) AS d, sin(radians(lat)) AS s, sqrt({_E2}) AS e FROM g), h AS (SELECT vec_id, d, atanh(s) - e * atanh(e * s) AS w FROM t), i AS (SELECT vec_id, d, (exp(w) - exp(-w)) / 2 AS t FROM h),
+ j AS (SELECT vec_id, atan2(t, cos(d)) AS xi, asinh(sin(d) / sqrt(t * t + cos(d) * cos(d))) AS eta FROM i) SELECT vec_id, round(500000 + 0.9996 * {radius!r}::DOUBLE * ({east}), 3) AS x, round(0.9996 * {radius!r}::DOUBLE * ({north}), 3) AS y FROM j"""
+
+
+def lonlat_points(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("embedding")
     x, y = -96 + 20 * e[0].cast("double"), 38 + 10 * e[1].cast("double")
     point = F.array(F.struct(F.lit(1).alias("sign"), F.array(x).alias("xs"), F.array(y).alias("ys"))).cast(spatial.RINGS)
-    df = table(spark, d, "embeddings").select("vec_id", F.lit(spatial.LONLAT).alias("srid"), point.alias("rings"))
-    moved = spatial.reproject(df, spatial.EQUAL_AREA)
-    return rounded(moved.select("vec_id", F.col("rings")[0]["xs"][0].alias("x"), F.col("rings")[0]["ys"][0].alias("y")), 3)
+    return table(spark, d, "embeddings").select("vec_id", F.lit(spatial.LONLAT).alias("srid"), point.alias("rings"))
+
+
+def first_corner(df: DataFrame, places: int) -> DataFrame:
+    return rounded(df.select("vec_id", F.col("rings")[0]["xs"][0].alias("x"), F.col("rings")[0]["ys"][0].alias("y")), places)
+
 
+@query(f"WITH {_LONLAT}, {_utm_sql()}")
+def geo1_grid_zone(spark: SparkSession, d: str) -> DataFrame:
+    return first_corner(spatial.reproject(lonlat_points(spark, d), 32615), 3)
 
-@query(f"""WITH {_RECTS}, f AS (SELECT vec_id, x, y, greatest(0, least(x + 0.05, 0.1) - greatest(x, -0.2)) * greatest(0, least(y + 0.04, 0.2) - greatest(y, -0.2)) / (0.05 * 0.04) AS f FROM r WHERE vec_id % 2 = 0 AND vec_id % 3 <> 0)
+
+@query(f"WITH {_LONLAT} SELECT vec_id, round(lon, 7) AS x, round(lat, 7) AS y FROM g")
+def geo1_there_and_back(spark: SparkSession, d: str) -> DataFrame:
+    there = spatial.reproject(lonlat_points(spark, d), spatial.EQUAL_AREA)
+    return first_corner(spatial.reproject(there, spatial.LONLAT), 7)
+
+
+@query(f"""WITH {_RECTS}, f AS (SELECT vec_id, x, y, greatest(0, least(x + 0.05, 0.1) - greatest(x, -0.2)) * greatest(0, least(y + 0.04, 0.2) - greatest(y, -0.2)) / (0.05 * 0.04) AS f FROM r WHERE x <= y)
 SELECT vec_id::VARCHAR AS field_id, round(f, 6) AS inside_fraction FROM f WHERE x + 0.025 > -0.2 AND x + 0.025 < 0.1 AND y + 0.02 > -0.2 AND y + 0.02 < 0.2 AND f >= 0.95 + 1e-7""")
 def flt1_flt2_eligible(spark: SparkSession, d: str) -> DataFrame:
     """Flagged rectangles, the first row of each id, within a region."""
-    rects = rectangles(spark, d, "field_id", 0).withColumn("isAG", F.when(F.col("field_id").cast("long") % 3 == 0, 0).otherwise(1))
+    rects = rectangles(spark, d, "field_id").withColumn("isAG", (F.col("rings")[0]["xs"][0] <= F.col("rings")[0]["ys"][0]).cast("int"))
     twice = rects.withColumn("src", F.lit(0)).unionByName(rects.withColumn("src", F.lit(1)))
     ring = F.array(F.struct(F.lit(1).alias("sign"), F.array(*map(F.lit, (-0.2, 0.1, 0.1, -0.2))).alias("xs"), F.array(*map(F.lit, (-0.2, -0.2, 0.2, 0.2))).alias("ys"))).cast(spatial.RINGS)
     region = spark.range(1).select(ring.alias("rings"))
     return rounded(spatial.within_region(spatial.eligible(twice, "isAG", "field_id", "src"), region, 0.95 + 1e-7).select("field_id", "inside_fraction"))
 
 
-@query(f"""WITH {_RECTS}, p AS (SELECT a.vec_id AS i, b.vec_id % 7 AS m, b.vec_id AS j, greatest(0, least(a.x, b.x) + 0.05 - greatest(a.x, b.x)) * greatest(0, least(a.y, b.y) + 0.04 - greatest(a.y, b.y)) AS o FROM r a JOIN r b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)
-SELECT i::VARCHAR AS field_id, j::VARCHAR AS mukey, round(o, 9) AS area FROM p WHERE o > 1e-11""")
+@query(f"WITH {_UNIONS} SELECT i::VARCHAR AS field_id, m::VARCHAR AS mukey, round(o, 8) AS area FROM u WHERE o > 1e-10")
 def geo8_clipped_soils(spark: SparkSession, d: str) -> DataFrame:
-    pieces = spatial.clipped_soils(rectangles(spark, d, "field_id", 0), rectangles(spark, d, "mukey", 1))
-    return spatial.with_measures(pieces).select("field_id", "mukey", F.round("area", 9).alias("area"))
+    """Map units within fields, dissolved, after the gate that each that overlaps is left."""
+    fields, soils = rectangles(spark, d, "field_id", 0), rectangles(spark, d, "mukey", 1)
+    pieces = landed(spatial.clipped_soils(fields, soils), "pieces")
+    spatial.require_survivors(spatial.field_soil_overlap(fields, soils), pieces)
+    return spatial.with_measures(pieces).where("area > 1e-10").select("field_id", "mukey", F.round("area", 8).alias("area"))
 
 
 @query("""WITH h AS (SELECT (10 * ceil((max((p_partkey - 1) // 50) + 1) / 10))::BIGINT AS h FROM part), g AS (SELECT r.r, c.c, h FROM h, range((SELECT h FROM h)) r(r), range(50) c(c)),
@@ -625,21 +794,36 @@ def zon3_zonal_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.groupBy("raster_id", "year", "field_id", "code").agg(F.sum("n").alias("n"))
 
 
-@query("SELECT s_suppkey::VARCHAR AS scene_id, 2::BIGINT AS bands FROM supplier")
+@query("""SELECT s_suppkey::VARCHAR AS scene_id, CASE WHEN s_acctbal > 8000 THEN 1 ELSE 2 END::BIGINT AS bands, CASE WHEN s_acctbal > 8000 THEN 1 ELSE 2 END::BIGINT AS grids FROM supplier WHERE s_acctbal > 8000 OR s_acctbal < 0 OR s_nationkey % 5 = 0""")
+def zon7_grid_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Grids of suppliers' bands: the nir grid is shifted where the balance is negative and coarser in nations by fives,
+    and missing where the balance is high."""
+    s = table(spark, d, "supplier")
+    shift, coarse = F.col("s_acctbal") < 0, F.col("s_nationkey") % 5 == 0
+    grid = lambda name, x0, size: F.struct(F.lit(name).alias("band"), (F.lit(100) + F.col("s_nationkey")).alias("width"), F.lit(80).alias("height"), F.lit(32615).alias("srid"), x0.alias("x0"), F.lit(0.0).alias("y0"), size.alias("pixel_size"))
+    x = F.col("s_suppkey") * 10.0
+    bands = s.select(text("s_suppkey").alias("scene_id"), "s_acctbal", F.inline(F.array(grid("red", x, F.lit(10.0)), grid("nir", F.when(shift, x + 5).otherwise(x), F.when(coarse, 20.0).otherwise(10.0)))))
+    return imagery.grid_findings(bands.where("band = 'red' or s_acctbal <= 8000"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS scene_id, 2::BIGINT AS bands, ((100 + s_nationkey) * 80)::BIGINT AS pixels FROM supplier")
 def zon7_same_grids(spark: SparkSession, d: str) -> DataFrame:
-    bands = scene_bands(spark, d).withColumns({c: F.lit(v) for c, v in (("width", 10), ("height", 10), ("srid", 32615), ("x0", 0.0), ("y0", 0.0), ("pixel_size", 10.0))})
-    return imagery.require_same_grids(bands).groupBy("scene_id").agg(F.count(F.lit(1)).alias("bands"))
+    """Suppliers' red and nir bands behind the gate that both have one grid, and the pixels of that grid."""
+    s = table(spark, d, "supplier")
+    grid = [F.lit(b).alias("band") for b in ("red", "nir")]
+    same = [(100 + F.col("s_nationkey")).alias("width"), F.lit(80).alias("height"), F.lit(32615).alias("srid"), (F.col("s_suppkey") * 10.0).alias("x0"), F.col("s_acctbal").alias("y0"), F.lit(10.0).alias("pixel_size")]
+    bands = s.select(text("s_suppkey").alias("scene_id"), F.inline(F.array(*[F.struct(b, *same) for b in grid])))
+    return imagery.require_same_grids(bands).groupBy("scene_id").agg(F.count(F.lit(1)).alias("bands"), F.max(F.col("width") * F.col("height")).cast("long").alias("pixels"))
 
 
 # --- files: written from the tables to the shared folder and read back
 
 
-@query(f"WITH {_RECTS} SELECT vec_id::VARCHAR AS field_id, round(x, 4) AS area_ha, round(0.05 * 0.04, 6) AS area FROM r WHERE vec_id % 2 = 0")
+@query(f"WITH {_RECTS} SELECT vec_id::VARCHAR AS field_id, round(x, 4) AS area_ha, round(0.05 * 0.04, 6) AS area FROM r")
 def src1_snk1_geojson(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "geojson")
-    rects = rectangles(spark, d, "field_id", 0)
-    writers.write_geojson(rects.withColumn("area_ha", F.col("rings")[0]["xs"][0]), path, ["field_id"], whole=True)
-    back = readers.read_geojson(spark, path, "field_id string, area_ha double", "field_id", "area_ha")
+    writers.write_feature_collections(rectangles(spark, d, "field_id").withColumn("area_ha", F.col("rings")[0]["xs"][0]), path, "field_id", 100)
+    back = readers.read_geojson(spark, path, "field_id string, area_ha double", "field_id", "area_ha", lines=True)
     return spatial.with_measures(back).select("field_id", F.round("area_ha", 4).alias("area_ha"), F.round("area", 6).alias("area"))
 
 
@@ -667,16 +851,26 @@ def src4_scene_catalogue(spark: SparkSession, d: str) -> DataFrame:
     bare = F.array(F.struct(F.lit(None).cast("double").alias("scale"), F.lit(None).cast("double").alias("offset")))
     assets = F.create_map(*[x for b, v in (("red", first), ("nir", bare), ("scl", bare)) for x in (F.lit(b), F.struct(F.lit("h").alias("href"), v.alias("raster:bands")))])
     one = F.struct(text("s_suppkey").alias("id"), F.struct(F.col("s_name").alias("datetime"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("eo:cloud_cover")).alias("properties"), assets.alias("assets"))
-    s.agg(F.to_json(F.struct(F.struct(F.count(F.lit(1)).alias("matched")).alias("context"), F.collect_list(one).alias("features"))).alias("value")).write.text(path)
-    scenes, bands = readers.read_scene_catalogue(spark, path)
+    page = F.to_json(F.struct(F.struct(F.count(F.lit(1)).alias("matched")).alias("context"), F.collect_list(one).alias("features"))).alias("value")
+    s.groupBy(F.floor(F.col("s_suppkey") / 1000)).agg(page).select("value").write.text(path)  # pages of a thousand scenes
+    scenes, bands = readers.read_scene_catalogue(spark, path, lines=True)
     sums = bands.groupBy("scene_id").agg(F.sum("scale").alias("scales"), F.sum("offset").alias("offsets"))
     return scenes.join(sums, "scene_id")
 
 
 @query(f"WITH {HISTORY} SELECT * FROM history")
 def src6_snk2_products(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "product")
+    writers.write_product(class_history(spark, d), path, ["field_id", "year"])
+    return rounded(readers.read_product(spark, path, "crop_history"))
+
+
+@query(f"""WITH {HISTORY}, totals AS (SELECT count(*) AS rows, count(DISTINCT (field_id, year)) AS distinct_keys, count(*) FILTER (cdl_code IS NULL) AS missing FROM history)
+SELECT '{{"distinct_keys":' || distinct_keys || ',"missing":' || missing || ',"nothing":null,"product":"crop_history","rows":' || rows || '}}' AS summary, rows, 0::BIGINT AS out_of_order FROM totals""")
+def snk2_srt1_summary_and_order(spark: SparkSession, d: str) -> DataFrame:
+    """The summary's text as written, and the rows of the product, in files' order, that come before their predecessor."""
     path = scratch_path(spark, "product")
     rows = class_history(spark, d)
     writers.write_product(rows, path, ["field_id", "year"])
-    writers.write_summary(crops.product_counts({"crop_history": (rows, ["field_id", "year"], ["cdl_code"])}), f"{path}-summary")
-    return rounded(readers.read_product(spark, path, "crop_history"))
+    writers.write_summary(crops.product_counts({"crop_history": (rows, ["field_id", "year"], ["cdl_code"])}).withColumn("nothing", F.lit(None).cast("string")), f"{path}-summary")
+    return spark.read.text(f"{path}-summary").select(F.col("value").alias("summary")).crossJoin(readers.order_of_files(spark, path, ["field_id", "year"], "field_id string, year int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,13 +36,14 @@ def _rings(geometry: Column) -> Column:
     return F.flatten(F.transform(parts, one)).cast(RINGS)
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str, key: str | None = None, area: str | None = None, srid: int = 4326) -> DataFrame:
-    """One row for each feature of a FeatureCollection: its properties (a DDL string), srid and rings.
+def read_geojson(spark: SparkSession, path: str, properties: str, key: str | None = None, area: str | None = None, srid: int = 4326, lines: bool = False) -> DataFrame:
+    """One row for each feature of FeatureCollections: its properties (a DDL string), srid and rings. Each file is one, or
+    with ``lines`` each line is, so that large inputs are read in parallel.
 
     Refused: other JSON, no features, a missing or repeated ``key``, an ``area`` that is not finite.
     """
     schema = f"type string, features array<struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    doc = spark.read.schema(schema).option("multiLine", not lines).json(path)
     if doc.where("type = 'FeatureCollection' and size(features) > 0").limit(1).count() == 0:
         raise checks.CheckError(f"{path}: no feature collection with features")
     rows = doc.select(F.explode("features").alias("f")).select("f.properties.*", F.lit(srid).alias("srid"), _rings(F.col("f.geometry")).alias("rings"))
@@ -89,22 +90,17 @@ def read_dictionary(spark: SparkSession, path: str, table: int = 0, ordinal: int
 def read_dictionary_table(spark: SparkSession, path: str, dictionary: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """``columns`` of a pipe-delimited file without header, placed by the dictionary, trimmed, blank as null.
 
-    Every row must have the full width, and there must be rows. Column pruning of the CSV parser is off while the
-    widths are checked, as a narrow projection would hide short rows.
+    Every row must have the full width, and there must be rows; widths are checked over all columns, as a narrow
+    projection would hide short rows.
     """
     names = column_positions(dictionary, table, columns)
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("_bad", T.StringType())])
-    pruning = spark.conf.get("spark.sql.csv.parser.columnPruning.enabled")
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    try:
-        rows = _delimited(spark, path, schema)
-        got = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_bad").isNotNull()).alias("bad"), *[F.max(n).alias(f"_{n}") for n in names]).first()  # all columns: else none is parsed
-        if not got.n:
-            raise checks.CheckError(f"{table}: no rows")
-        if got.bad:
-            raise checks.CheckError(f"{table}: {got.bad} rows without full width")
-    finally:
-        spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", pruning)
+    rows = _delimited(spark, path, schema)
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_bad").isNotNull()).alias("bad"), *[F.max(n).alias(f"_{n}") for n in names]).first()  # all columns: else none is parsed
+    if not got.n:
+        raise checks.CheckError(f"{table}: no rows")
+    if got.bad:
+        raise checks.CheckError(f"{table}: {got.bad} rows without full width")
     return rows.select(*[F.nullif(F.trim(c), F.lit("")).alias(c) for c in columns])
 
 
@@ -137,15 +133,16 @@ def read_daily_series(spark: SparkSession, path: str) -> DataFrame:
     return parse_daily(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("site_id"), F.col("value").alias("payload")))
 
 
-def read_scene_catalogue(spark: SparkSession, path: str, assets: Sequence[str] = ("red", "nir", "scl")) -> tuple[DataFrame, DataFrame]:
-    """Scenes (scene_id, datetime, cloud_cover) and bands (scene_id, band, href, scale, offset) of a search result.
+def read_scene_catalogue(spark: SparkSession, path: str, assets: Sequence[str] = ("red", "nir", "scl"), lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Scenes (scene_id, datetime, cloud_cover) and bands (scene_id, band, href, scale, offset) of search results. Each
+    file is one, or with ``lines`` each line is.
 
     Scale and offset are those of an asset's first band, 1 and 0 where not given. Refused: no scenes, a scene without
     one of ``assets`` or their band list, fewer scenes than matched, or a next page where no count is given.
     """
     band = "array<struct<scale:double,offset:double>>"
     schema = f"context struct<matched:long>, links array<struct<rel:string>>, features array<struct<id:string,properties:struct<datetime:string,`eo:cloud_cover`:double>,assets:map<string,struct<href:string,`raster:bands`:{band}>>>>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    doc = spark.read.schema(schema).option("multiLine", not lines).json(path)
     cut = F.when(F.col("context.matched").isNotNull(), F.col("context.matched") <= F.size("features")).otherwise(~F.coalesce(F.exists("links", lambda x: x["rel"] == "next"), F.lit(False)))
     checks.require_rules(doc, {"no scenes": F.coalesce(F.size("features") > 0, F.lit(False)), "the result is truncated": cut}, "scene catalogue")
     rows = doc.select(F.inline("features"))
@@ -184,6 +181,18 @@ def read_product(spark: SparkSession, path: str, product: str, schemas: Mapping[
     return out.withColumn("mukey", F.coalesce("mukey", F.lit(""))) if "mukey" in out.columns else out
 
 
+def order_of_files(spark: SparkSession, path: str, keys: Sequence[str], schema: str) -> DataFrame:
+    """One row: rows, and out_of_order, how many rows of a CSV product with header stand before a row with a smaller key in
+    its file, or files before a file with smaller keys. ``schema``: the keys' types, as DDL. Files are taken by name, rows by their place in the file."""
+    types = dict(c.strip().split(None, 1) for c in schema.split(","))
+    key = F.struct(*[F.col(k).cast(types[k]).alias(k) for k in keys])
+    rows = spark.read.option("header", True).csv(path).select(key.alias("k"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("k").over(Window.partitionBy("file").orderBy("block", "at"))
+    files = rows.withColumn("bad", (before > F.col("k")).cast("int")).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    chained = files.withColumn("bad", F.col("bad") + F.coalesce((F.lag("hi").over(Window.orderBy("file")) > F.col("lo")).cast("int"), F.lit(0)))  # a row for each file
+    return chained.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bad"), F.lit(0)).alias("out_of_order"))
+
+
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     """Raster tiles landed as Parquet: raster_id, year, tile_x, tile_y, origin_x, origin_y, pixel_size, width, height,
     values; each tile must have width by height values."""

@@ -25,14 +25,19 @@ def features(df: DataFrame, rings: str = "rings") -> DataFrame:
     return df.select(*[F.col(c) for c in names[:1]], body.alias("value"))
 
 
-def write_geojson(df: DataFrame, path: str, order: Sequence[str], whole: bool = False) -> None:
-    """Features line by line in order; ``whole``: one FeatureCollection, for results that one row can hold."""
-    rows = features(df.orderBy(*order))
-    if whole:
-        key = rows.columns[0]
-        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "value"))), lambda x: x["value"]), ",")
-        rows = rows.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}")).alias("value"))
-    rows.select("value").write.mode("overwrite").text(path)
+def write_geojson(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """Features line by line, in order."""
+    features(df.orderBy(*order)).select("value").write.mode("overwrite").text(path)
+
+
+def write_feature_collections(df: DataFrame, path: str, key: str, rows: int = 10_000) -> None:
+    """Documents, a line each, that are FeatureCollections of about ``rows`` features, dealt by a hash of ``key`` and in its
+    order within a document. Read with ``read_geojson(..., lines=True)``."""
+    documents = max(1, -(-df.count() // rows))
+    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "value"))), lambda x: x["value"]), ",")
+    whole = F.concat(F.lit('{"type":"FeatureCollection","features":['), one, F.lit("]}")).alias("value")
+    dealt = features(df.select(key, *[c for c in df.columns if c != key])).groupBy(F.pmod(F.xxhash64(key), F.lit(documents)).alias("document"))
+    dealt.agg(whole).select("value").write.mode("overwrite").text(path)
 
 
 def write_summary(one_row: DataFrame, path: str) -> None:

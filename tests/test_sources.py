@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions import geometry
 from fieldspark.operators import crops
 from fieldspark.operators.checks import CheckError
-from fieldspark.plans import places
+from fieldspark.operators import places
 from fieldspark.sources import readers, writers
 
 
@@ -31,7 +31,7 @@ def test_geojson(spark, tmp_path):
         with pytest.raises(CheckError, match=text):
             readers.read_geojson(spark, put(tmp_path, "b.json", doc), "field_id string, area_ha double", "field_id", "area_ha")
     df = readers.read_geojson(spark, path, "field_id string, area_ha double")
-    writers.write_geojson(df, str(tmp_path / "out"), ["field_id"], whole=True)
+    writers.write_feature_collections(df, str(tmp_path / "out"), "field_id")
     again = readers.read_geojson(spark, str(tmp_path / "out"), "field_id string, area_ha double", "field_id")
     assert {r.field_id: geometry.measures(r.rings)[0] for r in again.collect()} == {"A": 15.0, "B": 1.0}
     writers.write_geojson(df.where("field_id = 'B'"), str(tmp_path / "seq"), ["field_id"])
@@ -125,6 +125,32 @@ def test_global_places(spark):
     assert all(r.place == r.v + 1 for r in places.global_places(df, [F.col("v").asc()]).collect())
 
 
+def test_places_of_wide_rows_written_and_read(spark, tmp_path):
+    """Ranges that counts and ranks see differently would give repeated or missing places."""
+    n = 200_000
+    wide = spark.range(n).select(F.xxhash64("id").alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("a"), F.lit("b" * 20).alias("b"), F.rand(3).alias("c"))
+    places.global_places(wide, [F.col("v").asc()]).write.parquet(str(tmp_path / "placed"))
+    got = spark.read.parquet(str(tmp_path / "placed"))
+    one = got.agg(F.count_distinct("place").alias("d"), F.min("place").alias("lo"), F.max("place").alias("hi")).first()
+    assert tuple(one) == (n, 1, n)
+    least = got.where("place <= 3").orderBy("place").select("v").collect()
+    assert [r.v for r in least] == [r.v for r in wide.orderBy("v").limit(3).select("v").collect()]
+
+
+def test_exact_quantiles(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in range(10)] + [("b", 5.0), ("c", None)], "g string, v double")
+    got = {r.g: r.q for r in places.exact_quantiles(df, "g", "v", [0.0, 0.25, 0.5, 1.0]).collect()}
+    assert got == {"a": [0.0, 2.25, 4.5, 9.0], "b": [5.0] * 4}
+
+
+def test_order_of_files(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{v:03d}", v) for v in range(200)], "field_id string, year int")
+    writers.write_product(df.repartition(4), str(tmp_path / "good"), ["field_id", "year"])
+    assert tuple(readers.order_of_files(spark, str(tmp_path / "good"), ["field_id", "year"], "field_id string, year int").first()) == (200, 0)
+    df.orderBy(F.desc("year")).coalesce(1).write.option("header", True).csv(str(tmp_path / "bad"))
+    assert tuple(readers.order_of_files(spark, str(tmp_path / "bad"), ["field_id", "year"], "field_id string, year int").first()) == (200, 199)
+
+
 def test_results_do_not_depend_on_partitions(spark):
     from fieldspark.plans import queries
 
