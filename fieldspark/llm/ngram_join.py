@@ -1,6 +1,7 @@
 """Jaccard self-join on word n-grams by vertical partitioning.
 
-1. Every text becomes its set of hashed n-grams; texts with equal sets are one node, named by a 16-byte digest.
+1. Every text becomes its set of hashed n-grams; texts with equal sets are one node, named by a 16-byte digest. Texts go
+   on in blocks; within a block a node goes by its place. Of equal sets in several blocks the first block's goes on.
 2. By hash of the n-gram, frequencies are counted, and those that occur in two nodes or more get their place in the
    global order: rare ones first, by class of frequency, then by hash. n-grams of a single node come before all others
    and need no place, as they match nothing.
@@ -11,8 +12,9 @@
    threshold and are not connected yet. A pair's overlap is counted in each fragment by itself, from that fragment's
    rows, and these partial counts are summed for each pair.
 
-n-grams are compared by 56 bits of a hash. That two different n-grams of a pair of documents with 1000 each agree has a
-chance below 1e-10, whatever the size of the corpus.
+n-grams are compared by 56 bits of a hash, and nodes that share an n-gram by 48 bits of their digest when they are
+counted. Whatever the size of the corpus, the chance that this changes the overlap of a pair of documents is that of a
+collision among their own n-grams, below 1e-10 for 1000 of each, or of their two digests, below 1e-14.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyspark.sql.functions as F
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from fieldspark.llm.common import components, discard, lean_worker, put, written
@@ -33,14 +36,15 @@ from fieldspark.llm.tokens import slices
 #: Words in an n-gram, and the least Jaccard similarity in hundredths.
 WORDS, PERCENT = 5, 80
 #: Bytes of text behind one fragment, and of a block of texts, about; most documents in a block; from how many nodes of a block an n-gram is common.
-FRAGMENT_BYTES, BLOCK_BYTES, BLOCK_DOCS, COMMON = 10_000_000, 5_000_000, 60_000, 64
+FRAGMENT_BYTES, BLOCK_BYTES, BLOCK_DOCS, COMMON = 16_000_000, 5_000_000, 60_000, 64
 #: Fragments of the global order by which overlaps are counted, and rounds with one partner for each node.
 PARTS, STAR_ROUNDS = 4, 2
 #: Logarithmic width of the classes of size in which all pairs of a place are sought.
 BAND = 0.05
 _HEAD = struct.Struct("<IIII")
-_NONE, _NOBODY = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
-BLOBS = "kind int, id int, blob binary"
+_NONE = np.zeros(0, np.uint64)
+#: Rows for a fragment (kind 0, id) with n-grams of a block, or for a block (kind 1, id).
+BLOBS = "kind int, id long, block long, blob binary"
 NODES = "sig binary, n int, shared int, first array<long>, keys array<long>"
 SEGMENTS = "part int, sig binary, n int, keys array<long>"
 
@@ -107,108 +111,84 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary")
 
 
-def _blob(keys: np.ndarray, refs: np.ndarray, ids: np.ndarray, marked: np.ndarray = _NONE, table: bytes = b"") -> bytes:
-    """Sorted keys by byte planes, the places of their nodes' ids, these ids, marked keys, and records of nodes."""
-    used, places = np.unique(refs, return_inverse=True)
-    planes = keys.view(np.uint8).reshape(-1, 8).T
-    return b"".join([_HEAD.pack(len(keys), len(used), len(marked), len(table) // 20), np.ascontiguousarray(planes).tobytes(), places.astype("<u4" if len(used) > 65536 else "<u2").tobytes(), ids[used].tobytes(), marked.tobytes(), table])
-
-
-def _once(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct 16-byte ids, in order, and the place of each among them."""
-    order = np.argsort(ids[:, 0], kind="stable")
-    fresh = np.ones(len(ids), bool)
-    for _ in range(2):
-        own = ids[order]
-        same = own[1:, 0] == own[:-1, 0]
-        odd = same & (own[1:, 1] != own[:-1, 1])
-        fresh[1:] = ~same | odd
-        if not odd.any():
-            break
-        order = np.lexsort((ids[:, 1], ids[:, 0]))  # two ids begin alike
-    place = np.empty(len(ids), np.int64)
-    place[order] = np.cumsum(fresh) - 1
-    return ids[order[fresh]], place
-
-
-def _opened(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Keys in order, each once for a node, the places of their nodes' ids, the ids in order, marked keys, and records."""
-    keys, refs, nodes, marked, table, had = [], [], [], [], [], 0
-    for blob in blobs:
-        n, m, k, t = _HEAD.unpack_from(blob)
+def _blob(keys: np.ndarray, refs: np.ndarray, tags: np.ndarray | None = None, marked: np.ndarray = _NONE, table: bytes = b"") -> bytes:
+    """Keys by byte planes, the places of their nodes in the block, these nodes' tags where a fragment needs them, marked
+    keys, and the records of a block's nodes."""
+    planes = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T)
+    used, place = (np.unique(refs, return_inverse=True) if tags is not None else (np.zeros(0, np.int64), refs))
+    own = b"" if tags is None else used.astype("<u2").tobytes() + np.ascontiguousarray(tags[used, :6]).tobytes()
+    return b"".join([_HEAD.pack(len(keys), len(used), len(marked), len(table) // 20), planes.tobytes(), place.astype("<u2").tobytes(), own, marked.tobytes(), table])
+
+
+def _opened(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Keys, whose they are (place of the blob times 65536, and the node's place in the block), these nodes' tags, marked
+    keys, and records."""
+    keys, whose, tags, marked, table = [_NONE], [np.zeros(0, np.int64)], [_NONE], [_NONE], []
+    for k, blob in enumerate(blobs):
+        n, m, c, t = _HEAD.unpack_from(blob)
         at = _HEAD.size
         keys.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, 8 * n, at).reshape(8, n).T).view(np.uint64).ravel())
         at += 8 * n
-        wide = np.dtype("<u4" if m > 65536 else "<u2")
-        refs.append(np.frombuffer(blob, wide, n, at).astype(np.int64) + had)
-        had += m
-        at += n * wide.itemsize
-        nodes.append(np.frombuffer(blob, np.uint64, 2 * m, at).reshape(m, 2))
-        marked.append(np.frombuffer(blob, np.uint64, k, at + 16 * m))
-        at += 16 * m + 8 * k
-        table += [blob[i : i + 20] for i in range(at, at + 20 * t, 20)]
-    ids, place = _once(np.concatenate(nodes))
-    key, ref = np.concatenate(keys), place[np.concatenate(refs)]
-    order = np.lexsort((ref, key))
-    key, ref = key[order], ref[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])
-    return key[fresh], ref[fresh], ids, np.concatenate(marked), table
-
-
-def _by_bucket(keys: np.ndarray, refs: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    bucket = (ids[:, 0] % np.uint64(buckets)).astype(np.int64)[refs]
-    order = np.lexsort((keys, bucket))
-    keys, refs, bucket = keys[order], refs[order], bucket[order]
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)).tolist():
-        yield b, _blob(keys[edges[b] : edges[b + 1]], refs[edges[b] : edges[b + 1]], ids)
-
-
-def _records(sigs: np.ndarray, sizes: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    rows = np.concatenate([sigs.view(np.uint8).reshape(-1, 16), sizes.astype("<u4").view(np.uint8).reshape(-1, 4)], 1)
-    bucket = (ids[:, 0] % np.uint64(buckets)).astype(np.int64)
-    for b in np.unique(bucket).tolist():
-        yield b, _blob(_NONE, np.zeros(0, np.int64), _NOBODY, table=rows[bucket == b].tobytes())
+        place = np.frombuffer(blob, "<u2", n, at)
+        at += 2 * n
+        if m:
+            used = np.frombuffer(blob, "<u2", m, at)
+            wide = np.zeros((m, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * m, at + 2 * m).reshape(m, 6)
+            tags.append(wide.view(np.uint64).ravel()[place])
+            place = used[place]
+            at += 8 * m
+        whose.append(place.astype(np.int64) | k << 16)
+        marked.append(np.frombuffer(blob, np.uint64, c, at))
+        at += 8 * c
+        table.append(blob[at : at + 20 * t])
+    return np.concatenate(keys), np.concatenate(whose), np.concatenate(tags), np.concatenate(marked), b"".join(table)
 
 
 _TOP = np.uint64(0xFF) << np.uint64(56)
 
 
 def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Nodes that may have links: sig, n, shared n-grams, first (places to meet in), keys (shared ones in order)."""
+    """Nodes that may have links: sig, n, shared n-grams, first (places to meet in), keys (shared ones in order).
+
+    A node that an n-gram names the first of equal sets, or that none says to follow another, has all its n-grams here.
+    Equal sets all of whose n-grams are common in one of their blocks may come twice, with the same n-grams.
+    """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_BYTES))
 
+    block_bytes, block_docs, common_from = BLOCK_BYTES, BLOCK_DOCS, COMMON
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        borders = np.array([(f << 56) // fragments for f in range(1, fragments)], np.uint64)
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for whole, size in slices(batch.column("text"), BLOCK_BYTES):
-                for at in range(whole, whole + size, BLOCK_DOCS):
-                    texts = batch.column("text").slice(at, min(BLOCK_DOCS, whole + size - at))
-                    sets = {signature(s): s for s in shingle_sets(texts, words) if len(s)}
+            for whole, size in slices(batch.column("text"), block_bytes):
+                for at in range(whole, whole + size, block_docs):
+                    k = min(block_docs, whole + size - at)
+                    sets = {signature(s): s for s in shingle_sets(batch.column("text").slice(at, k), words) if len(s)}
                     if not sets:
                         continue
-                    sigs, sizes = np.frombuffer(b"".join(sets), "V16"), np.array(list(map(len, sets.values())))
-                    keys = np.concatenate(list(sets.values())) >> np.uint64(8)
-                    refs, ids = np.repeat(np.arange(len(sizes)), sizes), sigs.view(np.uint64).reshape(-1, 2)
+                    sizes = np.array(list(map(len, sets.values())))
+                    records = np.concatenate([np.frombuffer(b"".join(sets), np.uint8).reshape(-1, 16), sizes.astype("<u4").view(np.uint8).reshape(-1, 4)], 1)
+                    keys, refs = np.concatenate(list(sets.values())) >> np.uint64(8), np.repeat(np.arange(len(sizes)), sizes)
                     order = np.argsort(keys)
                     keys, refs = keys[order], refs[order]
                     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                     counts = np.diff(np.append(first, len(keys)))
-                    common = np.repeat(counts > COMMON, counts)
-                    marked = keys[first[counts > COMMON]]
-                    rows = [(1, b, blob) for b, blob in _records(sigs, sizes, ids, fragments)]
-                    rows += [(1, b, blob) for b, blob in _by_bucket(keys[common] | _TOP, refs[common], ids, fragments)]
+                    common = np.repeat(counts > common_from, counts)
+                    marked = keys[first[counts > common_from]]
+                    rows = [(1, block, _blob(keys[common] | _TOP, refs[common], table=records.tobytes()))]  # common keys need no counting
                     keys, refs = keys[~common], refs[~common]
-                    borders = np.array([(f << 56) // fragments for f in range(1, fragments)], np.uint64)
                     ends = [np.concatenate([[0], np.searchsorted(x, borders), [len(x)]]) for x in (keys, marked)]
                     for f in range(fragments):
                         (a, b), (c, d) = ((e[f], e[f + 1]) for e in ends)
                         if b > a or d > c:
-                            rows.append((0, f, _blob(keys[a:b], refs[a:b], ids, marked[c:d])))
+                            rows.append((0, f, _blob(keys[a:b], refs[a:b], records, marked[c:d])))
                     kinds, ids, blobs = zip(*rows)
-                    out = pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "id", "blob"])
-                    del texts, sets, sigs, sizes, keys, refs, order, first, counts, common, rows, blobs
+                    out = pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ids, pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array(blobs, pa.binary())], names=["kind", "id", "block", "blob"])
+                    block += 1
+                    del sets, sizes, records, keys, refs, order, first, counts, common, rows, blobs
                     lean_worker()
                     yield out
 
@@ -216,26 +196,46 @@ def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         if group.column("kind")[0].as_py():
             return group
         lean_worker()
-        keys, refs, ids, marked, _ = _opened(group.column("blob").to_pylist())
+        group = group.sort_by("block")
+        blocks = group.column("block").to_pylist()
+        keys, whose, tags, marked, _ = _opened(group.column("blob").to_pylist())
+        order = np.lexsort((whose, tags, keys))
+        keys, whose, tags = keys[order], whose[order], tags[order]
+        # Of nodes with one tag the first block's stays; the others are left out and said to follow it.
+        again = np.zeros(len(keys), bool)
+        again[1:] = (keys[1:] == keys[:-1]) & (tags[1:] == tags[:-1])
+        follow = np.unique(whose[again])
+        keys, whose = keys[~again], whose[~again]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         counts = np.diff(np.append(first, len(keys)))
         kind = np.minimum(254, np.log2(np.maximum(counts, 1)) * 8).astype(np.uint64)
         kind[np.isin(keys[first], marked)] = 255
         keep, kind = np.repeat((counts > 1) | (kind == 255), counts), np.repeat(kind, counts)
-        rows = list(_by_bucket(keys[keep] | kind[keep] << np.uint64(56), refs[keep], ids, fragments))
-        return pa.table({"kind": pa.array([1] * len(rows), pa.int32()), "id": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+        keys, whose = keys[keep] | kind[keep] << np.uint64(56), whose[keep]
+        order = np.argsort(whose >> 16, kind="stable")
+        keys, whose = keys[order], whose[order]
+        ends, gone = (np.searchsorted(v >> 16, np.arange(len(blocks) + 1)) for v in (whose, follow))
+        rows = []
+        for k, block in enumerate(blocks):
+            (a, b), (c, d) = ends[k : k + 2], gone[k : k + 2]
+            if b > a or d > c:
+                rows.append((block, _blob(keys[a:b], whose[a:b] & 0xFFFF, marked=(follow[c:d] & 0xFFFF).astype(np.uint64))))
+        ids = pa.array([r[0] for r in rows], pa.int64())
+        return pa.table({"kind": pa.array([1] * len(rows), pa.int32()), "id": ids, "block": ids, "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     def gather(group: pa.Table) -> pa.Table:
         lean_worker()
-        keys, refs, ids, _, table = _opened(group.column("blob").to_pylist())
-        found = {t[:16]: t[16:] for t in table}
+        keys, refs, _, follow, table = _opened(group.column("blob").to_pylist())
+        refs, follow = refs & 0xFFFF, set(follow.tolist())
         order = np.lexsort((keys, refs))
         keys, refs = keys[order].view(np.int64), refs[order]
-        ends = np.searchsorted(refs, np.arange(len(ids) + 1))
+        ends = np.searchsorted(refs, np.arange(len(table) // 20 + 1))
         rows = []
-        for i in range(len(ids)):
-            own, node = keys[ends[i] : ends[i + 1]], ids[i].tobytes()
-            n = int.from_bytes(found[node], "little")
+        for i in range(len(table) // 20):
+            if i in follow:
+                continue
+            own, node = keys[ends[i] : ends[i + 1]], table[20 * i : 20 * i + 16]
+            n = int.from_bytes(table[20 * i + 16 : 20 * i + 20], "little")
             least = (percent * n + 99) // 100
             if len(own) >= least:
                 rows.append((node, n, len(own), own[: len(own) - least + 1], own))
@@ -342,6 +342,8 @@ def node_components(nodes: DataFrame, percent: int = PERCENT, star_rounds: int =
     near = (F.col("left") >= least) & (F.col("left_m") >= least)
     spark = nodes.sparkSession
     nodes, spent = put(nodes, "shared")
+    if nodes.count() > nodes.select("sig").distinct().count():  # rare, see there
+        nodes = nodes.dropDuplicates(["sig"])
     parts, parts_at = put(segments(nodes, borders(nodes)), "segments")
     entries = nodes.select("sig", "n", "shared", ((F.col("n") - F.col("shared")) / F.col("n")).alias("own"), F.posexplode("first").alias("i", "k"))
     entries, entries_at = put(entries.withColumn("left", F.col("shared") - F.col("i")).drop("i", "shared"), "entries")

@@ -175,11 +175,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     files takes about 8 MB of text, or one longer text. A null text is empty, so it has the end id alone.
     """
 
+    file_bytes = FILE_BYTES
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, k = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at, size in tokens.slices(texts, FILE_BYTES):
+            for at, size in tokens.slices(texts, file_bytes):
                 flat, offsets = coder.encode(texts.slice(at, size))
                 payload = pack(flat, offsets, ids[at : at + size])
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([k], pa.int32()), "n_docs": [size], "n_tokens": [len(flat)], "payload": pa.array([payload], pa.binary())})

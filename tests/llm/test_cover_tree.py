@@ -87,3 +87,23 @@ def test_radii_prune_pairs_of_clustered_vectors():
     met = cover_tree.Meeting(built(x, float(np.arccos(0.95))), None).run()
     assert met.counts.tolist() == [99] * 2000
     assert met.compared + met.decided < 2000 * 2000 // 2 / 10
+
+
+@pytest.mark.parametrize(("d", "block", "dense"), [(3, 1 << 21, 2048), (16, 500, 30), (64, 2000, 100)])
+def test_blocks_of_pairs_give_the_same_links(monkeypatch, d, block, dense):
+    monkeypatch.setattr(cover_tree, "BLOCK", block)
+    monkeypatch.setattr(cover_tree, "DENSE", dense)
+    r = np.random.default_rng(d)
+    base = r.normal(size=(30, d))
+    x = cover_tree.unit(base[r.integers(30, size=500)] + r.normal(size=(500, d)) * r.choice([0.01, 0.1, 0.3], size=(500, 1)))
+    weights = r.integers(1, 4, 500)
+    near = x @ x.T >= cover_tree.COSINE
+    np.fill_diagonal(near, False)
+    label = np.arange(500)
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], 500).min(1))
+        if (new == label).all():
+            break
+        label = new
+    counts, least = cover_tree.links(x, weights)
+    assert (counts == near @ weights).all() and (least == label).all()

@@ -48,11 +48,13 @@ def near_copies(seed):
     return out + [f"{passage} {t}" for t in prose(seed + 1, 20, 20)] + ["a b c", "A b  c", "a b c d"]
 
 
-@pytest.mark.parametrize(("seed", "stars", "common"), [(1, 2, 64), (2, 0, 2), (3, 1, 1)])
-def test_components_equal_brute_force(spark, hard, monkeypatch, seed, stars, common):
+@pytest.mark.parametrize(("seed", "stars", "common", "block"), [(1, 2, 64, 60_000), (2, 0, 2, 60_000), (3, 1, 1, 9), (4, 2, 64, 5)])
+def test_components_equal_brute_force(spark, hard, monkeypatch, seed, stars, common, block):
+    """Also with so few texts in a block that equal sets come in many blocks, and so that most n-grams are common ones."""
     monkeypatch.setattr(ngram_join, "COMMON", common)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
     monkeypatch.setattr(ngram_join, "FRAGMENT_BYTES", 500)
-    docs = docs_of(spark, near_copies(seed))
+    docs = docs_of(spark, near_copies(seed) * (1 if block > 9 else 2)).coalesce(3)
     if seed == 1:
         docs = docs.withColumn("doc_id", F.col("doc_id") + 50).unionByName(hard)
     real = ngram_join.node_components
@@ -86,7 +88,7 @@ def test_connected_components(spark):
 def test_overlaps_are_counted_by_fragment_and_summed(spark):
     """Fragments are ranges of the order with about equally many entries, and a pair's overlap is the sum of their counts."""
     docs = docs_of(spark, near_copies(5) * 2)
-    nodes = ngram_join.put(ngram_join.shared_grams(docs.select("text")), "shared")[0]
+    nodes = ngram_join.put(ngram_join.shared_grams(docs), "shared")[0].dropDuplicates(["sig"])
     cuts = ngram_join.borders(nodes, 4)
     parts = ngram_join.segments(nodes, cuts).collect()
     assert len({r.part for r in parts}) == len(cuts) + 1 > 1
@@ -103,12 +105,6 @@ def test_overlaps_are_counted_by_fragment_and_summed(spark):
     assert got == want
 
 
-def test_ids_that_begin_alike_stay_apart():
-    ids = np.array([[5, 1], [5, 2], [3, 9], [5, 1], [4, 0]], np.uint64)
-    once, place = ngram_join._once(ids)
-    assert once.tolist() == [[3, 9], [4, 0], [5, 1], [5, 2]] and place.tolist() == [2, 3, 0, 2, 1]
-
-
 def test_a_place_where_many_meet_but_none_link(spark):
     """Many documents share a passage that falls just short of a link: no pairs are made of them, and near copies among
     them are still found."""

@@ -138,6 +138,29 @@ def test_token_documents(spark, hard, empty):
     assert ids == sorted(ids, key=lambda d: -1 if d is None else d) and wavelet.token_documents(empty, name).count() == 0
 
 
+def test_files_of_few_texts_and_texts_longer_than_a_file(spark, monkeypatch):
+    monkeypatch.setattr(wavelet, "FILE_BYTES", 700)
+    texts = prose(12, 60, 40) + ["word " * 2000, "other " * 1500]
+    path = vocabulary("word_bpe_49k.json")
+    rows = sorted(wavelet.token_documents(docs_of(spark, texts), path).collect(), key=lambda r: r.doc_id)
+    coder, at = tokens.UnitEncoder(path), 0
+    for r, t in zip(rows, texts):
+        ids, _ = coder.encode(pa.array([t]))
+        assert (r.start, r.n_tokens, r.ids_crc32, r.end) == (at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), at + len(ids) - 1)
+        at += len(ids)
+    assert sum(r.file_rank == 0 for r in rows) > 10
+
+
+def test_one_large_group_of_repeated_rows_is_packed(spark):
+    docs = docs_of(spark, ["the same few words"] * 4000 + ["else"]).withColumn("doc_id", F.lit(5).cast("long"))
+    rows = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json")).collect()
+    used = {}
+    for r in rows:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(rows) == 4001 and len(used) <= sum(r.length for r in rows) // 1024 + 2
+    assert all(o == sum(n for _, n in sorted(v)[:k]) for v in used.values() for k, (o, _) in enumerate(sorted(v)))
+
+
 def test_cut():
     assert packing.cut(5, 10) == [(0, 5)] and packing.cut(10, 10) == [(0, 10)]
     assert packing.cut(25, 10) == [(0, 5), (5, 10), (15, 10)] and packing.cut(20, 10) == [(0, 10), (10, 10)]
