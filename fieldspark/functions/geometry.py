@@ -164,31 +164,36 @@ def _convex(rings: Sequence) -> tuple[list[float], list[float]] | None:
     return x[:-1][::step].tolist(), y[:-1][::step].tolist()
 
 
+def _cut(ring, corners: tuple[list[float], list[float]]) -> list[tuple[float, float]]:
+    """Corners of what is left of a ring within a convex polygon, cut along every side."""
+    cx, cy = corners
+    x, y = _ring(ring)
+    points = list(zip(x[:-1].tolist(), y[:-1].tolist()))
+    for k in range(len(cx)):
+        ax, ay = cx[k - 1], cy[k - 1]
+        ux, uy = cx[k] - ax, cy[k] - ay
+        if not points:
+            break
+        out = []
+        px, py = points[-1]
+        before = ux * (py - ay) - uy * (px - ax)
+        for qx, qy in points:
+            side = ux * (qy - ay) - uy * (qx - ax)
+            if (side >= 0) != (before >= 0):
+                t = before / (before - side)
+                out.append((px + t * (qx - px), py + t * (qy - py)))
+            if side >= 0:
+                out.append((qx, qy))
+            px, py, before = qx, qy, side
+        points = out
+    return points
+
+
 def _clipped_area(field: Sequence, corners: tuple[list[float], list[float]]) -> float:
-    """Area of a polygon within a convex one: each ring is cut along every side, holes are taken off."""
+    """Area of a polygon within a convex one: each ring is cut, holes are taken off."""
     total = 0.0
-    cx, cy = corners
     for ring in field:
-        x, y = _ring(ring)
-        points = list(zip(x[:-1].tolist(), y[:-1].tolist()))
-        for k in range(len(cx)):
-            ax, ay = cx[k - 1], cy[k - 1]
-            ux, uy = cx[k] - ax, cy[k] - ay
-            if not points:
-                break
-            out = []
-            px, py = points[-1]
-            before = ux * (py - ay) - uy * (px - ax)
-            for qx, qy in points:
-                side = ux * (qy - ay) - uy * (qx - ax)
-                if (side >= 0) != (before >= 0):
-                    t = before / (before - side)
-                    out.append((px + t * (qx - px), py + t * (qy - py)))
-                if side >= 0:
-                    out.append((qx, qy))
-                px, py, before = qx, qy, side
-            points = out
-        area = 0.0
+        points, area = _cut(ring, corners), 0.0
         if points:
             ox, oy = points[0]
             for (px, py), (qx, qy) in zip(points, points[1:]):
@@ -227,7 +232,11 @@ def covered_area(field: Sequence, pieces: Sequence[Sequence]) -> float:
 
 
 def covered_pieces(field: Sequence, pieces: Sequence[Sequence]) -> list[dict]:
-    """The covered part as disjoint trapezoids, each a ring."""
+    """The covered part as disjoint rings: the convex pieces that a convex field is cut along, or trapezoids."""
+    pieces = [p for p in pieces if len(p)]
+    if pieces and _convex(field) and _apart([bounds(p) for p in pieces]) and all(corners := [_convex(p) for p in pieces]):
+        parts = [[*zip(*points)] for c in corners if len(points := _cut(field[0], c)) > 2]
+        return [{"sign": 1, "xs": list(xs), "ys": list(ys)} for xs, ys in parts]
     f, p = edges(field), [e for e in map(edges, pieces) if len(e)]
     if not len(f) or not p:
         return []

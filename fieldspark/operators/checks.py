@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspark.functions.expressions import finite
 
@@ -143,9 +144,10 @@ def finite_rules(columns: Sequence[str], integral: bool = False) -> dict[str, Co
     return rules
 
 
-def number_rules(columns: Sequence[str]) -> dict[str, Column]:
-    """The rules of ``to_numbers``."""
-    return {f"invalid numeric {c}": F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).isin("", "NaN", "nan") | F.expr(f"try_cast(trim(cast(`{c}` as string)) as double)").isNotNull() for c in columns}
+def number_rules(columns: Sequence[str], df: DataFrame | None = None) -> dict[str, Column]:
+    """The rules of ``to_numbers``; columns that are numbers in ``df`` need none."""
+    typed = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)} if df is not None else set()
+    return {f"invalid numeric {c}": F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).isin("", "NaN", "nan") | F.expr(f"try_cast(trim(cast(`{c}` as string)) as double)").isNotNull() for c in columns if c not in typed}
 
 
 def text_rules(columns: Sequence[str]) -> dict[str, Column]:
@@ -192,7 +194,7 @@ def require_finite(df: DataFrame, columns: Sequence[str], label: str, integral:
 
 def to_numbers(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Text columns as double: blank is null, other text that is no number is refused, NaN is null."""
-    require_rules(df, number_rules(columns), label)
+    require_rules(df, number_rules(columns, df), label)
     return as_numbers(df, columns)
 
 
@@ -200,7 +202,7 @@ def as_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Text columns as double, without the gate: blank, NaN and what is no number are null."""
 
     def parsed(c: str) -> Column:
-        v = F.expr(f"try_cast(trim(cast(`{c}` as string)) as double)")
+        v = F.col(c).cast("double") if isinstance(df.schema[c].dataType, T.NumericType) else F.expr(f"try_cast(trim(cast(`{c}` as string)) as double)")
         return F.when(~F.isnan(v), v)
 
     return df.withColumns({c: parsed(c) for c in columns})

@@ -98,7 +98,7 @@ def checked_tables(components: DataFrame, horizons: DataFrame, overlaps: DataFra
     for df, name, columns in ((components, "components", ["mukey", "cokey", "comppct_r", "compname"]), (horizons, "horizons", ["cokey", *hz]), (overlaps, "overlaps", ["field_id", "mukey", "field_fraction"])):
         checks.require_columns(df, columns, name)
     def typed(df: DataFrame, keys: list[str], numbers: list[str], may_be_empty: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, Column]]:
-        raw = checks.key_rules([k for k in keys if k not in may_be_empty]) | checks.number_rules(numbers)
+        raw = checks.key_rules([k for k in keys if k not in may_be_empty]) | checks.number_rules(numbers, df)
         named = {n: f"_raw{k}" for k, n in enumerate(raw)}
         out = checks.as_numbers(checks.as_keys(df.withColumns({c: raw[n] for n, c in named.items()}), keys), numbers)
         return out, {n: F.col(c) for n, c in named.items()}
