@@ -391,8 +391,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             "radii": pa.array([[l.radius.tolist() for l in levels]], pa.list_(pa.list_(pa.float64()))),
         })
 
+    def plant_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([b for b in batches if len(b)], schema=pa.schema([("chunk", pa.int32()), ("cell", pa.int32()), ("sig", pa.binary()), ("raw", pa.binary()), ("m", pa.int64())]))
+        for chunk in pc.unique(rows.column("chunk")).to_pylist():
+            yield from plant(rows.filter(pc.equal(rows.column("chunk"), chunk))).to_batches()
+
     kept = "chunk int, cell int, sig binary, raw binary, m long"
-    trees = written(dealt.drop("far").mapInArrow(number, kept).groupBy("chunk").applyInArrow(plant, TREES), "trees")
+    numbered = dealt.drop("far").mapInArrow(number, kept)
+    trees = written(numbered.repartitionById(int(first[-1]), F.col("chunk")).mapInArrow(plant_all, TREES), "trees")  # a task for each chunk
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
