@@ -23,7 +23,7 @@ SHARE, REPEATS = 1.5, 2
 #: Fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
 #: Cells of the unit interval by which points meet their source, and slots in a chunk that is ranked by itself.
-CELLS, CHUNK = 1024, 16_384
+CELLS, CHUNK = 1024, 1024
 #: Documents in one bucket of a source's shuffled order, on average.
 BUCKET_ROWS = 200
 #: Slots whose documents are written together, in order.
