@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import cover_tree, gif, mixing, ngram_join, packing, pii, quality, sharding, warc, wavelet
+from fieldspark.llm import conversations, cover_tree, gif, mixing, ngram_join, packing, pii, quality, secret_scan, sharding, spelling, warc, wavelet
 from fieldspark.llm.common import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,11 +52,24 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_pivotal_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_hash_tree_sharding, op2_source_mixing, op3_wavelet_tokens, op4_gif_media, op5_boosted_pii,
         op6_ngram_jaccard_join, op7_cover_tree_duplicates, op8_warc_archives,
-        op9_quality_discriminant, op10_sum_of_squares_packing,
+        op9_quality_discriminant, op10_sum_of_squares_packing, op11_pivotal_spelling, op12_assignment_secrets,
+        op13_conversation_repair,
     )
     return {f.__name__: f for f in every}
 
