@@ -1,8 +1,10 @@
 """Hierarchical weighted hash tree: region, rack and shard are drawn level by level with weighted hashes.
 
-At each level every child draws ``-ln(u) / weight`` from a hash of (key, level, child), and the smallest draw wins,
-so a child is chosen in proportion to its weight and a key leaves its choice only for a child whose weight grew or
-because its own child's weight shrank. Movement after a change is thus confined to the subtrees whose weights changed.
+Every shard draws ``-ln(u) / weight`` from a hash of (key, shard). A rack's draw is the least of its shards', a region's
+the least of its racks': the least of such draws is spread as one draw with the summed weight, so a child is chosen in
+proportion to its weight at each level, and the descent to the least region, its least rack and that one's least shard
+never leaves a subtree for another whose weights are as before. A key moves only out of a shard whose weight shrank or
+into one whose weight grew, wherever a new shard stands in the tree.
 """
 
 from __future__ import annotations
@@ -27,16 +29,24 @@ class Shard:
     weight: float = 1.0
 
 
-def tree(shards: int, regions: int = 2, racks: int = 2) -> list[Shard]:
-    """``shards`` equal shards, dealt to ``regions`` of ``racks`` racks each."""
-    per_rack = max(1, -(-shards // (regions * racks)))
-    return [Shard(s, s // (per_rack * racks), s // per_rack) for s in range(shards)]
+def tree(shards: int, racks: int = 2, per_rack: int = 2) -> list[Shard]:
+    """The first ``shards`` of a fixed sequence of equal shards, ``per_rack`` in each rack and ``racks`` in each region, so
+    ``tree(n + 1)`` is ``grown(tree(n))``, whatever n is."""
+    return [Shard(s, s // (racks * per_rack), s // per_rack) for s in range(shards)]
 
 
-def grown(topology: Sequence[Shard], weight: float = 1.0) -> list[Shard]:
-    """One more shard in a region and rack of its own: all other weights stay, so rows move only into the new shard."""
-    new = max((s.shard for s in topology), default=-1) + 1
-    return [*topology, Shard(new, max((s.region for s in topology), default=-1) + 1, max((s.rack for s in topology), default=-1) + 1, weight)]
+def grown(topology: Sequence[Shard], weight: float = 1.0, racks: int = 2, per_rack: int = 2) -> list[Shard]:
+    """One more shard, in the last rack if it has room, else in a new rack of the last region if that has, else in a new
+    region: all other weights stay, so rows move only into the new shard."""
+    if not topology:
+        return [Shard(0, 0, 0, weight)]
+    last = topology[-1]
+    shard = max(s.shard for s in topology) + 1
+    if sum(s.rack == last.rack for s in topology) < per_rack:
+        return [*topology, Shard(shard, last.region, last.rack, weight)]
+    rack = max(s.rack for s in topology) + 1
+    full = len({s.rack for s in topology if s.region == last.region}) >= racks
+    return [*topology, Shard(shard, max(s.region for s in topology) + 1 if full else last.region, rack, weight)]
 
 
 def reweighted(topology: Sequence[Shard], shard: int, weight: float) -> list[Shard]:
@@ -44,43 +54,32 @@ def reweighted(topology: Sequence[Shard], shard: int, weight: float) -> list[Sha
     return [replace(s, weight=weight) if s.shard == shard else s for s in topology]
 
 
-def _draw(key: Column, level: str, child: int, weight: float) -> Column:
-    h = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), F.lit(child)), 11)
-    return F.struct((-F.ln((h.cast("double") + 0.5) / float(1 << 53)) / F.lit(weight)).alias("t"), F.lit(child).alias("c"))
+def _draw(key: Column, s: Shard) -> Column:
+    h = F.shiftrightunsigned(F.xxhash64(key, F.lit(s.shard)), 11)
+    t = -F.ln((h.cast("double") + 0.5) / float(1 << 53)) / F.lit(float(s.weight))
+    return F.struct(t.alias("t"), *[F.lit(getattr(s, c)).alias(c) for c in ("region", "rack", "shard")])
 
 
-def _pick(key: Column, level: str, weights: dict[int, float]) -> Column:
-    alive = {c: w for c, w in weights.items() if w > 0}
-    return F.array_min(F.array(*[_draw(key, level, c, w) for c, w in sorted(alive.items())]))["c"]
-
-
-def place(key: Column, topology: Sequence[Shard]) -> Column:
-    """The shard of ``key``: draws a region, then a rack of it, then a shard of that. A null key is a key like others."""
+def descend(key: Column, topology: Sequence[Shard]) -> Column:
+    """Struct of draw, region, rack and shard of ``key``: the least shard of each rack, the least rack of each region, the
+    least region. A null key is a key like others."""
     live = [s for s in topology if s.weight > 0]
     if not live:
         raise ValueError("no shard has a positive weight")
 
-    def weights(level: str, rows: list[Shard]) -> dict[int, float]:
-        out: dict[int, float] = {}
-        for s in rows:
-            out[getattr(s, level)] = out.get(getattr(s, level), 0.0) + s.weight
-        return out
-
-    def below(level: str, rows: list[Shard], rest: tuple[str, ...]) -> Column:
-        options = weights(level, rows)
-        if len(options) == 1:
-            child = next(iter(options))
-            return F.lit(child) if not rest else below(rest[0], rows, rest[1:])
-        chosen = _pick(key, level, options)
-        if not rest:
-            return chosen
-        branches = None
-        for child in sorted(options):
-            sub = below(rest[0], [s for s in rows if getattr(s, level) == child], rest[1:])
-            branches = F.when(chosen == child, sub) if branches is None else branches.when(chosen == child, sub)
-        return branches
-
-    return below("region", live, ("rack", "shard")).cast("int")
+    def least(rows: list[Shard], levels: tuple[str, ...]) -> Column:
+        if not levels:
+            draws = [_draw(key, s) for s in rows]
+        else:
+            draws = [least([s for s in rows if getattr(s, levels[0]) == child], levels[1:]) for child in sorted({getattr(s, levels[0]) for s in rows})]
+        return draws[0] if len(draws) == 1 else F.array_min(F.array(*draws))
+
+    return least(live, ("region", "rack"))
+
+
+def place(key: Column, topology: Sequence[Shard]) -> Column:
+    """The shard of ``key``."""
+    return descend(key, topology)["shard"].cast("int")
 
 
 def assign_shards(df: DataFrame, key: str, topology: Sequence[Shard], grown_topology: Sequence[Shard] | None = None) -> DataFrame:
