@@ -26,7 +26,7 @@ FILE_BYTES = 8_000_000
 #: Fixed values of the file format.
 MAGIC, HEAD, BLOCK = b"WVMX", struct.Struct("<4sHHQQ"), 512
 FILES = "part int, file int, n_docs long, n_tokens long, payload binary"
-ROWS = "part int, file int, doc_id long, local_start long, n_tokens long, ids_crc32 long, local_end long, ends_before long"
+ROWS = "part int, file int, doc_id long, local_start long, n_tokens long, ids_crc32 long, local_end long, ends_within long"
 
 
 def pack(ids: np.ndarray, offsets: np.ndarray, doc_ids: list[int | None]) -> bytes:
@@ -193,8 +193,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
-    """One row for each document in the files: part, file, doc_id, local_start, n_tokens and, decoded, ids_crc32; by select,
-    local_end, the place of its end id in the file, and by rank, ends_before, how many end ids come before it."""
+    """One row for each document in the files: part, file, doc_id, local_start, n_tokens and, decoded, ids_crc32. The end id
+    may occur within texts, too: by rank, ends_within, how often it does in this one, and which occurrence is the end of
+    the document; by select, local_end, where that is in the file."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,18 +203,20 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 matrix = WaveletMatrix(payload)
                 raw, ends = memoryview(matrix.decode().astype("<u4")).cast("B"), (matrix.offsets * 4).tolist()
                 n = len(matrix.doc_ids)
-                last = matrix.select_many(tokens.END, np.arange(n))
+                marks = matrix.rank_many(tokens.END, matrix.offsets)
+                last = matrix.select_many(tokens.END, marks[1:] - 1)
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([part] * n, pa.int32()), "file": pa.array([file] * n, pa.int32()), "doc_id": pa.array(matrix.doc_ids, pa.int64()),
                     "local_start": matrix.offsets[:-1], "n_tokens": np.diff(matrix.offsets), "ids_crc32": pa.array([zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:])], pa.int64()),
-                    "local_end": last, "ends_before": matrix.rank_many(tokens.END, matrix.offsets[:-1]),
+                    "local_end": last, "ends_within": np.diff(marks) - 1,
                 })
 
     return files.select("part", "file", "payload").mapInArrow(decode, ROWS)
 
 
 def file_starts(files: DataFrame) -> DataFrame:
-    """part, file, base: ids in all files before. Sums by part come first, so that no task gets all files' rows."""
+    """part, file, base: ids in all files before. Sums by part come first, so the one task of the last window gets a row
+    for each part, of which there are as many as shuffle partitions."""
     up = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("before"))
     inner = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -222,12 +225,13 @@ def file_starts(files: DataFrame) -> DataFrame:
 
 def token_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Digest of ``documents`` from their files: doc_id, start, n_tokens, ids_crc32, end (the place of its end id among all
-    ids, by select) and file_rank (the document's place in its file, by rank). An empty table gives no rows."""
+    ids, by rank and select) and inner_ends (how often the end id occurs in its text, by rank). An empty table gives no
+    rows."""
     spark = docs.sparkSession
     path = shared_dir(spark, "wavelet")
     write_tokens(docs, tokenizer, path)
     files = spark.read.schema(FILES).parquet(path)
     return read_tokens(files).join(file_starts(files.drop("payload")), ["part", "file"]).select(
         "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32",
-        (F.col("base") + F.col("local_end")).alias("end"), F.col("ends_before").alias("file_rank"),
+        (F.col("base") + F.col("local_end")).alias("end"), F.col("ends_within").alias("inner_ends"),
     )
