@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -56,7 +57,7 @@ SAMPLE, PRECISION = 20_000, 0.99
 #: Lower edges of the score bins that thresholds are read from, equally far apart in log odds; places of the sample.
 BINS = np.r_[0.0, 1 / (1 + np.exp(-np.linspace(-16, 16, 2047)))]
 PLACES = 1 << 30
-FOUND = "doc_id long, base array<struct<s:int,e:int,kind:int>>, more array<struct<s:int,e:int,kind:int,before:string,text:string,after:string>>"
+FOUND = "doc_id long, base array<struct<s:int,e:int,kind:int>>, more array<struct<s:int,e:int,kind:int,before:string,text:string,after:string,met:boolean,hit:boolean>>"
 DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 Span = tuple[int, int, int]
@@ -288,18 +289,30 @@ def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray, precision: float = P
     settle(model, histogram(model, x, y, np.ones(len(x))), precision)
 
 
+def meetings(base: list[Span], more: list[tuple]) -> list[tuple[bool, bool]]:
+    """For each candidate whether it meets a base span, and one of its own kind. Base spans of one kind ascend without
+    overlaps, so the last that starts before a candidate's end decides, found by bisection."""
+    spans = {kind: [b[:2] for b in base if b[2] == kind] for kind in range(len(KINDS))}
+    out = []
+    for s, e, kind, *_ in more:
+        met = {k: bool((at := bisect_left(own, (e,))) and own[at - 1][1] > s) for k, own in spans.items() if own}
+        out.append((any(met.values()), met.get(kind, False)))
+    return out
+
+
 def propose(docs: DataFrame) -> DataFrame:
     """Base spans and candidates of every whole text; documents without either have empty lists. Null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()),
             ("base", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.int32())]))),
-            ("more", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.int32()), ("before", pa.string()), ("text", pa.string()), ("after", pa.string())])))])
+            ("more", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.int32()), ("before", pa.string()), ("text", pa.string()), ("after", pa.string()), ("met", pa.bool_()), ("hit", pa.bool_())])))])
         for batch in batches:
             lean_worker()
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            base = [[{"s": s, "e": e, "kind": k} for s, e, k in base_spans(t)] for t in texts]
-            more = [[dict(zip(("s", "e", "kind", "before", "text", "after"), c)) for c in candidates(t)] for t in texts]
+            spans, found = [base_spans(t) for t in texts], [candidates(t) for t in texts]
+            base = [[{"s": s, "e": e, "kind": k} for s, e, k in own] for own in spans]
+            more = [[dict(zip(("s", "e", "kind", "before", "text", "after", "met", "hit"), (*c, *m))) for c, m in zip(cs, meetings(own, cs))] for own, cs in zip(spans, found)]
             cols = [batch.column("doc_id"), pa.array(base, schema.field("base").type), pa.array(more, schema.field("more").type)]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
@@ -333,7 +346,7 @@ def labelled(found: DataFrame) -> DataFrame:
             rows = zip(*(batch.column(c).to_pylist() for c in keys))
             yield batch.filter(pa.array([hit or refuted(*c) for *c, hit in rows], pa.bool_()))
 
-    each = found.select("base", F.explode("more").alias("m")).select("m.*", F.exists("base", lambda b: (b["s"] < F.col("m.e")) & (b["e"] > F.col("m.s")) & (b["kind"] == F.col("m.kind"))).alias("hit"), F.exists("base", lambda b: (b["s"] < F.col("m.e")) & (b["e"] > F.col("m.s"))).alias("met"))
+    each = found.select(F.explode("more").alias("m")).select("m.*")
     keys = ("kind", "before", "text", "after", "hit")
     counted = each.where("hit or not met").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return (
@@ -396,18 +409,19 @@ def train(found: DataFrame, sample: int = SAMPLE) -> Boosted:
     return model
 
 
-def added(model: Boosted, base: list[Span], more: list[tuple[int, int, int, str, str, str]]) -> list[Span]:
-    """Candidates above their kind's threshold that meet no base span and aren't refuted (a number that fails its check
-    digit is never a card, say), best first and not meeting each other."""
-    more = [c for c in more if not any(s < c[1] and e > c[0] for s, e, _ in base) and not refuted(*c[2:])]
+def added(model: Boosted, more: list[tuple], met: list[bool]) -> list[Span]:
+    """Candidates above their kind's threshold that meet no base span (``met``) and aren't refuted (a number that fails
+    its check digit is never a card, say), best first and not meeting each other."""
+    more = [c for c, m in zip(more, met) if not m and not refuted(*c[2:6])]
     if not more or not model.thresholds:
         return []
-    score = model.probability(np.array([features(*c[2:]) for c in more], float))
-    out: list[Span] = []
+    score = model.probability(np.array([features(*c[2:6]) for c in more], float))
+    out: list[Span] = []  # ascending
     for k in sorted(range(len(more)), key=lambda k: (-score[k], more[k][:3])):
         s, e, kind = more[k][:3]
-        if score[k] >= model.thresholds.get(kind, 2.0) and not any(a < e and b > s for a, b, _ in out):
-            out.append((s, e, kind))
+        at = bisect_left(out, (e,))
+        if score[k] >= model.thresholds.get(kind, 2.0) and not (at and out[at - 1][1] > s):
+            out.insert(at, (s, e, kind))
     return out
 
 
@@ -425,7 +439,7 @@ def select(found: DataFrame, model: Boosted) -> DataFrame:
             for doc, base, more in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "base", "more"))):
                 own = [tuple(b.values()) for b in base]
                 counts = [sum(k == kind for _, _, k in own) for kind in range(len(KINDS))]
-                spans = own + added(model, own, [tuple(m.values()) for m in more])
+                spans = own + added(model, [tuple(m.values()) for m in more], [m["met"] for m in more])
                 rows.append((doc, *counts, hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(spans), len(spans)))
             cols = list(zip(*rows)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in DIGEST.split(", ")])
@@ -450,7 +464,8 @@ def redacted(text: Column, model: Boosted) -> Column:
             if not t:
                 return t
             base = base_spans(t)
-            spans = sorted(base + added(model, base, candidates(t)), key=lambda s: (s[0], s[2]))
+            more = candidates(t)
+            spans = sorted(base + added(model, more, [m for m, _ in meetings(base, more)]), key=lambda s: (s[0], s[2]))
             out, at = [], 0
             for s, e, kind in spans:
                 if s >= at:

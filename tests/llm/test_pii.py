@@ -138,4 +138,58 @@ def test_no_model_adds_what_is_refuted():
     """Even with thresholds of 0 a number that fails its check digit is no card."""
     sure = pii.Boosted([np.zeros(0)] * 25, thresholds=dict.fromkeys(range(4), 0.0), start=9.0)
     for text, want in (("pay 4111.1111.1111.1112 now", []), ("pay 4111.1111.1111.1111 now", [(4, 23, 2)])):
-        assert [s for s in pii.added(sure, [], pii.candidates(text)) if s[2] == 2] == want
+        more = pii.candidates(text)
+        assert [s for s in pii.added(sure, more, [False] * len(more)) if s[2] == 2] == want
+
+
+def test_meetings_equal_plain_ones():
+    r = random.Random(11)
+    for _ in range(500):
+        base = sorted((s, s + r.randint(1, 9), k) for k in range(4) for s in r.sample(range(0, 200, 10), r.randint(0, 8)))
+        more = [(s, s + r.randint(1, 30), r.randrange(4)) for s in r.sample(range(200), 12)]
+        want = [(any(a < e and b > s for a, b, _ in base), any(a < e and b > s and k == kind for a, b, k in base)) for s, e, kind in more]
+        assert pii.meetings(base, more) == want
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    sure = pii.Boosted([np.zeros(0)] * 25, thresholds=dict.fromkeys(range(4), 0.0), start=9.0)
+
+    def took(n):
+        text = " ".join(f"u{i}@ex{i}.org v{i} [at] ex{i}.com" for i in range(n))
+        began = time.process_time()
+        base, more = pii.base_spans(text), pii.candidates(text)
+        met = [m for m, _ in pii.meetings(base, more)]
+        assert len(pii.added(sure, more, met)) == n and len(base) == n
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 7 * max(took(4_000), 0.1)
+
+
+def test_spellings_that_no_training_shows(spark):
+    """Recall on spellings, and errors on decoys, of which the trees have seen none: only plain base spans teach here."""
+    base = [f"{w} call +1 (499) 555-{i:04d} now or mail u{i}@ex{i}.org at 10.0.{i % 200}.7 card {carded(i)} ok" for i, w in enumerate(prose(8, 300, 12))]
+
+    def amex(i):
+        body = f"37{i * 7919:012d}"
+        full = next(body + c for c in "0123456789" if pii.luhn(body + c))
+        return f"{full[:4]}.{full[4:10]}.{full[10:]}"
+
+    real = {
+        "email": [f"jane{i}{{at}}example{i}{{dot}}com" for i in range(200)], "ip": [f"10[.]{i}(.)0[.]1" for i in range(200)],
+        "card": [amex(i) for i in range(200)], "phone": [f"{415 + i}.555.1{i:03d}" for i in range(200)],
+    }
+    decoys = {
+        "email": [f"{i} items {{at}} {i % 9 + 1}.{i % 90 + 10}" for i in range(200)], "ip": [f"{256 + i}[.]{i}(.)0[.]1" for i in range(200)],
+        "card": [t[:-1] + str((int(t[-1]) + 5) % 10) for t in map(amex, range(200))], "phone": [f"{i % 28 + 1:02d}.{i % 12 + 1:02d}.20{i % 24:02d}" for i in range(200)],
+    }
+    texts = base + [f"so we had {t} there" for group in (real, decoys) for kind in pii.KINDS for t in group[kind]]
+    rows = {r.doc_id: r.spans for r in pii.find_personal_data(docs_of(spark, texts)).collect()}
+    found = {}
+    for g, group in enumerate((real, decoys)):
+        for k, kind in enumerate(pii.KINDS):
+            at = len(base) + 800 * g + 200 * k
+            found[g, kind] = sum(rows[at + i] == f"{kind}:10:{10 + len(t)}" for i, t in enumerate(group[kind]))
+    print("found of 200 (0: real, 1: decoys):", found)
+    assert all(found[1, kind] == 0 for kind in pii.KINDS)
+    assert all(found[0, kind] >= 190 for kind in ("email", "ip", "card"))

@@ -41,14 +41,12 @@ def spark_hash(*values):
 
 
 def plain_place(key, topology):
-    """Draws written out: -ln(u) / weight for each child of a level, the smallest wins."""
-    rows = topology
+    """Draws written out: -ln(u) / weight for each shard; descends to the region, rack and shard of the least draws."""
+    draw = {s.shard: -math.log((((spark_hash(("l", key), ("i", s.shard)) & (2**64 - 1)) >> 11) + 0.5) / 2**53) / s.weight for s in topology if s.weight}
+    rows = [s for s in topology if s.weight]
     for level in ("region", "rack", "shard"):
-        weights = {}
-        for s in rows:
-            weights[getattr(s, level)] = weights.get(getattr(s, level), 0.0) + s.weight
-        draw = {c: -math.log((((spark_hash(("l", key), ("s", level), ("i", c)) & (2**64 - 1)) >> 11) + 0.5) / 2**53) / w for c, w in weights.items()}
-        best = min(draw, key=lambda c: (draw[c], c))
+        children = {getattr(s, level) for s in rows}
+        best = min(children, key=lambda c: min(draw[s.shard] for s in rows if getattr(s, level) == c))
         rows = [s for s in rows if getattr(s, level) == best]
     return rows[0].shard
 
@@ -59,15 +57,33 @@ def test_draws_equal_plain_ones(spark):
         assert all(r.s == plain_place(r.id, topology) for r in got)
 
 
-def test_changed_weight_moves_rows_only_within_or_into_its_subtree(spark):
+def test_doc_id_and_number_of_shards_decide(spark):
+    """Growth from n to n + 1 shards is the tree of n + 1, and takes rows only into the new shard, for every n."""
+    trees = [sharding.tree(n) for n in range(1, 42)]
+    assert all(sharding.grown(a) == b for a, b in zip(trees, trees[1:]))
+    rows = spark.range(3000).select(*[sharding.place(F.col("id"), t).alias(f"n{len(t)}") for t in trees]).toPandas()
+    for n in range(1, 41):
+        moved = rows[rows[f"n{n}"] != rows[f"n{n + 1}"]]
+        assert (moved[f"n{n + 1}"] == n).all() and 0 < len(moved) < 3000
+        assert abs(rows[f"n{n}"].value_counts().max() - 3000 / n) < 6 * (3000 / n) ** 0.5 + 1
+
+
+def test_grown_shard_is_the_shard_of_the_next_number(spark, hard):
+    old, new = (sharding.shard_documents(hard, n).collect() for n in (8, 9))
+    of = {(r.doc_id, r.text_crc32): r.shard for r in new}
+    assert all(of[r.doc_id, r.text_crc32] == r.grown_shard for r in old)
+
+
+def test_changed_weight_moves_rows_only_into_or_out_of_its_shard(spark):
     old = sharding.tree(8)
     ids = spark.range(4000)
     for new, inward in ((sharding.reweighted(old, 5, 2.0), True), (sharding.reweighted(old, 5, 0.25), False)):
         got = ids.select(sharding.place(F.col("id"), old).alias("a"), sharding.place(F.col("id"), new).alias("b")).where("a <> b").collect()
-        region = {s.shard: s.region for s in old}
-        assert got and all(region[r["b" if inward else "a"]] == region[5] for r in got)
+        assert got and all(r["b" if inward else "a"] == 5 for r in got)
     share = ids.groupBy(sharding.place(F.col("id"), sharding.reweighted(old, 0, 9.0)).alias("s")).count().where("s = 0").first()["count"]
     assert abs(share / 4000 - 9 / 16) < 0.04
+    regions = {r.region: r["count"] for r in ids.groupBy(sharding.descend(F.col("id"), sharding.reweighted(old, 0, 5.0))["region"].alias("region")).count().collect()}
+    assert abs(regions[0] / 4000 - 8 / 12) < 0.04
 
 
 def test_slots_over_many_buckets(spark):
@@ -148,7 +164,20 @@ def test_files_of_few_texts_and_texts_longer_than_a_file(spark, monkeypatch):
         ids, _ = coder.encode(pa.array([t]))
         assert (r.start, r.n_tokens, r.ids_crc32, r.end) == (at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), at + len(ids) - 1)
         at += len(ids)
-    assert sum(r.file_rank == 0 for r in rows) > 10
+
+
+def test_end_ids_within_texts_are_no_ends(spark, monkeypatch):
+    """Id 2 stands for a # within a run, so ends come from rank, not from the number of the document."""
+    texts = ["## heading", "#### x", "#!/bin/sh", "##", "#", "", "c## and f###", "# " * 50, "plain", *prose(4, 20, 12)]
+    path = vocabulary("word_bpe_49k.json")
+    coder = tokens.UnitEncoder(path).tokenizer
+    for size in (wavelet.FILE_BYTES, 25):
+        monkeypatch.setattr(wavelet, "FILE_BYTES", size)
+        at = 0
+        for r, t in zip(sorted(wavelet.token_documents(docs_of(spark, texts), path).collect(), key=lambda r: r.doc_id), texts):
+            ids = coder.encode(t, add_special_tokens=False).ids + [2]
+            assert (r.start, r.n_tokens, r.end, r.inner_ends) == (at, len(ids), at + len(ids) - 1, ids.count(2) - 1)
+            at += len(ids)
 
 
 def test_one_large_group_of_repeated_rows_is_packed(spark):
