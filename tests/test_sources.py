@@ -143,6 +143,34 @@ def test_exact_quantiles(spark):
     assert got == {"a": [0.0, 2.25, 4.5, 9.0], "b": [5.0] * 4}
 
 
+def test_quantiles_of_hot_and_odd_values(spark, monkeypatch):
+    """A value of 90 % of the rows is one row before anything is placed; brackets that miss and ranges that are cut again
+    give the same."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    sides = {"hot": np.where(r.random(6000) < 0.9, 7.0, r.normal(size=6000)), "wide": r.normal(size=5000) * 10.0 ** r.integers(-200, 200, 5000), "few": r.integers(0, 4, 3000) / 3, None: np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, values in sides.items() for v in values], "g string, v double").repartition(7)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    want = {g: np.quantile(v, shares) for g, v in sides.items()}
+
+    def same():
+        got = {x.g: x.q for x in places.exact_quantiles(df, "g", "v", shares).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[g], want[g], rtol=1e-12) for g in got)
+
+    same()
+    monkeypatch.setattr(places, "VALUES", 100)
+    same()
+    whole = places._brackets
+    monkeypatch.setattr(places, "_brackets", lambda *a: [w | {"from": w["to"] + 1.0, "to": w["to"] + 1.5} if w["k"] == 2 else w for w in whole(*a)])
+    same()
+    counted = places._counted(df.withColumnRenamed("v", "_v"), "g", whole(df.withColumnRenamed("v", "_v"), "g", [0.5]))
+    assert counted.where("_v = 7").count() == 1  # the hot value
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(places, "GROUPS", 2)
+        places.exact_quantiles(df, "g", "v", shares)
+
+
 def test_order_of_files(spark, tmp_path):
     df = spark.createDataFrame([(f"k{v:03d}", v) for v in range(200)], "field_id string, year int")
     writers.write_product(df.repartition(4), str(tmp_path / "good"), ["field_id", "year"])
