@@ -207,8 +207,13 @@ def _apart(boxes: list[tuple[float, float, float, float]]) -> bool:
     return len(boxes) <= 64 and not any(a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3] for k, a in enumerate(boxes) for b in boxes[:k])
 
 
-def covered_area(field: Sequence, pieces: Sequence[Sequence]) -> float:
-    """Area of ``field`` that the union of ``pieces`` covers; less than a billionth of the field counts as touching.
+def all_convex(pieces: Sequence[Sequence]) -> bool:
+    """Whether pieces are convex rings whose bounds don't overlap, so that a polygon is cut by them side by side."""
+    return _apart([bounds(p) for p in pieces if len(p)]) and all(_convex(p) for p in pieces)
+
+
+def covered_area(field: Sequence, pieces: Sequence[Sequence], least: float = 1e-9) -> float:
+    """Area of ``field`` that the union of ``pieces`` covers; less than ``least`` of the field counts as touching.
 
     Convex pieces that don't overlap cut the field side by side. Otherwise the plane is cut at the heights of all
     corners and crossings, so that within a slab no edges cross and the covered width at mid height times the slab's
@@ -228,7 +233,7 @@ def covered_area(field: Sequence, pieces: Sequence[Sequence]) -> float:
         if not len(f) or not p:
             return 0.0
         area = sum((high - low) * (hi - lo) for low, high, lo, hi, _, _ in _covered(f, p, np.concatenate([f, *p])))
-    return float(area) if area > 1e-9 * measures(field)[0] else 0.0
+    return float(area) if area > least * measures(field)[0] else 0.0
 
 
 def covered_pieces(field: Sequence, pieces: Sequence[Sequence]) -> list[dict]:

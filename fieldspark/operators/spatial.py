@@ -185,52 +185,6 @@ def bounds_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     return met.drop("cell_level", "cell_x", "cell_y", "level", *[f"_{n}" for n in [*names, "level"]])
 
 
-def _field_pieces(fields: DataFrame, soils: DataFrame, size: float | None) -> DataFrame:
-    """field_id, mukey, rings and area of the field, soils: all polygons of the map unit whose bounds meet the field's."""
-    left = with_measures(fields.select("field_id", "rings")).select("field_id", "rings", "area", "xmin", "ymin", "xmax", "ymax")
-    right = with_measures(soils.select(F.trim(F.col("mukey").cast("string")).alias("mukey"), "rings")).where("area > 0").select("mukey", F.col("rings").alias("soil"), "xmin", "ymin", "xmax", "ymax")
-    pairs = bounds_join(left, right, size or cell_size(right))
-    return pairs.groupBy("field_id", "mukey").agg(F.first("rings").alias("rings"), F.first("area").alias("area"), F.collect_list("soil").alias("soils"))
-
-
-def field_soil_overlap(fields: DataFrame, soils: DataFrame, size: float | None = None) -> DataFrame:
-    """field_id, mukey, overlap_area_m2, field_area_m2, field_fraction of the whole field, above 0 only.
-
-    Pieces of one mukey count together, where they overlap once. Both sides must be in the equal-area projection.
-    """
-    for df, name, key in ((fields, "fields", "field_id"), (soils, "soils", "mukey")):
-        checks.require_columns(df, [key], name)
-        require_srid(df, EQUAL_AREA, name)
-
-    @F.pandas_udf("double")
-    def area(rings: pd.Series, pieces: pd.Series) -> pd.Series:
-        return pd.Series([geometry.covered_area(r, list(p)) for r, p in zip(rings, pieces)], dtype=float)
-
-    met = _field_pieces(fields, soils, size).select("field_id", "mukey", area("rings", "soils").alias("overlap_area_m2"), F.col("area").alias("field_area_m2"))
-    return met.where("overlap_area_m2 > 0").withColumn("field_fraction", F.col("overlap_area_m2") / F.col("field_area_m2"))
-
-
-def clipped_soils(fields: DataFrame, soils: DataFrame, size: float | None = None) -> DataFrame:
-    """mukey, field_id, rings: each map unit within each field as disjoint pieces; its polygons are dissolved, so that
-    what several of them cover is there once."""
-
-    @F.pandas_udf(_RINGS)
-    def clip(rings: pd.Series, pieces: pd.Series, areas: pd.Series) -> pd.Series:
-        out = []
-        for r, p, a in zip(rings, pieces, areas):
-            got = geometry.covered_pieces(r, list(p))
-            out.append(got if sum(geometry.measures([g])[0] for g in got) > 1e-9 * a else None)
-        return pd.Series(out)
-
-    return _field_pieces(fields, soils, size).select("mukey", "field_id", clip("rings", "soils", "area").alias("rings")).where("rings is not null")
-
-
-def require_survivors(overlaps: DataFrame, clipped: DataFrame) -> DataFrame:
-    """``clipped``, in which every map unit of ``overlaps`` must be left."""
-    checks.require_reference(overlaps.where("mukey <> ''"), clipped, "mukey", "clipped soils")
-    return clipped
-
-
 def overlap_table(fields: DataFrame, overlaps: DataFrame, mapunits: DataFrame) -> DataFrame:
     """Overlaps with map unit names; fields without any stay, with mukey "", no names and 0 area and fraction.
 

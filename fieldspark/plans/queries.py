@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.functions import expressions as E
-from fieldspark.operators import checks, crops, imagery, integrate, places, report, scan, soil, spatial, weather, zonal
+from fieldspark.operators import checks, crops, imagery, integrate, overlay, places, report, scan, soil, spatial, weather, zonal
 from fieldspark.sources import readers, writers
 from fieldspark.sources.scratch import landed, scratch_path
 
@@ -507,7 +507,7 @@ u AS (SELECT i, m, sum((nx - x) * greatest(0, y1 - greatest(y0, coalesce(seen, y
 
 @query(f"WITH {_UNIONS} SELECT i::VARCHAR AS field_id, m::VARCHAR AS mukey, round(o, 8) AS overlap_area_m2, round(0.05 * 0.04, 8) AS field_area_m2, round(o / (0.05 * 0.04), 6) AS field_fraction FROM u WHERE o > 1e-10")
 def geo6_join8_overlap(spark: SparkSession, d: str) -> DataFrame:
-    out = spatial.field_soil_overlap(rectangles(spark, d, "field_id", 0), rectangles(spark, d, "mukey", 1)).where("overlap_area_m2 > 1e-10")
+    out = overlay.field_soil_overlap(rectangles(spark, d, "field_id", 0), rectangles(spark, d, "mukey", 1)).where("overlap_area_m2 > 1e-10")
     return out.withColumns({c: F.round(c, 8) for c in ("overlap_area_m2", "field_area_m2")}).withColumn("field_fraction", F.round("field_fraction", 6))
 
 
@@ -765,11 +765,23 @@ def flt1_flt2_eligible(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_UNIONS} SELECT i::VARCHAR AS field_id, m::VARCHAR AS mukey, round(o, 8) AS area FROM u WHERE o > 1e-10")
 def geo8_clipped_soils(spark: SparkSession, d: str) -> DataFrame:
-    """Map units within fields, dissolved, after the gate that each that overlaps is left."""
+    """Map units within fields, dissolved."""
     fields, soils = rectangles(spark, d, "field_id", 0), rectangles(spark, d, "mukey", 1)
-    pieces = landed(spatial.clipped_soils(fields, soils), "pieces")
-    spatial.require_survivors(spatial.field_soil_overlap(fields, soils), pieces)
-    return spatial.with_measures(pieces).where("area > 1e-10").select("field_id", "mukey", F.round("area", 8).alias("area"))
+    return spatial.with_measures(overlay.clipped_soils(fields, soils)).where("area > 1e-10").select("field_id", "mukey", F.round("area", 8).alias("area"))
+
+
+#: Union over all fields of each map unit's rectangles within them: between neighbouring x, how much of y any covers.
+_DISSOLVED = f"""{_RECTS}, q AS (SELECT DISTINCT b.vec_id // 50 AS m, greatest(a.x, b.x) AS x0, least(a.x, b.x) + 0.05 AS x1, greatest(a.y, b.y) AS y0, least(a.y, b.y) + 0.04 AS y1 FROM r a JOIN r b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND abs(a.x - b.x) < 0.05 AND abs(a.y - b.y) < 0.04),
+cuts AS (SELECT m, x, lead(x) OVER (PARTITION BY m ORDER BY x) AS nx FROM (SELECT DISTINCT m, unnest([x0, x1]) AS x FROM q)),
+spans AS (SELECT q.m, c.x, c.nx, y0, y1, max(y1) OVER (PARTITION BY q.m, c.x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM cuts c JOIN q ON q.m = c.m AND q.x0 <= c.x AND q.x1 >= c.nx WHERE c.nx IS NOT NULL)"""
+
+
+@query(f"WITH {_DISSOLVED} SELECT m::VARCHAR AS mukey, round(sum((nx - x) * greatest(0, y1 - greatest(y0, coalesce(seen, y0)))), 7) AS area, true AS closed FROM spans GROUP BY 1")
+def geo8_dissolved_soils(spark: SparkSession, d: str) -> DataFrame:
+    """One outline a map unit over all fields together, after the gate that each that overlaps is left."""
+    units = overlay.dissolved_soils(rectangles(spark, d, "field_id", 0), rectangles(spark, d, "mukey", 1))[1]
+    closed = F.forall("rings", lambda r: (F.size(r["xs"]) >= 3) & (F.size(r["xs"]) == F.size(r["ys"])))
+    return spatial.with_measures(units).select("mukey", F.round("area", 7).alias("area"), closed.alias("closed"))
 
 
 @query("""WITH h AS (SELECT (10 * ceil((max((p_partkey - 1) // 50) + 1) / 10))::BIGINT AS h FROM part), g AS (SELECT r.r, c.c, h FROM h, range((SELECT h FROM h)) r(r), range(50) c(c)),

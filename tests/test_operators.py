@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldspark.functions import expressions as E
-from fieldspark.functions import geometry
-from fieldspark.operators import checks, crops, imagery, integrate, report, scan, soil, spatial, weather, zonal
+from fieldspark.functions import geometry, outlines
+from fieldspark.operators import checks, crops, imagery, integrate, overlay, report, scan, soil, spatial, weather, zonal
 from fieldspark.operators.checks import CheckError
 
 
@@ -327,10 +327,10 @@ def test_measures_and_areas():
 def test_overlap(spark):
     fields = polygons(spark, [("F", [box(0, 0, 10, 10)]), ("G", [box(100, 100, 10, 10)])])
     soils = polygons(spark, [("1", [box(0, 0, 5, 10)]), ("2", [box(5, 0, 2, 10)]), ("2", [box(6, 0, 2, 10)]), (" 2", [box(8, 0, 2, 5)]), ("3", [box(10, 0, 5, 5)])], "mukey")
-    got = rows(spatial.field_soil_overlap(fields, soils), "field_id", "mukey")
+    got = rows(overlay.field_soil_overlap(fields, soils), "field_id", "mukey")
     assert got == [("F", "1", 50.0, 100.0, 0.5), ("F", "2", 40.0, 100.0, 0.4)]
-    assert rows(spatial.field_soil_overlap(fields, soils, 1.5), "field_id", "mukey") == got
-    clipped = {m: sum(geometry.measures([p])[0] for p in r) for m, _, r in rows(spatial.clipped_soils(fields, soils.withColumn("mukey", F.trim("mukey")), 4.0).select("mukey", "field_id", "rings"))}
+    assert rows(overlay.field_soil_overlap(fields, soils, 1.5), "field_id", "mukey") == got
+    clipped = {m: sum(geometry.measures([p])[0] for p in r) for m, _, r in rows(overlay.clipped_soils(fields, soils.withColumn("mukey", F.trim("mukey")), 4.0).select("mukey", "field_id", "rings"))}
     assert clipped == pytest.approx({"1": 50.0, "2": 40.0})
     units = spark.createDataFrame([("1", "s1", "n1"), ("2", "s2", "n2")], "mukey string, musym string, muname string")
     areas = spark.createDataFrame([("F", 100.0), ("G", 100.0)], "field_id string, field_area_m2 double")
@@ -338,9 +338,9 @@ def test_overlap(spark):
     assert rows(table, "field_id")[-1] == ("G", "", "", "", 0.0, 100.0, 0.0)
     assert [tuple(r) for r in spatial.uncovered(table).orderBy("field_id").collect()] == [("F", pytest.approx(0.9), 2), ("G", 0.0, 1)]
     with pytest.raises(CheckError, match="srid must be 5070"):
-        spatial.field_soil_overlap(fields.withColumn("srid", F.lit(None).cast("int")), soils)
+        overlay.field_soil_overlap(fields.withColumn("srid", F.lit(None).cast("int")), soils)
     with pytest.raises(CheckError, match="missing required columns: mukey"):
-        spatial.field_soil_overlap(fields, soils.withColumnRenamed("mukey", "m"))
+        overlay.field_soil_overlap(fields, soils.withColumnRenamed("mukey", "m"))
 
 
 def test_grid_selection(spark):
@@ -419,12 +419,91 @@ def test_one_huge_polygon_meets_small_ones(spark):
     """Levels: a polygon a thousand times larger fills few cells, and meets each small one once."""
     small = [(f"s{i}", [box(10 * (i % 30), 10 * (i // 30), 1, 1)]) for i in range(300)]
     fields, soils = polygons(spark, small), polygons(spark, [("m", [box(-1, -1, 1000, 1000)]), ("n", [box(0, 0, 0.5, 0.5)])], "mukey")
-    got = spatial.field_soil_overlap(fields, soils)
+    got = overlay.field_soil_overlap(fields, soils)
     assert got.where("mukey = 'm' and abs(field_fraction - 1) < 1e-9").count() == 300 and rows(got.where("mukey = 'n'").select("field_id", "field_fraction")) == [("s0", pytest.approx(0.25))]
     placed = spatial.with_level(spatial.with_measures(soils), 1.0)
     assert spatial.cells(placed, 1.0, list(range(12))).count() < 60
 
 
+def star(r, n=7, spread=3.0):
+    cx, cy = r.uniform(-spread, spread, 2)
+    t = np.sort(r.uniform(0, 2 * np.pi, n))
+    return [{"sign": 1, "xs": (cx + r.uniform(0.3, 2, n) * np.cos(t)).tolist(), "ys": (cy + r.uniform(0.3, 2, n) * np.sin(t)).tolist()}]
+
+
+def ring_area(rings):
+    return sum(x["sign"] * geometry.measures([{"sign": 1, "xs": x["xs"], "ys": x["ys"]}])[0] for x in rings)
+
+
+def seamless(rings, size):
+    """Whether no edge lies on a line of the grid."""
+    for x in rings:
+        for a, b, c, d in zip(x["xs"], x["ys"], [*x["xs"][1:], x["xs"][0]], [*x["ys"][1:], x["ys"][0]]):
+            if (a == c and abs(a / size - round(a / size)) < 1e-12 and b != d) or (b == d and abs(b / size - round(b / size)) < 1e-12 and a != c):
+                return False
+    return True
+
+
+def test_outlines_of_regions_cut_into_cells():
+    """Areas by one sweep, by cells, and of stitched outlines agree, and neither cells nor neighbours leave seams."""
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        size = float(r.choice([0.5, 1.0, 0.7]))
+        sides = [[star(r) if r.random() < 0.6 else [box(*r.integers(-3, 3, 2).astype(float), *r.integers(1, 4, 2).astype(float))] for _ in range(r.integers(1, 5))] for _ in range(2)]
+        want = outlines.overlap_area(sides)
+        assert ring_area(outlines.stitched(outlines.region_edges(sides))) == pytest.approx(want, abs=1e-8)
+        cells = {}
+        for side, polygons_ in enumerate(sides):
+            for p in polygons_:
+                pieces = list(outlines.split(p, size))
+                assert sum(outlines.overlap_area([[g], [g]]) for _, _, g in pieces) == pytest.approx(outlines.overlap_area([[p], [p]]), abs=1e-8)
+                for x, y, g in pieces:
+                    cells.setdefault((x, y), ([], []))[side].append(g)
+        assert sum(outlines.overlap_area(c) for c in cells.values()) == pytest.approx(want, abs=1e-8)
+    bent = [{"sign": 1, "xs": [0.1, 5.3, 4.9, 0.2], "ys": [0.2, 0.1, 4.8, 5.2]}, {"sign": -1, "xs": [1.2, 3.4, 2.5], "ys": [1.1, 1.3, 3.7]}]
+    assert [x["sign"] for x in sorted(outlines.stitched(outlines.region_edges([[bent], [bent]])), key=lambda x: -x["sign"])] == [1, -1]
+
+
+def test_dissolved_soils(spark):
+    """One row a map unit: fields next to each other and pieces of one key leave no seams, holes stay, areas are those of
+    one sweep over everything."""
+    fields = polygons(spark, [("F", [box(0.3, 0.3, 4, 4)]), ("G", [box(4.3, 0.3, 4, 4)]), ("H", [box(20, 20, 3, 3)])])
+    soils = polygons(spark, [("1", [box(-1, -1, 6, 9)]), ("1", [box(4, -1, 9, 9), box(5.5, 1.5, 1, 1, -1)]), ("2", [box(2, 2, 1, 1)]), (" 2", [box(21, 21, 0.5, 0.5)]), ("3", [box(50, 50, 1, 1)])], "mukey")
+    for size in (None, 1.0, 0.7):
+        overlaps, units = overlay.dissolved_soils(fields, soils, size)
+        got = {r.mukey: [x.asDict() for x in r.rings] for r in units.collect()}
+        assert got.keys() == {"1", "2"} and ring_area(got["1"]) == pytest.approx(31.0) and ring_area(got["2"]) == pytest.approx(1.25)
+        assert [(x["sign"], len(x["xs"])) for x in sorted(got["1"], key=lambda x: -x["sign"])] == [(1, 4), (-1, 4)]
+        assert sorted(len(x["xs"]) for x in got["2"]) == [4, 4]
+        near = lambda df: rows(df.select("field_id", "mukey", F.round("overlap_area_m2", 9), F.round("field_fraction", 9)), "field_id", "mukey")
+        assert near(overlaps) == near(overlay.field_soil_overlap(fields, soils))
+    r = np.random.default_rng(8)
+    many = polygons(spark, [(f"f{i}", star(r)) for i in range(12)])
+    units = polygons(spark, [(str(i % 3), star(r)) for i in range(15)], "mukey")
+    as_dicts = lambda df, key: {k: [[x.asDict() for x in r.rings] for r in g] for k, g in ((k, [r for r in df.collect() if r[key] == k]) for k in {r[key] for r in df.collect()})}
+    whole, by = [p for ps in as_dicts(many, "field_id").values() for p in ps], as_dicts(units, "mukey")
+    got = {r.mukey: [x.asDict() for x in r.rings] for r in overlay.dissolved_soils(many, units, 0.9)[1].collect()}
+    for mukey, soils_ in by.items():
+        assert ring_area(got[mukey]) == pytest.approx(outlines.overlap_area([whole, soils_]), abs=1e-7) and seamless(got[mukey], 0.9)
+    empty = overlay.dissolved_soils(many.limit(0), units)
+    assert empty[0].count() == empty[1].count() == 0
+
+
+def test_crowded_places_are_cut_into_many_cells(spark, monkeypatch):
+    """90 % of the polygons in one cell of the first grid: cells end up with few corners, and no pair is lost."""
+    r = np.random.default_rng(3)
+    at = np.concatenate([r.uniform(0, 1, (270, 2)), r.uniform(0, 100, (30, 2))])
+    fields = polygons(spark, [(f"f{i}", [box(x, y, 0.05, 0.04)]) for i, (x, y) in enumerate(at[::2])])
+    soils = polygons(spark, [(f"s{i}", [box(x, y, 0.05, 0.04)]) for i, (x, y) in enumerate(at[1::2])], "mukey")
+    want = rows(overlay.field_soil_overlap(fields, soils).select("field_id", "mukey", F.round("overlap_area_m2", 10)), "field_id", "mukey")
+    assert len(want) > 20
+    monkeypatch.setattr(overlay, "CORNERS", 60)
+    cells, _ = overlay._sides(fields, soils, 8.0)
+    sizes = [x["n"] for x in cells.groupBy(*overlay.CELL).agg(F.sum("corners").alias("n")).collect()]
+    assert max(sizes) <= 60 and len(sizes) > 30
+    assert rows(overlay.field_soil_overlap(fields, soils, 8.0).select("field_id", "mukey", F.round("overlap_area_m2", 10)), "field_id", "mukey") == want
+
+
 def test_gates_in_one_job(spark):
     df = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.6), ("b", 1, -1.0)], "k string, j int, v double")
     assert checks.require_all(df, "t", {"v above -2": F.col("v") > -2}, ["k", "j"], ("k", "v", 1.2)) is df
