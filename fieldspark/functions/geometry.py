@@ -257,13 +257,10 @@ def covered_pieces(field: Sequence, pieces: Sequence[Sequence]) -> list[dict]:
 
 
 def is_simple(rings: Sequence) -> bool:
-    """Whether rings have three corners or more, finite numbers, an area, and no edges that cross."""
-    for ring in rings:
-        x, y = _ring(ring)
-        if len(x) < 4 or not (np.isfinite(x).all() and np.isfinite(y).all()):
-            return False
-    every = [np.stack([x[:-1], y[:-1], x[1:], y[1:]], 1) for x, y in map(_ring, rings)]
-    return bool(every) and len(_crossing_heights(np.concatenate(every), once=True)) == 0 and measures(rings)[0] > 0
+    """Whether a polygon is valid: see ``validity.fault``."""
+    from fieldspark.functions.validity import fault
+
+    return fault(rings) is None
 
 
 def _q(sin: np.ndarray) -> np.ndarray:
@@ -271,6 +268,14 @@ def _q(sin: np.ndarray) -> np.ndarray:
     return (1 - _E2) * (sin / (1 - es * es) + np.arctanh(es) / _E)
 
 
+def _conformal(lat: np.ndarray) -> np.ndarray:
+    """Tangent of the conformal latitude of latitudes in radians; infinite at the poles."""
+    t = np.tan(lat)
+    s = _E * t / np.hypot(1, t)  # the sine times the eccentricity, never 1
+    sigma = np.sinh(_E * np.arctanh(s))
+    return t * np.hypot(1, sigma) - sigma * np.hypot(1, t)
+
+
 def _conic() -> tuple[float, float, float]:
     p1, p2, p0 = (math.radians(p) for p in (PARALLEL_1, PARALLEL_2, LATITUDE_0))
     m1, m2 = (math.cos(p) / math.sqrt(1 - _E2 * math.sin(p) ** 2) for p in (p1, p2))
@@ -301,15 +306,53 @@ def albers_inverse(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return LONGITUDE_0 + np.degrees(np.arctan2(x, y)) / n, np.degrees(lat)
 
 
+def _krueger() -> tuple[float, float]:
+    """The third flattening and the radius of the rectifying sphere, scaled."""
+    n = FLATTENING / (2 - FLATTENING)
+    return n, 0.9996 * SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+
+
 def utm_forward(lon: np.ndarray, lat: np.ndarray, zone: int) -> tuple[np.ndarray, np.ndarray]:
     """Degrees to metres of a northern transverse Mercator zone, by Krueger's series to the fourth order."""
-    n = FLATTENING / (2 - FLATTENING)
-    radius = SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    n, radius = _krueger()
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
-    s, d = np.sin(np.radians(lat)), np.radians(np.asarray(lon, float) - (6 * zone - 183))
-    t = np.sinh(np.arctanh(s) - _E * np.arctanh(_E * s))
+    d = np.radians(np.asarray(lon, float) - (6 * zone - 183))
+    t = _conformal(np.radians(np.asarray(lat, float)))
     xi, eta = np.arctan2(t, np.cos(d)), np.arcsinh(np.sin(d) / np.hypot(t, np.cos(d)))
     east, north = eta.copy(), xi.copy()
     for j, a in enumerate(alpha, 1):
         east, north = east + a * np.cos(2 * j * xi) * np.sinh(2 * j * eta), north + a * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
-    return 500_000 + 0.9996 * radius * east, 0.9996 * radius * north
+    return 500_000 + radius * east, radius * north
+
+
+def utm_inverse(x: np.ndarray, y: np.ndarray, zone: int) -> tuple[np.ndarray, np.ndarray]:
+    """Metres of a northern transverse Mercator zone to degrees: Krueger's inverse series to the fourth order, and Newton
+    steps from the conformal to the geodetic latitude."""
+    n, radius = _krueger()
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    north, east = np.asarray(y, float) / radius, (np.asarray(x, float) - 500_000) / radius
+    xi, eta = north.copy(), east.copy()
+    for j, b in enumerate(beta, 1):
+        xi, eta = xi - b * np.sin(2 * j * north) * np.cosh(2 * j * east), eta - b * np.cos(2 * j * north) * np.sinh(2 * j * east)
+    want = np.sin(xi) / np.hypot(np.sinh(eta), np.cos(xi))
+    t = want / (1 - _E2)
+    for _ in range(6):
+        got = _conformal(np.arctan(t))
+        t = t + (want - got) * (1 + (1 - _E2) * t * t) / ((1 - _E2) * np.hypot(1, t) * np.hypot(1, got))
+    return 6 * zone - 183 + np.degrees(np.arctan2(np.sinh(eta), np.cos(xi))), np.degrees(np.arctan(t))
+
+
+def densified(x: np.ndarray, y: np.ndarray, move, within: float, rounds: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """A closed ring's corners, with more of them where the image of an edge's middle is farther than ``within`` from the
+    middle of its ends' images, so that straight edges stay where they are after ``move``."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    for _ in range(rounds):
+        u, v = move(x, y)
+        mx, my = (x + np.roll(x, -1)) / 2, (y + np.roll(y, -1)) / 2
+        mu, mv = move(mx, my)
+        far = np.hypot(mu - (u + np.roll(u, -1)) / 2, mv - (v + np.roll(v, -1)) / 2) > within
+        if not far.any():
+            break
+        at = np.flatnonzero(far) + 1
+        x, y = np.insert(x, at, mx[far]), np.insert(y, at, my[far])
+    return x, y

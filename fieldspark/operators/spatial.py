@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspark.functions import geometry
+from fieldspark.functions import geometry, validity
 from fieldspark.operators import checks
 from fieldspark.operators.crops import rank_first
 
@@ -31,49 +31,67 @@ def require_srid(df: DataFrame, srid: int, label: str) -> DataFrame:
     return checks.require_rules(df, {f"srid must be {srid}": F.coalesce(F.col("srid") == srid, F.lit(False))}, label)
 
 
-def _mover(move):
-    """Column function that moves all coordinates of a batch's rings at once."""
+#: Northern zones of the transverse Mercator grid are this plus the zone's number, 1 to 60.
+UTM_NORTH = 32_600
+
+
+def known_srid(srid: int) -> bool:
+    return srid in (LONLAT, EQUAL_AREA) or UTM_NORTH < srid <= UTM_NORTH + 60
 
-    @F.pandas_udf(_RINGS)
-    def run(rings: pd.Series) -> pd.Series:
-        flat = [x for r in rings if r is not None for x in r]
-        if not flat:
-            return rings
-        ends = np.cumsum([len(x["xs"]) for x in flat])[:-1]
-        xs, ys = move(np.concatenate([np.asarray(x["xs"], float) for x in flat]), np.concatenate([np.asarray(x["ys"], float) for x in flat]))
-        moved = ({"sign": x["sign"], "xs": a, "ys": b} for x, a, b in zip(flat, np.split(xs, ends), np.split(ys, ends)))
-        return rings.map(lambda r: r if r is None else [next(moved) for _ in r])
+
+def _move(srid: int, to: int):
+    """Function of coordinates from one reference system to another by way of longitude and latitude."""
+
+    def run(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if srid == EQUAL_AREA:
+            x, y = geometry.albers_inverse(x, y)
+        elif srid != LONLAT:
+            x, y = geometry.utm_inverse(x, y, srid - UTM_NORTH)
+        if to == EQUAL_AREA:
+            return geometry.albers_forward(x, y)
+        return (x, y) if to == LONLAT else geometry.utm_forward(x, y, to - UTM_NORTH)
 
     return run
 
 
-def _moved(rings: str, srid: int, to: int) -> Column:
-    """Rings from one reference system to another by way of longitude and latitude."""
-    out = F.col(rings)
-    if srid == EQUAL_AREA:
-        out = _mover(geometry.albers_inverse)(out)
-    if to == EQUAL_AREA:
-        out = _mover(geometry.albers_forward)(out)
-    elif to != LONLAT:
-        out = _mover(lambda lon, lat: geometry.utm_forward(lon, lat, to - UTM_NORTH))(out)
-    return out
+def _reprojected(to: int, within: float | None):
+    """Moves a batch's rings, all coordinates of one reference system at once."""
 
+    @F.pandas_udf(_RINGS)
+    def run(rings: pd.Series, srid: pd.Series) -> pd.Series:
+        out = rings.copy()
+        for known in srid.dropna().unique():
+            if int(known) == to:
+                continue
+            move, own = _move(int(known), to), [k for k in srid.index[srid == known] if rings[k] is not None]
+            flat = [x for k in own for x in rings[k]]
+            if not flat:
+                continue
+            corners = [(np.asarray(x["xs"], float), np.asarray(x["ys"], float)) for x in flat]
+            if within is not None:
+                corners = [geometry.densified(x, y, move, within) if len(x) > 1 else (x, y) for x, y in corners]
+            ends = np.cumsum([len(x) for x, _ in corners])[:-1]
+            xs, ys = move(np.concatenate([x for x, _ in corners]), np.concatenate([y for _, y in corners]))
+            moved = ({"sign": x["sign"], "xs": a, "ys": b} for x, a, b in zip(flat, np.split(xs, ends), np.split(ys, ends)))
+            for k in own:
+                out[k] = [next(moved) for _ in rings[k]]
+        return out
 
-#: Northern zones of the transverse Mercator grid are this plus the zone's number, 1 to 60.
-UTM_NORTH = 32_600
+    return run
 
 
-def reproject(df: DataFrame, srid: int) -> DataFrame:
-    """Polygons in ``srid``: longitude/latitude, the equal-area conic or, as a target only, a northern zone of the
-    transverse Mercator grid (32601 to 32660). Rows already there stay."""
-    checks.require_rules(df, {"unknown srid": F.coalesce(F.col("srid").isin(LONLAT, EQUAL_AREA, srid), F.lit(False))}, "polygons")
-    if srid not in (LONLAT, EQUAL_AREA) and not UTM_NORTH < srid <= UTM_NORTH + 60:
+def reproject(df: DataFrame, srid: int, within: float | None = None) -> DataFrame:
+    """Polygons in ``srid``: longitude/latitude, the equal-area conic, or a northern zone of the transverse Mercator grid
+    (32601 to 32660); each row may come from any of these. Rows already there stay.
+
+    With ``within``, edges get corners between their ends, so that what was straight is nowhere farther than that (in
+    units of the target) from where it was; without it only the corners move.
+    """
+    zone = F.col("srid").between(UTM_NORTH + 1, UTM_NORTH + 60)
+    checks.require_rules(df, {"unknown srid": F.coalesce(F.col("srid").isin(LONLAT, EQUAL_AREA) | zone, F.lit(False))}, "polygons")
+    if not known_srid(srid):
         raise checks.CheckError(f"unknown srid {srid}")
-    moved = F.col("rings")
-    for known in (LONLAT, EQUAL_AREA):
-        if known != srid:
-            moved = F.when(F.col("srid") == known, _moved("rings", known, srid)).otherwise(moved)
-    return df.withColumn("rings", moved).withColumn("srid", F.lit(srid))
+    return df.withColumn("rings", _reprojected(srid, within)("rings", "srid")).withColumn("srid", F.lit(srid))
 
 
 def _measured(simple: bool):
@@ -92,12 +110,23 @@ def _measured(simple: bool):
 
 
 def with_measures(df: DataFrame, simple: bool = False) -> DataFrame:
-    """Adds area, centroid (cx, cy), bounds and, if asked for, ``simple``: whether no edges cross; null measures and
+    """Adds area, centroid (cx, cy), bounds and, if asked for, ``simple``: whether the polygon is valid; null measures and
     false for missing or empty polygons."""
     out = df.withColumn("_m", _measured(simple)("rings")).select("*", "_m.*").drop("_m")
     return out if simple else out.drop("simple")
 
 
+def validity_findings(df: DataFrame, key: str) -> DataFrame:
+    """rule, key (as text) of each polygon that isn't valid: the first fault that ``validity.fault`` finds. A polygon is
+    tried by itself; its corners are in one row anyway."""
+
+    @F.pandas_udf("string")
+    def found(rings: pd.Series) -> pd.Series:
+        return pd.Series([validity.fault(r) for r in rings], dtype=object)
+
+    return df.select(found("rings").alias("rule"), F.col(key).cast("string").alias("key")).where("rule is not null")
+
+
 def eligible(df: DataFrame, flag: str, key: str, ordinal: str) -> DataFrame:
     """Flagged valid polygons with an area, then the first row of each key by ``ordinal``, the order in the source."""
     good = with_measures(df.where((F.col(flag) == 1) & F.col("rings").isNotNull()), simple=True).where("simple and area > 0")

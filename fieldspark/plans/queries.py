@@ -746,6 +746,29 @@ def geo1_grid_zone(spark: SparkSession, d: str) -> DataFrame:
     return first_corner(spatial.reproject(lonlat_points(spark, d), 32615), 3)
 
 
+def _utm_inverse_sql() -> str:
+    """Krueger's inverse series of zone 15, and the series from the conformal to the geodetic latitude."""
+    n = spatial.geometry.FLATTENING / (2 - spatial.geometry.FLATTENING)
+    radius = 0.9996 * spatial.geometry.SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    xi = " - ".join(["a", *(f"{b!r}::DOUBLE * sin({2 * j} * a) * (exp({2 * j} * b) + exp(-{2 * j} * b)) / 2" for j, b in enumerate(beta, 1))])
+    eta = " - ".join(["b", *(f"{b!r}::DOUBLE * cos({2 * j} * a) * (exp({2 * j} * b) - exp(-{2 * j} * b)) / 2" for j, b in enumerate(beta, 1))])
+    lat = " + ".join(["c", *(f"{d!r}::DOUBLE * sin({2 * j} * c)" for j, d in enumerate(delta, 1))])
+    return f"""z AS (SELECT vec_id, (4600000 + 100000 * round(embedding[2]::DOUBLE, 4)) / {radius!r}::DOUBLE AS a, 200000 * round(embedding[1]::DOUBLE, 4) / {radius!r}::DOUBLE AS b FROM embeddings),
+ w AS (SELECT vec_id, {xi} AS xi, {eta} AS eta FROM z), c AS (SELECT vec_id, xi, eta, asin(sin(xi) * 2 / (exp(eta) + exp(-eta))) AS c FROM w)
+ SELECT vec_id, round(-93 + degrees(atan2((exp(eta) - exp(-eta)) / 2, cos(xi))), 7) AS x, round(degrees({lat}), 7) AS y FROM c"""
+
+
+@query(f"WITH {_utm_inverse_sql()}")
+def geo1_from_grid_zone(spark: SparkSession, d: str) -> DataFrame:
+    """Points of a transverse Mercator zone, from two components of vectors, as longitude and latitude."""
+    x, y = F.round(F.col("embedding")[0].cast("double"), 4) * 200_000 + 500_000, F.round(F.col("embedding")[1].cast("double"), 4) * 100_000 + 4_600_000
+    point = F.array(F.struct(F.lit(1).alias("sign"), F.array(x).alias("xs"), F.array(y).alias("ys"))).cast(spatial.RINGS)
+    points = table(spark, d, "embeddings").select("vec_id", F.lit(spatial.UTM_NORTH + 15).alias("srid"), point.alias("rings"))
+    return first_corner(spatial.reproject(points, spatial.LONLAT), 7)
+
+
 @query(f"WITH {_LONLAT} SELECT vec_id, round(lon, 7) AS x, round(lat, 7) AS y FROM g")
 def geo1_there_and_back(spark: SparkSession, d: str) -> DataFrame:
     there = spatial.reproject(lonlat_points(spark, d), spatial.EQUAL_AREA)
@@ -763,6 +786,32 @@ def flt1_flt2_eligible(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spatial.within_region(spatial.eligible(twice, "isAG", "field_id", "src"), region, 0.95 + 1e-7).select("field_id", "inside_fraction"))
 
 
+_SHAPES = ("none", "edges cross", "ring in the wrong place", "ring in the wrong place", "edges cross", "inside in several parts", "none", "ring touches itself")
+
+
+@query(f"SELECT list_extract({list(_SHAPES)!r}, (vec_id % 8 + 1)::INT) AS rule, vec_id::VARCHAR AS key FROM embeddings WHERE vec_id % 8 NOT IN (0, 6)")
+def flt1_validity_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Rectangles from two components of vectors, made into eight shapes: whole, bent over itself, with a hole outside, in
+    another shell, with a hole across its border, parted by a hole, with a hole at a corner, touching itself."""
+    x, y = F.round(F.col("embedding")[0].cast("double"), 4), F.round(F.col("embedding")[1].cast("double"), 4)
+
+    def ring(sign: int, *points: tuple[float, float]) -> Column:
+        return F.struct(F.lit(sign).alias("sign"), F.array(*[x + a for a, _ in points]).alias("xs"), F.array(*[y + b for _, b in points]).alias("ys"))
+
+    def box(sign: int, a: float, b: float, w: float, h: float) -> Column:
+        return ring(sign, (a, b), (a + w, b), (a + w, b + h), (a, b + h))
+
+    shell = box(1, 0, 0, 8, 8)
+    shapes = [
+        F.array(shell), F.array(ring(1, (0, 0), (8, 8), (8, 0), (0, 9))), F.array(shell, box(-1, 9, 9, 1, 1)), F.array(shell, box(1, 2, 2, 3, 3)),
+        F.array(shell, box(-1, 6, 6, 4, 1)), F.array(shell, ring(-1, (0, 0), (5, 4), (8, 8), (4, 5))), F.array(shell, ring(-1, (0, 0), (5, 4), (4, 5))), F.array(ring(1, (0, 0), (8, 0), (4, 4), (8, 8), (0, 8), (4, 4))),
+    ]
+    chosen = shapes[0]
+    for k, shape in enumerate(shapes[1:], 1):
+        chosen = F.when(F.col("vec_id") % 8 == k, shape).otherwise(chosen)
+    return spatial.validity_findings(table(spark, d, "embeddings").select("vec_id", chosen.cast(spatial.RINGS).alias("rings")), "vec_id")
+
+
 @query(f"WITH {_UNIONS} SELECT i::VARCHAR AS field_id, m::VARCHAR AS mukey, round(o, 8) AS area FROM u WHERE o > 1e-10")
 def geo8_clipped_soils(spark: SparkSession, d: str) -> DataFrame:
     """Map units within fields, dissolved."""

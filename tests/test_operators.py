@@ -3,13 +3,14 @@
 import datetime as dt
 import json
 import math
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldspark.functions import expressions as E
-from fieldspark.functions import geometry, outlines
+from fieldspark.functions import geometry, outlines, validity
 from fieldspark.operators import checks, crops, imagery, integrate, overlay, report, scan, soil, spatial, weather, zonal
 from fieldspark.operators.checks import CheckError
 
@@ -504,6 +505,63 @@ def test_crowded_places_are_cut_into_many_cells(spark, monkeypatch):
     assert rows(overlay.field_soil_overlap(fields, soils, 8.0).select("field_id", "mukey", F.round("overlap_area_m2", 10)), "field_id", "mukey") == want
 
 
+def ring(points, sign=1):
+    return {"sign": sign, "xs": [float(p[0]) for p in points], "ys": [float(p[1]) for p in points]}
+
+
+@pytest.mark.parametrize("rings, said", [
+    ([box(0, 0, 4, 4), box(1, 1, 1, 1, -1)], None), ([ring([(0, 0), (1, 1), (0, 2), (1, 0)])], "edges cross"), ([box(0, 0, 4, 4), box(5, 5, 1, 1, -1)], "ring in the wrong place"),
+    ([box(0, 0, 4, 4), box(3, 3, 2, 2, -1)], "edges cross"), ([box(0, 0, 4, 4), box(1, 1, 1, 1)], "ring in the wrong place"), ([box(0, 0, 9, 9), box(1, 1, 7, 7, -1), box(3, 3, 1, 1)], None),
+    ([box(0, 0, 9, 9), box(1, 1, 7, 7, -1), box(3, 3, 1, 1, -1)], "ring in the wrong place"), ([box(0, 0, 1, 1), box(1, 1, 1, 1)], None), ([box(0, 0, 1, 1), box(1, 0, 1, 1)], "edges overlap"), ([box(0, 0, 4, 4, -1)], "ring in the wrong place"),
+    ([box(0, 0, 4, 4), ring([(0, 2), (1, 1), (1, 3)], -1)], None), ([box(0, 0, 4, 4), ring([(0, 2), (2, 1), (4, 2), (2, 3)], -1)], "inside in several parts"), ([box(0, 0, 2, 2), ring([(1, 1), (2, 2), (3, 3), (3, 1)])], "edges cross"),
+    ([ring([(0, 0), (2, 0), (1, 1), (2, 2), (0, 2), (1, 1)])], "ring touches itself"), ([ring([(0, 0), (4, 0), (4, 4), (2, 0), (0, 4)])], "ring touches itself"), ([ring([(0, 0), (1, 1)])], "fewer than three corners"),
+    ([ring([(0, 0), (1, math.nan), (2, 2)])], "non-finite coordinates"), ([ring([(0, 0), (1, 1), (2, 2)])], "no area"), ([], "no area"), (None, "no area"), ([ring([(0, 0), (0, 0), (4, 0), (4, 4), (4, 4), (0, 0)])], None),
+    ([box(0, 0, 9, 9), box(2, 2, 2, 2, -1), box(4, 4, 2, 2, -1), box(6, 2, 2, 2, -1), ring([(4, 2), (6, 2), (5, 1)], -1)], "inside in several parts"), ([box(0, 0, 9, 9), box(1, 1, 2, 2, -1), box(3, 3, 2, 2, -1)], None),
+    ([box(0, 0, 4, 4), ring([(4, 4), (6, 4), (6, 6), (4, 6)])], None), ([box(0, 0, 4, 4), ring([(2, 2), (4, 4), (2, 3)], -1)], None), ([box(0, 0, 4, 4), ring([(3, 3), (4, 4), (5, 3)])], "edges cross"),
+])
+def test_faults_of_polygons(rings, said):
+    assert validity.fault(rings) == said
+    if rings and len(rings) == 1:  # turned and mirrored alike
+        for turn in (lambda x, y: (y, x), lambda x, y: (-x, y), lambda x, y: (x + 0.1 * y, y - 0.1 * x)):
+            got = validity.fault([ring(list(zip(*[[turn(a, b)[k] for a, b in zip(r["xs"], r["ys"])] for k in (0, 1)])), r["sign"]) for r in rings])
+            assert (got is None) == (said is None)
+
+
+def test_sweep_finds_the_crossings_that_all_pairs_have():
+    r = np.random.default_rng(1)
+    for _ in range(1500):
+        one = [ring(r.uniform(0, 1, (r.integers(3, 10), 2)))]
+        x, y = geometry._ring(one[0])
+        crosses = len(geometry._crossing_heights(np.stack([x[:-1], y[:-1], x[1:], y[1:]], 1))) > 0
+        assert (validity.fault(one) == "edges cross") == crosses
+
+
+def test_faults_of_a_polygon_with_very_many_corners():
+    t = np.linspace(0, 2 * np.pi, 100_001)[:-1]
+    wave = 10 * (1 + 0.1 * np.cos(50 * t))
+    began = time.process_time()
+    assert validity.fault([ring(np.stack([wave * np.cos(t), wave * np.sin(t)], 1))]) is None
+    assert validity.fault([ring([(0, -5), *[(k, 1000 if k % 2 else 0) for k in range(30_001)], (30_001, -5)])]) is None  # tall edges
+    assert time.process_time() - began < 20
+
+
+def test_grid_zones_both_ways(spark):
+    r = np.random.default_rng(4)
+    lon, lat = r.uniform(-97, -89, 3000), r.uniform(0, 84, 3000)
+    back = geometry.utm_inverse(*geometry.utm_forward(lon, lat, 15), 15)
+    assert np.abs(back[0] - lon).max() < 1e-9 and np.abs(back[1] - lat).max() < 1e-9  # a tenth of a millimetre
+    df = polygons(spark, [("z", [box(450_000, 4_600_000, 200_000, 200_000)])], srid=32615).unionByName(polygons(spark, [("a", [box(-93.5, 42, 0.1, 0.1)])], srid=4326)).unionByName(polygons(spark, [("n", None)], srid=5070))
+    plain = {x.field_id: x for x in spatial.reproject(df, 5070).collect()}
+    fine = {x.field_id: x for x in spatial.reproject(df, 5070, within=0.01).collect()}
+    assert plain["n"].rings is None and len(plain["z"].rings[0].xs) == 4 and len(fine["z"].rings[0].xs) > 50
+    again = {x.field_id: x for x in spatial.reproject(spark.createDataFrame(list(fine.values()), df.schema), 32615).collect()}
+    side = np.array(again["z"].rings[0].xs), np.array(again["z"].rings[0].ys)
+    edge = np.minimum.reduce([np.abs(side[0] - 450_000), np.abs(side[0] - 650_000), np.abs(side[1] - 4_600_000), np.abs(side[1] - 4_800_000)])
+    assert edge.max() < 1e-3  # all corners lie on the square's sides
+    straight = geometry.measures([plain["z"].rings[0].asDict()])[0], geometry.measures([fine["z"].rings[0].asDict()])[0]
+    assert abs(straight[0] - straight[1]) > 100
+
+
 def test_gates_in_one_job(spark):
     df = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.6), ("b", 1, -1.0)], "k string, j int, v double")
     assert checks.require_all(df, "t", {"v above -2": F.col("v") > -2}, ["k", "j"], ("k", "v", 1.2)) is df
