@@ -12,9 +12,10 @@
    threshold and are not connected yet. A pair's overlap is counted in each fragment by itself, from that fragment's
    rows, and these partial counts are summed for each pair.
 
-n-grams are compared by 56 bits of a hash, and nodes that share an n-gram by 48 bits of their digest when they are
-counted. Whatever the size of the corpus, the chance that this changes the overlap of a pair of documents is that of a
-collision among their own n-grams, below 1e-10 for 1000 of each, or of their two digests, below 1e-14.
+n-grams are compared by 56 bits of a hash: the chance that this changes the overlap of a pair of documents is that of a
+collision among their own n-grams, below 1e-10 for 1000 of each. Nodes that share an n-gram are taken for copies by 48
+bits of their digests; then the whole digests are compared, and if any node was taken for a copy of another set, all is
+done again with other bits.
 """
 
 from __future__ import annotations
@@ -45,7 +46,11 @@ _HEAD = struct.Struct("<IIII")
 _NONE = np.zeros(0, np.uint64)
 #: Rows for a fragment (kind 0, id) with n-grams of a block, or for a block (kind 1, id).
 BLOBS = "kind int, id long, block long, blob binary"
-NODES = "sig binary, n int, shared int, first array<long>, keys array<long>"
+NODES = "sig binary, n int, shared int, first array<long>, keys array<long>, follows boolean"
+#: Bytes of a node's digest by which copies are known, one pair after the other is tried.
+TAGS = ((0, 6), (6, 12), (10, 16))
+#: Bytes of text up to which fragments and blocks have their sizes; beyond they grow with the square root, to four times.
+GROWTH_BYTES, GROWTH = 64_000_000_000, 4
 SEGMENTS = "part int, sig binary, n int, keys array<long>"
 
 
@@ -111,16 +116,16 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary")
 
 
-def _blob(keys: np.ndarray, refs: np.ndarray, tags: np.ndarray | None = None, marked: np.ndarray = _NONE, table: bytes = b"") -> bytes:
+def _blob(keys: np.ndarray, refs: np.ndarray, tags: np.ndarray | None = None, marked: np.ndarray = _NONE, table: bytes = b"", part: tuple[int, int] = TAGS[0]) -> bytes:
     """Keys by byte planes, the places of their nodes in the block, these nodes' tags where a fragment needs them, marked
     keys, and the records of a block's nodes."""
     planes = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T)
     used, place = (np.unique(refs, return_inverse=True) if tags is not None else (np.zeros(0, np.int64), refs))
-    own = b"" if tags is None else used.astype("<u2").tobytes() + np.ascontiguousarray(tags[used, :6]).tobytes()
+    own = b"" if tags is None else used.astype("<u2").tobytes() + np.ascontiguousarray(tags[used, slice(*part)]).tobytes()
     return b"".join([_HEAD.pack(len(keys), len(used), len(marked), len(table) // 20), planes.tobytes(), place.astype("<u2").tobytes(), own, marked.tobytes(), table])
 
 
-def _opened(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+def _opened(blobs: list[bytes], wide_tags: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Keys, whose they are (place of the blob times 65536, and the node's place in the block), these nodes' tags, marked
     keys, and records."""
     keys, whose, tags, marked, table = [_NONE], [np.zeros(0, np.int64)], [_NONE], [_NONE], []
@@ -134,10 +139,10 @@ def _opened(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         if m:
             used = np.frombuffer(blob, "<u2", m, at)
             wide = np.zeros((m, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * m, at + 2 * m).reshape(m, 6)
+            wide[:, :wide_tags] = np.frombuffer(blob, np.uint8, wide_tags * m, at + 2 * m).reshape(m, wide_tags)
             tags.append(wide.view(np.uint64).ravel()[place])
             place = used[place]
-            at += 8 * m
+            at += (2 + wide_tags) * m
         whose.append(place.astype(np.int64) | k << 16)
         marked.append(np.frombuffer(blob, np.uint64, c, at))
         at += 8 * c
@@ -148,16 +153,33 @@ def _opened(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 _TOP = np.uint64(0xFF) << np.uint64(56)
 
 
-def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Nodes that may have links: sig, n, shared n-grams, first (places to meet in), keys (shared ones in order).
+def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, str]:
+    """Written nodes that may have links, and their table's path: sig, n, shared n-grams, first (places to meet in), keys (shared ones in order).
 
     A node that an n-gram names the first of equal sets, or that none says to follow another, has all its n-grams here.
     Equal sets all of whose n-grams are common in one of their blocks may come twice, with the same n-grams.
+
+    A node left out as a copy must have its whole digest among the nodes that stay. If one has not, the tags of two
+    different sets were equal, and all is done again with other tags.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    fragments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_BYTES))
+    for part in TAGS:
+        nodes, path = put(_tagged_grams(docs, total, words, percent, part), "nodes")
+        lost = nodes.where("follows").select("sig").join(nodes.where("not follows").select("sig"), "sig", "left_anti").limit(1).count()
+        if not lost:
+            return nodes.where("shared > 0").drop("follows"), path
+        discard(docs.sparkSession, path)
+    raise RuntimeError("different sets have equal tags, whichever bytes are taken")
+
 
-    block_bytes, block_docs, common_from = BLOCK_BYTES, BLOCK_DOCS, COMMON
+def _tagged_grams(docs: DataFrame, total: int, words: int, percent: int, part: tuple[int, int]) -> DataFrame:
+    """Rows of ``NODES``: nodes that may have links; with ``shared`` 0 those that can't have any, and those that follow
+    others."""
+    growth = min(GROWTH, max(1.0, (total / GROWTH_BYTES) ** 0.5))
+    fragments = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // int(FRAGMENT_BYTES * growth)))
+    wide = part[1] - part[0]
+
+    block_bytes, block_docs, common_from = int(BLOCK_BYTES * growth), BLOCK_DOCS, COMMON
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borders = np.array([(f << 56) // fragments for f in range(1, fragments)], np.uint64)
@@ -184,7 +206,7 @@ def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                     for f in range(fragments):
                         (a, b), (c, d) = ((e[f], e[f + 1]) for e in ends)
                         if b > a or d > c:
-                            rows.append((0, f, _blob(keys[a:b], refs[a:b], records, marked[c:d])))
+                            rows.append((0, f, _blob(keys[a:b], refs[a:b], records, marked[c:d], part=part)))
                     kinds, ids, blobs = zip(*rows)
                     out = pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ids, pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array(blobs, pa.binary())], names=["kind", "id", "block", "blob"])
                     block += 1
@@ -198,7 +220,7 @@ def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         lean_worker()
         group = group.sort_by("block")
         blocks = group.column("block").to_pylist()
-        keys, whose, tags, marked, _ = _opened(group.column("blob").to_pylist())
+        keys, whose, tags, marked, _ = _opened(group.column("blob").to_pylist(), wide)
         order = np.lexsort((whose, tags, keys))
         keys, whose, tags = keys[order], whose[order], tags[order]
         # Of nodes with one tag the first block's stays; the others are left out and said to follow it.
@@ -232,16 +254,16 @@ def shared_grams(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         ends = np.searchsorted(refs, np.arange(len(table) // 20 + 1))
         rows = []
         for i in range(len(table) // 20):
-            if i in follow:
-                continue
             own, node = keys[ends[i] : ends[i + 1]], table[20 * i : 20 * i + 16]
             n = int.from_bytes(table[20 * i + 16 : 20 * i + 20], "little")
             least = (percent * n + 99) // 100
-            if len(own) >= least:
-                rows.append((node, n, len(own), own[: len(own) - least + 1], own))
-        cols = list(zip(*rows)) or [()] * 5
-        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["sig", "n", "shared", "first", "keys"])
+            if i in follow or len(own) < least:
+                rows.append((node, n, 0, None, None, i in follow))
+            else:
+                rows.append((node, n, len(own), own[: len(own) - least + 1], own, False))
+        cols = list(zip(*rows)) or [()] * 6
+        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["sig", "n", "shared", "first", "keys", "follows"])
 
     blobs = docs.select("text").mapInArrow(cut, BLOBS)
     return blobs.groupBy("kind", "id").applyInArrow(order_fragment, BLOBS).groupBy("id").applyInArrow(gather, NODES)
@@ -328,8 +350,9 @@ def _meetings(open_: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("sig").alias("a"), F.col("s").alias("b"), "c", "d").distinct()
 
 
-def node_components(nodes: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """node, component (digests) of all nodes of ``shared_grams`` that have links.
+def node_components(nodes: DataFrame, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, spent: str | None = None) -> DataFrame:
+    """node, component (digests) of all nodes of ``shared_grams`` that have links. The nodes' table at ``spent`` is deleted as
+    soon as it isn't needed any more.
 
     In a round, the nodes that meet in a place and are not connected to one of them, its partner in turn, are compared
     with a partner: first the node with the fewest n-grams of its own, which is closest to the others, then others by
@@ -341,13 +364,13 @@ def node_components(nodes: DataFrame, percent: int = PERCENT, star_rounds: int =
     least = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
     near = (F.col("left") >= least) & (F.col("left_m") >= least)
     spark = nodes.sparkSession
-    nodes, spent = put(nodes, "shared")
     if nodes.count() > nodes.select("sig").distinct().count():  # rare, see there
         nodes = nodes.dropDuplicates(["sig"])
     parts, parts_at = put(segments(nodes, borders(nodes)), "segments")
     entries = nodes.select("sig", "n", "shared", ((F.col("n") - F.col("shared")) / F.col("n")).alias("own"), F.posexplode("first").alias("i", "k"))
     entries, entries_at = put(entries.withColumn("left", F.col("shared") - F.col("i")).drop("i", "shared"), "entries")
-    discard(spark, spent)
+    if spent:
+        discard(spark, spent)
     found = None
     for k in range(star_rounds + 1):
         if found is None:
@@ -376,7 +399,8 @@ def document_components(docs: DataFrame, words: int = WORDS, percent: int = PERC
     Repeated rows are equal sets like other copies. An empty table has no rows.
     """
     rows = written(document_sets(docs, words), "sets")
-    found = node_components(shared_grams(docs.where("doc_id is not null"), words, percent), percent)
+    nodes, path = shared_grams(docs.where("doc_id is not null"), words, percent)
+    found = node_components(nodes, percent, spent=path)
     named = rows.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("c", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "sig")))
     # Written, so that the join deals its own sides, and can split a component that holds many rows.
     least = written(named.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "least")

@@ -58,7 +58,7 @@ def test_components_equal_brute_force(spark, hard, monkeypatch, seed, stars, com
     if seed == 1:
         docs = docs.withColumn("doc_id", F.col("doc_id") + 50).unionByName(hard)
     real = ngram_join.node_components
-    monkeypatch.setattr(ngram_join, "node_components", lambda n, p: real(n, p, stars))
+    monkeypatch.setattr(ngram_join, "node_components", lambda n, p, spent: real(n, p, stars, spent))
     got = [((-1 if d is None else d), n, -1 if c is None else c) for d, n, c in ngram_join.document_components(docs).collect()]
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     if seed != 1:
@@ -67,6 +67,33 @@ def test_components_equal_brute_force(spark, hard, monkeypatch, seed, stars, com
         assert sorted(set(got)) == sorted(set(plain_components(rows)))
 
 
+def test_equal_tags_of_different_sets_are_found_out(spark, monkeypatch):
+    """With tags of one byte different sets are taken for copies; whole digests tell, and other bytes are tried."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 9)
+    passage = prose(99, 1, 60)[0]
+    texts = [f"{passage} {t}" for t in prose(31, 90, 8)]
+    docs = docs_of(spark, texts + texts[:40]).coalesce(3)
+    tried, real = [], ngram_join._tagged_grams
+    monkeypatch.setattr(ngram_join, "_tagged_grams", lambda *a: tried.append(a[-1]) or real(*a))
+    monkeypatch.setattr(ngram_join, "TAGS", ((0, 1), (6, 12)))
+    got = sorted((d, n, c) for d, n, c in ngram_join.document_components(docs).collect())
+    assert tried == [(0, 1), (6, 12)] and got == plain_components([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    monkeypatch.setattr(ngram_join, "TAGS", ((0, 1),))
+    with pytest.raises(RuntimeError):
+        ngram_join.document_components(docs)
+
+
+def test_sizes_grow_with_the_square_root(spark, monkeypatch):
+    """Blocks and fragments that grow give the same components."""
+    docs = docs_of(spark, near_copies(7) * 2).coalesce(3)
+    want = plain_components([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(ngram_join, "FRAGMENT_BYTES", 500)
+    for least in (1, 10_000_000):
+        monkeypatch.setattr(ngram_join, "GROWTH_BYTES", least)
+        assert sorted(tuple(r) for r in ngram_join.document_components(docs).collect()) == want
+
+
 def test_join_of_nothing(spark, empty):
     assert ngram_join.document_components(empty).count() == 0
     kept = ngram_join.one_of_each_group(docs_of(spark, ["a b c d e f", "a b c d e f", None, "q"]))
@@ -88,7 +115,7 @@ def test_connected_components(spark):
 def test_overlaps_are_counted_by_fragment_and_summed(spark):
     """Fragments are ranges of the order with about equally many entries, and a pair's overlap is the sum of their counts."""
     docs = docs_of(spark, near_copies(5) * 2)
-    nodes = ngram_join.put(ngram_join.shared_grams(docs), "shared")[0].dropDuplicates(["sig"])
+    nodes = ngram_join.shared_grams(docs)[0].dropDuplicates(["sig"])
     cuts = ngram_join.borders(nodes, 4)
     parts = ngram_join.segments(nodes, cuts).collect()
     assert len({r.part for r in parts}) == len(cuts) + 1 > 1
