@@ -107,9 +107,18 @@ def alternating(names: Sequence[Column]) -> Column:
     return out
 
 
+def natural_key(code: Column) -> Column:
+    """Text whose order by an English collation is that of ``code`` with every run of digits taken as a number: each run,
+    without leading zeros, follows its length in ten digits."""
+    parts = F.regexp_extract_all(code, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    bare = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 10, "0"), bare(x))).otherwise(x)), "")
+
+
 def numeric_order(code: Column) -> list[Column]:
-    """Order of codes by their first number, then as text: 2 before 10. Codes without a number come last."""
-    return [F.try_to_number(F.nullif(F.regexp_extract(code, r"^\D*(\d{1,18})", 1), F.lit("")), F.lit("9" * 18)).asc_nulls_last(), code.asc()]
+    """Natural order of codes as an English reader expects: a9b10 before a10b2, é beside e, a before A where all else is
+    equal; codes that the collation holds for equal go by code points, nulls last."""
+    return [F.collate(natural_key(code), "en").asc_nulls_last(), code.asc_nulls_last()]
 
 
 def pixel_window(xmin: Column, ymin: Column, xmax: Column, ymax: Column, x0: Column, y0: Column, pixel: Column, width: Column, height: Column) -> dict[str, Column]:

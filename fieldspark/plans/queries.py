@@ -612,7 +612,7 @@ def chk2_chk10_findings(spark: SparkSession, d: str) -> DataFrame:
 
 # --- scans
 
-TOKEN_RULE = {"assigned token": r'token = "[0-9a-f]{40}"', "assigned password": r"password=[0-9a-f]{8,}", "key id": r"AKIA[0-9A-Z]{16}"}
+TOKEN_RULE = {"cred-token": r'token = "[0-9a-f]{40}"', "cred-password": r"password=[0-9a-f]{8,}", "cred-key-id": r"AKIA[0-9A-Z]{16}"}
 _SECRETS = "CASE lang WHEN 'de' THEN ' ghp_' || md5(text) WHEN 'fr' THEN ' github_pat_' || md5(text) WHEN 'es' THEN ' GOCSPX-' || md5(text) || ' refresh_token: ' || md5(text) ELSE CASE WHEN n_chars > 2000 THEN ' \"client_secret\": \"' || md5(text) || '\"' ELSE ' client_secret = short' END END"
 _RULES = scan.CREDENTIALS | TOKEN_RULE
 
@@ -638,7 +638,7 @@ _LISTING = "l AS (SELECT source || '/' || CASE WHEN n_chars < 300 THEN '.ENV' WH
 
 
 @query(f"WITH {_LISTING}, p AS (SELECT path, unnest(string_split(lower(path), '/')) AS c FROM l) SELECT path, rule, count(*) AS n FROM (" + " UNION ALL ".join(
-    [f"SELECT path, '{n}' AS rule FROM p WHERE contains(c, '{m}')" for m, n in scan.NAME_RULES.items()] + ["SELECT path, 'source ZIP' FROM p WHERE ends_with(c, '.zip')", "SELECT path, 'size' FROM l WHERE length > 4000"]
+    [f"SELECT path, '{n}' AS rule FROM p WHERE contains(c, '{m}')" for m, n in scan.NAME_RULES.items()] + ["SELECT path, 'name-zip' FROM p WHERE ends_with(c, '.zip')", "SELECT path, 'size' FROM l WHERE length > 4000"]
     + [f"SELECT path, '{n}' FROM l WHERE length <= 4000 AND regexp_matches(body, '{_quoted(p)}')" for n, p in scan.CREDENTIALS.items()]
 ) + ") GROUP BY ALL")
 def scn1_scn3_file_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -650,17 +650,17 @@ def scn1_scn3_file_rules(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("path", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT page_id, 'machine-local absolute path' AS rule FROM pages WHERE regexp_matches('see ' || replace(url, '://', ':/home/'), '/(?:home|Users)/[^\\s]+') AND NOT starts_with(url, 'https://m.')")
+@query("SELECT page_id, 'path-home' AS rule FROM pages WHERE regexp_matches('see ' || replace(url, '://', ':/home/'), '/(?:home|Users)/[^\\s]+') AND NOT starts_with(url, 'https://m.')")
 def scn2_home_paths(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").withColumn("body", F.concat(F.lit("see "), F.replace("url", F.lit("://"), F.lit(":/home/"))))
     return scan.home_path_findings(pages, "page_id", "body", "url", ["https://m."])
 
 
-@query("""SELECT url AS path, 'token material' AS rule, count(*) AS n FROM (SELECT url, unnest(string_split(lower(url), '/')) AS p FROM pages) WHERE contains(p, 'token') GROUP BY ALL
+@query("""SELECT url AS path, 'name-token' AS rule, count(*) AS n FROM (SELECT url, unnest(string_split(lower(url), '/')) AS p FROM pages) WHERE contains(p, 'token') GROUP BY ALL
 UNION ALL SELECT url, 'size', count(*) FROM pages WHERE octet_length(encode(html)) > 8000 GROUP BY ALL""")
 def scn3_names_and_sizes(spark: SparkSession, d: str) -> DataFrame:
     listing = table(spark, d, "pages").select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("length"))
-    names = scan.name_findings(listing, {"token": "token material"})
+    names = scan.name_findings(listing, {"token": "name-token"})
     return names.select("path", "rule").unionByName(scan.size_findings(listing, 8000).select("path", F.lit("size").alias("rule"))).groupBy("path", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -672,9 +672,9 @@ def scn4_unresolved_references(spark: SparkSession, d: str) -> DataFrame:
     return scan.unresolved(anchors, known).groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS v FROM pages WHERE starts_with(html, '<!DOCTYPE')),
+@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS v FROM pages),
 k AS (SELECT page_id, 'image' AS kind, v AS value FROM a UNION ALL SELECT page_id, 'stylesheet', v || '.css?v=1' FROM a UNION ALL SELECT page_id, 'script', v || '.js#x' FROM a UNION ALL SELECT page_id, 'json', v || '.json' FROM a
- UNION ALL SELECT page_id, 'dashboard', 'dash.json' FROM pages WHERE starts_with(html, '<!DOCTYPE')),
+ UNION ALL SELECT page_id, 'dashboard', 'dash.json' FROM pages WHERE html LIKE '<!DOCTYPE html><html %'),
 l AS (SELECT page_id, kind, split_part(split_part(value, '?', 1), '#', 1) AS target FROM k WHERE trim(value) <> '' AND NOT starts_with(trim(value), '#') AND NOT regexp_matches(trim(value), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//)'))
 SELECT page_id, kind, target, count(*) AS n FROM l WHERE target NOT IN (SELECT DISTINCT '/' || split_part(text, ' ', 1) FROM documents WHERE text IS NOT NULL) GROUP BY ALL""")
 def scn4_html_references(spark: SparkSession, d: str) -> DataFrame:
@@ -682,7 +682,7 @@ def scn4_html_references(spark: SparkSession, d: str) -> DataFrame:
     references of these tags that no document's first word names."""
     tags = '<li><img alt="x > y" SRC="$1"/><link rel="preload Stylesheet" href=\'$1.css?v=1\'><script async src=$1.js#x></script><a class="c" href="$1.json">'
     html = F.regexp_replace(F.regexp_replace("html", '<li><a href="([^"]*)">', tags), "^<!DOCTYPE html><html ", '<!DOCTYPE html><html data-dashboard="dash.json" ')
-    pages = table(spark, d, "pages").where(F.col("html").startswith("<!DOCTYPE")).select("page_id", html.alias("html"))
+    pages = table(spark, d, "pages").select("page_id", html.alias("html"))
     known = table(spark, d, "documents").where("text is not null").select(F.concat(F.lit("/"), F.split_part("text", F.lit(" "), F.lit(1))).alias("path"))
     return scan.unresolved(scan.html_references(pages, "page_id", "html"), known).groupBy("page_id", "kind", "target").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from html import unescape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,8 @@ from pyspark.sql import types as T
 from fieldspark.operators import checks
 from fieldspark.operators.spatial import RINGS
 from fieldspark.operators.weather import require_continuous
+from fieldspark.sources import records
+from fieldspark.sources.scratch import landed
 
 #: Fixed values of the daily weather source: parameter names and fill value.
 TEMPERATURE, PRECIPITATION, FILL = "T2M", "PRECTOTCORR", -999.0
@@ -20,7 +25,8 @@ PRODUCTS = {
     "overlaps": "field_id string, mukey string, musym string, muname string, overlap_area_m2 double, field_area_m2 double, field_fraction double",
     "field_ndvi": "field_id string, mean_ndvi double, median_ndvi double, valid_pixel_count long, total_pixel_count long, coverage_fraction double",
 }
-_NAMED_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: A line of a label page.
+_LABEL = re.compile(r'\s*"(\d{1,9})"\s+(\S(?:.*\S)?)\s*$')
 
 
 def without_nan(df: DataFrame) -> DataFrame:
@@ -36,17 +42,27 @@ def _rings(geometry: Column) -> Column:
     return F.flatten(F.transform(parts, one)).cast(RINGS)
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str, key: str | None = None, area: str | None = None, srid: int = 4326, lines: bool = False) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, properties: str, key: str | None = None, area: str | None = None, srid: int = 4326, lines: bool = False, split: bool = False) -> DataFrame:
     """One row for each feature of FeatureCollections: its properties (a DDL string), srid and rings. Each file is one, or
-    with ``lines`` each line is, so that large inputs are read in parallel.
+    with ``lines`` each line is, so that large inputs are read in parallel. With ``split`` one large file is, too: its
+    features are found by braces and quotes, whatever its lines.
 
     Refused: other JSON, no features, a missing or repeated ``key``, an ``area`` that is not finite.
     """
     schema = f"type string, features array<struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>>"
-    doc = spark.read.schema(schema).option("multiLine", not lines).json(path)
-    if doc.where("type = 'FeatureCollection' and size(features) > 0").limit(1).count() == 0:
+    if split:
+        named = spark.read.option("lineSep", ",").text(path).where(F.col("value").rlike(r'"type"\s*:\s*"FeatureCollection"'))
+        feature = F.from_json("record", f"type string, properties struct<{properties}>, geometry struct<type:string,coordinates:string>")
+        found = records.json_members(spark, path).select(feature.alias("f")).where("f.type = 'Feature'")
+        found = landed(found, "features")
+        good = named.limit(1).count() and found.limit(1).count()
+    else:
+        doc = spark.read.schema(schema).option("multiLine", not lines).json(path)
+        good = doc.where("type = 'FeatureCollection' and size(features) > 0").limit(1).count()
+        found = doc.select(F.explode("features").alias("f"))
+    if not good:
         raise checks.CheckError(f"{path}: no feature collection with features")
-    rows = doc.select(F.explode("features").alias("f")).select("f.properties.*", F.lit(srid).alias("srid"), _rings(F.col("f.geometry")).alias("rings"))
+    rows = found.select("f.properties.*", F.lit(srid).alias("srid"), _rings(F.col("f.geometry")).alias("rings"))
     if key:
         checks.require_rules(rows, {f"missing {key}": F.coalesce(F.col(key).cast("string"), F.lit("")) != ""}, path)
         checks.require_unique(rows, [key], path)
@@ -76,8 +92,12 @@ def column_positions(dictionary: DataFrame, table: str, columns: Sequence[str])
     return [names[k] for k in sorted(names)]
 
 
-def _delimited(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).options(sep="|", quote='"', escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(path)
+def _delimited(spark: SparkSession, path: str, schema: T.StructType, split: bool = False) -> DataFrame:
+    options = {"sep": "|", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    if split:
+        lines = records.quoted_lines(spark, path).where(F.trim("record") != "")
+        return lines.select(F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), {**options, "multiLine": "true"}).alias("r")).select("r.*")
+    return spark.read.schema(schema).options(**options, multiLine=True).csv(path)
 
 
 def read_dictionary(spark: SparkSession, path: str, table: int = 0, ordinal: int = 1, column: int = 2, width: int | None = None) -> DataFrame:
@@ -87,15 +107,16 @@ def read_dictionary(spark: SparkSession, path: str, table: int = 0, ordinal: int
     return rows.select(F.col(f"c{table}").alias("table"), F.col(f"c{ordinal}").alias("ordinal"), F.col(f"c{column}").alias("column"))
 
 
-def read_dictionary_table(spark: SparkSession, path: str, dictionary: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
-    """``columns`` of a pipe-delimited file without header, placed by the dictionary, trimmed, blank as null.
+def read_dictionary_table(spark: SparkSession, path: str, dictionary: DataFrame, table: str, columns: Sequence[str], split: bool = False) -> DataFrame:
+    """``columns`` of a pipe-delimited file without header, placed by the dictionary, trimmed, blank as null. With
+    ``split`` one large file is read by many tasks, though its quoted values hold line ends.
 
     Every row must have the full width, and there must be rows; widths are checked over all columns, as a narrow
     projection would hide short rows.
     """
     names = column_positions(dictionary, table, columns)
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("_bad", T.StringType())])
-    rows = _delimited(spark, path, schema)
+    rows = landed(_delimited(spark, path, schema, True), "rows") if split else _delimited(spark, path, schema)
     got = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_bad").isNotNull()).alias("bad"), *[F.max(n).alias(f"_{n}") for n in names]).first()  # all columns: else none is parsed
     if not got.n:
         raise checks.CheckError(f"{table}: no rows")
@@ -157,17 +178,18 @@ def read_scene_catalogue(spark: SparkSession, path: str, assets: Sequence[str] =
 
 
 def parse_labels(pages: DataFrame, html: str, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, code, name from lines ``"code" name`` within pre blocks; named entities are resolved.
+    """keys, code, name from lines ``"code" name`` within pre blocks; character references, by name or number, are resolved.
 
     A code with two names is refused, and so is a result without rows.
     """
+
+    @F.pandas_udf("array<struct<code:int,name:string>>")
+    def labels(blocks: pd.Series) -> pd.Series:
+        found = [[_LABEL.match(line) for line in unescape(b).splitlines()] for b in blocks]
+        return pd.Series([[{"code": int(m.group(1)), "name": m.group(2)} for m in lines if m] for lines in found])
+
     blocks = pages.select(*keys, F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?s)<pre>(.*?)</pre>"), F.lit(1))).alias("b"))
-    text = F.col("b")
-    for entity, char in _NAMED_ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    lines = blocks.select(*keys, F.explode(F.split(text, r"\r\n|\n|\r")).alias("l"))
-    pattern = r'^\s*"(\d+)"\s+(.+?)\s*$'
-    rows = lines.where(F.col("l").rlike(pattern)).select(*keys, F.regexp_extract("l", pattern, 1).cast("int").alias("code"), F.regexp_extract("l", pattern, 2).alias("name"))
+    rows = blocks.select(*keys, F.inline(labels("b")))
     z = rows.groupBy(*keys, "code").agg(F.min("name").alias("name"), F.count_distinct("name").alias("n"))
     checks.require_rules(z, {"conflicting names for a code": F.col("n") == 1}, "class labels")
     if not z.limit(1).count():

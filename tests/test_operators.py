@@ -374,11 +374,11 @@ def test_scans(spark):
     secret = "ghp_" + "a" * 24
     df = spark.createDataFrame([(1, f"x {secret}"), (2, "rule ghp_ names only"), (3, 'client_secret: "abcdefgh1"'), (4, "see /home/me/x"), (5, None)], "id int, text string")
     got = rows(scan.credential_findings(df, "id", "text"), "id")
-    assert got == [(1, "classic access token"), (3, "assigned client_secret")] and secret not in json.dumps(got)
+    assert got == [(1, "cred-ghp"), (3, "cred-client")] and secret not in json.dumps(got)
     paths = df.withColumn("path", F.when(F.col("id") == 4, "docs/plan.md"))
-    assert rows(scan.home_path_findings(df, "id", "text")) == [(4, "machine-local absolute path")] and scan.home_path_findings(paths, "id", "text", "path", ["docs/"]).count() == 0
+    assert rows(scan.home_path_findings(df, "id", "text")) == [(4, "path-home")] and scan.home_path_findings(paths, "id", "text", "path", ["docs/"]).count() == 0
     listing = spark.createDataFrame([("a/.env", 1), ("b/Token.txt", 1), ("c.ZIP", 1), ("ok", scan.LARGEST + 1)], "path string, length long")
-    assert rows(scan.name_findings(listing), "path") == [("a/.env", ".env file"), ("b/Token.txt", "token material"), ("c.ZIP", "source ZIP")] and rows(scan.size_findings(listing)) == [("ok", scan.LARGEST + 1)]
+    assert rows(scan.name_findings(listing), "path") == [("a/.env", "name-env"), ("b/Token.txt", "name-token"), ("c.ZIP", "name-zip")] and rows(scan.size_findings(listing)) == [("ok", scan.LARGEST + 1)]
     html = """<img alt="x" src='a.png?v=1'><link rel="stylesheet" href="s.css"><link rel="icon" href="i.ico"><script src="//cdn/x.js"></script><a href="d.json#p">j</a><a href="d.json">j</a><body data-dashboard="data/x.json"><a href="#top">t</a><img src="HTTP://h/x">"""
     refs = scan.html_references(spark.createDataFrame([(1, html)], "id int, html string"), "id", "html")
     assert sorted(r[1:] for r in rows(refs)) == [("dashboard", "data/x.json"), ("image", "HTTP://h/x"), ("image", "a.png?v=1"), ("json", "d.json"), ("script", "//cdn/x.js"), ("stylesheet", "s.css")]
@@ -562,6 +562,41 @@ def test_grid_zones_both_ways(spark):
     assert abs(straight[0] - straight[1]) > 100
 
 
+def test_references_of_malformed_pages(spark):
+    """Tags, comments, raw text and attribute values as a parser finds them, whatever their quotes and case."""
+    pages = {
+        "a": '<IMG SRC=x.png><img src="a>b.png" alt=\'"\'><img/src=c.png/><img src>', "b": '<!-- <img src="no.png"> --><script>"<img src=no.png>"</script><script SRC="s.js"></script><style><img src=no.png></style>',
+        "c": '<link rel="preload StyleSheet" href="&#x61;&amp;b.css"><link rel=icon href=no.css><link rel="stylesheet">', "d": "<a href='x.json'>y</a><a href=\"n&#111;.json\" href='y.json'><a href=no.html>", "e": '<div data-dashboard="d.json"><p data-dashboard></div>',
+        "f": '<img src="open.png', "g": "<img src=one.png src=two.png <b>", "h": "<!DOCTYPE x [<img src=no.png>]><?php <img src=no.png> ?>< img src=no.png><img\nsrc\n=\n'line.png'>", "i": None, "j": "", "k": "<textarea><img src=t.png></textarea><title><img src=no.png>" ,
+    }
+    got = {}
+    for r in scan.html_references(spark.createDataFrame(list(pages.items()), "k string, html string"), "k", "html").collect():
+        got.setdefault(r.k, []).append((r.kind, r.value))
+    assert got["a"] == [("image", "x.png"), ("image", "a>b.png"), ("image", "c.png/")] and got["b"] == [("script", "s.js")]
+    assert got["c"] == [("stylesheet", "a&b.css")] and got["d"] == [("json", "x.json"), ("json", "y.json")] and got["e"] == [("dashboard", "d.json")]
+    assert got["h"][-1] == ("image", "line.png") and not {"f", "i", "j"} & got.keys()
+    assert all("no." not in v for found in got.values() for _, v in found if found is not got["h"] and found is not got.get("k"))
+
+
+@pytest.mark.parametrize("piece", ["<", "<a ", "<!--", "<a href='", "<img src=x", "&#", "<script>", "</", "<!"])
+def test_time_of_references_grows_with_length_alone(piece):
+    def took(n):
+        parser = scan._References()
+        began = time.process_time()
+        parser.feed(piece * (n // len(piece)))
+        return time.process_time() - began
+
+    took(1000)
+    assert took(160_000) < 8 * max(took(40_000), 0.05)
+
+
+def test_natural_order(spark):
+    codes = ["a10b2", "a9b10", "a9b9", "a10b1", "B2", "b10", "b2", "é1", "e2", "f1", "10", "9", "0010", "7" * 30, "8" * 29, "Zürich 2", "zurich 10", "", None]
+    df = spark.createDataFrame([(c,) for c in codes], "c string").repartition(5)
+    got = [r.c for r in df.orderBy(*E.numeric_order(F.col("c"))).collect()]
+    assert got == ["", "9", "0010", "10", "8" * 29, "7" * 30, "a9b9", "a9b10", "a10b1", "a10b2", "b2", "B2", "b10", "é1", "e2", "f1", "Zürich 2", "zurich 10", None]
+
+
 def test_gates_in_one_job(spark):
     df = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.6), ("b", 1, -1.0)], "k string, j int, v double")
     assert checks.require_all(df, "t", {"v above -2": F.col("v") > -2}, ["k", "j"], ("k", "v", 1.2)) is df

@@ -1,6 +1,7 @@
 """Readers and writers on small files."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,9 +90,60 @@ def test_scene_catalogue(spark, tmp_path):
     assert readers.read_scene_catalogue(spark, put(tmp_path, "u.json", {"links": [{"rel": "self"}], "features": [scene("a")]}))[0].count() == 1
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """Blocks of few bytes, so that one file is read by many tasks."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {n: spark.conf.get(n, None) for n in names}
+    spark.conf.set(names[0], "700")
+    spark.conf.set(names[1], "0")
+    yield
+    for n, v in before.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_one_collection_is_read_by_many_tasks(spark, tmp_path, small_blocks):
+    """Features of a file on one line, and of one on many, with braces, quotes and other members in the way."""
+    r = random.Random(6)
+    odd = ["}", "{", 'say "}" {', "back\\\\", '\\"', "é{", "", "},{", "[{", "a\nb"]
+    features = [{"type": "Feature", "properties": {"id": f"f{i}", "name": r.choice(odd) + str(i), "area": i / 7}, "geometry": {"type": "Polygon", "coordinates": [[[i, 0], [i + 1, 0], [i + 1, 1], [i, 0]]]}} for i in range(120)]
+    doc = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "x{y}"}}, "na{me": "fields } here", "features": features, "foot": {"a": {"b": 1}}}
+    want = None
+    for k, text in enumerate((json.dumps(doc), json.dumps(doc, indent=2), json.dumps(dict(reversed(doc.items())), ensure_ascii=False))):
+        path = str(tmp_path / f"d{k}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        plain = readers.read_geojson(spark, path, "id string, name string, area double", "id", "area")
+        assert spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() > 5
+        got = sorted(map(str, readers.read_geojson(spark, path, "id string, name string, area double", "id", "area", split=True).collect()))
+        want = want or sorted(map(str, plain.collect()))
+        assert got == want and len(got) == 120
+    for bad in ({"type": "Feature"}, {"type": "FeatureCollection", "features": []}, {"type": "FeatureCollection", "features": [features[0], features[0]]}, {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"id": None}, "geometry": None}]}):
+        with pytest.raises(CheckError):
+            readers.read_geojson(spark, put(tmp_path, "bad.json", bad), "id string, name string, area double", "id", "area", split=True)
+
+
+def test_one_table_is_read_by_many_tasks(spark, tmp_path, small_blocks):
+    """Quoted values with line ends, bars and doubled quotes, over block ends."""
+    r = random.Random(7)
+    values = ["plain", "bar | bar", 'a "quoted" one', "two\nlines", "\n\n", "", "é", 'x "\n" y', "many\n" * 9]
+    rows = [[str(i), r.choice(values), r.choice(values)] for i in range(300)]
+    path = str(tmp_path / "t.txt")
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write("".join("|".join('"' + v.replace('"', '""') + '"' if r.random() < 0.5 or any(c in v for c in '"|\n') else v for v in row) + "\n" for row in rows))
+    names = spark.createDataFrame([("t", str(k + 1), n) for k, n in enumerate(("key", "one", "two"))], "table string, ordinal string, column string")
+    plain = sorted(map(tuple, readers.read_dictionary_table(spark, path, names, "t", ["key", "one", "two"]).collect()))
+    assert spark.read.text(path).rdd.getNumPartitions() > 5 and len(plain) == 300
+    assert sorted(map(tuple, readers.read_dictionary_table(spark, path, names, "t", ["key", "one", "two"], split=True).collect())) == plain
+    with open(path, "a", encoding="utf-8") as f:
+        f.write("short|row\n")
+    with pytest.raises(CheckError, match="without full width"):
+        readers.read_dictionary_table(spark, path, names, "t", ["key"], split=True)
+
+
 def test_labels(spark):
     read = lambda html: {r.code: r.name for r in readers.parse_labels(spark.createDataFrame([(html,)], "html string"), "html").collect()}
-    assert read('<pre>\n&quot;0&quot;  Background\n "1" Corn \nnone</pre><p>"9" No</p><pre>"26" Dbl &amp; Wheat\r\n"1" Corn</pre>') == {0: "Background", 1: "Corn", 26: "Dbl & Wheat"}
+    assert read('<pre>\n&quot;0&quot;  Background\n "1" Corn \nnone</pre><p>"9" No</p><pre>"26" Dbl &amp; Wheat\r\n"1" Corn\n&#34;5&#x22; O&#39;ats &eacute;</pre>') == {0: "Background", 1: "Corn", 5: "O'ats é", 26: "Dbl & Wheat"}
     with pytest.raises(CheckError, match="conflicting"):
         read('<pre>"1" Corn\n"1" Rice</pre>')
     with pytest.raises(CheckError, match="none found"):
