@@ -1,7 +1,8 @@
 """Gates: each returns its input, or raises ``CheckError`` that names the rule.
 
 A gate is one job over its input that stops at the first offender or reduces to one row. Several rules of one table go
-through ``require_all`` in one job. Gates read their input by themselves, so derived tables are best written before.
+through ``require_all`` in one job, those of several tables through ``require_together``. Gates read their input by
+themselves, so derived tables are best written before; ``landed_by_rules`` counts what breaks its rules as it writes.
 ``*_findings`` give what gates would refuse as rows, for reports over many tables or large inputs.
 """
 
@@ -9,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspark.functions.expressions import finite
+from fieldspark.sources.scratch import landed
 
 
 class CheckError(ValueError):
@@ -48,23 +50,26 @@ def require_same_keys(left: DataFrame, right: DataFrame, key: str, label: str) -
     return right
 
 
-def require_one_to_one(sides: Mapping[str, DataFrame], key: str) -> None:
-    """All sides have the same keys, each once and none null; one job for all of them. The first side sets the keys."""
+def one_to_one_gate(sides: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """Gate: all sides have the same keys, each once and none null. The first side sets the keys."""
     names = list(sides)
     rows = None
     for k, n in enumerate(names):
         one = sides[n].select(F.col(key).alias("k"), F.lit(k).alias("side"))
         rows = one if rows is None else rows.unionByName(one)
     counts = rows.groupBy("k").agg(*[F.count_if(F.col("side") == k).alias(f"n{k}") for k in range(len(names))])
-    rules = [F.count_if(F.col("k").isNull()).alias("null")]
-    for k in range(len(names)):
-        rules += [F.count_if(F.col(f"n{k}") > 1).alias(f"dup{k}"), F.count_if((F.col(f"n{k}") == 0) & (F.col("n0") > 0)).alias(f"less{k}"), F.count_if((F.col(f"n{k}") > 0) & (F.col("n0") == 0)).alias(f"more{k}")]
-    got = counts.agg(*rules).first()
-    broken = [f"null {key}"] if got["null"] else []
+    broken = {f"null {key}": F.count_if(F.col("k").isNull())}
     for k, n in enumerate(names):
-        broken += [f"{n}: {what} {key}" for what, c in (("duplicate", f"dup{k}"), ("missing", f"less{k}"), ("unknown", f"more{k}")) if got[c]]
-    if broken:
-        raise CheckError("; ".join(broken))
+        broken[f"{n}: duplicate {key}"] = F.count_if(F.col(f"n{k}") > 1)
+        broken[f"{n}: missing {key}"] = F.count_if((F.col(f"n{k}") == 0) & (F.col("n0") > 0))
+        broken[f"{n}: unknown {key}"] = F.count_if((F.col(f"n{k}") > 0) & (F.col("n0") == 0))
+    got = counts.agg(*[c.alias(f"c{k}") for k, c in enumerate(broken.values())])
+    return _messages(got, "", [(F.lit(m), F.col(f"c{k}") > 0) for k, m in enumerate(broken)])
+
+
+def require_one_to_one(sides: Mapping[str, DataFrame], key: str) -> None:
+    """All sides have the same keys, each once and none null; one job for all of them. The first side sets the keys."""
+    require_together(one_to_one_gate(sides, key))
 
 
 def require_reference(child: DataFrame, parent: DataFrame, key: str, label: str) -> DataFrame:
@@ -86,25 +91,34 @@ def require_rules(df: DataFrame, rules: Mapping[str, Column], label: str) -> Dat
     return df
 
 
-def require_all(df: DataFrame, label: str, rules: Mapping[str, Column] | None = None, unique: Sequence[str] = (), sums: tuple[str, str, float] | None = None, parent: DataFrame | None = None, key: str = "") -> DataFrame:
-    """All of a table's gates in one job: ``rules`` as in ``require_rules``, ``unique`` keys, ``sums`` (key, value, most) as
-    in ``require_sums``, and every non-null ``key`` among those of ``parent``.
+def _messages(one: DataFrame, label: str, broken: Sequence[tuple[Column, Column]]) -> DataFrame:
+    """label, i, message of those (message, condition) whose condition holds on a one-row table."""
+    said = [F.when(c, F.struct(F.lit(i).alias("i"), m.alias("message"))) for i, (m, c) in enumerate(broken)]
+    return one.select(F.lit(label).alias("label"), F.inline(F.array_compact(F.array(*said))))
+
+
+def gate(df: DataFrame, label: str, rules: Mapping[str, Column] | None = None, unique: Sequence[str] = (), sums: tuple[str, str, float] | None = None, parent: DataFrame | None = None, key: str = "") -> DataFrame:
+    """All of a table's gates as rows label, i, message, of which there are none if all hold: ``rules`` as in
+    ``require_rules``, ``unique`` keys, ``sums`` (key, value, most) as in ``require_sums``, and every non-null ``key`` among
+    those of ``parent``.
 
-    Rows are reduced to their unique keys first, broken rules summed on the way, then to the keys of sums or reference;
-    the parent's keys join that aggregation as rows of their own.
+    Rows are reduced to their unique keys first (by a digest where these are more than three), broken rules summed on the
+    way, then to the keys of sums or reference; the parent's keys join that aggregation as rows of their own.
     """
     rules = dict(rules or {})
     names = list(rules)
     broken = [f"_r{k}" for k in range(len(names))]
     group = [sums[0]] if sums else [key] if parent is not None else []
-    rows = df.select(*{*unique, *group}, *([F.col(sums[1]).alias("_v")] if sums else []), *[(~rules[n]).cast("int").alias(b) for n, b in zip(names, broken)])
+    by = list(unique) if len(unique) <= 3 else ["_d", *group]
+    rows = df.select(*{*(unique if len(unique) <= 3 else ()), *group}, *([_digest(unique).alias("_d")] if len(unique) > 3 else []), *([F.col(sums[1]).alias("_v")] if sums else []), *[(~rules[n]).cast("int").alias(b) for n, b in zip(names, broken)])
     aggs = [F.coalesce(F.sum(b), F.lit(0)).alias(b) for b in broken]
     held = [F.sum("_v").alias("_v")] if sums else []
     if unique:
-        rows = rows.groupBy(*unique).agg(F.count(F.lit(1)).alias("_n"), *aggs, *held)
+        rows = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *aggs, *held)
     else:
         rows = rows.withColumn("_n", F.lit(1).cast("long"))
     most = [F.max("_n").alias("_n"), *aggs]
+    extra = []
     if parent is not None and not sums:
         rows = rows.select(F.col(key).alias("_k"), "_n", *broken, F.lit(False).alias("_p"))
         known = parent.select(F.col(key).alias("_k"), F.lit(0).cast("long").alias("_n"), *[F.lit(0).cast("long").alias(b) for b in broken], F.lit(True).alias("_p"))
@@ -113,20 +127,55 @@ def require_all(df: DataFrame, label: str, rules: Mapping[str, Column] | None =
     elif sums:
         rows = rows.groupBy(sums[0]).agg(*most, *held)
         extra = [F.count_if(F.col("_v") > sums[2]).alias("_over"), F.min(F.when(F.col("_v") > sums[2], F.col(sums[0]).cast("string"))).alias("_some")]
-    else:
-        extra = []
-    got = rows.agg(*most, *extra).first()
-    wrong = [f"duplicate {'/'.join(unique)}"] if unique and (got["_n"] or 0) > 1 else []
-    wrong += [n for n, b in zip(names, broken) if got[b]]
-    if sums and got["_over"]:
-        wrong.append(f"{sums[1]} of {got['_some']} exceed {sums[2]:g}")
-    if parent is not None and not sums and got["_lost"]:
-        wrong.append(f"unknown {key} {got['_some']}")
+    said = [(F.lit(f"duplicate {'/'.join(unique)}"), F.col("_n") > 1)] if unique else []
+    said += [(F.lit(n), F.col(b) > 0) for n, b in zip(names, broken)]
+    if sums:
+        said.append((F.concat(F.lit(f"{sums[1]} of "), "_some", F.lit(f" exceed {sums[2]:g}")), F.col("_over") > 0))
+    elif parent is not None:
+        said.append((F.concat(F.lit(f"unknown {key} "), "_some"), F.col("_lost") > 0))
+    if not said:
+        said = [(F.lit(""), F.lit(False))]
+    return _messages(rows.agg(*most, *extra), label, said)
+
+
+def _digest(columns: Sequence[str]) -> Column:
+    """128 bits of a row's columns, nulls apart from empty texts: what equal rows share, at the width of two numbers."""
+    row = F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"})
+    return F.unhex(F.md5(row))
+
+
+def require_together(*gates: DataFrame) -> None:
+    """Raises what any of the gates (``gate``, ``one_to_one_gate``) says; one job for all of them, their tables side by
+    side."""
+    rows = gates[0]
+    for g in gates[1:]:
+        rows = rows.unionByName(g)
+    wrong: dict[str, list[str]] = {}
+    for r in sorted(rows.collect(), key=lambda r: r["i"]):
+        wrong.setdefault(r["label"], []).append(r["message"])
     if wrong:
-        raise CheckError(f"{label}: {'; '.join(wrong)}")
+        raise CheckError("; ".join(f"{label}: {'; '.join(said)}" if label else "; ".join(said) for label, said in sorted(wrong.items())))
+
+
+def require_all(df: DataFrame, label: str, rules: Mapping[str, Column] | None = None, unique: Sequence[str] = (), sums: tuple[str, str, float] | None = None, parent: DataFrame | None = None, key: str = "") -> DataFrame:
+    """All of a table's gates, as ``gate`` has them, in one job."""
+    require_together(gate(df, label, rules, unique, sums, parent, key))
     return df
 
 
+def landed_by_rules(df: DataFrame, rules: Mapping[str, Column], label: str) -> DataFrame:
+    """``df`` written and read again; every rule must hold wherever it is not null. The rules are counted by the write
+    itself, so the gate is no job of its own; what breaks a rule is never returned."""
+    seen = Observation()
+    names = list(rules)
+    counts = [F.coalesce(F.sum((~rules[n]).cast("int")), F.lit(0)).alias(f"r{k}") for k, n in enumerate(names)]
+    out = landed(df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), label.replace(" ", "-"))
+    broken = [n for k, n in enumerate(names) if seen.get[f"r{k}"]]
+    if broken:
+        raise CheckError(f"{label}: {'; '.join(broken)}")
+    return out
+
+
 def rule_findings(df: DataFrame, key: str, rules: Mapping[str, Column]) -> DataFrame:
     """rule, key (as text) of each row and rule that ``require_rules`` would refuse; one pass."""
     hits = F.array_compact(F.array(*[F.when(~c, F.lit(n)) for n, c in rules.items()]))

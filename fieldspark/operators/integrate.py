@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.expressions import hectares
 from fieldspark.operators import checks
+from fieldspark.sources.scratch import bucketed
 
 #: Columns of the integrated table, in order, with their types.
 INTEGRATED = {
@@ -27,17 +28,20 @@ def dominant_soils(overlaps: DataFrame) -> DataFrame:
 
 
 def integrate_fields(fields: DataFrame, crops: DataFrame, soils: DataFrame, index: DataFrame) -> DataFrame:
-    """One-to-one join on field_id, in canonical columns; keys must be unique and the same on all sides.
+    """One-to-one join on field_id, in canonical columns; keys must be unique and the same on all sides. Each side is written
+    once, in buckets of the key, from which the gate reads and the join is made without a further exchange.
 
     A null index stays null; optional columns that a side lacks are null; ``coverage_fraction`` of the index becomes
     ``ndvi_coverage_fraction``. Further columns of the fields, such as geometry, are kept behind.
     """
     if "coverage_fraction" in index.columns:
         index = index.withColumnRenamed("coverage_fraction", "ndvi_coverage_fraction")
-    checks.require_one_to_one({"fields": fields, "crops": crops, "soils": soils, "ndvi": index}, "field_id")
-    out = fields
-    for df in (crops, soils, index):
-        out = out.join(df.select("field_id", *[c for c in df.columns if c in INTEGRATED and c not in out.columns]), "field_id", "left")
+    sides = [fields, *(df.select("field_id", *[c for c in df.columns if c in INTEGRATED and c != "field_id"]) for df in (crops, soils, index))]
+    sides = [bucketed(df, "side", "field_id") for df in sides]
+    checks.require_one_to_one(dict(zip(("fields", "crops", "soils", "ndvi"), sides)), "field_id")
+    out = sides[0]
+    for df in sides[1:]:
+        out = out.join(df.drop(*[c for c in df.columns if c in out.columns and c != "field_id"]), "field_id", "left")
     have = set(out.columns)
     main = [F.col(c).cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in INTEGRATED.items()]
     return out.select(*main, *[c for c in fields.columns if c not in INTEGRATED])

@@ -90,7 +90,8 @@ def field_metrics(overlaps: DataFrame, mapunits: DataFrame) -> DataFrame:
 
 
 def checked_tables(components: DataFrame, horizons: DataFrame, overlaps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three tables with trimmed keys and numbers, after all their gates: a job for each table.
+    """The three tables with trimmed keys and numbers, after all their gates: rules are counted as the tables are written,
+    keys, sums and references of all three are one job.
 
     pH may be 0 to 14, but one that has weight must be above 0. Depths must be in order where both are known.
     """
@@ -107,13 +108,22 @@ def checked_tables(components: DataFrame, horizons: DataFrame, overlaps: DataFra
     horizons, h_rules = typed(horizons, ["cokey"], hz)
     overlaps, o_rules = typed(overlaps, ["field_id", "mukey"], ["field_fraction"], ("mukey",))
     weighted = overlap_length(F.col("hzdept_r"), F.col("hzdepb_r")) > 0
-    checks.require_all(components, "components", c_rules | {"percentages must be non-negative": F.col("comppct_r") >= 0}, ["cokey"])
-    checks.require_all(horizons, "horizons", h_rules | {
+    whole = [c for c in horizons.columns if not c.startswith("_raw")]
+
+    def kept(df: DataFrame, label: str, rules: dict[str, Column]) -> DataFrame:
+        written = checks.landed_by_rules(df, rules, label)
+        return written.drop(*[c for c in written.columns if c.startswith("_raw")])
+
+    components = kept(components, "components", c_rules | {"percentages must be non-negative": F.col("comppct_r") >= 0})
+    horizons = kept(horizons, "horizons", h_rules | {
         "organic matter must be non-negative": F.col("om_r") >= 0, "pH must be between 0 and 14": F.col("ph1to1h2o_r").between(0, 14), "weighted pH must be above 0": ~weighted | (F.col("ph1to1h2o_r") > 0),
         "CEC must be non-negative": F.col("cec7_r") >= 0, "bulk density must be positive": F.col("dbthirdbar_r") > 0, "K factor must be non-negative": F.col("kwfact") >= 0, "bottom depth is above top depth": F.col("hzdepb_r") >= F.col("hzdept_r"),
-    }, [c for c in horizons.columns if not c.startswith("_raw")], parent=components, key="cokey")
-    checks.require_all(overlaps, "overlaps", o_rules | {"field fractions must be between 0 and 1": F.coalesce(F.col("field_fraction").between(0, 1), F.lit(False))}, ["field_id", "mukey"], ("field_id", "field_fraction", 1.000001))
-    components, horizons, overlaps = (df.drop(*[c for c in df.columns if c.startswith("_raw")]) for df in (components, horizons, overlaps))
+    })
+    overlaps = kept(overlaps, "overlaps", o_rules | {"field fractions must be between 0 and 1": F.coalesce(F.col("field_fraction").between(0, 1), F.lit(False))})
+    checks.require_together(
+        checks.gate(components, "components", unique=["cokey"]), checks.gate(horizons, "horizons", unique=whole, parent=components, key="cokey"),
+        checks.gate(overlaps, "overlaps", unique=["field_id", "mukey"], sums=("field_id", "field_fraction", 1.000001)),
+    )
     return components, horizons, overlaps
 
 

@@ -238,9 +238,7 @@ def brand_shares(spark: SparkSession, d: str, whole: float = 1.0) -> DataFrame:
 
 
 def soil_health(spark: SparkSession, d: str) -> DataFrame:
-    """Derived tables are written once, as their gates and the metrics both read them."""
-    components, horizons, overlaps = soil_tables(spark, d)
-    return soil.aggregate_soil(components, landed(horizons, "horizons"), landed(overlaps, "overlaps"))
+    return soil.aggregate_soil(*soil_tables(spark, d))
 
 
 _SOIL_OUT = ", ".join(f"round({c}, 5) AS {c}" for c in [m.name for m in soil.METRICS] + ["soil_coverage_fraction"] + [m.coverage for m in soil.METRICS])
@@ -373,7 +371,7 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     history, overlaps, index, fields = farm(spark, d)
     integrated = integrate.integrated_dataset(fields.select("field_id"), history, overlaps, index, 1997)
     health = landed(soil_health(spark, d).join(fields, "field_id", "left_semi"), "health")
-    return landed(report.field_records(fields, history, integrated, index, health, 1997), "records")
+    return report.field_records(fields, history, landed(integrated, "integrated"), index, health, 1997)
 
 
 _RECORDS = f"""{_DOMINANT.replace("o AS", "oo AS").replace("FROM o ", "FROM oo ")}, {_CROPS}, {_INDEX}, {_SOIL_SQL.replace("c AS (SELECT p_brand", "cc AS (SELECT p_brand").replace("FROM c GROUP", "FROM cc GROUP")},

@@ -26,3 +26,14 @@ def landed(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """``df`` written to the shared folder in as many buckets of ``key`` as there are shuffle partitions, sorted by it within
+    them, and read again: joins and aggregations of such tables by ``key`` need no exchange."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)

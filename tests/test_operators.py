@@ -609,6 +609,39 @@ def test_gates_in_one_job(spark):
     checks.require_all(df.limit(0), "t", {"v positive": F.col("v") > 0}, ["k"], ("k", "v", 1.0))
 
 
+def test_gates_of_several_tables_in_one_job(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    b = spark.createDataFrame([(1, None, "", 1.0, "q"), (1, "", "", 1.0, "q"), (1, None, "", 1.0, "q"), (7, "z", "", 2.0, "q")], "k int, v string, w string, x double, y string")
+    checks.require_together(checks.gate(a, "a", unique=["k", "v"]), checks.gate(b.dropDuplicates(), "b", unique=b.columns))
+    with pytest.raises(CheckError) as e:
+        checks.require_together(checks.gate(a, "a", {"v is x": F.col("v") == "x"}, ["k"]), checks.gate(b, "b", unique=b.columns, parent=a, key="k"), checks.one_to_one_gate({"one": a.limit(1), "two": b.where("k = 7")}, "k"))
+    assert str(e.value) == "two: missing k; two: unknown k; a: duplicate k; v is x; b: duplicate k/v/w/x/y; unknown k 7"
+
+
+def test_rules_are_counted_by_the_write(spark):
+    df = spark.range(10).withColumn("v", F.when(F.col("id") > 0, F.col("id")))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("gated"))
+    spark.sparkContext.setJobGroup("gated", "")
+    before = jobs()
+    got = checks.landed_by_rules(df, {"v below 99": F.col("v") < 99}, "numbers")
+    assert jobs() - before == 1 and rows(got, "id") == rows(df, "id")
+    spark.sparkContext.setJobGroup("other", "")
+    with pytest.raises(CheckError, match="numbers: v below 5"):
+        checks.landed_by_rules(df, {"v below 99": F.col("v") < 99, "v below 5": F.col("v") < 5}, "numbers")
+    assert checks.landed_by_rules(df.limit(0), {"v below 5": F.col("v") < 5}, "none").count() == 0
+
+
+def test_integration_joins_buckets_without_an_exchange(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    ids = spark.range(50).select(F.col("id").cast("string").alias("field_id"))
+    out = integrate.integrate_fields(ids.withColumn("geometry", F.lit("g")), ids.withColumn("crop_2023_name", F.lit("Corn")), ids.withColumn("dominant_soil", F.lit("s")), ids.withColumn("mean_ndvi", F.lit(0.5)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Scan parquet") == 4
+    assert out.count() == 50 and out.columns[-1] == "geometry"
+
+
 def test_grids_that_disagree_are_refused(spark):
     fine = spark.createDataFrame([("g", 0.5, -0.5)], "g string, x double, y double")
     coarse = spark.createDataFrame([("g", 0, 0, 0.0, 0.0, 2.0, 7), ("g", 0, 1, 0.0, 1.0, 2.0, 8)], "g string, row long, col long, x0 double, y0 double, pixel_size double, code int")
