@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import conversations, cover_tree, gif, mixing, ngram_join, packing, pii, quality, secret_scan, sharding, spelling, warc, wavelet
+from fieldspark.llm import conversations, cover_tree, gif, mixing, ngram_join, oracles, packing, pii, quality, secret_scan, sharding, spelling, warc, wavelet
 from fieldspark.llm.common import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,14 +74,6 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in every}
 
 
-#: Payloads, digests and revisits as SQL; the other queries rest on hash orders, codecs, models or reachability.
-WARC_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
-f AS (SELECT html, min(page_id) AS least FROM p WHERE n >= 100 GROUP BY 1)
-SELECT page_id, n::BIGINT AS payload_bytes, sha256(p.html) AS payload_digest, CASE WHEN least IS NOT NULL AND page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type,
- CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to
-FROM p LEFT JOIN f ON p.html = f.html"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_archives": WARC_SQL}
+    """SQL of three queries; the others rest on hash orders, codecs, models, lexers or reachability."""
+    return dict(oracles.SQL)
