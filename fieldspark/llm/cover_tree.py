@@ -94,30 +94,55 @@ class Tree:
         self.sums = [np.add.reduceat(self.weights, l.starts[:-1]) for l in self.levels]
 
 
-def build(x: np.ndarray, reach: float) -> tuple[np.ndarray, list[Level]]:
-    """Order of the rows of ``x`` (at least one), and the levels of their cover tree over that order.
+def build(x: np.ndarray, reach: float) -> tuple[np.ndarray, list[Level], int]:
+    """Order of the rows of ``x`` (at least one), the levels of their cover tree over that order, and the number of pairs
+    that were compared.
 
     Nested: a level has the centres of the level above. Separated: its centres are further apart than its radius.
     Covering: each has a parent, the nearest centre above, within that level's radius, as each row has below the last.
+
+    A new centre p below a centre c can only be the nearest one of rows below centres c' that are no further from c than
+    c's covering radius and twice that of c', so it is compared with these rows alone.
     """
-    n, x32 = len(x), x.astype(np.float32)
-    near = x32 @ x32.T
+    n, x32, looked = len(x), x.astype(np.float32), 0
     best, label = np.full(n, -2, np.float32), np.zeros(n, np.int64)  # nearest centre so far
     found: list[int] = []
     parents = []
+    live, live_x, listed = np.arange(n), x32, 0  # rows that were no centres when there were ``listed``
     for r in radii(reach):
         least, above, had = np.float32(np.cos(r)), label.copy(), len(found)
-        for p in np.flatnonzero(best < least).tolist():
+        todo = np.flatnonzero(best < least)
+        close = None
+        if len(todo) and had > 1:
+            cover = np.zeros(had)
+            np.maximum.at(cover, above, np.where(best > 1, 0.0, angle(best.astype(np.float64)) + 1e-3))
+            centres = x32[found]
+            looked += had * (had - 1) // 2
+            close = angle((centres @ centres.T).astype(np.float64)) <= cover[:, None] + 2 * cover + 1e-3
+            order = np.argsort(above, kind="stable")
+            ends = np.searchsorted(above[order], np.arange(had + 1))
+            sizes = np.diff(ends)
+        for p in todo.tolist():
             if best[p] < least:
-                nearer = near[p] > best
-                nearer[p] = True
-                label[nearer] = len(found)
-                np.maximum(best, near[p], out=best)
+                if len(found) - listed >= 256:
+                    live = live[best[live] <= 1]
+                    live_x, listed = x32[live], len(found)
+                rows, some = live, live_x
+                if close is not None:
+                    own = np.flatnonzero(close[above[p]])
+                    if sizes[own].sum() < len(live) // 2:
+                        rows = np.concatenate([order[ends[c] : ends[c + 1]] for c in own.tolist()])
+                        some = x32[rows]
+                near = some @ x32[p]
+                looked += len(near)
+                nearer = near > best[rows]
+                label[rows[nearer]] = len(found)
+                best[rows[nearer]] = near[nearer]
+                label[p] = len(found)
                 best[p] = 2  # a centre stays its own nearest one
                 found.append(p)
         parents.append(np.concatenate([np.arange(had), above[found[had:]]]).astype(np.int64))
     centres = np.array(found)
-    del near
     labels = [label]
     for parent in parents[:0:-1]:
         labels.insert(0, parent[labels[0]])
@@ -128,7 +153,7 @@ def build(x: np.ndarray, reach: float) -> tuple[np.ndarray, list[Level]]:
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         far = angle(np.einsum("ij,ij->i", x[order], x[centres[at]]))
         levels.append(Level(np.append(starts, n), place[centres[at[starts]]], np.maximum.reduceat(far, starts)))
-    return order, levels
+    return order, levels, looked
 
 
 def merge(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
@@ -277,7 +302,7 @@ def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def links(x: np.ndarray, weights: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
     """Of the rows of ``x``: summed weights of the rows linked to each, and the least place of its component."""
-    order, levels = build(x, float(angle(np.array(cosine))))
+    order, levels, _ = build(x, float(angle(np.array(cosine))))
     met = Meeting(Tree(x[order], weights[order], levels), None, cosine).run()
     counts, least = np.zeros(len(x), np.int64), np.full(len(x), len(x))
     counts[order] = met.counts
@@ -381,7 +406,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         lean_worker()
         group = group.sort_by("sig")
         raw = group.column("raw").to_pylist()
-        order, levels = build(_opened(raw, kind), reach)
+        order, levels, _ = build(_opened(raw, kind), reach)
         order = order.tolist()
         sigs, weights = group.column("sig").to_pylist(), group.column("m").to_pylist()
         return pa.table({

@@ -58,7 +58,7 @@ def test_copies_and_a_tight_group_are_one_component(spark):
 
 
 def built(x, reach):
-    order, levels = cover_tree.build(x, reach)
+    order, levels, _ = cover_tree.build(x, reach)
     return cover_tree.Tree(x[order], np.ones(len(x), np.int64), levels)
 
 
@@ -86,7 +86,14 @@ def test_radii_prune_pairs_of_clustered_vectors():
     x = cover_tree.unit(base[np.arange(2000) % 20] + 0.02 * r.normal(size=(2000, 24)))
     met = cover_tree.Meeting(built(x, float(np.arccos(0.95))), None).run()
     assert met.counts.tolist() == [99] * 2000
-    assert met.compared + met.decided < 2000 * 2000 // 2 / 10
+    looked = cover_tree.build(x, float(np.arccos(0.95)))[2]
+    assert met.compared + met.decided < 2000 * 2000 // 2 / 10 and met.compared + met.decided + looked < 2000 * 2000 // 2 / 4
+
+
+def test_building_without_structure_costs_about_all_pairs_and_no_more():
+    """Random directions have no clusters to prune by, so a tree looks at each pair once, as a plain product does."""
+    x = cover_tree.unit(np.random.default_rng(5).normal(size=(2000, 64)))
+    assert cover_tree.build(x, float(np.arccos(0.95)))[2] < 1.25 * 2000 * 1999 // 2
 
 
 @pytest.mark.parametrize(("d", "block", "dense"), [(3, 1 << 21, 2048), (16, 500, 30), (64, 2000, 100)])
