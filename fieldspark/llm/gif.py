@@ -1,7 +1,8 @@
 """GIF media column: LZW code streams, palettes, disposal and transparency, timed frames, colour histograms.
 
-``encode`` stores rows of 64 grey samples as frames of at most 1024 rows; ``frames`` reads any GIF 87a or 89a, and
-``shown`` composes what each frame shows. Stored media have their timing and the colour histograms of all that they show
+``encode`` stores rows of 64 samples as frames of at most 1024 rows in a palette of 256 colours; rows that the frame before
+has in the same place are transparent, and before a lower last frame the screen is cleared. ``frames`` reads any GIF 87a
+or 89a, and ``shown`` composes what each frame shows. Stored media have their timing and the colour histograms of all that they show
 as columns; ``timed_frames`` gives both for every frame.
 """
 
@@ -26,7 +27,12 @@ WIDTH, ROWS, DELAY = 64, 1024, 10
 RUN = 3838
 #: Width of the j-th code after a clear code, for 8-bit samples: entry 257 + j is made when it is read.
 _WIDTHS = np.minimum(12, np.concatenate([[9], np.array([(257 + j).bit_length() for j in range(1, 8192)])]))
-_GREY = bytes(v for c in range(256) for v in (c, c, c))
+#: The palette: red is the sample, green what it lacks, blue its Gray code. No UTF-8 text has the transparent sample.
+_PALETTE = np.stack([(c := np.arange(256)), 255 - c, c ^ c >> 1], 1).astype(np.uint8)
+CLEAR = 255
+#: Most samples of a screen or frame that is read, and how many a byte of the file can stand for at most: codes of three
+#: bits or more, of at most 4096 samples each. What claims more is damaged, and reading ends there.
+LARGEST, PER_BYTE = 1 << 26, 4096 * 8 // 3
 BINS = 16
 MEDIA = "doc_id long, n_bytes long, payload_bytes long, media binary, n_frames long, duration_cs long, red array<long>, green array<long>, blue array<long>"
 FRAMES = "doc_id long, frame long, start_cs long, delay_cs long, shown_pixels long, red array<long>, green array<long>, blue array<long>"
@@ -78,13 +84,20 @@ def _blocks(data: bytes) -> bytes:
 
 
 def encode(payload: bytes) -> bytes:
-    """A looping grey GIF 89a of ``payload``, whose length is a positive multiple of 64."""
-    rows = len(payload) // WIDTH
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, ROWS), 0xF7, 0, 0), _GREY]
-    for top in range(0, rows, ROWS):
-        part = payload[top * WIDTH : (top + ROWS) * WIDTH]
-        codes = _codes(part)
-        out += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, DELAY, 0, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08", _blocks(_pack(codes, _widths(codes)))]
+    """A looping GIF 89a of ``payload``, whose length is a positive multiple of 64."""
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(len(rows), ROWS), 0xF7, 0, 0), _PALETTE.tobytes()]
+    sparse = len(rows) > ROWS and CLEAR not in payload
+    before = None
+    for top in range(0, len(rows), ROWS):
+        part = rows[top : top + ROWS]
+        rest = len(rows) - top - len(part)
+        disposal = 2 if 0 < rest < ROWS else 1
+        again = (part == before).all(1) if sparse and before is not None else np.zeros(0, bool)
+        drawn = np.where(again[:, None], np.uint8(CLEAR), part) if again.any() else part
+        codes = _codes(drawn.tobytes())
+        out += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, disposal << 2 | bool(again.any()), DELAY, CLEAR, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, WIDTH, len(part), 0), b"\x08", _blocks(_pack(codes, _widths(codes)))]
+        before = part if disposal == 1 else None
     return b"".join([*out, b";"])
 
 
@@ -211,6 +224,8 @@ def frames(data: bytes) -> list[Frame]:
             break
         least = data[at]
         stream, at = body(at + 1)
+        if w * h > min(LARGEST, PER_BYTE * len(data)):
+            break
         flat = np.zeros(w * h, np.uint8)
         got = lzw_decode(stream, least, w * h)
         flat[: len(got)] = got
@@ -236,6 +251,8 @@ def shown(data: bytes, read: list[Frame] | None = None) -> Iterator[np.ndarray]:
     if len(data) < 13:
         return
     width, height = struct.unpack_from("<HH", data, 6)
+    if width * height > min(LARGEST, PER_BYTE * len(data)):
+        return
     canvas = np.zeros((height, width, 4), np.uint8)
     for f in frames(data) if read is None else read:
         place = np.s_[f.top : f.top + f.indices.shape[0], f.left : f.left + f.indices.shape[1]]
@@ -276,8 +293,16 @@ def described(data: bytes, read: list[Frame] | None = None) -> tuple[int, int, n
 
 
 def samples(of: list[Frame]) -> bytes:
-    """The bytes that ``encode`` stored: the red of each sample's colour, frame by frame."""
-    return b"".join(f.colours[:, 0][f.indices].tobytes() for f in of)
+    """The bytes that ``encode`` stored: the red of each sample's colour, frame by frame, that of the frame before where it
+    is transparent."""
+    out, before = [], None
+    for f in of:
+        red = f.colours[:, 0][f.indices]
+        if f.clear >= 0:
+            red = np.where(f.indices == f.clear, before[: len(red)], red)
+        out.append(red.tobytes())
+        before = red
+    return b"".join(out)
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -291,30 +316,28 @@ def store(docs: DataFrame) -> DataFrame:
                 raw = [t or b"" for t in part.column("body").to_pylist()]
                 padded = [t + b"\0" * (-len(t) % WIDTH or WIDTH * (not t)) for t in raw]
                 n = [-(-len(t) // (WIDTH * ROWS)) for t in padded]
-                # A frame after the first may be lower than the screen: the screen keeps the rows below it.
-                grey = pa.array([_grey_histogram(t).tolist() for t in padded], pa.list_(pa.int64()))
+                red, green, blue = (pa.array(h.tolist(), pa.list_(pa.int64())) for h in np.array([_shown(t) for t in padded]).reshape(-1, 3, BINS).swapaxes(0, 1))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "n_bytes": pa.array(map(len, raw), pa.int64()), "payload_bytes": pa.array(map(len, padded), pa.int64()), "media": pa.array(map(encode, padded), pa.binary()),
-                    "n_frames": pa.array(n, pa.int64()), "duration_cs": pa.array([DELAY * k for k in n], pa.int64()), "red": grey, "green": grey, "blue": grey,
+                    "n_frames": pa.array(n, pa.int64()), "duration_cs": pa.array([DELAY * k for k in n], pa.int64()), "red": red, "green": green, "blue": blue,
                 })
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("body")).mapInArrow(run, MEDIA)
 
 
-def _grey_histogram(payload: bytes) -> np.ndarray:
-    """What ``described`` finds in ``encode(payload)``, from the payload."""
-    size = WIDTH * ROWS
-    full = np.frombuffer(payload, np.uint8)
-    cut = len(full) // size * size
-    out = np.bincount(full, minlength=256)
-    if cut and len(full) > cut:  # below a lower last frame the frame before it stays
-        out = out + np.bincount(full[cut - size + len(full) - cut : cut], minlength=256)
-    return out.reshape(BINS, -1).sum(1)
+def _shown(payload: bytes) -> np.ndarray:
+    """What ``described`` finds in ``encode(payload)``, from the payload: every row is shown once, by its own frame alone."""
+    counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+    out = np.zeros((3, BINS), np.int64)
+    for c in range(3):
+        np.add.at(out[c], _PALETTE[:, c] // (256 // BINS), counts)
+    return out
 
 
 def timed_frames(media: DataFrame) -> DataFrame:
     """A row for each frame of the GIFs in ``media`` (doc_id, media): frame (from 0), start_cs, delay_cs, shown_pixels and
-    the colour histograms of the screen that it shows. Null media have no frames; other files than GIFs are refused."""
+    the colour histograms of the screen that it shows. Null media, and screens of more samples than ``LARGEST`` or than the file can hold, have no frames; other
+    files than GIFs are refused."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 3

@@ -13,11 +13,43 @@ def test_gif_round_trip():
     for body in (b"\0" * 64, b"a" * 6400, b"ab" * 40_000, r.bytes(64 * 2500), bytes(range(256)) * 300):
         data = gif.encode(body)
         assert gif.samples(gif.frames(data)) == body
-        assert (gif.described(data)[2] == gif._grey_histogram(body)).all()
+        assert (gif.described(data)[2] == gif._shown(body)).all()
         screens = [s.copy() for s in gif.shown(data)]
         assert len(screens) == -(-len(body) // (64 * 1024)) and screens[0][0, 0, 0] == body[0]
 
 
+def test_stored_frames_use_transparency_disposal_and_colours():
+    """Rows that the frame before has in the same place are transparent, a lower last frame stands alone, and the three
+    histograms differ."""
+    r = np.random.default_rng(2)
+    first = r.integers(32, 127, (1024, 64)).astype(np.uint8)
+    second = first.copy()
+    second[::2] = r.integers(32, 127, (512, 64))
+    last = first[:100]
+    for frames, disposals, clear in (([first, second, last], [1, 2, 1], [False, True, False]), ([first, second], [1, 1], [False, True]), ([first, first], [1, 1], [False, True]), ([first, last], [2, 1], [False, False])):
+        body = b"".join(f.tobytes() for f in frames)
+        data = gif.encode(body)
+        read = gif.frames(data)
+        assert gif.samples(read) == body and [f.disposal for f in read] == disposals and [f.clear >= 0 for f in read] == clear
+        assert (gif.described(data)[2] == gif._shown(body)).all() and len({tuple(h) for h in gif._shown(body).tolist()}) == 3
+        screens = [s.copy() for s in gif.shown(data)]
+        assert all((s[: len(f), :, 0] == f).all() for s, f in zip(screens, frames))
+        if disposals[-2] == 2:
+            assert not screens[-1][100:, :, 3].any()
+    odd = np.concatenate([first, first])
+    odd[0, 0] = 255  # then no sample is free to be transparent
+    assert gif.samples(gif.frames(gif.encode(odd.tobytes()))) == odd.tobytes()
+
+
+def test_sizes_that_no_file_can_fill_end_the_reading(spark):
+    head = b"GIF89a" + b"\xff\xff\xff\xff" + b"\0\0\0"
+    small = b"GIF89a" + b"\x01\0\x01\0" + b"\0\0\0"
+    image = b"\x2c\0\0\0\0\xff\xff\xff\xff\0\x08\x01\0\0;"
+    assert gif.frames(small + image) == [] and list(gif.shown(head + image)) == [] and gif.frames(head + image) == []
+    media = spark.createDataFrame([(1, bytearray(head + image)), (2, bytearray(gif.encode(b"a" * 64))), (3, None)], "doc_id long, media binary")
+    assert [r.doc_id for r in gif.timed_frames(media).collect()] == [2]
+
+
 def test_gif_disposal_transparency_palette_and_interlace():
     def frame(left, top, w, h, pixels, flags=0, clear=None, disposal=0, delay=3):
         codes = gif._codes(bytes(pixels))
@@ -93,7 +125,7 @@ def test_files_cut_anywhere_give_what_they_hold():
 def test_timed_frames(spark):
     two = gif.encode(bytes(range(256)) * 300)
     rows = gif.timed_frames(spark.createDataFrame([(1, bytearray(two)), (2, None)], "doc_id long, media binary")).collect()
-    assert [(r.doc_id, r.frame, r.start_cs, r.delay_cs, r.shown_pixels) for r in rows] == [(1, 0, 0, 10, 65536), (1, 1, 10, 10, 65536)]
+    assert [(r.doc_id, r.frame, r.start_cs, r.delay_cs, r.shown_pixels) for r in rows] == [(1, 0, 0, 10, 65536), (1, 1, 10, 10, 11264)]  # the last frame alone
     assert all(r.red == r.green == r.blue and sum(r.red) == r.shown_pixels for r in rows)
 
 
