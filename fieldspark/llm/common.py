@@ -74,6 +74,15 @@ def offsets(counts: DataFrame, group: list[str], bucket: str, value: str, name:
     return inner.join(runs, [*group, "_run"]).select(*group, bucket, (F.col("_base") + F.col("_inner")).alias(name))
 
 
+def numbered(df: DataFrame, lo: Column, hi: Column, name: str, wide: int = 4096) -> DataFrame:
+    """``df`` once for each whole number from ``lo`` to ``hi``, named ``name``; none where ``hi`` is less. Numbers come in
+    runs of ``wide``, so that no row ever holds more of them, however many there are."""
+    runs = df.withColumn("_lo", lo.cast("long")).withColumn("_hi", hi.cast("long")).where("_hi >= _lo")
+    runs = runs.withColumn("_r", F.explode(F.sequence(F.floor(F.col("_lo") / wide), F.floor(F.col("_hi") / wide))))
+    each = F.sequence(F.greatest("_lo", F.col("_r") * wide), F.least("_hi", F.col("_r") * wide + wide - 1))
+    return runs.withColumn(name, F.explode(each)).drop("_lo", "_hi", "_r")
+
+
 def gapless_rank(df: DataFrame, group: list[str], bucket: str, order: list[Column], name: str) -> DataFrame:
     """Adds ``name``: 0-based gapless rank within ``group``, buckets in order of ``bucket``, rows in ``order``.
 

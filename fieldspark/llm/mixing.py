@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import WORD, offsets, put, word_count, written
+from fieldspark.llm.common import WORD, numbered, offsets, put, word_count, written
 
 #: Words in a block: what one slot of the schedule takes.
 BLOCK = 256
@@ -119,8 +119,9 @@ def mix_pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         .withColumn("hi", F.greatest("hi", "lo"))
         .where("hi > lo or read = 0")
     )
+    some = F.col("hi") > F.col("lo")
     pieces = (
-        reads.withColumn("rank", F.explode(F.when(F.col("hi") > F.col("lo"), F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).otherwise(F.array(F.lit(-1).cast("long")))))
+        numbered(reads, F.when(some, F.floor(F.col("lo") / block)).otherwise(-1), F.when(some, F.floor((F.col("hi") - 1) / block)).otherwise(-1), "rank")
         .withColumn("part", F.greatest(F.lit(0).cast("long"), F.least("hi", (F.col("rank") + 1) * block) - F.greatest("lo", F.col("rank") * block)))
     )
     slots = schedule(targets, total, block)
@@ -147,7 +148,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """Digest of ``documents``: doc_id, size, source_size, target, taken, first_slot (where the mix first takes words of
     it, null if nowhere), one row for each row of the table."""
     out = mix_units(written(_sized(docs), "sized"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+    return numbered(out, F.lit(1), F.col("copies"), "_copy").select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def mixed_corpus(docs: DataFrame) -> DataFrame:

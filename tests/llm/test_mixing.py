@@ -4,6 +4,7 @@ from cases import docs_of, prose
 from pyspark.sql import functions as F
 
 from fieldspark.llm import mixing
+from fieldspark.llm.common import numbered
 
 
 def targets(sizes):
@@ -114,3 +115,15 @@ def test_taken_words_follow_the_shuffled_stream(spark):
                 want[r.doc_id] += n
                 left -= n
         assert {r.doc_id: r.taken for r in own} == want and left == 0
+
+
+def test_very_many_copies_of_one_row(spark):
+    """A unit of very many equal rows covers slots in runs, and every copy has its row."""
+    hot = spark.range(40_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("word " * 120).alias("text"), F.lit("a").alias("source"))
+    docs = hot.unionByName(docs_of(spark, prose(3, 50), lambda i: "b").select("doc_id", "text", "source"))
+    rows = mixing.mix_documents(docs)
+    assert rows.count() == 40_050 and rows.where("doc_id = 7 and size = 120").select("taken").distinct().count() == 1
+    got = rows.groupBy("source_size").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()
+    assert all(abs(r.t - r.g) <= 40_000 + 2 for r in got)  # copies take equally much, in whole words
+    sums = [r.n for r in numbered(spark.range(1), F.lit(5), F.lit(20_003), "k").select(F.sum("k").alias("n")).collect()]
+    assert sums == [sum(range(5, 20_004))] and numbered(spark.range(1), F.lit(5), F.lit(4), "k").count() == 0
