@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.expressions import clear_class, has_data, ndvi
 from fieldspark.operators import checks, zonal
+from fieldspark.operators.places import global_places
 
 
 def grid_findings(bands: DataFrame) -> DataFrame:
@@ -24,18 +25,25 @@ def require_same_grids(bands: DataFrame) -> DataFrame:
 
 
 def scene_order(scenes: DataFrame, region: list[str] | None = None) -> DataFrame:
-    """Adds ``rank`` from 1 by cloud cover (null last), time stamp and id, within each ``region`` of the catalogue."""
-    w = Window.partitionBy(*(region or [F.lit(0)])).orderBy(F.asc_nulls_last("cloud_cover"), "datetime", "scene_id")
-    return scenes.withColumn("rank", F.row_number().over(w))
+    """Adds ``rank`` from 1 by cloud cover (null last), time stamp and id, within each ``region``, which is one search's
+    scenes; without regions the whole catalogue is ordered by ranges, as it may be of any size."""
+    order = [F.asc_nulls_last("cloud_cover"), F.asc("datetime"), F.asc("scene_id")]
+    if not region:
+        return global_places(scenes, order, "rank").withColumn("rank", F.col("rank").cast("int"))
+    return scenes.withColumn("rank", F.row_number().over(Window.partitionBy(*region).orderBy(*order)))
 
 
 def choose_scenes(scenes: DataFrame, fractions: DataFrame, least: float = 0.70, region: list[str] | None = None) -> DataFrame:
     """Scenes in order with ``valid_fraction`` and ``status``: the first that reaches ``least`` is chosen, those before
     are rejected, those after not tried. Scenes without a fraction have 0."""
     ranked = scene_order(scenes, region).join(fractions, "scene_id", "left").withColumn("valid_fraction", F.coalesce("valid_fraction", F.lit(0.0)))
-    chosen = F.min(F.when(F.col("valid_fraction") >= least, F.col("rank"))).over(Window.partitionBy(*(region or [F.lit(0)])))
+    first = F.min(F.when(F.col("valid_fraction") >= least, F.col("rank")))
+    if region:
+        ranked = ranked.withColumn("chosen", first.over(Window.partitionBy(*region)))
+    else:
+        ranked = ranked.crossJoin(F.broadcast(ranked.agg(first.alias("chosen"))))  # one row
     status = F.when(F.col("rank") < F.coalesce("chosen", F.col("rank") + 1), "rejected").when(F.col("rank") == F.col("chosen"), "chosen").otherwise("untried")
-    return ranked.withColumn("chosen", chosen).withColumn("status", status).drop("chosen")
+    return ranked.withColumn("status", status).drop("chosen")
 
 
 def require_scene(chosen: DataFrame, least: float = 0.70) -> DataFrame:
