@@ -41,12 +41,13 @@ def _some(df: DataFrame, key: str, most: int = 5) -> list[str]:
 
 
 def require_same_keys(left: DataFrame, right: DataFrame, key: str, label: str) -> DataFrame:
-    """Both sides have the same set of non-null keys, and neither has a null."""
-    for a, b, side in ((left, right, "missing"), (right, left, "unknown")):
-        if a.where(F.col(key).isNull()).limit(1).count():
-            raise CheckError(f"{label}: null {key}")
-        if extra := _some(a.join(b, key, "left_anti"), key):
-            raise CheckError(f"{label}: {side} {key} {', '.join(extra)}")
+    """Both sides have the same set of non-null keys, and neither has a null; one aggregation over the keys of both."""
+    sides = left.select(F.col(key).alias("k"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(F.col(key).alias("k"), F.lit(0).alias("l"), F.lit(1).alias("r")))
+    keys = sides.groupBy("k").agg(F.max("l").alias("l"), F.max("r").alias("r")).withColumn("t", F.col("k").cast("string"))
+    only = {c: F.min(F.when((F.col(a) == 1) & (F.col(b) == 0), F.col("t"))).alias(c) for c, a, b in (("missing", "l", "r"), ("unknown", "r", "l"))}
+    got = keys.agg(F.count_if(F.col("k").isNull()).alias("null"), *only.values())
+    said = [(F.lit(f"null {key}"), F.col("null") > 0), *[(F.concat(F.lit(f"{c} {key} "), F.col(c)), F.col(c).isNotNull()) for c in only]]
+    require_together(_messages(got, label, said))
     return right
 
 
@@ -74,8 +75,7 @@ def require_one_to_one(sides: Mapping[str, DataFrame], key: str) -> None:
 
 def require_reference(child: DataFrame, parent: DataFrame, key: str, label: str) -> DataFrame:
     """Every non-null key of ``child`` is in ``parent``."""
-    if lost := _some(child.where(F.col(key).isNotNull()).join(parent, key, "left_anti"), key):
-        raise CheckError(f"{label}: unknown {key} {', '.join(lost)}")
+    require_together(gate(child, label, parent=parent, key=key))
     return child
 
 

@@ -306,7 +306,7 @@ def test_albers_and_utm():
     lon, lat = r.uniform(-124, -67, 50), r.uniform(25, 49, 50)
     back = geometry.albers_inverse(*geometry.albers_forward(lon, lat))
     assert np.abs(back[0] - lon).max() < 1e-10 and np.abs(back[1] - lat).max() < 1e-10
-    assert [float(v) for v in geometry.albers_forward(np.array([-96.0]), np.array([23.0]))] == pytest.approx([0, 0], abs=1e-6)
+    assert [float(v[0]) for v in geometry.albers_forward(np.array([-96.0]), np.array([23.0]))] == pytest.approx([0, 0], abs=1e-6)
     east, north = geometry.utm_forward(np.array([-93.0, -93.0]), np.array([0.0, 90.0]), 15)
     assert east.tolist() == pytest.approx([500_000] * 2) and north.tolist() == pytest.approx([0, 0.9996 * 10_001_965.729], rel=1e-9)
 
