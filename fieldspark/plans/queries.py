@@ -898,6 +898,24 @@ def src2_dictionary_table(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_dictionary_table(spark, path, dictionary, "mapunit", ["mukey", "muname", "musym"])
 
 
+@query(f"WITH {_RECTS} SELECT vec_id::VARCHAR AS field_id, round(x, 4) AS area_ha, round(0.05 * 0.04, 6) AS area FROM r")
+def src1_split_collection(spark: SparkSession, d: str) -> DataFrame:
+    """Collections of a file each, whose features many tasks find by braces and quotes."""
+    path = scratch_path(spark, "collections")
+    writers.write_feature_collections(rectangles(spark, d, "field_id").withColumn("area_ha", F.col("rings")[0]["xs"][0]), path, "field_id", 1000, apart=True)
+    back = readers.read_geojson(spark, path, "field_id string, area_ha double", "field_id", "area_ha", split=True)
+    return spatial.with_measures(back).select("field_id", F.round("area_ha", 4).alias("area_ha"), F.round("area", 6).alias("area"))
+
+
+@query("SELECT p_partkey::VARCHAR AS mukey, 'a \"b\"' || chr(10) || '| ' || p_name AS muname FROM part")
+def src2_split_table(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as a pipe-delimited table with line ends, bars and quotes in its values, read by blocks."""
+    path, part = scratch_path(spark, "quoted"), table(spark, d, "part")
+    part.select(F.concat(text("p_partkey"), F.lit('|"a ""b""\n| '), "p_name", F.lit('"')).alias("value")).write.text(path)
+    dictionary = spark.range(2).select(F.lit("mapunit").alias("table"), text_of(F.col("id") + 1).alias("ordinal"), F.element_at(F.array(F.lit("mukey"), F.lit("muname")), (F.col("id") + 1).cast("int")).alias("column"))
+    return readers.read_dictionary_table(spark, path, dictionary, "mapunit", ["mukey", "muname"], split=True)
+
+
 def text_of(c: Column) -> Column:
     return c.cast("string")
 

@@ -30,14 +30,19 @@ def write_geojson(df: DataFrame, path: str, order: Sequence[str]) -> None:
     features(df.orderBy(*order)).select("value").write.mode("overwrite").text(path)
 
 
-def write_feature_collections(df: DataFrame, path: str, key: str, rows: int = 10_000) -> None:
+def write_feature_collections(df: DataFrame, path: str, key: str, rows: int = 10_000, apart: bool = False) -> None:
     """Documents, a line each, that are FeatureCollections of about ``rows`` features, dealt by a hash of ``key`` and in its
-    order within a document. Read with ``read_geojson(..., lines=True)``."""
+    order within a document. Read with ``read_geojson(..., lines=True)``, or, if each has a file of its own (``apart``),
+    with ``split=True``."""
     documents = max(1, -(-df.count() // rows))
     one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "value"))), lambda x: x["value"]), ",")
     whole = F.concat(F.lit('{"type":"FeatureCollection","features":['), one, F.lit("]}")).alias("value")
     dealt = features(df.select(key, *[c for c in df.columns if c != key])).groupBy(F.pmod(F.xxhash64(key), F.lit(documents)).alias("document"))
-    dealt.agg(whole).select("value").write.mode("overwrite").text(path)
+    out = dealt.agg(whole)
+    if apart:
+        out.write.mode("overwrite").partitionBy("document").text(path)
+    else:
+        out.select("value").write.mode("overwrite").text(path)
 
 
 def write_summary(one_row: DataFrame, path: str) -> None:
