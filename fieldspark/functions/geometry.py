@@ -148,7 +148,7 @@ def _covered(field_edges: np.ndarray, pieces: Sequence[np.ndarray], whole: np.nd
                     yield low, high, lo, hi, left if a >= c else l2, right if b <= d else r2
 
 
-def _convex(rings: Sequence) -> tuple[list[float], list[float]] | None:
+def convex(rings: Sequence) -> tuple[list[float], list[float]] | None:
     """Corners, counter-clockwise, of a polygon of one convex ring; None for others."""
     if len(rings) != 1:
         return None
@@ -189,7 +189,7 @@ def _cut(ring, corners: tuple[list[float], list[float]]) -> list[tuple[float, fl
     return points
 
 
-def _clipped_area(field: Sequence, corners: tuple[list[float], list[float]]) -> float:
+def clipped_area(field: Sequence, corners: tuple[list[float], list[float]]) -> float:
     """Area of a polygon within a convex one: each ring is cut, holes are taken off."""
     total = 0.0
     for ring in field:
@@ -202,18 +202,13 @@ def _clipped_area(field: Sequence, corners: tuple[list[float], list[float]]) ->
     return total
 
 
-def _apart(boxes: list[tuple[float, float, float, float]]) -> bool:
+def apart(boxes: list[tuple[float, float, float, float]]) -> bool:
     """Whether no two boxes share an area; for few of them."""
     return len(boxes) <= 64 and not any(a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3] for k, a in enumerate(boxes) for b in boxes[:k])
 
 
-def all_convex(pieces: Sequence[Sequence]) -> bool:
-    """Whether pieces are convex rings whose bounds don't overlap, so that a polygon is cut by them side by side."""
-    return _apart([bounds(p) for p in pieces if len(p)]) and all(_convex(p) for p in pieces)
-
-
-def covered_area(field: Sequence, pieces: Sequence[Sequence], least: float = 1e-9) -> float:
-    """Area of ``field`` that the union of ``pieces`` covers; less than ``least`` of the field counts as touching.
+def covered_area(field: Sequence, pieces: Sequence[Sequence]) -> float:
+    """Area of ``field`` that the union of ``pieces`` covers; less than a billionth of the field counts as touching.
 
     Convex pieces that don't overlap cut the field side by side. Otherwise the plane is cut at the heights of all
     corners and crossings, so that within a slab no edges cross and the covered width at mid height times the slab's
@@ -226,20 +221,20 @@ def covered_area(field: Sequence, pieces: Sequence[Sequence], least: float = 1e-
     pieces, boxes = [pieces[k] for k in near], [boxes[k] for k in near]
     if not pieces:
         return 0.0
-    if _apart(boxes) and all(corners := [_convex(p) for p in pieces]):
-        area = sum(_clipped_area(field, c) for c in corners)
+    if apart(boxes) and all(corners := [convex(p) for p in pieces]):
+        area = sum(clipped_area(field, c) for c in corners)
     else:
         f, p = edges(field), [e for e in map(edges, pieces) if len(e)]
         if not len(f) or not p:
             return 0.0
         area = sum((high - low) * (hi - lo) for low, high, lo, hi, _, _ in _covered(f, p, np.concatenate([f, *p])))
-    return float(area) if area > least * measures(field)[0] else 0.0
+    return float(area) if area > 1e-9 * measures(field)[0] else 0.0
 
 
 def covered_pieces(field: Sequence, pieces: Sequence[Sequence]) -> list[dict]:
     """The covered part as disjoint rings: the convex pieces that a convex field is cut along, or trapezoids."""
     pieces = [p for p in pieces if len(p)]
-    if pieces and _convex(field) and _apart([bounds(p) for p in pieces]) and all(corners := [_convex(p) for p in pieces]):
+    if pieces and convex(field) and apart([bounds(p) for p in pieces]) and all(corners := [convex(p) for p in pieces]):
         parts = [[*zip(*points)] for c in corners if len(points := _cut(field[0], c)) > 2]
         return [{"sign": 1, "xs": list(xs), "ys": list(ys)} for xs, ys in parts]
     f, p = edges(field), [e for e in map(edges, pieces) if len(e)]

@@ -1,6 +1,6 @@
 """Overlays of two sides of polygons: cut along a grid, overlaid cell by cell, areas summed, outlines stitched.
 
-Polygons of both sides are cut to cells, of which there are four for each polygon on average, so a huge polygon among
+Polygons of both sides are cut to cells, of which there are 1.4 for each polygon on average, so a huge polygon among
 small ones fills no more than that allows. Cells with more than ``CORNERS`` corners are cut again, so that a crowded
 place becomes many tasks. A cell's polygons of both sides meet in one row; nothing else travels together. What lies on
 cells' borders cancels between neighbours, and the edges left over close to outlines.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from fieldspark.operators import checks
 from fieldspark.operators.spatial import _RINGS, EQUAL_AREA, require_srid, with_measures
 from fieldspark.sources.scratch import landed
 
+#: Cells that a polygon touches on average: few, so that few pairs come apart into several cells.
+CELLS = 1.4
 #: Corners of both sides in a cell, from which it is cut again; how often, and into how many halvings at once, at most.
 CORNERS, ROUNDS, HALVINGS = 4000, 4, 6
 CELL = ["level", "cx", "cy"]
@@ -32,7 +35,7 @@ _EDGES = T.ArrayType(T.StructType(_EDGE))
 
 
 def grid_size(*sides: DataFrame) -> float:
-    """The size of cells of which all polygons (with bounds) touch about four each, on average over both sides."""
+    """The size of cells of which a polygon (with bounds) touches ``CELLS`` on average over both sides."""
     w, h = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
     every = None
     for df in sides:
@@ -41,7 +44,8 @@ def grid_size(*sides: DataFrame) -> float:
     n, b, c = every.agg(F.sum("n"), F.sum("b"), F.sum("c")).first()
     if not n or not b:
         return 1.0
-    return (b + math.sqrt(b * b + 12 * n * c)) / (6 * n)
+    more = (CELLS - 1) * n  # CELLS * n = n + b / size + c / size ** 2
+    return (b + math.sqrt(b * b + 4 * more * c)) / (2 * more)
 
 
 def _cut(size: float):
@@ -87,14 +91,27 @@ def _sides(fields: DataFrame, soils: DataFrame, size: float | None) -> tuple[Dat
     return cut_evenly(left.unionByName(right).select("side", "key", "area", "rings"), size), size
 
 
-def _meet(a: tuple, b: tuple) -> bool:
-    return a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]
-
-
-def _area(field: list, pieces: list) -> float:
-    if len(field) == 1 and geometry.all_convex(pieces):
-        return geometry.covered_area(field[0], pieces, 0.0)
-    return outlines.overlap_area([field, pieces])
+def _area(field: list, soils: list[tuple]) -> float:
+    """Area of a field's rings that polygons, with their bounds and corners if they are convex, cover together."""
+    if len(field) == 1 and all(c is not None for _, _, c in soils) and geometry.apart([b for _, b, _ in soils]):
+        return sum(geometry.clipped_area(field[0], c) for _, _, c in soils)
+    return outlines.overlap_area([field, [p for p, _, _ in soils]])
+
+
+def _meeting(fields: dict[str, list], soils: dict[str, list[tuple]]) -> dict[tuple[str, str], list[tuple]]:
+    """For each field and map unit of a cell that meet by bounds the map unit's polygons that meet the field."""
+    owner = [key for key, parts in fields.items() for _ in parts]
+    each = [(mukey, s) for mukey, own in soils.items() for s in own]
+    a, b = (np.array(x).reshape(-1, 4) for x in ([geometry.bounds(p) for parts in fields.values() for p in parts], [s[1] for _, s in each]))
+    out: dict[tuple[str, str], list[tuple]] = {}
+    for i in range(len(a)):
+        near = (a[i, 0] < b[:, 2]) & (b[:, 0] < a[i, 2]) & (a[i, 1] < b[:, 3]) & (b[:, 1] < a[i, 3])
+        for j in np.flatnonzero(near).tolist():
+            mukey, s = each[j]
+            own = out.setdefault((owner[i], mukey), [])
+            if not any(s is x for x in own):
+                own.append(s)
+    return out
 
 
 def _overlaid(size: float, areas: bool, by_field: bool | None):
@@ -106,28 +123,34 @@ def _overlaid(size: float, areas: bool, by_field: bool | None):
         out = []
         for rows, k, x, y in zip(members, level, cx, cy):
             side, found = size / 2 ** int(k), []
-            sides: tuple[dict, dict] = ({}, {})
+            fields: dict[str, list] = {}
+            soils: dict[str, list[tuple]] = {}
             for r in rows:
-                sides[r["side"]].setdefault(r["key"], []).append(r["rings"])
-            boxes = [{key: [geometry.bounds(p) for p in parts] for key, parts in one.items()} for one in sides]
-
-            def edges(field_id: str | None, mukey: str, fields: list, soils: list) -> None:
-                lines = ((x * side, (x + 1) * side), (y * side, (y + 1) * side))
-                for e in outlines.region_edges([fields, soils]):
+                if r["side"]:
+                    soils.setdefault(r["key"], []).append((r["rings"], geometry.bounds(r["rings"]), geometry.convex(r["rings"])))
+                else:
+                    fields.setdefault(r["key"], []).append(r["rings"])
+            lines = ((x * side, (x + 1) * side), (y * side, (y + 1) * side))
+
+            def edges(field_id: str | None, mukey: str, own: list, pieces: list) -> None:
+                for e in outlines.region_edges([own, pieces]):
                     axis = 0 if e[0] == e[2] and e[0] in lines[0] else 1 if e[1] == e[3] and e[1] in lines[1] else None
                     seam = (axis, e[axis], int(y if axis == 0 else x) >> int(k)) if axis is not None else (None, None, None)
                     found.append((field_id, mukey, None, *seam, *e))
 
-            for mukey, soils in sides[1].items():
-                if by_field is False and any(_meet(a, b) for own in boxes[0].values() for a in own for b in boxes[1][mukey]):
-                    edges(None, mukey, [p for parts in sides[0].values() for p in parts], soils)
-                if areas or by_field:
-                    for field_id, field in sides[0].items():
-                        near = [p for p, b in zip(soils, boxes[1][mukey]) if any(_meet(a, b) for a in boxes[0][field_id])]
-                        if near and areas and (area := _area(field, near)) > 0:
-                            found.append((field_id, mukey, area) + (None,) * 7)
-                        if near and by_field:
-                            edges(field_id, mukey, field, near)
+            met = _meeting(fields, soils)
+            together: dict[str, tuple[list, list]] = {}
+            for (field_id, mukey), near in met.items():
+                if areas and (area := _area(fields[field_id], near)) > 0:
+                    found.append((field_id, mukey, area) + (None,) * 7)
+                if by_field:
+                    edges(field_id, mukey, fields[field_id], [p for p, _, _ in near])
+                elif by_field is False:
+                    own, pieces = together.setdefault(mukey, ([], []))
+                    own += fields[field_id]
+                    pieces += [p for p, _, _ in near if not any(p is q for q in pieces)]
+            for mukey, (own, pieces) in together.items():
+                edges(None, mukey, own, pieces)
             out.append([dict(zip(_FOUND.elementType.names, f)) for f in found])
         return pd.Series(out)
 
