@@ -19,6 +19,8 @@ Point = tuple[float, float]
 Edge = tuple[float, float, float, float]
 #: Of a cell's side: how near to a line a corner counts as on it.
 NEAR = 1e-9
+#: Edges across a slab from which arrays sort them.
+MANY = 24
 
 
 def _crossings(p: Point, q: Point, axis: int, size: float) -> list[tuple[float, Point]]:
@@ -138,6 +140,8 @@ def slabs(sides: Sequence[Sequence[Sequence]]) -> Iterator[tuple[float, float, l
     heights = np.unique(np.concatenate([edges[:, 1], edges[:, 3], _crossing_heights(edges)]))
     order = np.argsort(edges[:, 1], kind="stable")
     starts, listed, owners = edges[order, 1].tolist(), edges.tolist(), owner.tolist()
+    x1, y1 = edges[:, 0], edges[:, 1]
+    slope = (edges[:, 2] - x1) / (edges[:, 3] - y1)
     active: list[int] = []
     at = 0
     for low, high in zip(heights[:-1].tolist(), heights[1:].tolist()):
@@ -147,7 +151,12 @@ def slabs(sides: Sequence[Sequence[Sequence]]) -> Iterator[tuple[float, float, l
         active = [e for e in active if listed[e][3] >= high]
         mid = (low + high) / 2
         inside, counts, pairs, left = set(), [0] * len(sides), [], None
-        for _, e in sorted((_x(listed[e], mid), e) for e in active):
+        if len(active) > MANY:
+            own = np.array(active)
+            across = own[np.lexsort((own, x1[own] + (mid - y1[own]) * slope[own]))].tolist()
+        else:
+            across = [e for _, e in sorted((_x(listed[e], mid), e) for e in active)]
+        for e in across:
             k = owners[e]
             was = all(counts)
             if k in inside:
