@@ -280,6 +280,17 @@ def stitched(edges: Sequence[Edge], near: float = 1e-9) -> list[dict]:
     return rings
 
 
+def rings_of(polygons: Sequence[list[Point]], near: float = 1e-9) -> list[dict]:
+    """Rings of polygons that lie apart, counter-clockwise, as ``stitched`` has them."""
+    out = []
+    for points in polygons:
+        xs, ys = zip(*points)
+        ring = _plain(points, near * max(max(xs) - min(xs), max(ys) - min(ys)))
+        if len(ring) > 2:
+            out.append({"sign": 1, "xs": [p[0] for p in ring], "ys": [p[1] for p in ring]})
+    return out
+
+
 def _plain(ring: list[Point], tiny: float) -> list[Point]:
     """The ring without corners that tell nothing."""
     out: list[Point] = []

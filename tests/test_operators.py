@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldspark.functions import expressions as E
-from fieldspark.functions import geometry, outlines, validity
+from fieldspark.functions import convex, geometry, outlines, validity
 from fieldspark.operators import checks, crops, imagery, integrate, overlay, report, scan, soil, spatial, weather, zonal
 from fieldspark.operators.checks import CheckError
 
@@ -648,3 +648,40 @@ def test_grids_that_disagree_are_refused(spark):
     with pytest.raises(Exception, match="differ in origin"):
         zonal.nearest_resample(fine, coarse, ["g"], "code").collect()
     assert zonal.nearest_resample(fine, coarse.limit(1), ["g"], "code").first()["code"] == 7
+
+
+def test_unions_of_many_convex_polygons_agree_with_one_sweep():
+    r = np.random.default_rng(11)
+    fields, pieces, group = [], [], []
+    for g in range(40):
+        field = [box(*r.uniform(0, 1, 2), 1, 1)]
+        for _ in range(r.integers(1, 7)):
+            t = np.sort(r.uniform(0, 2 * np.pi, r.integers(3, 7)))
+            x, y = r.uniform(0, 2, 2)
+            piece = [{"sign": 1, "xs": (x + 0.7 * np.cos(t)).tolist(), "ys": (y + 0.7 * np.sin(t)).tolist()}]
+            fields.append(field), pieces.append(piece), group.append(g)
+    (p, n), (q, _) = (convex.rows([geometry.convex(x) for x in side]) for side in (fields, pieces))
+    p, n = convex.clipped(p, n, q)
+    got = convex.union_areas(p, n, q, np.array(group))
+    for g in range(40):
+        own = [k for k in range(len(group)) if group[k] == g]
+        assert got[g] == pytest.approx(outlines.overlap_area([[fields[own[0]]], [pieces[k] for k in own]]), abs=1e-12)
+
+
+def test_stacked_polygons_stay_in_few_cells_and_are_dealt_to_blocks(spark, monkeypatch):
+    """Polygons that lie on each other: cutting again would only multiply them; blocks lose no pair."""
+    r = np.random.default_rng(4)
+    at = r.uniform(0, 0.02, (120, 2))
+    fields = polygons(spark, [(f"f{i}", [box(x, y, 0.05, 0.04)]) for i, (x, y) in enumerate(at[::2])])
+    soils = polygons(spark, [(f"s{i // 3}", [box(x, y, 0.05, 0.04)]) for i, (x, y) in enumerate(at[1::2])], "mukey")
+    parts: dict = {}
+    for i, (x, y) in enumerate(at[1::2]):
+        parts.setdefault(f"s{i // 3}", []).append([box(x, y, 0.05, 0.04)])
+    want = {(f"f{i}", m): outlines.overlap_area([[[box(x, y, 0.05, 0.04)]], own]) for i, (x, y) in enumerate(at[::2]) for m, own in parts.items()}
+    monkeypatch.setattr(overlay, "CORNERS", 40)
+    monkeypatch.setattr(overlay, "BLOCK", 16)
+    assert overlay._sides(fields, soils, 0.1)[0].count() < 4 * 120
+    got = {(a.field_id, a.mukey): a.overlap_area_m2 for a in overlay.field_soil_overlap(fields, soils, 0.1).collect()}
+    assert got == pytest.approx(want, abs=1e-15) and len(got) == 60 * 20
+    clipped = overlay.clipped_soils(fields, soils, 0.1).collect()
+    assert {(c.field_id, c.mukey): ring_area([x.asDict() for x in c.rings]) for c in clipped} == pytest.approx(want, abs=1e-9)
