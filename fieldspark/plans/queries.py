@@ -826,7 +826,7 @@ spans AS (SELECT q.m, c.x, c.nx, y0, y1, max(y1) OVER (PARTITION BY q.m, c.x ORD
 @query(f"WITH {_DISSOLVED} SELECT m::VARCHAR AS mukey, round(sum((nx - x) * greatest(0, y1 - greatest(y0, coalesce(seen, y0)))), 7) AS area, true AS closed FROM spans GROUP BY 1")
 def geo8_dissolved_soils(spark: SparkSession, d: str) -> DataFrame:
     """One outline a map unit over all fields together, after the gate that each that overlaps is left."""
-    units = overlay.dissolved_soils(rectangles(spark, d, "field_id", 0), rectangles(spark, d, "mukey", 1))[1]
+    units = overlay.dissolved(rectangles(spark, d, "field_id", 0), rectangles(spark, d, "mukey", 1))
     closed = F.forall("rings", lambda r: (F.size(r["xs"]) >= 3) & (F.size(r["xs"]) == F.size(r["ys"])))
     return spatial.with_measures(units).select("mukey", F.round("area", 7).alias("area"), closed.alias("closed"))
 

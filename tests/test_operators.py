@@ -685,3 +685,11 @@ def test_stacked_polygons_stay_in_few_cells_and_are_dealt_to_blocks(spark, monke
     assert got == pytest.approx(want, abs=1e-15) and len(got) == 60 * 20
     clipped = overlay.clipped_soils(fields, soils, 0.1).collect()
     assert {(c.field_id, c.mukey): ring_area([x.asDict() for x in c.rings]) for c in clipped} == pytest.approx(want, abs=1e-9)
+
+
+def test_dissolved_soils_work_out_no_overlaps_that_the_gate_does_not_need(spark, monkeypatch):
+    fields = polygons(spark, [("F", [box(0, 0, 4, 4)]), ("G", [box(2, 2, 4, 4)])])
+    soils = polygons(spark, [("1", [box(1, 1, 4, 4)]), (" 2", [box(3, 3, 9, 9)])], "mukey")
+    monkeypatch.setattr(overlay, "field_soil_overlap", None)
+    got = {u.mukey: ring_area([x.asDict() for x in u.rings]) for u in overlay.dissolved(fields, soils).collect()}
+    assert got == pytest.approx({"1": 14.0, "2": 9.0})
