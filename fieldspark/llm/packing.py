@@ -17,12 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from fieldspark.llm import tokens
-from fieldspark.llm.common import written
+from fieldspark.llm.common import lean_worker, written
 
 #: Tokens in a sequence, pieces in a group on average, rounds of a group.
 CAPACITY, GROUP_ROWS, ROUNDS = 1024, 40_000, 16
-#: Distinct units that a worker remembers: few, as packing may follow stages that have filled the executor's heap.
-MEMORY = 500_000
+#: Distinct units that a worker remembers, and bytes of text at once: few, as packing may follow stages that have filled
+#: the executor's heap.
+MEMORY, SLICE = 200_000, 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -39,10 +40,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """Pieces of ``docs`` (doc_id, text), each with the crc32 of its ids; a null text is empty: its end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tokens.holds(tokenizer):  # a worker's first task here: stages before have left their own
+            lean_worker()
         coder, salt = tokens.encoder(tokenizer, MEMORY), TaskContext.get().partitionId() << 33
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at, size in tokens.slices(texts):
+            for at, size in tokens.slices(texts, SLICE):
                 flat, offsets = coder.encode(texts.slice(at, size))
                 raw, ends = memoryview(flat.astype("<u4")).cast("B"), offsets.tolist()
                 rows = []

@@ -32,6 +32,11 @@ def encoder(path: str, memory: int | None = None) -> UnitEncoder:
     return _open[path]
 
 
+def holds(path: str) -> bool:
+    """Whether the worker has an encoder for the vocabulary file."""
+    return path in _open
+
+
 def forget() -> None:
     """Drops the worker's encoders."""
     _open.clear()

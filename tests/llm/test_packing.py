@@ -68,3 +68,14 @@ def test_packed_sequences_are_whole(spark, hard, empty):
         want += [(-1 if d is None else d, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids)))]
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
     assert packing.pack_documents(empty, name).count() == 0
+
+
+def test_a_worker_knows_whether_it_has_the_encoder():
+    """What decides whether packing frees what stages before have left in a worker; and its own memory is small."""
+    path, other = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
+    tokens.encoder(other)
+    assert tokens.holds(other) and not tokens.holds(path)
+    tokens.encoder(path)
+    assert tokens.holds(path) and not tokens.holds(other)
+    tokens.forget()
+    assert packing.MEMORY <= 200_000 and packing.SLICE <= 1_000_000
