@@ -2,7 +2,7 @@
 
 Both public vocabularies split a text into pre-tokens before they merge, so the ids of a text are those of its units
 in order, wherever a unit ends at a pre-token's border. Arrow cuts a batch into units and finds the distinct ones,
-the library encodes those not seen before, and NumPy puts the ids together. Texts whose white space leaves doubt are
+the library encodes those not remembered, and NumPy puts the ids together. Texts whose white space leaves doubt are
 encoded whole. Special tokens' strings in a text are ordinary text.
 """
 
@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct units that a worker remembers unless told otherwise; beyond it starts anew. About 200 bytes each.
+#: Distinct units that a worker remembers unless told otherwise; beyond it those met again stay. About 200 bytes each.
 MEMORY = 1_200_000
-#: End of a document.
-END = 2
+#: End of a document, units encoded as one line.
+END, LINE = 2, 32
 
 _open: dict[str, UnitEncoder] = {}
 
@@ -51,6 +51,7 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True
         #: Lower case and dropped white space: units are words. Else each takes the space before it.
         self.drops_space = self.tokenizer.normalizer is not None
+        self.line_feed = None if self.drops_space else self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.memory: int | None = None
         self._forget()
 
@@ -58,22 +59,57 @@ class UnitEncoder:
         self.codes: dict[str, int] = {}
         self.lengths = np.zeros(1024, np.int64)
         self.starts = np.zeros(1024, np.int64)
+        self.met = np.zeros(1024, np.int32)
         self.flat = np.zeros(4096, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.used = 0
 
+    def _make_room(self, most: int) -> None:
+        """Keeps at most ``most`` units, those met in most batches after their first: most units come once."""
+        kept = np.flatnonzero(self.met[: len(self.codes)])
+        if len(kept) > most:
+            kept = np.sort(kept[np.argsort(-self.met[kept], kind="stable")[: max(0, most)]])
+        if not len(kept):
+            return self._forget()
+        units, lengths = list(self.codes), self.lengths[kept]
+        ends = np.cumsum(lengths)
+        flat = self.flat[np.repeat(self.starts[kept] - ends + lengths, lengths) + np.arange(ends[-1])]
+        self.flat = np.concatenate([flat, np.zeros(4096, flat.dtype)])  # never empty, as it grows by doubling
+        self.codes = {units[k]: i for i, k in enumerate(kept.tolist())}
+        self.lengths, self.starts, self.met, self.used = lengths, ends - lengths, self.met[kept], int(ends[-1])
+
+    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units one after the other, and how many each has. Where units take the space before them, those without
+        other white space are encoded in lines of ``LINE``, as a line feed between two of them is a pre-token by itself."""
+        plain = np.zeros(len(units), bool)
+        if self.line_feed is not None:
+            plain = np.asarray(pc.match_substring_regex(pa.array(units, pa.string()), r"^ ?[^\pZ\x{85}\x00-\x20]+$"))
+        joined = [units[k] for k in np.flatnonzero(plain).tolist()]
+        lines = ["\n".join([*joined[at : at + LINE], ""]) for at in range(0, len(joined), LINE)]
+        rest = [units[k] for k in np.flatnonzero(~plain).tolist()]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(lines + rest, add_special_tokens=False)]
+        own = np.fromiter(chain.from_iterable(ids[: len(lines)]), np.int64, sum(map(len, ids[: len(lines)])))
+        feeds = np.flatnonzero(own == (-1 if self.line_feed is None else self.line_feed))
+        if len(feeds) != len(joined):
+            raise ValueError("a line feed between units is no token of its own")
+        lengths = np.zeros(len(units), np.int64)
+        lengths[plain], lengths[~plain] = np.diff(feeds, prepend=-1) - 1, list(map(len, ids[len(lines) :]))
+        out = np.zeros(int(lengths.sum()), np.int64)
+        of_plain = np.repeat(plain, lengths)
+        out[of_plain], out[~of_plain] = np.delete(own, feeds), list(chain.from_iterable(ids[len(lines) :]))
+        return out, lengths
+
     def _learn(self, units: list[str]) -> None:
         first = len(self.codes)
         for at in range(0, len(units), 4096):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(units[at : at + 4096], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, lengths = self._ids(units[at : at + 4096])
             ends = self.used + np.cumsum(lengths)
             k = first + at
-            while k + len(ids) > len(self.lengths):
-                self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts))
+            while k + len(lengths) > len(self.lengths):
+                self.lengths, self.starts, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts, self.met))
             while ends[-1] > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : ends[-1]] = np.fromiter(chain.from_iterable(ids), self.flat.dtype, int(lengths.sum()))
-            self.lengths[k : k + len(ids)], self.starts[k : k + len(ids)] = lengths, ends - lengths
+            self.flat[self.used : ends[-1]] = ids
+            self.lengths[k : k + len(lengths)], self.starts[k : k + len(lengths)], self.met[k : k + len(lengths)] = lengths, ends - lengths, 0
             self.used = int(ends[-1])
         self.codes.update(zip(units, range(first, first + len(units))))
 
@@ -102,10 +138,12 @@ class UnitEncoder:
         values, units = self._units(texts)
         found = values.dictionary_encode()
         words = found.dictionary.to_pylist()
-        if len(self.codes) + len(words) > (self.memory or MEMORY):
-            self._forget()
+        memory = self.memory or MEMORY
+        if len(self.codes) + len(words) > memory:
+            self._make_room(min(memory // 2, memory - len(words)))
         known = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(known < 0)
+        self.met[known[known >= 0]] += 1
         known[new] = np.arange(len(self.codes), len(self.codes) + len(new))
         self._learn([words[k] for k in new.tolist()])
         codes = known[np.asarray(found.indices)]

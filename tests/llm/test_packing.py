@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from cases import docs_of, prose
 from pyspark.sql import functions as F
 
@@ -79,3 +80,28 @@ def test_a_worker_knows_whether_it_has_the_encoder():
     assert tokens.holds(path) and not tokens.holds(other)
     tokens.forget()
     assert packing.MEMORY <= 200_000 and packing.SLICE <= 1_000_000
+
+
+def test_units_met_again_stay_when_room_is_made():
+    """What packing costs with a small memory: common words are encoded once, not anew each time that it is full."""
+    coder, learned = tokens.UnitEncoder(vocabulary("byte_bpe_50k.json")), []
+    coder.memory, learn = 60, coder._learn
+    coder._learn = lambda units: (learned.extend(units), learn(units))
+    for k in range(20):
+        coder.encode(pa.array([f"the common words of all {' '.join(f'w{k}x{i}' for i in range(20))} end."]))
+    assert learned.count(" common") == 1 and len(set(learned)) > 400
+    only = tokens.UnitEncoder(vocabulary("byte_bpe_50k.json"))  # what is left may have no ids at all
+    only.memory = 2
+    for t in ("", "", "a b", "", "c d\n\ne"):
+        assert only.encode(pa.array([t]), None)[0].tolist() == only.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_units_encoded_by_lines_are_those_of_whole_texts():
+    coder = tokens.UnitEncoder(vocabulary("byte_bpe_50k.json"))
+    texts = ["a\nb", "\na", "a\n", "a b\n\nc", "it's 5's\n's x", "a\u00a0b c\u2028d", " a", "b ", "\x01a b", "a\x1cb c", "", "\n", "x\x85y z", "a,\nb. c", "\u0120\u010a \u010a", "e\u0301 \u3000f", "<|endoftext|> a", "\x00 a\x00b", "\r\na", "z\u180ey \u200b"]
+    for memory in (5, 40, None):
+        coder.memory = memory
+        for k in range(1, len(texts) + 1):
+            ids, ends = coder.encode(pa.array(texts[:k]), None)
+            want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[:k]]
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
