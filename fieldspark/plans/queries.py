@@ -222,23 +222,29 @@ health AS (SELECT field_id, """ + ", ".join(
 ) + " FROM o LEFT JOIN mu USING (mukey) GROUP BY 1)"
 
 
-def soil_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def soil_tables(spark: SparkSession, d: str, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     lines, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    own = lines.select("l_partkey", "l_linenumber", "l_quantity", "l_tax", F.when(F.col("l_discount") > 0, F.col("l_discount") * 50).alias("om_r"), (1 + F.col("l_discount")).alias("dbthirdbar_r")).distinct()  # what the rest is made of
     top = 5.0 * (F.col("l_linenumber") - 1)
-    horizons = lines.select(text("l_partkey").alias("cokey"), top.alias("hzdept_r"), (top + F.col("l_quantity")).alias("hzdepb_r"), F.when(F.col("l_discount") > 0, F.col("l_discount") * 50).alias("om_r"), (4 + F.col("l_tax") * 50).alias("ph1to1h2o_r"), F.col("l_quantity").alias("cec7_r"), (1 + F.col("l_discount")).alias("dbthirdbar_r"), F.col("l_tax").alias("kwfact")).distinct()
+    horizons = own.select(text("l_partkey").alias("cokey"), top.alias("hzdept_r"), (top + F.col("l_quantity")).alias("hzdepb_r"), "om_r", (4 + F.col("l_tax") * 50).alias("ph1to1h2o_r"), F.col("l_quantity").alias("cec7_r"), "dbthirdbar_r", F.col("l_tax").alias("kwfact"))
     components = part.select(F.col("p_brand").alias("mukey"), text("p_partkey").alias("cokey"), F.col("p_size").cast("double").alias("comppct_r"), F.col("p_name").alias("compname"))
-    return components, horizons, brand_shares(spark, d, 0.9)
+    return components, horizons, brand_shares(spark, d, 0.9, counts)
 
 
-def brand_shares(spark: SparkSession, d: str, whole: float = 1.0) -> DataFrame:
+def brand_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of each supplier and brand."""
+    return table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+
+
+def brand_shares(spark: SparkSession, d: str, whole: float = 1.0, counts: DataFrame | None = None) -> DataFrame:
     """Share of each brand in each supplier's lines, as the part of a field that a map unit covers."""
-    n = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    n = brand_counts(spark, d) if counts is None else counts
     total = n.groupBy("l_suppkey").agg(F.sum("n").alias("all"))
     return n.join(total, "l_suppkey").select(text("l_suppkey").alias("field_id"), F.col("p_brand").alias("mukey"), (F.col("n") / F.col("all") * whole).alias("field_fraction"))
 
 
-def soil_health(spark: SparkSession, d: str) -> DataFrame:
-    return soil.aggregate_soil(*soil_tables(spark, d))
+def soil_health(spark: SparkSession, d: str, counts: DataFrame | None = None) -> DataFrame:
+    return soil.aggregate_soil(*soil_tables(spark, d, counts))
 
 
 _SOIL_OUT = ", ".join(f"round({c}, 5) AS {c}" for c in [m.name for m in soil.METRICS] + ["soil_coverage_fraction"] + [m.coverage for m in soil.METRICS])
@@ -326,8 +332,9 @@ _SHARES = "o AS (SELECT l_suppkey::VARCHAR AS field_id, p_brand AS mukey, count(
 _DOMINANT = f"{_SHARES}, dom AS (SELECT field_id, mukey, n FROM o QUALIFY row_number() OVER (PARTITION BY field_id ORDER BY n DESC, mukey) = 1)"
 
 
-def brand_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).groupBy(text("l_suppkey").alias("field_id"), F.col("p_brand").alias("mukey")).agg(F.count(F.lit(1)).alias("n"))
+def brand_overlaps(spark: SparkSession, d: str, counts: DataFrame | None = None) -> DataFrame:
+    n = brand_counts(spark, d) if counts is None else counts
+    n = n.select(text("l_suppkey").alias("field_id"), F.col("p_brand").alias("mukey"), "n")
     return n.select("field_id", "mukey", F.concat(F.lit("s-"), "mukey").alias("musym"), F.concat(F.lit("soil "), "mukey").alias("muname"), (F.col("n") * 10_000.0).alias("overlap_area_m2"))
 
 
@@ -338,7 +345,8 @@ def top1_dominant_soils(spark: SparkSession, d: str) -> DataFrame:
 
 def order_history(spark: SparkSession, d: str) -> DataFrame:
     """A class for each supplier and year: the most frequent return flag and line status."""
-    rows = table(spark, d, "lineitem").where(F.year("l_shipdate") == 1997).groupBy(text("l_suppkey").alias("field_id"), F.concat("l_returnflag", F.lit("/"), "l_linestatus").alias("cdl_name")).agg(F.count(F.lit(1)).alias("valid_pixels"))
+    rows = table(spark, d, "lineitem").where(F.year("l_shipdate") == 1997).groupBy("l_suppkey", "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("valid_pixels"))
+    rows = rows.select(text("l_suppkey").alias("field_id"), F.concat("l_returnflag", F.lit("/"), "l_linestatus").alias("cdl_name"), "valid_pixels")
     return crops.rank_first(rows, ["field_id"], [F.desc("valid_pixels"), F.col("cdl_name")]).withColumn("year", F.lit(1997))
 
 
@@ -357,20 +365,21 @@ def join1_join2_integrated(spark: SparkSession, d: str) -> DataFrame:
     return rounded(integrate.integrated_dataset(fields.select("field_id"), history, overlaps, index, 1997))
 
 
-def farm(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def farm(spark: SparkSession, d: str, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Crops, soil overlaps and index of all suppliers with lines in the year, and these suppliers, areas from account
-    balances. Each is written once, as gates and joins both read it."""
+    balances. Each is written once, as gates and joins both read it, the index without the median, which no record has."""
     history = landed(order_history(spark, d), "history")
     fields = table(spark, d, "supplier").join(history.select("field_id"), F.col("field_id") == text("s_suppkey"), "left_semi").select(text("s_suppkey").alias("field_id"), F.abs("s_acctbal").alias("area_ha"))
     only = lambda df, label: landed(df.join(fields, "field_id", "left_semi"), label)
-    return history, only(brand_overlaps(spark, d), "overlaps"), only(supplier_index(spark, d), "index"), landed(fields, "fields")
+    return history, only(brand_overlaps(spark, d, counts), "overlaps"), only(supplier_index(spark, d).drop("median_ndvi"), "index"), landed(fields, "fields")
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """Field records of all suppliers with lines."""
-    history, overlaps, index, fields = farm(spark, d)
+    """Field records of all suppliers with lines; overlaps and soils share the counts of lines by brand."""
+    counts = landed(brand_counts(spark, d), "counts")
+    history, overlaps, index, fields = farm(spark, d, counts)
     integrated = integrate.integrated_dataset(fields.select("field_id"), history, overlaps, index, 1997)
-    health = landed(soil_health(spark, d).join(fields, "field_id", "left_semi"), "health")
+    health = landed(soil_health(spark, d, counts).join(fields, "field_id", "left_semi"), "health")
     return report.field_records(fields, history, landed(integrated, "integrated"), index, health, 1997)
 
 

@@ -693,3 +693,22 @@ def test_dissolved_soils_work_out_no_overlaps_that_the_gate_does_not_need(spark,
     monkeypatch.setattr(overlay, "field_soil_overlap", None)
     got = {u.mukey: ring_area([x.asDict() for x in u.rings]) for u in overlay.dissolved(fields, soils).collect()}
     assert got == pytest.approx({"1": 14.0, "2": 9.0})
+
+
+def test_lines_by_brand_are_counted_once_for_field_records(spark, monkeypatch):
+    from fieldspark.plans import queries
+
+    counted, given, count, only = [], [], queries.brand_counts, queries.report.field_records
+    monkeypatch.setattr(queries, "brand_counts", lambda *a: (counted.append(a), count(*a))[1])
+    monkeypatch.setattr(queries.report, "field_records", lambda *a: (given.append(a[3].columns), only(*a))[1])
+    assert queries.join6_field_records(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(counted) == 1 and "median_ndvi" not in given[0]
+
+
+def test_digests_of_repeated_rows_tell_nulls_apart(spark):
+    rows = [(None, 5, 1.0, "a"), (5, None, 1.0, "a"), (None, None, 1.0, ""), (None, None, 1.0, None)]
+    df = spark.createDataFrame(rows, "a int, b int, c double, d string")
+    checks.require_all(df, "rows", unique=df.columns)
+    assert not any("json" in str(c) for c in checks._digest(df.columns).values())
+    with pytest.raises(checks.CheckError, match="duplicate"):
+        checks.require_all(df.union(df.limit(1)), "rows", unique=df.columns)
