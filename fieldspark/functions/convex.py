@@ -65,6 +65,14 @@ def boxes(p: np.ndarray) -> np.ndarray:
     return np.concatenate([p.min(1), p.max(1)], 1)
 
 
+def upright(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which rows are boxes: four corners, of which neighbours differ in one coordinate."""
+    if p.shape[1] < 4:
+        return np.zeros(len(p), bool)
+    moved = p[:, :4] != p[:, [1, 2, 3, 0]]
+    return (n == 4) & (moved[..., 0] ^ moved[..., 1]).all(1)
+
+
 def meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether boxes beside each other share an area."""
     return (a[:, 0] < b[:, 2]) & (b[:, 0] < a[:, 2]) & (a[:, 1] < b[:, 3]) & (b[:, 1] < a[:, 3])

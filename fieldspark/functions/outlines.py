@@ -223,6 +223,25 @@ def region_edges(sides: Sequence[Sequence[Sequence]]) -> list[Edge]:
     return out
 
 
+def box_edges(boxes: Sequence[Sequence[float]]) -> list[Edge]:
+    """Directed edges around what upright boxes (x0, y0, x1, y1) cover together, cut at all their corners' lines."""
+    xs, ys = sorted({b[k] for b in boxes for k in (0, 2)}), sorted({b[k] for b in boxes for k in (1, 3)})
+    column, row = {x: k for k, x in enumerate(xs)}, {y: k for k, y in enumerate(ys)}
+    full = {(i, j) for x0, y0, x1, y1 in boxes for i in range(column[x0], column[x1]) for j in range(row[y0], row[y1])}
+    out: list[Edge] = []
+    for i, j in full:
+        x0, y0, x1, y1 = xs[i], ys[j], xs[i + 1], ys[j + 1]
+        if (i, j - 1) not in full:
+            out.append((x0, y0, x1, y0))
+        if (i + 1, j) not in full:
+            out.append((x1, y0, x1, y1))
+        if (i, j + 1) not in full:
+            out.append((x1, y1, x0, y1))
+        if (i - 1, j) not in full:
+            out.append((x0, y1, x0, y0))
+    return out
+
+
 def seam_rest(edges: Sequence[Edge], axis: int) -> list[Edge]:
     """Of edges on one line, up it and down it from the cells on either side, those that have no other against them."""
     events: list[tuple[float, int]] = []

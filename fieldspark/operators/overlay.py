@@ -249,6 +249,7 @@ class _Side:
         self.box = np.array(rows.column("box").to_pylist(), float).reshape(-1, 4)
         self.convex = [geometry.convex(r) for r in self.rings]
         self.corners, self.n = convex.rows(self.convex)
+        self.upright = convex.upright(self.corners, self.n)
 
     def soil(self, k: int) -> tuple:
         return self.rings[k], tuple(self.box[k].tolist()), self.convex[k]
@@ -304,7 +305,7 @@ def _block_areas(fields: pa.Table, soils: pa.Table) -> pa.Table:
 
 def _block_outlines(fields: pa.Table, soils: pa.Table) -> pa.Table:
     """Outlines of each map unit within each field of a block. Convex pieces whose bounds are apart are rings as they are,
-    others are swept."""
+    edges around upright boxes are found by their lines, others are swept."""
     a, b = _Side(fields), _Side(soils)
     out = [[], [], []]
     for i, j, new in _met(a, b):
@@ -322,6 +323,10 @@ def _block_outlines(fields: pa.Table, soils: pa.Table) -> pa.Table:
                 continue
             if quick and (len(own) == 1 or not any((boxes[k, :2] <= boxes[m, 2:]).all() and (boxes[m, :2] <= boxes[k, 2:]).all() for x, k in enumerate(own) for m in own[:x])):
                 found = outlines.rings_of([list(map(tuple, p[k, : n[k]].tolist())) for k in own])
+            elif quick and a.upright[i[new[g]]] and b.upright[js].all():
+                box = a.box[i[new[g]]]
+                both = np.concatenate([np.maximum(box[:2], b.box[js, :2]), np.minimum(box[2:], b.box[js, 2:])], 1)
+                found = outlines.stitched(outlines.box_edges(both.tolist()))
             else:
                 found = outlines.stitched(outlines.region_edges([[field], [b.rings[k] for k in js]]))
             if found:

@@ -712,3 +712,21 @@ def test_digests_of_repeated_rows_tell_nulls_apart(spark):
     assert not any("json" in str(c) for c in checks._digest(df.columns).values())
     with pytest.raises(checks.CheckError, match="duplicate"):
         checks.require_all(df.union(df.limit(1)), "rows", unique=df.columns)
+
+
+def test_outlines_of_upright_boxes_are_those_of_the_sweep():
+    import random
+
+    box = lambda x0, y0, x1, y1: [{"sign": 1, "xs": [x0, x1, x1, x0], "ys": [y0, y0, y1, y1]}]
+    corners = lambda rings: {p for r in rings for p in zip(r["xs"], r["ys"])}
+    r = random.Random(7)
+    for _ in range(300):
+        boxes = [(x, y, x + r.randint(1, 4), y + r.randint(1, 4)) for x, y in ((r.randint(0, 6), r.randint(0, 6)) for _ in range(r.randint(1, 7)))]
+        boxes = [tuple(map(float, b)) for b in boxes]
+        got = outlines.stitched(outlines.box_edges(boxes))
+        want = outlines.stitched(outlines.region_edges([[box(*b) for b in boxes]]))
+        whole = outlines.overlap_area([[box(*b) for b in boxes]])
+        assert corners(got) <= corners(want)  # the sweep may keep one on a straight line where rings touch
+        assert math.isclose(outlines.overlap_area([[got]]), whole) and math.isclose(outlines.overlap_area([[got], [box(*b) for b in boxes]]), whole)
+    p, n = convex.rows([([0, 1, 1, 0], [0, 0, 1, 1]), ([0, 1, 1.5, 0], [0, 0, 1, 1]), ([0, 1, 1], [0, 0, 1]), None])
+    assert convex.upright(p, n).tolist() == [True, False, False, False]
