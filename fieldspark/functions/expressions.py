@@ -131,3 +131,14 @@ def pixel_window(xmin: Column, ymin: Column, xmax: Column, ymax: Column, x0: Col
         "row_from": F.greatest(zero, r0), "row_to": F.least(height, r1), "col_from": F.greatest(zero, c0), "col_to": F.least(width, c1),
         "covered": (r0 >= 0) & (c0 >= 0) & (r1 <= height) & (c1 <= width),
     }
+
+
+def rings_area(rings: Column) -> Column:
+    """Area of polygons' rings (sign, xs, ys), holes taken off: triangles from the first corner of each ring."""
+
+    def ring(r: Column) -> Column:
+        x, y = (lambda k, c=c: F.element_at(r[c], k) - r[c][0] for c in ("xs", "ys"))
+        corner = F.when(F.size(r["xs"]) > 2, F.sequence(F.lit(2), F.size(r["xs"]) - 1)).otherwise(F.array().cast("array<int>"))
+        return r["sign"] * F.abs(F.aggregate(corner, F.lit(0.0), lambda a, k: a + x(k) * y(k + 1) - x(k + 1) * y(k))) / 2
+
+    return F.aggregate(rings, F.lit(0.0), lambda a, r: a + ring(r))

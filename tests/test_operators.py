@@ -730,3 +730,9 @@ def test_outlines_of_upright_boxes_are_those_of_the_sweep():
         assert math.isclose(outlines.overlap_area([[got]]), whole) and math.isclose(outlines.overlap_area([[got], [box(*b) for b in boxes]]), whole)
     p, n = convex.rows([([0, 1, 1, 0], [0, 0, 1, 1]), ([0, 1, 1.5, 0], [0, 0, 1, 1]), ([0, 1, 1], [0, 0, 1]), None])
     assert convex.upright(p, n).tolist() == [True, False, False, False]
+
+
+def test_areas_of_rings_by_expressions(spark):
+    rings = [{"sign": 1, "xs": [5.0, 9.0, 9.0, 5.0], "ys": [1.0, 1.0, 4.0, 4.0]}, {"sign": -1, "xs": [6.0, 6.0, 8.0], "ys": [2.0, 3.0, 2.0]}]
+    df = spark.createDataFrame([(1, rings), (2, []), (3, None), (4, [{"sign": 1, "xs": [1.0, 2.0], "ys": [1.0, 2.0]}])], f"k int, rings {spatial.RINGS}")
+    assert [r[0] for r in df.orderBy("k").select(E.rings_area(F.col("rings"))).collect()] == [11.0, 0.0, None, 0.0]
