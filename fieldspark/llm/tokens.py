@@ -51,7 +51,9 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True
         #: Lower case and dropped white space: units are words. Else each takes the space before it.
         self.drops_space = self.tokenizer.normalizer is not None
-        self.line_feed = None if self.drops_space else self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        #: What stands between units encoded as one line, a pre-token by itself, and its only id.
+        self.between = " | " if self.drops_space else "\n"
+        self.mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids[0]
         self.memory: int | None = None
         self._forget()
 
@@ -77,25 +79,50 @@ class UnitEncoder:
         self.codes = {units[k]: i for i, k in enumerate(kept.tolist())}
         self.lengths, self.starts, self.met, self.used = lengths, ends - lengths, self.met[kept], int(ends[-1])
 
+    def _kinds(self, units: pa.Array) -> list[tuple[bool, np.ndarray]]:
+        """Which units are encoded in lines, and whether through the normalizer: where white space is dropped, all without
+        the bar, those of lower case ASCII and Latin-1, which it leaves as they are, past it; where units take the space
+        before them, those without other white space."""
+
+        def like(regex: str) -> np.ndarray:
+            return np.asarray(pc.match_substring_regex(units, regex))
+
+        if not self.drops_space:
+            return [(True, like(r"^ ?[^\pZ\x{85}\x00-\x20]+$"))]
+        bare = like(r"^[\x21-\x40\x5b-\x7b\x7d\x7e\x{df}-\x{ff}]*$")
+        return [(False, bare), (True, ~bare & ~like(r"\|"))]
+
+    def _encoded(self, texts: list[str], normal: bool = True) -> list[list[int]]:
+        """Ids of each text, if not ``normal`` past the normalizer."""
+        if normal:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        held = self.tokenizer.normalizer
+        self.tokenizer.normalizer = None
+        try:
+            return self._encoded(texts)
+        finally:
+            self.tokenizer.normalizer = held
+
     def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units one after the other, and how many each has. Where units take the space before them, those without
-        other white space are encoded in lines of ``LINE``, as a line feed between two of them is a pre-token by itself."""
-        plain = np.zeros(len(units), bool)
-        if self.line_feed is not None:
-            plain = np.asarray(pc.match_substring_regex(pa.array(units, pa.string()), r"^ ?[^\pZ\x{85}\x00-\x20]+$"))
-        joined = [units[k] for k in np.flatnonzero(plain).tolist()]
-        lines = ["\n".join([*joined[at : at + LINE], ""]) for at in range(0, len(joined), LINE)]
-        rest = [units[k] for k in np.flatnonzero(~plain).tolist()]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(lines + rest, add_special_tokens=False)]
-        own = np.fromiter(chain.from_iterable(ids[: len(lines)]), np.int64, sum(map(len, ids[: len(lines)])))
-        feeds = np.flatnonzero(own == (-1 if self.line_feed is None else self.line_feed))
-        if len(feeds) != len(joined):
-            raise ValueError("a line feed between units is no token of its own")
-        lengths = np.zeros(len(units), np.int64)
-        lengths[plain], lengths[~plain] = np.diff(feeds, prepend=-1) - 1, list(map(len, ids[len(lines) :]))
+        """Ids of units one after the other, and how many each has. Most are encoded in lines of ``LINE``."""
+        lengths, parts, left = np.zeros(len(units), np.int64), [], np.ones(len(units), bool)
+        for normal, those in self._kinds(pa.array(units, pa.string())):
+            joined = [units[k] for k in np.flatnonzero(those).tolist()]
+            lines = [self.between.join([*joined[at : at + LINE], ""]) for at in range(0, len(joined), LINE)]
+            ids = self._encoded(lines, normal)
+            own = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+            marks = np.flatnonzero(own == self.mark)
+            if len(marks) != len(joined):
+                raise ValueError("what stands between units is no token of its own")
+            lengths[those] = np.diff(marks, prepend=-1) - 1
+            parts.append((those, np.delete(own, marks)))
+            left &= ~those
+        ids = self._encoded([units[k] for k in np.flatnonzero(left).tolist()])
+        lengths[left] = list(map(len, ids))
+        parts.append((left, np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))))
         out = np.zeros(int(lengths.sum()), np.int64)
-        of_plain = np.repeat(plain, lengths)
-        out[of_plain], out[~of_plain] = np.delete(own, feeds), list(chain.from_iterable(ids[len(lines) :]))
+        for those, own in parts:
+            out[np.repeat(those, lengths)] = own
         return out, lengths
 
     def _learn(self, units: list[str]) -> None:

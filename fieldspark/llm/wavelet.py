@@ -23,6 +23,8 @@ from fieldspark.llm.common import shared_dir
 
 #: Bytes of text in a file, about.
 FILE_BYTES = 8_000_000
+#: Distinct units that a worker remembers, and bytes of text encoded at once: an executor has a worker for each core.
+MEMORY, SLICE = 500_000, 2_000_000
 #: Fixed values of the file format.
 MAGIC, HEAD, BLOCK = b"WVMX", struct.Struct("<4sHHQQ"), 512
 FILES = "part int, file int, n_docs long, n_tokens long, payload binary"
@@ -168,6 +170,13 @@ class WaveletMatrix:
         return now
 
 
+def encoded(coder: tokens.UnitEncoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``coder.encode`` of all texts, about ``SLICE`` bytes at once."""
+    parts = [coder.encode(texts.slice(at, size)) for at, size in tokens.slices(texts, SLICE)]
+    ends = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], *(offsets[1:] + base for base, (_, offsets) in zip(ends, parts))])
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Encodes ``docs`` (doc_id, text) and writes their files in order of doc_id, nulls first, to a table at ``path``.
 
@@ -178,11 +187,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     file_bytes = FILE_BYTES
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, k = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, k = tokens.encoder(tokenizer, MEMORY), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for at, size in tokens.slices(texts, file_bytes):
-                flat, offsets = coder.encode(texts.slice(at, size))
+                flat, offsets = encoded(coder, texts.slice(at, size))
                 payload = pack(flat, offsets, ids[at : at + size])
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([k], pa.int32()), "n_docs": [size], "n_tokens": [len(flat)], "payload": pa.array([payload], pa.binary())})
                 k += 1

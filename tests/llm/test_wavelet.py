@@ -22,6 +22,28 @@ def test_units_give_the_ids_of_whole_texts(name):
     assert coder.encode(pa.array([], pa.string()))[1].tolist() == [0]
 
 
+def test_words_are_encoded_by_lines():
+    """Units of the word vocabulary next to each other in a line keep their own ids, whatever they hold but the bar."""
+    name = vocabulary("word_bpe_49k.json")
+    coder = tokens.UnitEncoder(name)
+    units = ["word", "naïve", "ÉTÉ", "a|b", "|", "||", "", "x\t y\u00a0z", "\u0301e", "Σας", "ΣΑΣ", "it's", "<|endoftext|>", "###", "\u1100\u1161", "ﬁn", "1.5,", "\u0130i", "é" * 40, "e\u0301", "\u00b5m", "日本", *prose(6, 1, 400)[0].split()]
+    calls, encoded = [], coder._encoded
+    coder._encoded = lambda texts, normal=True: (calls.extend(texts), encoded(texts, normal))[1]
+    ids, lengths = coder._ids(units)
+    want = [coder.tokenizer.encode(u, add_special_tokens=False).ids for u in units]
+    ends = np.cumsum(lengths)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, lengths)] == want
+    assert len(calls) < len(units) / 8
+
+
+def test_texts_are_encoded_in_slices_to_one_file(monkeypatch):
+    coder, texts = tokens.UnitEncoder(vocabulary("word_bpe_49k.json")), pa.array([*prose(8, 20), None, "", "last one"])
+    want, sizes, encode = coder.encode(texts), [], coder.encode
+    coder.encode = lambda some: (sizes.append(len(some)), encode(some))[1]
+    monkeypatch.setattr(wavelet, "SLICE", 300)
+    assert [x.tolist() for x in wavelet.encoded(coder, texts)] == [x.tolist() for x in want] and len(sizes) > 5
+
+
 def test_unit_memory_starts_anew(monkeypatch):
     monkeypatch.setattr(tokens, "MEMORY", 10)
     coder = tokens.UnitEncoder(vocabulary("byte_bpe_50k.json"))
