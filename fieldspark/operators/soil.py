@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspark.functions.expressions import carbon_stock, overlap_length
 from fieldspark.operators import checks
 from fieldspark.operators.places import exact_quantiles
+from fieldspark.sources.scratch import landed
 
 
 @dataclass(frozen=True)
@@ -30,6 +34,8 @@ METRICS = (
     Metric("carbon_storage_mg_c_ha", None, "carbon_coverage_fraction", "Mg C/ha"),
 )
 DEPTH_LIMIT_CM = 30.0
+#: The horizons' columns of numbers.
+HORIZON = ["hzdept_r", "hzdepb_r", "om_r", "ph1to1h2o_r", "cec7_r", "dbthirdbar_r", "kwfact"]
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -47,16 +53,16 @@ def _mean(metric: Metric, value: Column, weight: Column) -> Column:
     return weighted_ph(value, weight) if metric.acidity else weighted_mean(value, weight)
 
 
-def component_metrics(horizons: DataFrame, limit: float = DEPTH_LIMIT_CM) -> DataFrame:
+def component_metrics(horizons: DataFrame, limit: float = DEPTH_LIMIT_CM, also: Sequence[Column] = ()) -> DataFrame:
     """One row for each cokey: metrics of its horizons weighted by thickness above ``limit``, carbon summed.
 
     Horizons with a missing depth or no thickness above the limit are passed over; ``has_profile`` tells whether any
-    remains. A metric without values is null.
+    remains. A metric without values is null. ``also``: further aggregates.
     """
     h = horizons.withColumn("_w", overlap_length(F.col("hzdept_r"), F.col("hzdepb_r"), limit)).withColumn("_w", F.when(F.col("_w") > 0, F.col("_w")))
     values = [_mean(m, F.col(m.source), F.col("_w")).alias(m.name) for m in METRICS if m.source]
     carbon = F.sum(carbon_stock(F.col("om_r"), F.col("dbthirdbar_r"), F.col("_w"))).alias("carbon_storage_mg_c_ha")
-    return h.groupBy("cokey").agg(*values, carbon, (F.count("_w") > 0).alias("has_profile"))
+    return h.groupBy("cokey").agg(*values, carbon, (F.count("_w") > 0).alias("has_profile"), *also)
 
 
 def mapunit_metrics(components: DataFrame, values: DataFrame) -> DataFrame:
@@ -89,48 +95,65 @@ def field_metrics(overlaps: DataFrame, mapunits: DataFrame) -> DataFrame:
     return out.select("field_id", *[m.name for m in METRICS], "soil_coverage_fraction", *[m.coverage for m in METRICS])
 
 
-def checked_tables(components: DataFrame, horizons: DataFrame, overlaps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three tables with trimmed keys and numbers, after all their gates: rules are counted as the tables are written,
-    keys, sums and references of all three are one job.
+def checked_tables(components: DataFrame, horizons: DataFrame, overlaps: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components and overlaps with trimmed keys and numbers, and in place of horizons the metrics by component, after all
+    gates of the three tables. Rules of components and overlaps are counted as these are written; horizons are dealt by
+    component, where repeated rows, broken rules and metrics are one pass, and only the metrics are written. Keys, sums and
+    references of all three are one job. Whole numbers as cokey of both tables stay numbers, which need no trimming.
 
-    pH may be 0 to 14, but one that has weight must be above 0. Depths must be in order where both are known.
+    pH may be 0 to 14, but one that has weight must be above 0. Depths must be in order where both are known. Horizons that
+    are equal in all columns are refused, or count once with ``once``.
     """
-    hz = ["hzdept_r", "hzdepb_r", "om_r", "ph1to1h2o_r", "cec7_r", "dbthirdbar_r", "kwfact"]
-    for df, name, columns in ((components, "components", ["mukey", "cokey", "comppct_r", "compname"]), (horizons, "horizons", ["cokey", *hz]), (overlaps, "overlaps", ["field_id", "mukey", "field_fraction"])):
+    for df, name, columns in ((components, "components", ["mukey", "cokey", "comppct_r", "compname"]), (horizons, "horizons", ["cokey", *HORIZON]), (overlaps, "overlaps", ["field_id", "mukey", "field_fraction"])):
         checks.require_columns(df, columns, name)
+    whole = {"cokey"} if all(isinstance(df.schema["cokey"].dataType, T.IntegralType) for df in (components, horizons)) else set()
+
     def typed(df: DataFrame, keys: list[str], numbers: list[str], may_be_empty: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, Column]]:
-        raw = checks.key_rules([k for k in keys if k not in may_be_empty]) | checks.number_rules(numbers, df)
+        raw = checks.key_rules([k for k in keys if k not in may_be_empty and k not in whole]) | checks.number_rules(numbers, df)
+        raw |= {f"empty {k}": F.col(k).isNotNull() for k in keys if k in whole}
         named = {n: f"_raw{k}" for k, n in enumerate(raw)}
-        out = checks.as_numbers(checks.as_keys(df.withColumns({c: raw[n] for n, c in named.items()}), keys), numbers)
+        out = checks.as_numbers(checks.as_keys(df.withColumns({c: raw[n] for n, c in named.items()}), [k for k in keys if k not in whole]), numbers)
         return out, {n: F.col(c) for n, c in named.items()}
 
     components, c_rules = typed(components, ["mukey", "cokey", "compname"], ["comppct_r"])
-    horizons, h_rules = typed(horizons, ["cokey"], hz)
+    horizons, h_rules = typed(horizons, ["cokey"], HORIZON)
     overlaps, o_rules = typed(overlaps, ["field_id", "mukey"], ["field_fraction"], ("mukey",))
     weighted = overlap_length(F.col("hzdept_r"), F.col("hzdepb_r")) > 0
-    whole = [c for c in horizons.columns if not c.startswith("_raw")]
 
     def kept(df: DataFrame, label: str, rules: dict[str, Column]) -> DataFrame:
         written = checks.landed_by_rules(df, rules, label)
         return written.drop(*[c for c in written.columns if c.startswith("_raw")])
 
     components = kept(components, "components", c_rules | {"percentages must be non-negative": F.col("comppct_r") >= 0})
-    horizons = kept(horizons, "horizons", h_rules | {
+    overlaps = kept(overlaps, "overlaps", o_rules | {"field fractions must be between 0 and 1": F.coalesce(F.col("field_fraction").between(0, 1), F.lit(False))})
+    values, v_rules = _checked_metrics(horizons, h_rules | {
         "organic matter must be non-negative": F.col("om_r") >= 0, "pH must be between 0 and 14": F.col("ph1to1h2o_r").between(0, 14), "weighted pH must be above 0": ~weighted | (F.col("ph1to1h2o_r") > 0),
         "CEC must be non-negative": F.col("cec7_r") >= 0, "bulk density must be positive": F.col("dbthirdbar_r") > 0, "K factor must be non-negative": F.col("kwfact") >= 0, "bottom depth is above top depth": F.col("hzdepb_r") >= F.col("hzdept_r"),
-    })
-    overlaps = kept(overlaps, "overlaps", o_rules | {"field fractions must be between 0 and 1": F.coalesce(F.col("field_fraction").between(0, 1), F.lit(False))})
+    }, once)
     checks.require_together(
-        checks.gate(components, "components", unique=["cokey"]), checks.gate(horizons, "horizons", unique=whole, parent=components, key="cokey"),
+        checks.gate(components, "components", unique=["cokey"]), checks.gate(values, "horizons", v_rules, parent=components, key="cokey"),
         checks.gate(overlaps, "overlaps", unique=["field_id", "mukey"], sums=("field_id", "field_fraction", 1.000001)),
     )
-    return components, horizons, overlaps
-
-
-def aggregate_soil(components: DataFrame, horizons: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """Fields' soil metrics and coverages from checked tables."""
-    components, horizons, overlaps = checked_tables(components, horizons, overlaps)
-    return field_metrics(overlaps, mapunit_metrics(components, component_metrics(horizons)))
+    return components, values, overlaps
+
+
+def _checked_metrics(horizons: DataFrame, rules: dict[str, Column], once: bool) -> tuple[DataFrame, dict[str, Column]]:
+    """``component_metrics`` written, with rules over its rows that hold just if ``rules`` do over the horizons and, unless
+    ``once``, none is repeated. One exchange, by cokey: a component's horizons are a profile, a few rows."""
+    columns = [c for c in horizons.columns if not c.startswith("_raw")]
+    broken = [F.when(~r, F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(rules.values())]
+    dealt = horizons.select(*columns, reduce(Column.bitwiseOR, broken).alias("_broken")).repartition("cokey")
+    rows = dealt.groupBy(*columns).agg(F.bit_or("_broken").alias("_broken"), F.count(F.lit(1)).alias("_n"))
+    values = landed(component_metrics(rows, also=[F.bit_or("_broken").alias("_broken"), F.max("_n").alias("_n")]), "horizons")
+    seen = {} if once else {f"duplicate {'/'.join(columns)}": F.col("_n") == 1}
+    return values, seen | {n: F.col("_broken").bitwiseAND(F.lit(1 << k)) == 0 for k, n in enumerate(rules)}
+
+
+def aggregate_soil(components: DataFrame, horizons: DataFrame, overlaps: DataFrame, once: bool = False) -> DataFrame:
+    """Fields' soil metrics and coverages from checked tables; horizons that are equal in all columns are refused, or count
+    once with ``once``."""
+    components, values, overlaps = checked_tables(components, horizons, overlaps, once)
+    return field_metrics(overlaps, mapunit_metrics(components, values))
 
 
 def soil_summary(rows: DataFrame) -> DataFrame:

@@ -223,11 +223,12 @@ health AS (SELECT field_id, """ + ", ".join(
 
 
 def soil_tables(spark: SparkSession, d: str, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components, horizons and shares; equal horizons of several lines are not yet one."""
     lines, part = table(spark, d, "lineitem"), table(spark, d, "part")
-    own = lines.select("l_partkey", "l_linenumber", "l_quantity", "l_tax", F.when(F.col("l_discount") > 0, F.col("l_discount") * 50).alias("om_r"), (1 + F.col("l_discount")).alias("dbthirdbar_r")).distinct()  # what the rest is made of
     top = 5.0 * (F.col("l_linenumber") - 1)
-    horizons = own.select(text("l_partkey").alias("cokey"), top.alias("hzdept_r"), (top + F.col("l_quantity")).alias("hzdepb_r"), "om_r", (4 + F.col("l_tax") * 50).alias("ph1to1h2o_r"), F.col("l_quantity").alias("cec7_r"), "dbthirdbar_r", F.col("l_tax").alias("kwfact"))
-    components = part.select(F.col("p_brand").alias("mukey"), text("p_partkey").alias("cokey"), F.col("p_size").cast("double").alias("comppct_r"), F.col("p_name").alias("compname"))
+    organic = F.when(F.col("l_discount") > 0, F.col("l_discount") * 50)
+    horizons = lines.select(F.col("l_partkey").alias("cokey"), top.alias("hzdept_r"), (top + F.col("l_quantity")).alias("hzdepb_r"), organic.alias("om_r"), (4 + F.col("l_tax") * 50).alias("ph1to1h2o_r"), F.col("l_quantity").alias("cec7_r"), (1 + F.col("l_discount")).alias("dbthirdbar_r"), F.col("l_tax").alias("kwfact"))
+    components = part.select(F.col("p_brand").alias("mukey"), F.col("p_partkey").alias("cokey"), F.col("p_size").cast("double").alias("comppct_r"), F.col("p_name").alias("compname"))
     return components, horizons, brand_shares(spark, d, 0.9, counts)
 
 
@@ -244,7 +245,7 @@ def brand_shares(spark: SparkSession, d: str, whole: float = 1.0, counts: DataFr
 
 
 def soil_health(spark: SparkSession, d: str, counts: DataFrame | None = None) -> DataFrame:
-    return soil.aggregate_soil(*soil_tables(spark, d, counts))
+    return soil.aggregate_soil(*soil_tables(spark, d, counts), once=True)
 
 
 _SOIL_OUT = ", ".join(f"round({c}, 5) AS {c}" for c in [m.name for m in soil.METRICS] + ["soil_coverage_fraction"] + [m.coverage for m in soil.METRICS])
@@ -257,7 +258,7 @@ def agg7_agg10_soil_health(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SOIL_SQL} SELECT cokey, round(m1 + 3e-11, 8) AS organic_matter_pct, round(m2 + 3e-11, 8) AS ph_h2o, round(m3 + 3e-11, 8) AS cec_cmol_kg, round(m4 + 3e-11, 8) AS erosion_k_factor, round(m5 + 3e-9, 6) AS carbon_storage_mg_c_ha FROM comp")
 def agg7_agg8_component_metrics(spark: SparkSession, d: str) -> DataFrame:
-    out = soil.component_metrics(soil_tables(spark, d)[1]).where("has_profile").drop("has_profile")
+    out = soil.component_metrics(soil_tables(spark, d)[1].repartition("cokey").distinct()).where("has_profile").drop("has_profile").withColumn("cokey", text("cokey"))
     places = {m.name: 6 if m.source is None else 8 for m in soil.METRICS}  # a little is added, as many values end in a tie
     return out.withColumns({c: F.round(F.col(c) + 3.0 * 10.0 ** (-n - 3), n) for c, n in places.items()})
 
@@ -265,7 +266,7 @@ def agg7_agg8_component_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SOIL_SQL} SELECT mukey, soil AS has_soil, {', '.join(f'round(m{k}, 5) AS {m.name}, round(c{k}, 5) AS {m.name}_coverage' for k, m in enumerate(soil.METRICS, 1))} FROM mu")
 def agg9_mapunit_metrics(spark: SparkSession, d: str) -> DataFrame:
     components, horizons, _ = soil_tables(spark, d)
-    return rounded(soil.mapunit_metrics(components, soil.component_metrics(horizons)), 5)
+    return rounded(soil.mapunit_metrics(components, soil.component_metrics(horizons.repartition("cokey").distinct())), 5)
 
 
 @query(f"WITH {_SOIL_SQL} " + " UNION ALL ".join(f"SELECT '{m.name}' AS metric, '{m.unit}' AS unit, round(avg({m.name}), 5) AS mean, round(median({m.name}), 5) AS median, count({m.name}) AS non_null_fields, round(avg({m.coverage}), 5) AS mean_coverage_fraction FROM health" for m in soil.METRICS))

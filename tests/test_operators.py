@@ -736,3 +736,22 @@ def test_areas_of_rings_by_expressions(spark):
     rings = [{"sign": 1, "xs": [5.0, 9.0, 9.0, 5.0], "ys": [1.0, 1.0, 4.0, 4.0]}, {"sign": -1, "xs": [6.0, 6.0, 8.0], "ys": [2.0, 3.0, 2.0]}]
     df = spark.createDataFrame([(1, rings), (2, []), (3, None), (4, [{"sign": 1, "xs": [1.0, 2.0], "ys": [1.0, 2.0]}])], f"k int, rings {spatial.RINGS}")
     assert [r[0] for r in df.orderBy("k").select(E.rings_area(F.col("rings"))).collect()] == [11.0, 0.0, None, 0.0]
+
+
+def test_horizons_are_one_pass_to_metrics_by_component(spark, monkeypatch):
+    kept, land = [], checks.landed
+    for module in (checks, soil):
+        monkeypatch.setattr(module, "landed", lambda df, label: (kept.append(df.columns), land(df, label))[1], raising=False)
+    top, below = (7, 0.0, 10.0, 1.0, 6.0, 1.0, 1.0, 0.1), (7, 10.0, 30.0, 4.0, 6.0, 1.0, 1.0, 0.1)
+
+    def of(horizons, once=True):
+        parts = [(("1", 7, 50.0, "A"), ("1", 8, 50.0, "B"))], [horizons], [[("F", "1", 1.0)]]
+        types = CO.replace("cokey string", "cokey long"), HZ.replace("cokey string", "cokey long"), OV
+        return tuple(soil.aggregate_soil(*[spark.createDataFrame(list(p[0]), t) for p, t in zip(parts, types)], once=once).first())
+
+    assert of([top, below, top]) == of([top, below], False) == pytest.approx(("F", 3.0, 6.0, 1.0, 0.1, 70 / 1.724 + 20 / 1.724, 1.0, *[0.5] * 5))
+    assert of([]) == ("F", *[None] * 5, *[0.0] * 6)
+    for horizons, once, said in (([top, top], False, "duplicate cokey/hzdept_r"), ([top, (None, *top[1:])], True, "empty cokey"), ([(9, *top[1:])], True, "unknown cokey 9"), ([top, (7, 0.0, 5.0, -1.0, *top[4:]), top], True, "horizons: organic matter")):
+        with pytest.raises(CheckError, match=said):
+            of(horizons, once)
+    assert kept and not any("hzdept_r" in columns for columns in kept)
