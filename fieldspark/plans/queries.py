@@ -156,13 +156,13 @@ def snk3_product_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scene_pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Lines as pixels: price and quantity as bands, 1 in 50 quantities as no data, parts as fields."""
-    return table(spark, d, "lineitem").select(text("l_suppkey").alias("scene_id"), F.concat(F.lit("F"), F.col("l_partkey") % 200).alias("field_id"), F.col("l_extendedprice").alias("red"), F.col("l_quantity").alias("nir"), F.col("l_linenumber").alias("scl"))
+    """Lines as pixels: price and quantity as bands, 1 in 50 quantities as no data, parts as fields, suppliers as scenes."""
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("scene_id"), F.concat(F.lit("F"), F.col("l_partkey") % 200).alias("field_id"), F.col("l_extendedprice").alias("red"), F.col("l_quantity").alias("nir"), F.col("l_linenumber").alias("scl"))
 
 
 def scene_bands(spark: SparkSession, d: str) -> DataFrame:
     pairs = F.array(F.struct(F.lit("red").alias("band"), F.lit(0.0001).alias("scale"), F.lit(-0.1).alias("offset"), F.lit(None).cast("double").alias("nodata")), F.struct(F.lit("nir").alias("band"), F.lit(0.2).alias("scale"), F.lit(0.1).alias("offset"), F.lit(50.0).alias("nodata")))
-    return table(spark, d, "supplier").select(text("s_suppkey").alias("scene_id"), F.inline(pairs))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("scene_id"), F.inline(pairs))
 
 
 _PIXELS = """p AS (SELECT 'F' || (l_partkey % 200) AS field_id, l_suppkey, l_linenumber BETWEEN 4 AND 7 AND l_quantity <> 50 AS ok, l_extendedprice * 0.0001 - 0.1 AS r, l_quantity * 0.2 + 0.1 AS n, l_returnflag FROM lineitem),
@@ -352,7 +352,8 @@ def order_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def supplier_index(spark: SparkSession, d: str) -> DataFrame:
-    return imagery.field_ndvi(scene_pixels(spark, d).withColumn("field_id", F.col("scene_id")), scene_bands(spark, d))
+    """Index of each supplier's lines; suppliers are numbers until one row is left of each."""
+    return imagery.field_ndvi(scene_pixels(spark, d).withColumn("field_id", F.col("scene_id")), scene_bands(spark, d)).withColumn("field_id", text("field_id"))
 
 
 _CROPS = "crop AS (SELECT l_suppkey::VARCHAR AS field_id, l_returnflag || '/' || l_linestatus AS name, count(*)::BIGINT AS px FROM lineitem WHERE year(l_shipdate) = 1997 GROUP BY l_suppkey, l_returnflag, l_linestatus QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_returnflag || '/' || l_linestatus) = 1)"

@@ -755,3 +755,12 @@ def test_horizons_are_one_pass_to_metrics_by_component(spark, monkeypatch):
         with pytest.raises(CheckError, match=said):
             of(horizons, once)
     assert kept and not any("hzdept_r" in columns for columns in kept)
+
+
+def test_index_of_suppliers_groups_numbers(spark, monkeypatch):
+    from fieldspark.plans import queries
+
+    given, only = [], queries.imagery.field_ndvi
+    monkeypatch.setattr(queries.imagery, "field_ndvi", lambda *a: (given.extend(dict(df.dtypes) for df in a), only(*a))[1])
+    assert dict(queries.supplier_index(spark, "/root/testdata/sf0.001").dtypes)["field_id"] == "string"
+    assert [t["scene_id"] for t in given] == ["bigint"] * 2 and given[0]["field_id"] == "bigint"
