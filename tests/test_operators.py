@@ -764,3 +764,9 @@ def test_index_of_suppliers_groups_numbers(spark, monkeypatch):
     monkeypatch.setattr(queries.imagery, "field_ndvi", lambda *a: (given.extend(dict(df.dtypes) for df in a), only(*a))[1])
     assert dict(queries.supplier_index(spark, "/root/testdata/sf0.001").dtypes)["field_id"] == "string"
     assert [t["scene_id"] for t in given] == ["bigint"] * 2 and given[0]["field_id"] == "bigint"
+
+
+def test_package_figures_are_worked_out_once(spark):
+    one = spark.createDataFrame([("F", 1.0, "corn", 5, "s", "soil", 0.5, 1.0, 2.0, 6.0, 10.0, 50.0)], "field_id string, area_ha double, crop_2023 string, crop_2023_pixels long, soil_type string, soil_name string, mean_ndvi double, ndvi_coverage_fraction double, organic_matter_pct double, ph_h2o double, cec_cmol_kg double, carbon_storage_mg_c_ha double")
+    got = report.package_figures(one, spark.createDataFrame([(1.0, 2.0)], "mean_anomaly_c double, precip_mm double"), spark.createDataFrame([("2023-07-01",)], "scene_date string"))
+    assert got.inputFiles() and got.first().total_area_ha == 1.0
