@@ -133,6 +133,14 @@ def pixel_window(xmin: Column, ymin: Column, xmax: Column, ymax: Column, x0: Col
     }
 
 
+def round_half_up(value: Column, places: int) -> Column:
+    """``F.round`` of doubles, whose decimal arithmetic is left to large values and those near a tie."""
+    scaled = value * 10.0**places
+    below = F.floor(scaled)
+    plain = (F.abs(scaled) < 1e9) & (F.abs(scaled - below - 0.5) > 1e-4)
+    return F.when(plain, F.floor(scaled + 0.5) / F.lit(10.0**places)).otherwise(F.round(value, places))
+
+
 def rings_area(rings: Column) -> Column:
     """Area of polygons' rings (sign, xs, ys), holes taken off: triangles from the first corner of each ring."""
 

@@ -11,6 +11,7 @@ left over close to outlines.
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspark.functions import convex, geometry, outlines
+from fieldspark.functions import boxes, convex, geometry, outlines
+from fieldspark.functions import expressions as E
 from fieldspark.operators import checks
 from fieldspark.operators.spatial import _RINGS, EQUAL_AREA, RINGS, bounds_join, require_srid, with_measures
 from fieldspark.sources.scratch import landed
@@ -30,8 +32,8 @@ CELLS = 1.4
 CORNERS, ROUNDS, HALVINGS = 4000, 4, 6
 #: Width and height of a cell's polygons together, in cells, up to which it is cut again.
 REACH = 0.5
-#: Polygons of a side in a block, levels of cells for whole fields at most, pairs overlaid at once.
-BLOCK, LEVELS, PAIRS = 1000, 12, 100_000
+#: Polygons of a side in a block, levels of cells for whole fields at most, pairs overlaid at once, and of upright boxes alone.
+BLOCK, LEVELS, PAIRS, PLAIN = 1000, 12, 100_000, 1_000_000
 CELL = ["level", "cx", "cy"]
 _BOUNDS = ["xmin", "ymin", "xmax", "ymax"]
 _HOME = ["home_level", "home_x", "home_y"]
@@ -219,8 +221,19 @@ def _homes(fields: DataFrame, size: float) -> DataFrame:
     return fields.drop("_last").join(best.select("key", "_h.*"), "key")
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """``df`` (rings, bounds) without the rings of upright boxes, whose bounds tell all, so that blocks get less."""
+    ring = F.get("rings", F.lit(0))
+    x, y = ([F.get(ring[c], F.lit(k)) for k in range(5)] for c in ("xs", "ys"))
+    turns = [(a[0] == a[1]) & (b[1] == b[2]) & (a[2] == a[3]) & (b[3] == b[0]) for a, b in ((x, y), (y, x))]
+    closed = (F.size(ring["xs"]) == 4) | ((F.size(ring["xs"]) == 5) & (x[4] == x[0]) & (y[4] == y[0]))
+    box = (F.size("rings") == 1) & (ring["sign"] == 1) & closed & (turns[0] | turns[1]) & (F.col("xmin") < F.col("xmax")) & (F.col("ymin") < F.col("ymax"))
+    return df.withColumn("rings", F.when(~F.coalesce(box, F.lit(False)), F.col("rings")))
+
+
 def _pairs(left: DataFrame, right: DataFrame, size: float, run, schema: str) -> DataFrame:
     """What ``run`` makes of the fields and soils of each block of a home, over all homes."""
+    left, right = _plain(left), _plain(right)
     at = landed(_homes(left, size), "homes")
     homes = at.groupBy(*_HOME).agg(*[F.min(c).alias(c) for c in _BOUNDS[:2]], *[F.max(c).alias(c) for c in _BOUNDS[2:]], F.ceil(F.count(F.lit(1)) / BLOCK).alias("field_blocks"))
     soils = right.select("key", "rings", *_BOUNDS, F.array(*_BOUNDS).alias("box"))
@@ -241,102 +254,170 @@ def _pairs(left: DataFrame, right: DataFrame, size: float, run, schema: str) ->
 
 
 class _Side:
-    """A block's polygons of one side, in order of their keys: rings, bounds, and corners of the convex ones."""
+    """A block's polygons of one side, in order of their keys: bounds, whether they are upright boxes (without rings), and
+    rings and corners, as far as they are asked for."""
 
     def __init__(self, rows: pa.Table) -> None:
-        rows = rows.sort_by("key")
-        self.rows, self.key, self.rings = rows, rows.column("key"), rows.column("rings").to_pylist()
-        self.box = np.array(rows.column("box").to_pylist(), float).reshape(-1, 4)
-        self.convex = [geometry.convex(r) for r in self.rings]
-        self.corners, self.n = convex.rows(self.convex)
-        self.upright = convex.upright(self.corners, self.n)
+        rows = rows.sort_by("key").combine_chunks()
+        self.rows, self.key = rows, rows.column("key")
+        self.box = np.ascontiguousarray(_flat(rows.column("box")).to_numpy().reshape(-1, 4).T)
+        self.upright = rows.column("rings").is_null().to_numpy()
+
+    @cached_property
+    def rings(self) -> list:
+        drawn = zip(self.rows.column("rings").to_pylist(), self.box.T.tolist())
+        return [[{"sign": 1, "xs": [a, c, c, a], "ys": [b, b, d, d]}] if r is None else r for r, (a, b, c, d) in drawn]
+
+    @cached_property
+    def convex(self) -> list:
+        return [geometry.convex(r) for r in self.rings]
+
+    @cached_property
+    def corners(self) -> tuple[np.ndarray, np.ndarray]:
+        return convex.rows(self.convex)
 
     def soil(self, k: int) -> tuple:
-        return self.rings[k], tuple(self.box[k].tolist()), self.convex[k]
+        return self.rings[k], tuple(self.box[:, k].tolist()), self.convex[k]
+
+
+def _flat(lists: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays([x.flatten() for x in lists.chunks]) if lists.num_chunks else pa.array([], pa.float64())
 
 
 def _met(fields: _Side, soils: _Side):
     """(field, soil, first of each group) of the pairs that meet by bounds, in groups of a field and a map unit; so many
-    fields at once that there are about ``PAIRS``."""
-    number = np.unique(np.array(soils.key.to_pylist(), dtype=str), return_inverse=True)[1] if len(soils.rings) else np.zeros(0, int)
-    step = max(1, PAIRS // max(1, len(number)))
-    for at in range(0, len(fields.rings), step):
-        a, b = fields.box[at : at + step, None], soils.box[None]
-        i, j = np.nonzero((a[..., 0] < b[..., 2]) & (b[..., 0] < a[..., 2]) & (a[..., 1] < b[..., 3]) & (b[..., 1] < a[..., 3]))
+    fields at once that there are about ``PAIRS``, or ``PLAIN`` of boxes alone."""
+    number = np.asarray(soils.key.combine_chunks().dictionary_encode().indices) if soils.rows.num_rows else np.zeros(0, int)
+    step = max(1, (PLAIN if fields.upright.all() and soils.upright.all() else PAIRS) // max(1, len(number)))
+    b = soils.box
+    for at in range(0, fields.rows.num_rows, step):
+        a = fields.box[:, at : at + step, None]
+        i, j = np.nonzero((a[0] < b[2]) & (b[0] < a[2]) & (a[1] < b[3]) & (b[1] < a[3]))
         if len(i):
             new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (number[j[1:]] != number[j[:-1]])]))
             yield i + at, j, new
 
 
+def _boxed(fields: _Side, soils: _Side, i: np.ndarray, j: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, boxes.Boxes]:
+    """Groups of upright boxes alone, no more than ``boxes.MOST`` each; where these start among their pairs, and what the
+    pairs have in common."""
+    upright = fields.upright[i] & soils.upright[j]
+    plain = (np.ones(len(new), bool) if upright.all() else np.logical_and.reduceat(upright, new)) & (np.diff(np.append(new, len(i))) <= boxes.MOST)
+    pair, start = boxes.of_groups(plain, new, len(i))
+    a, b = fields.box[:, i[pair]], soils.box[:, j[pair]]
+    return plain, start, (np.maximum(a[0], b[0]), np.maximum(a[1], b[1]), np.minimum(a[2], b[2]), np.minimum(a[3], b[3]))
+
+
 def _clips(fields: _Side, soils: _Side, i: np.ndarray, j: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Groups whose polygons are all convex and few, their pairs, group of each pair from 0, and corners of what the pairs
     have in common."""
     many = np.diff(np.append(new, len(i)))
-    fast = np.logical_and.reduceat((fields.n[i] > 0) & (soils.n[j] > 0), new) & (many <= convex.MOST)
+    (p, n), (q, m) = fields.corners, soils.corners
+    fast = np.logical_and.reduceat((n[i] > 0) & (m[j] > 0), new) & (many <= convex.MOST)
     pair = np.flatnonzero(np.repeat(fast, many))
     group = np.repeat(np.arange(fast.sum()), many[fast])
-    p, n = convex.clipped(fields.corners[i[pair]], fields.n[i[pair]], soils.corners[j[pair]])
+    p, n = convex.clipped(p[i[pair]], n[i[pair]], q[j[pair]])
     return fast, pair, group, p, n
 
 
 _AREAS = "field_id string, mukey string, overlap_area_m2 double, field_area_m2 double"
-_CLIPPED = f"mukey string, field_id string, rings {RINGS}"
+_CLIPPED = f"mukey string, field_id string, area double, rings {RINGS}"
 _RING_LISTS = pa.list_(pa.struct([("sign", pa.int32()), ("xs", pa.list_(pa.float64())), ("ys", pa.list_(pa.float64()))]))
 
 
+def _table(schema: str, kinds: list, chunks: list[list]) -> pa.Table:
+    """Columns of a schema, each a list of arrays or of arrays of chunks."""
+    flat = [[c for x in own for c in (x.chunks if isinstance(x, pa.ChunkedArray) else [x])] for own in chunks]
+    return pa.table([pa.chunked_array(x, k) for x, k in zip(flat, kinds)], names=[c.split()[0] for c in schema.split(", ", len(kinds) - 1)])
+
+
 def _block_areas(fields: pa.Table, soils: pa.Table) -> pa.Table:
     """Areas of each field and map unit of a block."""
     a, b = _Side(fields), _Side(soils)
     whole, out = a.rows.column("area"), [[], [], [], []]
     for i, j, new in _met(a, b):
-        fast, pair, group, p, n = _clips(a, b, i, j, new)
+        plain, start, shared = _boxed(a, b, i, j, new)
         area = np.zeros(len(new))
-        area[fast] = convex.union_areas(p, n, b.corners[j[pair]], group)
-        ends = np.append(new, len(i))
-        for g in np.flatnonzero(~fast).tolist():
-            area[g] = _area([a.rings[i[new[g]]]], [b.soil(k) for k in j[ends[g] : ends[g + 1]].tolist()])
+        area[plain] = boxes.union_areas(shared, start)
+        if not plain.all():
+            area[~plain] = _other_areas(a, b, i, j, new, ~plain)
         kept = np.flatnonzero(area > 0)
         f, s = pa.array(i[new[kept]]), pa.array(j[new[kept]])
-        for column, x in zip(out, (a.key.take(f), b.key.take(s), pa.chunked_array([pa.array(area[kept])]), whole.take(f))):
-            column += x.chunks
-    kinds = (pa.string(), pa.string(), pa.float64(), pa.float64())
-    return pa.table([pa.chunked_array(x, k) for x, k in zip(out, kinds)], names=[c.split()[0] for c in _AREAS.split(", ")])
+        for column, x in zip(out, (a.key.take(f), b.key.take(s), pa.array(area[kept]), whole.take(f))):
+            column.append(x)
+    return _table(_AREAS, [pa.string(), pa.string(), pa.float64(), pa.float64()], out)
+
+
+def _other_areas(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray, new: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Areas of the chosen groups, which are not of boxes alone."""
+    own, new = boxes.of_groups(chosen, new, len(i))
+    i, j = i[own], j[own]
+    fast, pair, group, p, n = _clips(a, b, i, j, new)
+    area = np.zeros(len(new))
+    area[fast] = convex.union_areas(p, n, b.corners[0][j[pair]], group)
+    ends = np.append(new, len(i))
+    for g in np.flatnonzero(~fast).tolist():
+        area[g] = _area([a.rings[i[new[g]]]], [b.soil(k) for k in j[ends[g] : ends[g + 1]].tolist()])
+    return area
+
+
+def _ring_lists(n: int, rings: boxes.Rings) -> tuple[np.ndarray, pa.Array]:
+    """Areas, holes taken off, and lists of the rings of groups 0 to n - 1."""
+    corners = pa.array(rings.first, pa.int32())
+    own = pa.StructArray.from_arrays([pa.array(rings.sign, pa.int32()), pa.ListArray.from_arrays(corners, pa.array(rings.xs)), pa.ListArray.from_arrays(corners, pa.array(rings.ys))], ["sign", "xs", "ys"])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(rings.group, minlength=n))])
+    return np.bincount(rings.group, rings.sign * rings.area, n), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), own)
 
 
 def _block_outlines(fields: pa.Table, soils: pa.Table) -> pa.Table:
-    """Outlines of each map unit within each field of a block. Convex pieces whose bounds are apart are rings as they are,
-    edges around upright boxes are found by their lines, others are swept."""
+    """Outlines of each map unit within each field of a block, and their areas."""
     a, b = _Side(fields), _Side(soils)
-    out = [[], [], []]
+    out = [[], [], [], []]
+
+    def add(i: np.ndarray, j: np.ndarray, area, rings: pa.Array) -> None:
+        for column, x in zip(out, (b.key.take(pa.array(j, pa.int64())), a.key.take(pa.array(i, pa.int64())), pa.array(area, pa.float64()), rings)):
+            column.append(x)
+
     for i, j, new in _met(a, b):
-        fast, pair, group, p, n = _clips(a, b, i, j, new)
-        good = (n > 2) & (convex.areas(p) > 0)
-        boxes, of_group = convex.boxes(p), np.searchsorted(group, np.arange(fast.sum() + 1))
-        ends, at, rings, kept = np.append(new, len(i)), -1, [], []
-        for g, quick in enumerate(fast.tolist()):
-            field, js = a.rings[i[new[g]]], j[ends[g] : ends[g + 1]].tolist()
-            if quick:
-                at += 1
-                own = [k for k in range(of_group[at], of_group[at + 1]) if good[k]]
-                js = j[pair[own]].tolist()
-            if not js:
-                continue
-            if quick and (len(own) == 1 or not any((boxes[k, :2] <= boxes[m, 2:]).all() and (boxes[m, :2] <= boxes[k, 2:]).all() for x, k in enumerate(own) for m in own[:x])):
-                found = outlines.rings_of([list(map(tuple, p[k, : n[k]].tolist())) for k in own])
-            elif quick and a.upright[i[new[g]]] and b.upright[js].all():
-                box = a.box[i[new[g]]]
-                both = np.concatenate([np.maximum(box[:2], b.box[js, :2]), np.minimum(box[2:], b.box[js, 2:])], 1)
-                found = outlines.stitched(outlines.box_edges(both.tolist()))
-            else:
-                found = outlines.stitched(outlines.region_edges([[field], [b.rings[k] for k in js]]))
-            if found:
-                kept.append(g)
-                rings.append(found)
-        f, s = pa.array(i[new[kept]], pa.int64()), pa.array(j[new[kept]], pa.int64())
-        for column, x in zip(out, (b.key.take(s), a.key.take(f), pa.chunked_array([pa.array(rings, _RING_LISTS)]))):
-            column += x.chunks
-    kinds = (pa.string(), pa.string(), _RING_LISTS)
-    return pa.table([pa.chunked_array(x, k) for x, k in zip(out, kinds)], names=[c.split()[0] for c in _CLIPPED.split(", ", 2)])
+        plain, start, shared = _boxed(a, b, i, j, new)
+        first = new[plain]
+        for g, rings in boxes.outlines(shared, start):
+            area, lists = _ring_lists(len(g), rings)
+            some = np.flatnonzero(np.bincount(rings.group, minlength=len(g)))
+            lists = lists if len(some) == len(g) else lists.take(pa.array(some))
+            add(i[first[g[some]]], j[first[g[some]]], area[some], lists)
+        if not plain.all():
+            kept, rings = _other_outlines(a, b, i, j, new, ~plain)
+            area = [sum(r["sign"] * geometry.measures([r | {"sign": 1}])[0] for r in own) for own in rings]
+            add(i[new[kept]], j[new[kept]], area, pa.array(rings, _RING_LISTS))
+    return _table(_CLIPPED, [pa.string(), pa.string(), pa.float64(), _RING_LISTS], out)
+
+
+def _other_outlines(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray, new: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, list]:
+    """Those of the chosen groups, which are not of boxes alone, that have an outline, with its rings. Convex pieces whose
+    bounds are apart are rings as they are, others are swept."""
+    own, new = boxes.of_groups(chosen, new, len(i))
+    i, j = i[own], j[own]
+    fast, pair, group, p, n = _clips(a, b, i, j, new)
+    good = (n > 2) & (convex.areas(p) > 0)
+    bounds, of_group = convex.boxes(p), np.searchsorted(group, np.arange(fast.sum() + 1))
+    ends, at, rings, kept = np.append(new, len(i)), -1, [], []
+    for g, quick in enumerate(fast.tolist()):
+        js = j[ends[g] : ends[g + 1]].tolist()
+        if quick:
+            at += 1
+            own = [k for k in range(of_group[at], of_group[at + 1]) if good[k]]
+            js = j[pair[own]].tolist()
+        if not js:
+            continue
+        if quick and (len(own) == 1 or not any((bounds[k, :2] <= bounds[m, 2:]).all() and (bounds[m, :2] <= bounds[k, 2:]).all() for x, k in enumerate(own) for m in own[:x])):
+            found = outlines.rings_of([list(map(tuple, p[k, : n[k]].tolist())) for k in own])
+        else:
+            found = outlines.stitched(outlines.region_edges([[a.rings[i[new[g]]]], [b.rings[k] for k in js]]))
+        if found:
+            kept.append(g)
+            rings.append(found)
+    return np.flatnonzero(chosen)[kept], rings
 
 
 def _parted(left: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
@@ -371,13 +452,14 @@ def field_soil_overlap(fields: DataFrame, soils: DataFrame, size: float | None =
 
 
 def clipped_soils(fields: DataFrame, soils: DataFrame, size: float | None = None) -> DataFrame:
-    """mukey, field_id, rings: the outline of each map unit within each field, its polygons dissolved."""
+    """mukey, field_id, area, rings: the outline of each map unit within each field, its polygons dissolved."""
     left, right = _measured(fields, soils)
     size = size or grid_size(left, right)
     small, large = _parted(left, size)
     out = _pairs(small, right, size, _block_outlines, _CLIPPED)
     if large.limit(1).count():
-        out = out.unionByName(_outlines(landed(_found(_cells(large, right, size), size, False), "edges"), ["mukey", "field_id"]))
+        outline = _outlines(landed(_found(_cells(large, right, size), size, False), "edges"), ["mukey", "field_id"])
+        out = out.unionByName(outline.withColumn("area", E.rings_area(F.col("rings"))))
     return out
 
 

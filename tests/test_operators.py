@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldspark.functions import expressions as E
-from fieldspark.functions import convex, geometry, outlines, validity
+from fieldspark.functions import boxes, convex, geometry, outlines, validity
 from fieldspark.operators import checks, crops, imagery, integrate, overlay, report, scan, soil, spatial, weather, zonal
 from fieldspark.operators.checks import CheckError
 
@@ -770,3 +770,64 @@ def test_package_figures_are_worked_out_once(spark):
     one = spark.createDataFrame([("F", 1.0, "corn", 5, "s", "soil", 0.5, 1.0, 2.0, 6.0, 10.0, 50.0)], "field_id string, area_ha double, crop_2023 string, crop_2023_pixels long, soil_type string, soil_name string, mean_ndvi double, ndvi_coverage_fraction double, organic_matter_pct double, ph_h2o double, cec_cmol_kg double, carbon_storage_mg_c_ha double")
     got = report.package_figures(one, spark.createDataFrame([(1.0, 2.0)], "mean_anomaly_c double, precip_mm double"), spark.createDataFrame([("2023-07-01",)], "scene_date string"))
     assert got.inputFiles() and got.first().total_area_ha == 1.0
+
+
+def made_boxes(r, groups, most, whole=False):
+    many = r.integers(1, most, groups)
+    n = many.sum()
+    low = r.integers(0, 6, (2, n)).astype(float) if whole else r.uniform(0, 1, (2, n))
+    high = low + (r.integers(1, 5, (2, n)) if whole else r.uniform(0.01, 1, (2, n)))
+    return (*low, *high), np.cumsum(many) - many, many
+
+
+@pytest.mark.parametrize("most, whole", [(10, False), (10, True), (boxes.MOST + 1, True)])
+def test_outlines_and_areas_of_groups_of_boxes(most, whole):
+    """All groups at once have the outlines and areas that the sweep gives each by itself."""
+    b, start, many = made_boxes(np.random.default_rng(9), 150, most, whole)
+    area, got = boxes.union_areas(b, start), {}
+    for g, x in boxes.outlines(b, start):
+        for k, own in enumerate(x.group):
+            s = slice(x.first[k], x.first[k + 1])
+            got.setdefault(int(g[own]), []).append({"sign": int(x.sign[k]), "xs": x.xs[s].tolist(), "ys": x.ys[s].tolist()})
+            assert x.area[k] == pytest.approx(ring_area([got[g[own]][-1] | {"sign": 1}]))
+    corners = lambda rings: {p for x in rings for p in zip(x["xs"], x["ys"])}
+    for g, (at, n) in enumerate(zip(start, many)):
+        own = [tuple(float(c[k]) for c in b) for k in range(at, at + n)]
+        sides = [[[box(x0, y0, x1 - x0, y1 - y0)] for x0, y0, x1, y1 in own]]
+        assert corners(got[g]) == corners(outlines.stitched(outlines.box_edges(own)))
+        assert area[g] == pytest.approx(outlines.overlap_area(sides)) and ring_area(got[g]) == pytest.approx(area[g])
+        assert outlines.overlap_area([*sides, [got[g]]]) == pytest.approx(area[g])
+    thin = (np.array([0.0, 1.0, 5.0]), np.zeros(3), np.array([1.0, 1 + 1e-13, 5 + 1e-13]), np.ones(3))
+    assert [(g.tolist(), len(x.xs)) for g, x in boxes.outlines(thin, np.array([0, 2]))] == [([0], 4)]
+
+
+def test_blocks_of_upright_boxes_are_not_swept(spark, monkeypatch):
+    """Outlines of map units of many overlapping boxes come from arrays; with ``most`` of them, or others among them, as before."""
+    r = np.random.default_rng(11)
+    at = r.uniform(0, 0.02, (80, 2)).round(4)
+    fields = polygons(spark, [(f"f{i}", [box(x, y, 0.05, 0.04)]) for i, (x, y) in enumerate(at[:20])])
+    soils = polygons(spark, [(f"s{i // 20}", [box(x, y, 0.05, 0.04)]) for i, (x, y) in enumerate(at[20:])], "mukey")
+    left, right = (overlay._plain(df.withColumn("box", F.array(*overlay._BOUNDS))).select("key", "area", "rings", "box").toArrow() for df in overlay._measured(fields, soils))
+    assert left["rings"].null_count == 20 and right["rings"].null_count == 60
+    want = {(f"f{i}", f"s{m}"): outlines.overlap_area([[[box(x, y, 0.05, 0.04)]], [[box(*p, 0.05, 0.04)] for p in at[20 + 20 * m : 40 + 20 * m]]]) for i, (x, y) in enumerate(at[:20]) for m in range(3)}
+    for name in ("region_edges", "stitched", "rings_of"):
+        monkeypatch.setattr(outlines, name, None)
+    monkeypatch.setattr(geometry, "convex", None)
+    got = overlay._block_outlines(left, right).to_pylist()
+    assert {(g["field_id"], g["mukey"]): ring_area(g["rings"]) for g in got} == pytest.approx(want, abs=1e-12)
+    assert {(g["field_id"], g["mukey"]): g["area"] for g in got} == pytest.approx(want, abs=1e-12) and len(got) == 60
+    monkeypatch.undo()
+    more = polygons(spark, [("s0", [{"sign": 1, "xs": [0.0, 0.1, 0.0], "ys": [0.0, 0.0, 0.1]}]), *[("s1", [box(x / 4, y / 4, 0.05, 0.04)]) for x, y in r.uniform(0, 0.2, (boxes.MOST + 6, 2))]], "mukey")
+    clipped = {(c.field_id, c.mukey): (c.area, ring_area([x.asDict() for x in c.rings])) for c in overlay.clipped_soils(fields, soils.unionByName(more), 0.2).collect()}
+    areas = {(a.field_id, a.mukey): a.overlap_area_m2 for a in overlay.field_soil_overlap(fields, soils.unionByName(more), 0.2).collect()}
+    assert {k: a for k, (a, _) in clipped.items()} == pytest.approx(areas, abs=1e-9) and {k: a for k, (_, a) in clipped.items()} == pytest.approx(areas, abs=1e-9)
+    assert len(areas) == 60 and all(areas[f"f{i}", "s2"] == pytest.approx(want[f"f{i}", "s2"], abs=1e-12) for i in range(20))
+
+
+def test_rounding_is_that_of_decimals(spark):
+    r = np.random.default_rng(12)
+    near = [s * (k + 0.5 + d) / 1e8 for k in (0, 3, 12_345, 199_999) for d in (0, 1e-9, -1e-9, 1e-4, -1e-4, 0.2) for s in (1, -1)]
+    values = [*near, *r.uniform(-1, 1, 2000).tolist(), *r.uniform(0, 1e12, 50).tolist(), *(r.integers(0, 10**9, 500) / 1e9).tolist(), 0.0, -1e-12, math.nan, math.inf, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (6, 8):
+        assert df.where(~F.round("v", k).eqNullSafe(E.round_half_up(F.col("v"), k))).count() == 0
