@@ -303,9 +303,9 @@ def _boxed(fields: _Side, soils: _Side, i: np.ndarray, j: np.ndarray, new: np.nd
     pairs have in common."""
     upright = fields.upright[i] & soils.upright[j]
     plain = (np.ones(len(new), bool) if upright.all() else np.logical_and.reduceat(upright, new)) & (np.diff(np.append(new, len(i))) <= boxes.MOST)
-    pair, start = boxes.of_groups(plain, new, len(i))
-    a, b = fields.box[:, i[pair]], soils.box[:, j[pair]]
-    return plain, start, (np.maximum(a[0], b[0]), np.maximum(a[1], b[1]), np.minimum(a[2], b[2]), np.minimum(a[3], b[3]))
+    pair, start = (slice(None), new) if plain.all() else boxes.of_groups(plain, new, len(i))
+    i, j = i[pair], j[pair]
+    return plain, start, tuple(f(a.take(i), b.take(j)) for f, a, b in zip((np.maximum, np.maximum, np.minimum, np.minimum), fields.box, soils.box))
 
 
 def _clips(fields: _Side, soils: _Side, i: np.ndarray, j: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -517,7 +517,7 @@ u AS (SELECT i, m, sum((nx - x) * greatest(0, y1 - greatest(y0, coalesce(seen, y
 @query(f"WITH {_UNIONS} SELECT i::VARCHAR AS field_id, m::VARCHAR AS mukey, round(o, 8) AS overlap_area_m2, round(0.05 * 0.04, 8) AS field_area_m2, round(o / (0.05 * 0.04), 6) AS field_fraction FROM u WHERE o > 1e-10")
 def geo6_join8_overlap(spark: SparkSession, d: str) -> DataFrame:
     out = overlay.field_soil_overlap(rectangles(spark, d, "field_id", 0), rectangles(spark, d, "mukey", 1)).where("overlap_area_m2 > 1e-10")
-    return out.withColumns({c: F.round(c, 8) for c in ("overlap_area_m2", "field_area_m2")}).withColumn("field_fraction", F.round("field_fraction", 6))
+    return out.withColumns({c: E.round_half_up(F.col(c), k) for c, k in (("overlap_area_m2", 8), ("field_area_m2", 8), ("field_fraction", 6))})
 
 
 @query(f"""WITH {_RECTS}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM r),
